@@ -38,7 +38,6 @@ TOOLS_OUTRO = ("\n</tools>\n\nFor each function call, return a json object with
                "within <tool_call></tool_call> XML tags:\n<tool_call>\n{\"name\": <function-name>, "
                "\"arguments\": <args-json-object>}\n</tool_call><|im_end|>\n")
 CHATML_PATTERN = r"(?s)<\|im_start\|>(system|user|assistant)\s+(.*?)<\|im_end\|>"
-REWARD_CONTEXT_PREFIX = "根据以下对话历史回答最后一个问题：\n"
 # ---------------------------------------------------------------------------------
 
 

@@ -30,3 +30,54 @@ def register(name: str, oracle: str | None = None):
 @register("sft_report", oracles.sft_report_sql())
 def q_sft_report(spark, sf):
     return sft_report(read_table(spark, sf, "conversations"))
+
+
+# ---- rollout scoring and advantages -------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tessera.operators import advantages as adv  # noqa: E402
+from tessera.plans import fixtures as fx  # noqa: E402
+from tessera.plans import rl  # noqa: E402
+
+
+def _label_scores(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    return lab.select(F.col("doc_id").alias("prompt_id"),
+                      (F.col("quality").cast("double") - 5.0 * F.col("toxic")).alias("score"))
+
+
+@register("agent_rewards", oracles.agent_rewards_sql())
+def q_agent_rewards(spark, sf):
+    return rl.agent_rewards(fx.rollouts(spark, sf), fx.tasks(spark, sf))
+
+
+@register("chat_rewards", oracles.chat_rewards_sql())
+def q_chat_rewards(spark, sf):
+    df = rl.chat_rewards(fx.rollouts(spark, sf), _label_scores(spark, sf))
+    return df.select("prompt_id", "gen_id", rl.r6("reward").alias("reward"), rl.r6("advantage").alias("advantage"))
+
+
+@register("gae_whiten", oracles.gae_whiten_sql())
+def q_gae_whiten(spark, sf):
+    return rl.gae_whiten(fx.token_logps(spark, sf))
+
+
+@register("policy_diagnostics", oracles.policy_diagnostics_sql())
+def q_policy_diagnostics(spark, sf):
+    d = adv.policy_diagnostics(fx.token_logps(spark, sf), ["prompt_id"])
+    return d.select("prompt_id", *[rl.r6(c).alias(c) for c in ("mean_ratio", "kl_ref", "approx_kl", "clip_frac")],
+                    F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+@register("masked_loss", oracles.masked_loss_sql())
+def q_masked_loss(spark, sf):
+    t = fx.token_logps(spark, sf).withColumn("loss", -F.col("lp_new"))
+    d = adv.masked_loss(t, ["prompt_id"], ["gen_id"])
+    return d.select("prompt_id", *[rl.r6(c).alias(c) for c in
+                                   ("seq_mean", "seq_mean_nonempty", "token_mean", "token_mean_eps")])
+
+
+@register("policy_loss", oracles.policy_loss_sql())
+def q_policy_loss(spark, sf):
+    return rl.policy_losses(fx.token_logps(spark, sf))

@@ -67,3 +67,247 @@ SELECT conv_id, CAST(sum(n_tok) AS BIGINT) AS n_tokens, CAST(sum(sup) AS BIGINT)
        CAST(sum(has_span) AS BIGINT) AS n_spans, CAST(sum(n_tok) > {L} AS BIGINT) AS truncated
 FROM s GROUP BY conv_id
 """
+
+
+# ---- shared SQL fragments ------------------------------------------------------------
+
+from tessera.functions.text import PY_WHITESPACE  # noqa: E402
+from tessera.operators.rewards import REP_TOKEN_PATTERN, WORD  # noqa: E402
+from tessera.plans.fixtures import TOOL_CALL_BAD, TOOL_CALL_RATE  # noqa: E402
+
+WS = "||".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
+
+
+def r6(x: str, digits: int = 6) -> str:
+    """Round, and turn -0.0 into 0.0 (as the Spark side does)."""
+    return f"(round({x} + 1e-9, {digits}) + 0.0)"
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def count_sub(x: str, s: str) -> str:
+    return f"((length({x}) - length(replace({x}, {q(s)}, ''))) // {len(s)})"
+
+
+def rep_penalty(x: str) -> str:
+    toks = f"regexp_extract_all(lower({x}), {q(REP_TOKEN_PATTERN)})"
+    return (f"(SELECT CASE WHEN n > 0 THEN least(0.5, (n - len(list_distinct(list_transform(range(1, n + 1), "
+            f"lambda i: array_to_string(tk[i:i + 2], ' '))))) * 1.0 / n) ELSE 0.0 END "
+            f"FROM (SELECT tk, len(tk) - 2 AS n FROM (SELECT {toks} AS tk)))")
+
+
+def format_score(resp: str, lo: int) -> str:
+    n = f"length({strip(resp)})"
+    think = f"split_part({resp}, '</think>', 1)"
+    tn = f"length({strip(think)})"
+    return (f"((CASE WHEN {n} BETWEEN {lo} AND 800 THEN 0.5 ELSE -0.5 END) + "
+            f"(CASE WHEN position('</think>' IN {resp}) > 0 THEN "
+            f"(CASE WHEN {tn} BETWEEN 20 AND 300 THEN 1.0 ELSE -0.5 END) + "
+            f"(CASE WHEN {count_sub(resp, '</think>')} = 1 THEN 0.25 ELSE -0.25 END) ELSE 0.0 END))")
+
+
+def answer_of(resp: str) -> str:
+    return (f"(CASE WHEN position('</think>' IN {resp}) > 0 THEN "
+            f"{strip(f'substr({resp}, position({q(chr(60) + "/think>")} IN {resp}) + 8)')} ELSE {strip(resp)} END)")
+
+
+def numbers(text: str) -> str:
+    """Standalone numbers: maximal runs of word characters and dots that are decimal numbers; a sign
+    counts when the character before it is not a word character or dot."""
+    t = f"replace({text}, ',', '')"
+    m = f"regexp_extract_all({t}, '(^|[^{WORD}.])([-+]?)([{WORD}.]+)')"
+    tail = f"'([-+]?)([{WORD}.]+)$'"
+    return (f"list_transform(list_filter({m}, lambda x: regexp_full_match(regexp_extract(x, {tail}, 2), "
+            f"'\\p{{Nd}}+(\\.\\p{{Nd}}+)?')), lambda x: CAST(regexp_extract(x, {tail}, 1) || "
+            f"regexp_extract(x, {tail}, 2) AS DOUBLE))")
+
+
+def gt_matched(text: str, gt: str) -> str:
+    s = strip("g")
+    sn = f"replace({s}, ',', '')"
+    return (f"len(list_filter(list_distinct({gt}), lambda g: ({s} <> '' AND contains(lower({text}), lower({s}))) OR "
+            f"(regexp_full_match({sn}, '[-+]?\\p{{Nd}}+(\\.\\p{{Nd}}+)?') AND "
+            f"len(list_filter({numbers(text)}, lambda nv: abs(CAST({sn} AS DOUBLE) - nv) < 1e-6)) > 0)))")
+
+
+ROLLOUTS_CTE = f"""rollouts AS (
+  SELECT conv_id AS prompt_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS gen_id, turn,
+         (conv_id + turn) % 6 AS mode,
+         CASE (conv_id + turn) % 6
+           WHEN 0 THEN text
+           WHEN 1 THEN substr(text, 1, 60) || '</think>' || substr(text, 61)
+           WHEN 2 THEN text || {q(TOOL_CALL_RATE)}
+           WHEN 3 THEN text || {q(TOOL_CALL_BAD)}
+           WHEN 4 THEN substr(text, 1, 40) || ' ' || substr(text, 1, 40) || ' ' || substr(text, 1, 40)
+           ELSE '<tool_call>' || text END AS completion
+  FROM conversations WHERE role = 'assistant')"""
+
+TASKS_CTE = """tasks AS (
+  SELECT DISTINCT conv_id AS prompt_id,
+         CASE conv_id % 3 WHEN 0 THEN ['get_exchange_rate'] WHEN 1 THEN ['get_exchange_rate', 'calculate_math']
+              ELSE []::VARCHAR[] END AS tools,
+         CASE conv_id % 4 WHEN 0 THEN ['7.21'] WHEN 1 THEN []::VARCHAR[] WHEN 2 THEN ['7.21', '7.21']
+              ELSE ['7,210'] END AS gt,
+         conv_id % 11 = 0 AS unfinished
+  FROM conversations)"""
+
+TOKENS_CTE = """tokens AS (
+  SELECT user_id % 40 AS prompt_id, user_id AS gen_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
+         -(1 + event_id % 97) / 50.0 AS lp_new, -(1 + event_id % 89) / 50.0 AS lp_old,
+         -(1 + event_id % 83) / 50.0 AS lp_ref, CAST(event_id % 7 < 6 AS INTEGER) AS mask,
+         CAST(event_id % 101 AS DOUBLE) / 100.0 AS v,
+         CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = count(*) OVER (PARTITION BY user_id)
+              THEN CAST(user_id % 7 AS DOUBLE) / 2.0 ELSE 0.0 END AS reward
+  FROM events)"""
+
+
+def _arg(x: str, key: str) -> str:
+    raw_t = f"json_type({x}, '$.arguments')"
+    s = f"json_extract_string({x}, '$.arguments')"
+    args = (f"(CASE WHEN {raw_t} = 'VARCHAR' THEN (CASE WHEN json_valid({s}) THEN {s} ELSE '{{}}' END) "
+            f"WHEN {raw_t} = 'OBJECT' THEN CAST(json_extract({x}, '$.arguments') AS VARCHAR) ELSE '{{}}' END)")
+    return f"json_extract_string({args}, '$.{key}')"
+
+
+def _truthy(v: str) -> str:
+    return f"({v} IS NOT NULL AND {v} NOT IN ('', '0', '0.0', 'false', '[]', '{{}}'))"
+
+
+def _valid_call(x: str, tools: str) -> str:
+    name = f"json_extract_string({x}, '$.name')"
+    a = lambda k: _truthy(_arg(x, k))
+    pred = (f"CASE {name} WHEN 'calculate_math' THEN {a('expression')} "
+            f"WHEN 'unit_converter' THEN ({_arg(x, 'value')} IS NOT NULL AND {a('from_unit')} AND {a('to_unit')}) "
+            f"WHEN 'get_current_weather' THEN {a('location')} WHEN 'get_current_time' THEN true "
+            f"WHEN 'get_exchange_rate' THEN ({a('from_currency')} AND {a('to_currency')}) "
+            f"WHEN 'translate_text' THEN ({a('text')} AND {a('target_language')}) ELSE false END")
+    return f"(coalesce(list_contains({tools}, {name}), false) AND coalesce({pred}, false))"
+
+
+def tool_calls_of(answer: str) -> str:
+    bodies = f"list_transform(regexp_extract_all({answer}, '(?s)<tool_call>(.*?)</tool_call>', 1), lambda b: {strip('b')})"
+    return f"list_filter({bodies}, lambda b: json_valid(b) AND regexp_full_match(b, '(?s)\\{{.*\\}}'))"
+
+
+def agent_rewards_sql() -> str:
+    clip = lambda x: f"greatest(-3.0, least(3.0, {x}))"
+    tag = f"(-0.5 * abs({count_sub('answer', '<tool_call>')} - {count_sub('answer', '</tool_call>')}))"
+    plain = f"({tag} + {format_score('resp', 5)} - {rep_penalty('answer')})"
+    gap = "(abs(n_valid - len(gt)) + greatest(0, n_calls - n_valid))"
+    withc = (f"({tag} + (CASE WHEN {gap} = 0 THEN 0.5 ELSE -0.5 * {gap} END) + "
+             f"(CASE WHEN len(gt) > 0 THEN 2.5 * n_matched / len(gt) ELSE 0.0 END) - "
+             f"(CASE WHEN unfinished THEN 0.5 ELSE 0.0 END) - "
+             f"{rep_penalty('CASE WHEN length(final) > 0 THEN final ELSE answer END')})")
+    return f"""
+WITH {ROLLOUTS_CTE}, {TASKS_CTE},
+a AS (
+  SELECT r.prompt_id, r.gen_id, r.completion AS resp, t.tools, t.gt, t.unfinished, {answer_of('r.completion')} AS answer
+  FROM rollouts r JOIN tasks t USING (prompt_id)
+), b AS (
+  SELECT *, {tool_calls_of('answer')} AS calls,
+         CASE WHEN unfinished THEN '' WHEN position('</tool_call>' IN answer) > 0
+              THEN string_split(answer, '</tool_call>')[-1] ELSE answer END AS final
+  FROM a
+), c AS (
+  SELECT *, len(calls) AS n_calls, len(list_filter(calls, lambda x: {_valid_call('x', 'tools')})) AS n_valid,
+         CASE WHEN len(calls) > 0 THEN {gt_matched('final', 'gt')} ELSE 0 END AS n_matched
+  FROM b
+)
+SELECT prompt_id, gen_id, CAST(n_calls AS BIGINT) AS n_calls, CAST(n_valid AS BIGINT) AS n_valid,
+       CAST(n_matched AS BIGINT) AS n_matched,
+       0.0 + round(CAST({clip(f'CASE WHEN n_calls > 0 THEN {withc} ELSE {plain} END')} AS DOUBLE) + 1e-9, 6) AS reward
+FROM c
+"""
+
+
+def chat_rewards_sql() -> str:
+    return f"""
+WITH {ROLLOUTS_CTE},
+a AS (
+  SELECT r.prompt_id, r.gen_id, r.completion AS resp, {answer_of('r.completion')} AS answer,
+         CASE WHEN l.doc_id IS NULL THEN 0.0
+              ELSE greatest(-3.0, least(3.0, CAST(l.quality AS DOUBLE) - 5.0 * l.toxic)) END AS score
+  FROM rollouts r LEFT JOIN labels l ON l.doc_id = r.prompt_id
+), b AS (
+  SELECT prompt_id, gen_id, {format_score('resp', 20)} - {rep_penalty('answer')} + score AS reward FROM a
+)
+SELECT prompt_id, gen_id, 0.0 + round(reward + 1e-9, 6) AS reward,
+       0.0 + round((reward - avg(reward) OVER (PARTITION BY prompt_id)) /
+             (coalesce(stddev_pop(reward) OVER (PARTITION BY prompt_id), 0) + 1e-4) + 1e-9, 6) AS advantage
+FROM b
+"""
+
+
+def gae_whiten_sql(gamma: float = 1.0, lam: float = 0.95) -> str:
+    c = gamma * lam
+    return f"""
+WITH {TOKENS_CTE},
+d AS (
+  SELECT *, reward + {gamma} * lead(v, 1, 0.0) OVER (PARTITION BY gen_id ORDER BY pos) - v AS delta FROM tokens
+), a AS (
+  SELECT *, sum(delta * pow({c}, pos)) OVER (PARTITION BY gen_id ORDER BY pos
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / pow({c}, pos) AS adv FROM d
+), m AS (
+  SELECT *, sum(adv * mask) OVER () / greatest(sum(mask) OVER (), 1) AS mu FROM a
+), s AS (
+  SELECT *, sum((adv - mu) * (adv - mu) * mask) OVER () / greatest(sum(mask) OVER (), 1) AS var FROM m
+)
+SELECT prompt_id, gen_id, CAST(pos AS BIGINT) AS pos, 0.0 + round(adv + 1e-9, 6) AS advantage, 0.0 + round(adv + v + 1e-9, 6) AS ret,
+       0.0 + round((adv - mu) * pow(var + 1e-8, -0.5) * mask + 1e-9, 6) AS advantage_white
+FROM s
+"""
+
+
+def policy_diagnostics_sql() -> str:
+    den = "greatest(sum(mask), 1)"
+    return f"""
+WITH {TOKENS_CTE}
+SELECT prompt_id,
+       0.0 + round(sum(exp(lp_new - lp_old) * mask) / {den} + 1e-9, 6) AS mean_ratio,
+       0.0 + round(sum((exp(lp_ref - lp_new) - (lp_ref - lp_new) - 1) * mask) / {den} + 1e-9, 6) AS kl_ref,
+       0.0 + round(sum(0.5 * (lp_new - lp_old) * (lp_new - lp_old) * mask) / {den} + 1e-9, 6) AS approx_kl,
+       0.0 + round(sum(CAST(abs(exp(lp_new - lp_old) - 1) > 0.2 AS DOUBLE) * mask) / {den} + 1e-9, 6) AS clip_frac,
+       CAST(sum(mask) AS BIGINT) AS n_tokens
+FROM tokens GROUP BY prompt_id
+"""
+
+
+def masked_loss_sql() -> str:
+    return f"""
+WITH {TOKENS_CTE},
+s AS (SELECT prompt_id, gen_id, sum(-lp_new * mask) AS ls, sum(mask) AS ms FROM tokens GROUP BY prompt_id, gen_id)
+SELECT prompt_id,
+       0.0 + round(avg(ls / greatest(ms, 1)) + 1e-9, 6) AS seq_mean,
+       0.0 + round(avg(CASE WHEN ms > 0 THEN ls / ms END) + 1e-9, 6) AS seq_mean_nonempty,
+       0.0 + round(sum(ls) / sum(ms) + 1e-9, 6) AS token_mean,
+       0.0 + round(sum(ls) / (sum(ms) + 1e-8) + 1e-9, 6) AS token_mean_eps
+FROM s GROUP BY prompt_id
+"""
+
+
+def policy_loss_sql(beta: float = 0.1) -> str:
+    return f"""
+WITH {TOKENS_CTE},
+seqr AS (SELECT prompt_id, gen_id, sum(reward) AS r FROM tokens GROUP BY prompt_id, gen_id),
+adv AS (SELECT prompt_id, gen_id,
+               (r - avg(r) OVER (PARTITION BY prompt_id)) / (stddev_pop(r) OVER (PARTITION BY prompt_id) + 1e-4) AS a
+        FROM seqr),
+t AS (SELECT k.*, adv.a, exp(k.lp_new - k.lp_old) AS ratio,
+             exp(k.lp_ref - k.lp_new) - (k.lp_ref - k.lp_new) - 1 AS kl
+      FROM tokens k JOIN adv USING (prompt_id, gen_id)),
+l AS (SELECT *, -(least(ratio, 5.0) * a * lp_new - {beta} * kl) AS l_cispo,
+             -(least(ratio * a, greatest(0.8, least(1.2, ratio)) * a) - {beta} * kl) AS l_grpo,
+             greatest(-a * ratio, -a * greatest(0.8, least(1.2, ratio))) AS l_ppo FROM t),
+s AS (SELECT prompt_id, gen_id, sum(l_cispo * mask) / greatest(sum(mask), 1) AS c,
+             sum(l_grpo * mask) / greatest(sum(mask), 1) AS g, sum(l_ppo * mask) / greatest(sum(mask), 1) AS p
+      FROM l GROUP BY prompt_id, gen_id)
+SELECT prompt_id, 0.0 + round(avg(c) + 1e-9, 6) AS loss_cispo, 0.0 + round(avg(g) + 1e-9, 6) AS loss_grpo, 0.0 + round(avg(p) + 1e-9, 6) AS loss_ppo
+FROM s GROUP BY prompt_id
+"""
