@@ -81,3 +81,54 @@ def q_masked_loss(spark, sf):
 @register("policy_loss", oracles.policy_loss_sql())
 def q_policy_loss(spark, sf):
     return rl.policy_losses(fx.token_logps(spark, sf))
+
+
+# ---- tokenizer statistics, ordering ----------------------------------------------------------
+
+from tessera.operators import ordering as od  # noqa: E402
+from tessera.operators import tokenizer as tk  # noqa: E402
+from tessera.sources.tables import spread  # noqa: E402
+
+
+@register("doc_token_stats", oracles.doc_token_stats_sql())
+def q_doc_token_stats(spark, sf, max_len=1024, reserve=100):
+    """T6 (byte vocabulary) + T9 + T10 over all documents, per language."""
+    d = spread(read_table(spark, sf, "documents").select("lang", "text"))
+    d = d.withColumn("ids", tk.encode_bytes("text"))
+    n = F.size("ids")
+    return d.groupBy("lang").agg(
+        F.count(F.lit(1)).cast("long").alias("n_rows"), F.sum(n).cast("long").alias("n_tokens"),
+        F.max(n).cast("long").alias("max_tokens"),
+        rl.r6(F.avg(F.when(n > 0, F.length("text") / n))).alias("chars_per_token"),
+        rl.r6(F.avg(F.when(n + reserve >= max_len, F.lit(1.0)).otherwise(F.lit(0.0)))).alias("truncated_share"))
+
+
+@register("word_counts_ws", oracles.word_counts_ws_sql())
+def q_word_counts_ws(spark, sf):
+    """T4 on a plain whitespace split (SQL-checkable form)."""
+    from tessera.functions.text import PY_WHITESPACE
+    cls = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE) + "]+"
+    d = read_table(spark, sf, "documents").select(F.explode(F.split("text", cls)).alias("word"))
+    return d.filter(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("word_counts")
+def q_word_counts(spark, sf):
+    """T4 with the byte-level pre-tokenizer (rows-only: RE2 has no lookahead)."""
+    d = spread(read_table(spark, sf, "documents").select("text"))
+    return tk.word_counts(d, "text").withColumn("n", F.col("n").cast("long"))
+
+
+@register("epoch_batches", oracles.epoch_batches_sql())
+def q_epoch_batches(spark, sf, epochs=(0, 1), world=4, batch_size=8, skip0=1):
+    """L1 seeded permutation per epoch -> L2 rank shards (wrap padding) -> L3 batches with a resume skip."""
+    docs = read_table(spark, sf, "documents").select("doc_id")
+    out = None
+    for e in epochs:
+        p = od.epoch_shuffle(docs, "doc_id", e)
+        s = od.shard_by_rank(p, world)
+        b = od.assign_batches(s, batch_size, skip0 if e == epochs[0] else 0, pos="local_pos", by=["shard"])
+        b = b.select(F.col("epoch").cast("int").alias("epoch"), "doc_id", F.col("pos").cast("long").alias("pos"),
+                     "shard", "local_pos", "batch_id")
+        out = b if out is None else out.unionByName(b)
+    return out

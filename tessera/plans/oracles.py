@@ -311,3 +311,49 @@ s AS (SELECT prompt_id, gen_id, sum(l_cispo * mask) / greatest(sum(mask), 1) AS
 SELECT prompt_id, 0.0 + round(avg(c) + 1e-9, 6) AS loss_cispo, 0.0 + round(avg(g) + 1e-9, 6) AS loss_grpo, 0.0 + round(avg(p) + 1e-9, 6) AS loss_ppo
 FROM s GROUP BY prompt_id
 """
+
+
+def added_token_count(x: str) -> str:
+    """Byte-vocabulary token count: UTF-8 bytes, minus (length-1) per occurrence of an added token."""
+    from tessera.functions.tokens import ADDED_TOKENS
+    adj = " + ".join(f"{count_sub(x, t)} * {len(t.encode()) - 1}" for t in ADDED_TOKENS)
+    return f"(strlen({x}) - ({adj}))"
+
+
+def doc_token_stats_sql(max_len: int = 1024, reserve: int = 100) -> str:
+    n = added_token_count("text")
+    return f"""
+WITH d AS (SELECT lang, text, {n} AS n FROM documents)
+SELECT lang, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(max(n) AS BIGINT) AS max_tokens,
+       0.0 + round(avg(CASE WHEN n > 0 THEN length(text) / n END) + 1e-9, 6) AS chars_per_token,
+       0.0 + round(avg(CASE WHEN n + {reserve} >= {max_len} THEN 1.0 ELSE 0.0 END) + 1e-9, 6) AS truncated_share
+FROM d GROUP BY lang
+"""
+
+
+def word_counts_ws_sql() -> str:
+    return f"""
+SELECT word, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT unnest(regexp_split_to_array(text, '[' || {WS} || ']+')) AS word FROM documents)
+WHERE word <> '' GROUP BY word
+"""
+
+
+def epoch_batches_sql(epochs=(0, 1), world: int = 4, batch_size: int = 8, skip0: int = 1, seed: int = 42) -> str:
+    parts = []
+    for e in epochs:
+        skip = skip0 if e == epochs[0] else 0
+        parts.append(f"""
+  (WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{seed + e}'), doc_id) - 1 AS pos
+              FROM documents),
+        n AS (SELECT count(*) AS n FROM p),
+        padded AS (SELECT doc_id, pos FROM p UNION ALL
+                   SELECT doc_id, pos + n FROM p, n WHERE pos < CAST(ceil(n / {world}) * {world} AS BIGINT) - n),
+        s AS (SELECT doc_id, pos, pos % {world} AS shard, pos // {world} AS local_pos FROM padded),
+        c AS (SELECT shard, count(*) AS m FROM s GROUP BY shard)
+   SELECT {e} AS epoch, doc_id, pos, CAST(shard AS INTEGER) AS shard, local_pos,
+          CAST(local_pos // {batch_size} - {skip} AS BIGINT) AS batch_id
+   FROM s JOIN c USING (shard)
+   WHERE local_pos // {batch_size} >= {skip}
+     AND (local_pos // {batch_size} < m // {batch_size} OR m // {batch_size} >= {skip}))""")
+    return "\nUNION ALL\n".join(parts)

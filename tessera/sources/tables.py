@@ -31,3 +31,15 @@ def with_row_index(df: DataFrame, col: str = "row_index") -> DataFrame:
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn(col, F.col("_off") + F.col("_local"))
             .drop("_mid", "_pid", "_local", "_off"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than the cluster has cores.
+
+    On a cluster reading many files this is a no-op; it only helps a single-file (single row-group)
+    input, where per-row CPU work (tokenising, rendering) would otherwise run in one task.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
