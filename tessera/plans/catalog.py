@@ -132,3 +132,66 @@ def q_epoch_batches(spark, sf, epochs=(0, 1), world=4, batch_size=8, skip0=1):
                      "shard", "local_pos", "batch_id")
         out = b if out is None else out.unionByName(b)
     return out
+
+
+# ---- streaming operators ----------------------------------------------------------------------
+
+from tessera.plans import streams  # noqa: E402
+from tessera.plans.sft import sft_report as _sft_report  # noqa: E402
+from tessera.streaming import chunks as xc  # noqa: E402
+from tessera.streaming import segments as xs  # noqa: E402
+from tessera.streaming import text as xt  # noqa: E402
+
+# fixture thresholds (FIXTURES.md: the defaults would never end a segment on this data)
+SEG_ARGS = dict(thr=0.5, min_speech=1024, min_silence=1024)
+
+
+@register("speech_segments")
+def q_speech_segments(spark, sf):
+    """X1 batch form over the audio-chunk fixture (rows-only check; golden tests cover the quirks)."""
+    return xs.speech_segments(fx.audio_chunks(spark, sf), **SEG_ARGS)
+
+
+@register("speech_segments_stream")
+def q_speech_segments_stream(spark, sf):
+    """X1 as a Structured Streaming job with keyed state; must equal the batch form."""
+    src = streams.stream_from(spark, fx.audio_chunks(spark, sf), "chunks")
+    return streams.run_available_now(spark, xs.speech_segments_stream(src, **SEG_ARGS), "segments")
+
+
+@register("stream_sft_report", oracles.sft_report_sql())
+def q_stream_sft_report(spark, sf):
+    """The SFT slice over conversation files arriving as a stream (stateless per micro-batch; a
+    conversation is assumed not to span files)."""
+    turns = read_table(spark, sf, "conversations")
+    src = streams.stream_from(spark, turns, "turns", key="conv_id")
+    return streams.run_available_now(spark, src, "sft", foreach_batch=_sft_report)
+
+
+@register("overlap_chunks", oracles.overlap_chunks_sql())
+def q_overlap_chunks(spark, sf):
+    """X5 count windows (size 4, overlap 2) over each session's windows."""
+    return xc.overlap_chunks(fx.audio_chunks(spark, sf), "session_id", 4, 2)
+
+
+@register("history_window", oracles.history_window_sql())
+def q_history_window(spark, sf):
+    """The last 4 messages before each user message."""
+    t = read_table(spark, sf, "conversations")
+    h = xc.history_window(t, 4)
+    return h.filter(F.col("role") == "user").select("conv_id", "turn", "n_hist",
+                                                    F.coalesce("hist_first", F.lit(-1)).alias("hist_first"))
+
+
+@register("incremental_text", oracles.incremental_text_sql())
+def q_incremental_text(spark, sf):
+    """Stream-decode every conversation turn's byte tokens; pieces re-assemble the text."""
+    t = spread(read_table(spark, sf, "conversations"))
+    ids = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+                   F.posexplode(tk.encode_bytes("text")).alias("pos", "token_id"))
+    p = xt.incremental_text(ids)
+    agg = p.groupBy("request_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n_pieces"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "text"))),
+                                       lambda x: x["text"]), "")).alias("text_md5"))
+    return agg

@@ -357,3 +357,46 @@ def epoch_batches_sql(epochs=(0, 1), world: int = 4, batch_size: int = 8, skip0:
    WHERE local_pos // {batch_size} >= {skip}
      AND (local_pos // {batch_size} < m // {batch_size} OR m // {batch_size} >= {skip}))""")
     return "\nUNION ALL\n".join(parts)
+
+
+AUDIO_CHUNKS_CTE = """chunks AS (
+  SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) / 100.0 AS prob
+  FROM events)"""
+
+
+def overlap_chunks_sql(size: int = 4, overlap: int = 2) -> str:
+    return f"""
+WITH {AUDIO_CHUNKS_CTE},
+n AS (SELECT session_id, count(*) AS n FROM chunks GROUP BY session_id),
+k AS (SELECT session_id, n, unnest(range(1, n // {size} + 2)) AS chunk_no FROM n),
+e AS (SELECT session_id, chunk_no,
+             CASE WHEN chunk_no <= n // {size} THEN chunk_no * {size} ELSE n END AS e,
+             CASE WHEN chunk_no <= n // {size} THEN {size} ELSE n - (n // {size}) * {size} END AS len
+      FROM k)
+SELECT session_id, CAST(chunk_no AS INTEGER) AS chunk_no,
+       CAST(e - len - least({overlap}, e - len) AS BIGINT) AS start_seq, CAST(e - 1 AS BIGINT) AS end_seq,
+       CAST(least({overlap}, e - len) AS INTEGER) AS trim
+FROM e WHERE len > 0
+"""
+
+
+def history_window_sql(n: int = 4) -> str:
+    return f"""
+SELECT conv_id, turn, n_hist, coalesce(hist_first, -1) AS hist_first FROM (
+  SELECT conv_id, turn, role,
+         CAST(count(*) OVER w AS BIGINT) AS n_hist, min(turn) OVER w AS hist_first
+  FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))
+WHERE role = 'user'
+"""
+
+
+def incremental_text_sql() -> str:
+    """Byte tokens of valid UTF-8 text decode one character at a time, added tokens whole."""
+    from tessera.functions.tokens import ADDED_TOKENS
+    adj = " + ".join(f"{count_sub('text', t)} * {len(t) - 1}" for t in ADDED_TOKENS)
+    return f"""
+SELECT conv_id * 1000 + turn AS request_id, CAST(length(text) - ({adj}) AS BIGINT) AS n_pieces, md5(text) AS text_md5
+FROM conversations WHERE strlen(text) > 0
+"""
