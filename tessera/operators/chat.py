@@ -244,3 +244,42 @@ def with_rendered_chat(df, conv: str, out: str = "text", tools=None, add_generat
 
 def _as_col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(bool(x))
+
+
+# ---- P8 / P9 / P10: media placeholders --------------------------------------------
+
+def expand_image_placeholder(conv, n: int = 64, fields=MESSAGE_FIELDS) -> Column:
+    """``<image>`` -> ``<|image_pad|>`` x n in every non-system message."""
+    pads = "<|image_pad|>" * n
+    return F.transform(_c(conv), lambda m: F.when(
+        m["role"] != "system", m.withField("content", F.replace(m["content"], F.lit("<image>"), F.lit(pads))))
+        .otherwise(m))
+
+
+def place_image_tag(content, key, seed: int = 42) -> Column:
+    """Remove every ``<image>``, strip, then put one back: u<0.2 front+\\n; <0.4 front+\\n\\n;
+    <0.6 back after \\n; else back after \\n\\n."""
+    c = py_strip(F.replace(_c(content), F.lit("<image>"), F.lit("")))
+    u = keyed_uniform(key, "imgtag", seed)
+    return (F.when(u < 0.2, F.concat(F.lit("<image>\n"), c))
+            .when(u < 0.4, F.concat(F.lit("<image>\n\n"), c))
+            .when(u < 0.6, F.concat(c, F.lit("\n<image>")))
+            .otherwise(F.concat(c, F.lit("\n\n<image>"))))
+
+
+def insert_audio_placeholder(conv, n_frames, key, seed: int = 42) -> Column:
+    """P10: in the last user message only, when n_frames > 0, with ap = ``<|audio_pad|>`` x n:
+    u<0.4 replace the text; <0.6 leave; <0.8 ``ap\\n\\ntext``; else ``text\\n\\nap``."""
+    conv = _c(conv)
+    nf = n_frames if isinstance(n_frames, Column) else F.lit(n_frames)
+    ap = F.repeat(F.lit("<|audio_pad|>"), nf)
+    u = keyed_uniform(key, "audiotag", seed)
+    last_user = F.array_max(F.transform(conv, lambda m, i: F.when(m["role"] == "user", i)))
+
+    def put(m, i):
+        t = F.coalesce(m["content"], F.lit(""))
+        new = (F.when(u < 0.4, ap).when(u < 0.6, t)
+               .when(u < 0.8, F.concat(ap, F.lit("\n\n"), t)).otherwise(F.concat(t, F.lit("\n\n"), ap)))
+        return F.when((i == last_user) & (nf > 0), m.withField("content", new)).otherwise(m)
+
+    return F.transform(conv, put)

@@ -54,15 +54,26 @@ def strip_think_api(text) -> tuple[Column, Column]:
     return content, reasoning
 
 
+JSON_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+               "columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
+
+
+def parse_json_object(text, schema: str) -> Column:
+    """``from_json`` that yields null unless ``text`` is one well-formed JSON object (like ``json.loads``
+    followed by a dict check); the parser records malformed input in a corrupt-record field."""
+    t = _c(text)
+    j = F.from_json(t, schema + ", _corrupt string", JSON_STRICT)
+    is_obj = F.regexp_like(t, F.lit(r"(?s)^\s*\{.*\}\s*$"))
+    return F.when(j.isNotNull() & j["_corrupt"].isNull() & is_obj, j.dropFields("_corrupt"))
+
+
 def extract_tool_calls(text) -> Column:
     """P16 (i): ``array<struct<idx, name, arguments>>`` of the ``<tool_call>`` bodies that parse as a JSON
     object; bad JSON is skipped (``idx`` counts all matches, 0-based)."""
     bodies = F.regexp_extract_all(_c(text), F.lit(TOOL_CALL_PATTERN), 1)
     parsed = F.transform(bodies, lambda b, i: F.struct(
-        i.alias("idx"),
-        F.from_json(py_strip(b), "name string, arguments string").alias("j"),
-        F.regexp_like(py_strip(b), F.lit(r"(?s)^\{.*\}$")).alias("is_obj")))
-    ok = F.filter(parsed, lambda p: p["j"].isNotNull() & p["is_obj"])
+        i.alias("idx"), parse_json_object(py_strip(b), "name string, arguments string").alias("j")))
+    ok = F.filter(parsed, lambda p: p["j"].isNotNull())
     return F.transform(ok, lambda p: F.struct(p["idx"].alias("idx"), p["j"]["name"].alias("name"),
                                               p["j"]["arguments"].alias("arguments")))
 

@@ -139,3 +139,41 @@ def align_logprobs(lp, n) -> Column:
     lp = _c(lp)
     n = n if isinstance(n, Column) else F.lit(n)
     return F.when(F.size(lp) < n, F.concat(F.array_repeat(F.lit(0.0), n - F.size(lp)), lp)).otherwise(tail(lp, n))
+
+
+def placeholder_runs(tokens, key: str, pos: str = "pos", tid: str = "token_id", marker: int = 12):
+    """Q17 (gaps and islands): maximal runs of ``marker`` per key as ``(key, k, start, length)``;
+    the k-th run pairs with the k-th media item (J7)."""
+    from pyspark.sql import Window
+    m = tokens.filter(F.col(tid) == marker)
+    w = Window.partitionBy(key).orderBy(pos)
+    isl = m.withColumn("_isl", F.col(pos) - F.row_number().over(w))
+    runs = isl.groupBy(key, "_isl").agg(F.min(pos).alias("start"), F.count(F.lit(1)).alias("length"))
+    wk = Window.partitionBy(key).orderBy("start")
+    return runs.withColumn("k", F.row_number().over(wk) - 1).drop("_isl")
+
+
+def skip_think_prefix(ids, start, marker: list[int], window: int = 50) -> Column:
+    """Q22: if ``marker`` (``</think>\\n\\n``) starts within ``window`` positions from ``start`` (1-based),
+    return the position after it, else ``start``."""
+    ids = _c(ids)
+    s = start if isinstance(start, Column) else F.lit(start)
+    arr = _ints(marker)
+    cand = F.filter(F.sequence(s, F.least(s + window - 1, F.size(ids))),
+                    lambda i: F.slice(ids, i, len(marker)) == arr)
+    return F.coalesce(F.try_element_at(cand, F.lit(1)) + len(marker), s)
+
+
+def pack_prompt_response(p, r, m, lp, max_total: int = 2500) -> tuple[Column, Column, Column]:
+    """Q11: ids = p + r; mask = 0s + m; logp = 0s (len p - 1) + lp; keep the tail when too long."""
+    p, r, m, lp = _c(p), _c(r), _c(m), _c(lp)
+    ids = F.concat(p, r)
+    mask = F.concat(F.array_repeat(F.lit(0), F.size(p)), m)
+    logp = F.concat(F.array_repeat(F.lit(0.0), F.greatest(F.size(p) - 1, F.lit(0))), lp)
+    return tail(ids, max_total), tail(mask, max_total), tail(logp, max_total - 1)
+
+
+def drop_special_pairs(ids, logps, drop=(PAD_ID, EOS_ID)) -> tuple[Column, Column]:
+    """Q14: zip ids with logps, drop pad/eos, unzip."""
+    z = F.filter(F.arrays_zip(_c(ids).alias("i"), _c(logps).alias("l")), lambda x: ~x["i"].isin(*drop))
+    return F.transform(z, lambda x: x["i"]), F.transform(z, lambda x: x["l"])

@@ -195,3 +195,205 @@ def q_incremental_text(spark, sf):
         F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "text"))),
                                        lambda x: x["text"]), "")).alias("text_md5"))
     return agg
+
+
+# ---- chat shaping, tool calls, media placeholders -----------------------------------------------
+
+from tessera.operators import audio as au  # noqa: E402
+from tessera.operators import chat as ch  # noqa: E402
+from tessera.operators import lookups as lk  # noqa: E402
+from tessera.operators import metrics as mt  # noqa: E402
+from tessera.operators import rewards as rw  # noqa: E402
+from tessera.operators import sequences as sq  # noqa: E402
+from tessera.sources.parquet import conversations_from_turns  # noqa: E402
+
+
+def _calls(spark, sf):
+    r = fx.rollouts(spark, sf)
+    return r.select("prompt_id", "gen_id", F.explode(rw.extract_tool_calls("completion")).alias("c")) \
+        .select("prompt_id", "gen_id", "c.*")
+
+
+@register("tool_calls", oracles.tool_calls_sql())
+def q_tool_calls(spark, sf):
+    """Every parsable <tool_call> body of every completion."""
+    return _calls(spark, sf).select("prompt_id", "gen_id", F.col("idx").cast("int").alias("idx"), "name", "arguments")
+
+
+@register("exchange_lookup", oracles.exchange_lookup_sql())
+def q_exchange_lookup(spark, sf):
+    """P17 + J1: exchange-rate tool calls resolved against the rate dimension (default 1.0)."""
+    c = _calls(spark, sf).filter((F.col("name") == "get_exchange_rate") & F.col("arguments").startswith("{"))
+    a = rw.parse_tool_arguments("arguments")
+    c = c.select("prompt_id", "gen_id", F.col("idx").cast("int").alias("idx"),
+                 a["from_currency"].alias("from_currency"), a["to_currency"].alias("to_currency"))
+    return lk.exchange_rate(c, spark).select("prompt_id", "gen_id", "idx", "from_currency", "to_currency", "rate")
+
+
+@register("chat_parse", oracles.chat_parse_sql())
+def q_chat_parse(spark, sf, seed=42):
+    """P7 (generation prompt) -> P13 parse -> P14 reward context; P5 prompt size; P6 thinking draw."""
+    conv = conversations_from_turns(read_table(spark, sf, "conversations"))
+    d = ch.with_rendered_chat(conv, "conversations", "prompt", add_generation_prompt=True, tool_calls=False)
+    d = d.withColumn("msgs", rw.parse_chatml("prompt")).withColumn("ctx", rw.reward_context("msgs"))
+    return d.select("conv_id", F.size("msgs").cast("long").alias("n_msgs"),
+                    F.length("ctx").cast("long").alias("ctx_len"), F.md5("ctx").alias("ctx_md5"),
+                    F.size(ch.drop_last_turn("conversations")).cast("long").alias("n_prompt_msgs"),
+                    ch.assign_thinking("conv_id", 0.5, seed).cast("int").alias("thinking"))
+
+
+@register("image_runs", oracles.image_runs_sql())
+def q_image_runs(spark, sf):
+    """P8 expand <image> to 64 pads -> P7 -> T6 -> Q17 gaps-and-islands runs of the pad id."""
+    conv = conversations_from_turns(fx.image_tagged_turns(spark, sf))
+    conv = conv.withColumn("conversations", ch.expand_image_placeholder("conversations"))
+    d = ch.with_rendered_chat(conv, "conversations", "prompt", tool_calls=False)
+    toks = d.select("conv_id", F.posexplode(tk.encode_bytes("prompt")).alias("pos", "token_id"))
+    runs = sq.placeholder_runs(toks, "conv_id")
+    return runs.groupBy("conv_id").agg(F.count(F.lit(1)).cast("long").alias("n_runs"),
+                                       F.sum("length").cast("long").alias("n_pad_tokens"))
+
+
+@register("image_tags", oracles.image_tags_sql())
+def q_image_tags(spark, sf):
+    """Re-place the image tag in every turn that has one."""
+    t = fx.image_tagged_turns(spark, sf).filter(F.instr("text", "<image>") > 0)
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return t.select("conv_id", "turn", F.md5(ch.place_image_tag("text", key)).alias("tagged_md5"))
+
+
+# ---- selection and audio -----------------------------------------------------------------------
+
+@register("top_k", oracles.top_k_sql(2))
+def q_top_k(spark, sf):
+    """Per order, line items with the top-2 scores (ties kept), salted two-step ranking."""
+    t = adv.top_k(fx.scored_candidates(spark, sf), k=2)
+    return t.select("grp", "item", "score", F.col("rank").cast("int").alias("rank"))
+
+
+@register("cumulative_mass", oracles.cumulative_mass_sql(0.6))
+def q_cumulative_mass(spark, sf):
+    """Nucleus selection at p=0.6 over each order's softmax of scores."""
+    t = adv.cumulative_mass(fx.scored_candidates(spark, sf), 0.6)
+    return t.select("grp", "item", rl.r6("prob").alias("prob"), rl.r6("mass_before").alias("mass_before"))
+
+
+@register("audio_roundtrip", oracles.audio_roundtrip_sql())
+def q_audio_roundtrip(spark, sf):
+    """Q18 layers -> Q19 delay pattern -> Q20 undelay: recovers every frame of every code sequence."""
+    codes = fx.audio_codes(spark, sf)
+    seqs = codes.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("_s"))
+    layers = seqs.select("vec_id", au.audio_code_layers(F.col("_s.code")).alias("layers"))
+    delayed = au.delay_pattern_long(layers, "vec_id", 0, max_len=32).withColumn("start", F.lit(0))
+    frames = au.undelay_frames(delayed, "vec_id")
+    return frames.select("vec_id", F.col("frame").cast("int").alias("frame"),
+                         F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
+
+
+@register("audio_quality", oracles.audio_quality_sql())
+def q_audio_quality(spark, sf):
+    """A15 with the fixture's short-clip settings (frame 80, hop 40, minimum 1000 samples)."""
+    q = au.audio_quality(fx.waveforms(spark, sf), frame=80, hop=40, min_samples=1000)
+    return q.select("clip_id", F.col("n_samples").cast("long").alias("n_samples"), rl.r6("q95").alias("q95"),
+                    rl.r6("q20").alias("q20"), rl.r6("peak").alias("peak"), "verdict")
+
+
+@register("center_features", oracles.center_features_sql())
+def q_center_features(spark, sf):
+    """Per (label, dimension) mean-centred log magnitudes of the embeddings."""
+    e = read_table(spark, sf, "embeddings")
+    f = e.select("vec_id", "label", F.posexplode("embedding").alias("dim", "x")) \
+        .withColumn("value", F.abs(F.col("x").cast("double")))
+    c = adv.center_features(f, ["label", "dim"], "value")
+    return c.select("vec_id", F.col("dim").cast("int").alias("dim"), rl.r6("centered").alias("centered"))
+
+
+# ---- run metrics ---------------------------------------------------------------------------------
+
+@register("generation_throughput", oracles.generation_throughput_sql())
+def q_generation_throughput(spark, sf):
+    """A14 per user: events as generated tokens, 'view' as first text, 'click' as first audio."""
+    e = read_table(spark, sf, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    g = e.groupBy("user_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n_tokens"), F.min(us).alias("_t0"), F.max(us).alias("_t1"),
+        F.min(F.when(F.col("event_type") == "view", us)).alias("_tv"),
+        F.min(F.when(F.col("event_type") == "click", us)).alias("_tc"))
+
+    def ms(c):
+        return F.round((F.col(c) - F.col("_t0")).cast("decimal(20,0)") / 1000, 1).cast("double")
+
+    return g.select("user_id", "n_tokens",
+                    F.when(F.col("_t1") > F.col("_t0"),
+                           rl.r6(F.col("n_tokens") / ((F.col("_t1") - F.col("_t0")) / 1000000.0))).alias("tokens_per_s"),
+                    ms("_tv").alias("first_text_ms"), ms("_tc").alias("first_audio_ms"))
+
+
+@register("tool_deltas", oracles.tool_deltas_sql())
+def q_tool_deltas(spark, sf):
+    """Fragments (event types) assembled per (user, call index); some fragments carry no index."""
+    e = read_table(spark, sf, "events").select(
+        "user_id", "event_id", "event_type",
+        F.when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise(F.col("event_id") % 3).alias("idx"))
+    a = mt.assemble_tool_deltas(e, "user_id", "event_id", "idx", "event_type")
+    return a.select("user_id", "call_index", "n_fragments", F.md5("arguments").alias("args_md5"))
+
+
+@register("reward_report", oracles.reward_report_sql())
+def q_reward_report(spark, sf):
+    """A8 over the chat rewards: mean reward, mean group std, advantage mean / sample std, mean length."""
+    r = fx.rollouts(spark, sf)
+    c = rl.chat_rewards(r, _label_scores(spark, sf)).withColumn("len", F.length("completion"))
+    c = c.withColumn("reward", rl.r6("reward")).withColumn("advantage", rl.r6("advantage"))
+    rep = adv.reward_report(c, [], "prompt_id", "reward", "advantage", "len")
+    return rep.select(*[rl.r6(x).alias(x) for x in ("mean_reward", "adv_mean", "adv_std")],
+                      F.col("n").cast("long").alias("n"), rl.r6("mean_length").alias("mean_length"),
+                      rl.r6("mean_group_std").alias("mean_group_std"))
+
+
+@register("preference_loss", oracles.preference_loss_sql())
+def q_preference_loss(spark, sf):
+    """A11 on consecutive-answer preference pairs with length-derived sequence log-probabilities."""
+    p = fx.preferences(spark, sf)
+    p = p.select("conv_id", "turn",
+                 (-(F.octet_length("chosen") % 97) / 10.0).alias("pc"), (-(F.octet_length("rejected") % 89) / 10.0).alias("pr"),
+                 (-(F.length("chosen") % 83) / 10.0).alias("rc"), (-(F.length("rejected") % 79) / 10.0).alias("rr"))
+    out = adv.preference_loss(p, beta=0.15)
+    return out.select("conv_id", "turn", rl.r6("margin").alias("margin"), rl.r6("loss").alias("loss"))
+
+
+@register("step_counts", oracles.step_counts_sql())
+def q_step_counts(spark, sf):
+    """A16 per language: batches after a one-batch resume skip, optimizer steps over two epochs."""
+    return mt.step_counts(read_table(spark, sf, "documents"), ["lang"], 16, 8, 2, skip=1)
+
+
+@register("decode_roundtrip", oracles.decode_roundtrip_sql())
+def q_decode_roundtrip(spark, sf):
+    """decode(encode(text)) == text for every document."""
+    d = spread(read_table(spark, sf, "documents").select("lang", "text"))
+    d = d.withColumn("back", tk.decode_bytes(tk.encode_bytes("text"), skip_special=False))
+    return d.groupBy("lang").agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
+                                 F.sum((F.col("back") != F.col("text")).cast("long")).cast("long").alias("n_fail"))
+
+
+@register("doc_sequences", oracles.doc_sequences_sql())
+def q_doc_sequences(spark, sf):
+    """Q1 wrap, Q2 pad, Q3 pad labels, Q8 shift, Q10 left truncate/pad, Q13, Q15, Q16 over every document."""
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    d = d.withColumn("ids", tk.encode_bytes("text"))
+    s = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    padded = sq.pad_right("ids", 2048)
+    x, y = sq.shift_xy(sq.pad_right("ids", 512))
+    lids, lmask = sq.left_truncate_pad("ids", 256)
+    lp = F.transform("ids", lambda t: -t / 1000.0)
+    aligned = sq.align_logprobs(lp, 300)
+    return d.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        s(sq.wrap_truncate("ids", 128)).alias("wrap_sum"),
+        F.size(F.filter(sq.mask_pad_labels(padded), lambda v: v == -100)).cast("long").alias("n_pad"),
+        F.aggregate(F.filter(lids, lambda v: v != 0), F.lit(0).cast("long"), lambda a, v: a + v).alias("left_sum"),
+        sq.first_supervised_pos(lmask).alias("first_pos"),
+        s(sq.first_eos_mask(lids, lmask)).alias("eos_mask_sum"),
+        (s(x) - s(y)).alias("shift_delta"),
+        rl.r6(F.aggregate(aligned, F.lit(0.0), lambda a, v: a + v)).alias("aligned_sum"))

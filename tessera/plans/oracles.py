@@ -400,3 +400,270 @@ def incremental_text_sql() -> str:
 SELECT conv_id * 1000 + turn AS request_id, CAST(length(text) - ({adj}) AS BIGINT) AS n_pieces, md5(text) AS text_md5
 FROM conversations WHERE strlen(text) > 0
 """
+
+
+# ---- chat / tools / media ---------------------------------------------------------------------
+
+from tessera.operators.rewards import HISTORY_JOIN  # noqa: E402
+from tessera.operators.lookups import EXCHANGE  # noqa: E402
+
+NL = "chr(10)"
+EMPTY_THINK_SQL = f"'<think>' || {NL} || {NL} || '</think>' || {NL} || {NL}"
+
+
+def render_turn(role: str, text: str, first_role_col: str, turn: str, first_turn: str) -> str:
+    """One message of the ChatML template for plain conversations (no tools, no reasoning field)."""
+    return (f"CASE WHEN {role} = 'assistant' THEN '<|im_start|>assistant' || {NL} || {EMPTY_THINK_SQL} || "
+            f"ltrim({text}, {NL}) || '<|im_end|>' || {NL} "
+            f"ELSE '<|im_start|>' || {role} || {NL} || {text} || '<|im_end|>' || {NL} END")
+
+
+def tool_calls_sql() -> str:
+    b = strip("body")
+    return f"""
+WITH {ROLLOUTS_CTE},
+m AS (SELECT prompt_id, gen_id, regexp_extract_all(completion, '(?s)<tool_call>(.*?)</tool_call>', 1) AS bodies FROM rollouts),
+c AS (SELECT prompt_id, gen_id, unnest(bodies) AS body, unnest(range(len(bodies))) AS idx FROM m)
+SELECT prompt_id, gen_id, CAST(idx AS INTEGER) AS idx, json_extract_string({b}, '$.name') AS name,
+       CASE WHEN json_type({b}, '$.arguments') = 'VARCHAR' THEN json_extract_string({b}, '$.arguments')
+            ELSE CAST(json_extract({b}, '$.arguments') AS VARCHAR) END AS arguments
+FROM c WHERE json_valid({b}) AND regexp_full_match({b}, '(?s)\\{{.*\\}}')
+"""
+
+
+def chat_parse_sql(seed: int = 42) -> str:
+    pat = "'(?s)<\\|im_start\\|>(system|user|assistant)\\s+(.*?)<\\|im_end\\|>'"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations
+), p AS (
+  SELECT conv_id, max(n_turns) AS n_turns,
+         string_agg(CASE WHEN k = 1 AND role = 'system' THEN '<|im_start|>system' || {NL} || text || '<|im_end|>' || {NL}
+                         ELSE {render_turn('role', 'text', '', '', '')} END, '' ORDER BY turn)
+           || '<|im_start|>assistant' || {NL} || {EMPTY_THINK_SQL} AS prompt
+  FROM c GROUP BY conv_id
+), m AS (
+  SELECT conv_id, n_turns, regexp_extract_all(prompt, {pat}, 1) AS roles,
+         list_transform(regexp_extract_all(prompt, {pat}, 2), lambda x: {strip('x')}) AS contents FROM p
+), h AS (
+  SELECT *, len(roles) AS n,
+         array_to_string(list_transform(range(1, len(roles)), lambda i: roles[i] || ': ' || contents[i]), {NL}) AS hist
+  FROM m
+), x AS (
+  SELECT conv_id, n_turns, n, CASE WHEN n = 0 THEN '' WHEN length(hist) > 0 THEN hist || {q(HISTORY_JOIN)} || contents[n]
+                                    ELSE contents[n] END AS ctx FROM h
+)
+SELECT conv_id, CAST(n AS BIGINT) AS n_msgs, CAST(length(ctx) AS BIGINT) AS ctx_len, md5(ctx) AS ctx_md5,
+       CAST(greatest(n_turns - 1, 0) AS BIGINT) AS n_prompt_msgs,
+       CAST({u('conv_id', 'thinking', seed)} < 0.5 AS INTEGER) AS thinking
+FROM x
+"""
+
+
+IMAGE_TURNS_CTE = """tagged AS (
+  SELECT conv_id, turn, role,
+         CASE WHEN substr(md5(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), 1, 1) < '4' THEN '<image>' || text
+              WHEN substr(md5(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), 1, 1) < '8' THEN text || ' <image> x'
+              ELSE text END AS text
+  FROM conversations)"""
+
+
+def image_runs_sql(n: int = 64) -> str:
+    return f"""
+WITH {IMAGE_TURNS_CTE}
+SELECT conv_id, CAST(sum({count_sub('text', '<image>')}) AS BIGINT) AS n_runs,
+       CAST({n} * sum({count_sub('text', '<image>')}) AS BIGINT) AS n_pad_tokens
+FROM tagged WHERE role <> 'system' GROUP BY conv_id HAVING sum({count_sub('text', '<image>')}) > 0
+"""
+
+
+def image_tags_sql(seed: int = 42) -> str:
+    c = strip("replace(text, '<image>', '')")
+    uu = u("conv_id * 1000 + turn", "imgtag", seed)
+    return f"""
+WITH {IMAGE_TURNS_CTE}
+SELECT conv_id, turn, md5(CASE WHEN {uu} < 0.2 THEN '<image>' || {NL} || {c}
+                               WHEN {uu} < 0.4 THEN '<image>' || {NL} || {NL} || {c}
+                               WHEN {uu} < 0.6 THEN {c} || {NL} || '<image>'
+                               ELSE {c} || {NL} || {NL} || '<image>' END) AS tagged_md5
+FROM tagged WHERE position('<image>' IN text) > 0
+"""
+
+
+def exchange_lookup_sql() -> str:
+    vals = ", ".join(f"({q(a)}, {q(b)}, {r})" for (a, b), r in EXCHANGE.items())
+    b = strip("body")
+    args = f"CAST(json_extract({b}, '$.arguments') AS VARCHAR)"
+    return f"""
+WITH {ROLLOUTS_CTE},
+m AS (SELECT prompt_id, gen_id, regexp_extract_all(completion, '(?s)<tool_call>(.*?)</tool_call>', 1) AS bodies FROM rollouts),
+c AS (SELECT prompt_id, gen_id, unnest(bodies) AS body, unnest(range(len(bodies))) AS idx FROM m),
+k AS (SELECT prompt_id, gen_id, idx, json_extract_string({args}, '$.from_currency') AS from_currency,
+             json_extract_string({args}, '$.to_currency') AS to_currency
+      FROM c WHERE json_valid({b}) AND regexp_full_match({b}, '(?s)\\{{.*\\}}')
+        AND json_extract_string({b}, '$.name') = 'get_exchange_rate' AND json_type({b}, '$.arguments') = 'OBJECT'),
+d(from_currency, to_currency, rate) AS (VALUES {vals})
+SELECT prompt_id, gen_id, CAST(idx AS INTEGER) AS idx, from_currency, to_currency, coalesce(d.rate, 1.0) AS rate
+FROM k LEFT JOIN d USING (from_currency, to_currency)
+"""
+
+
+# ---- selection, audio ------------------------------------------------------------------------
+
+CANDIDATES_CTE = """cand AS (
+  SELECT l_orderkey AS grp,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS item,
+         l_quantity / 10.0 AS score
+  FROM lineitem)"""
+
+
+def top_k_sql(k: int) -> str:
+    return f"""
+WITH {CANDIDATES_CTE}
+SELECT grp, item, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, rank() OVER (PARTITION BY grp ORDER BY score DESC) AS rank FROM cand) WHERE rank <= {k}
+"""
+
+
+def cumulative_mass_sql(p: float) -> str:
+    return f"""
+WITH {CANDIDATES_CTE},
+e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY grp)) AS e FROM cand),
+pr AS (SELECT *, e / sum(e) OVER (PARTITION BY grp) AS prob FROM e),
+mb AS (SELECT *, coalesce(sum(prob) OVER (PARTITION BY grp ORDER BY score DESC, item ASC
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS mass_before FROM pr)
+SELECT grp, item, {r6('prob')} AS prob, {r6('mass_before')} AS mass_before FROM mb WHERE mass_before <= {p}
+"""
+
+
+CODES_CTE = """codes AS (
+  SELECT vec_id, pos, CAST(floor(abs(CAST(x AS DOUBLE)) * 8192) AS INTEGER) % 2048 AS code FROM (
+    SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings))"""
+
+
+def audio_roundtrip_sql() -> str:
+    return f"""
+WITH {CODES_CTE}
+SELECT vec_id, CAST(pos // 8 AS INTEGER) AS frame, string_agg(CAST(code AS VARCHAR), ',' ORDER BY pos) AS codes
+FROM codes GROUP BY vec_id, pos // 8
+"""
+
+
+WAVE_CTE = """ranked AS (
+  SELECT vec_id, label, embedding, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings
+), wave AS (
+  SELECT label AS clip_id, r * 64 + i AS pos, CAST(x AS DOUBLE) AS amp FROM (
+    SELECT label, r, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM ranked))"""
+
+
+def audio_quality_sql(frame: int = 80, hop: int = 40, min_samples: int = 1000) -> str:
+    return f"""
+WITH {WAVE_CTE},
+n AS (SELECT clip_id, count(*) AS n, max(abs(amp)) AS peak FROM wave GROUP BY clip_id),
+f AS (SELECT clip_id, unnest(range(0, (n - {frame}) // {hop} + 1)) AS k FROM n WHERE n >= {frame}),
+r AS (SELECT f.clip_id, f.k, sqrt(avg(w.amp * w.amp)) AS rms FROM f JOIN wave w
+        ON w.clip_id = f.clip_id AND w.pos >= f.k * {hop} AND w.pos < f.k * {hop} + {frame} GROUP BY f.clip_id, f.k
+      UNION ALL
+      SELECT n.clip_id, 0, sqrt(avg(w.amp * w.amp)) FROM n JOIN wave w USING (clip_id) WHERE n.n < {frame} GROUP BY n.clip_id),
+qq AS (SELECT clip_id, quantile_cont(rms, 0.95) AS q95, quantile_cont(rms, 0.2) AS q20 FROM r GROUP BY clip_id)
+SELECT clip_id, CAST(n AS BIGINT) AS n_samples, {r6('q95')} AS q95, {r6('q20')} AS q20, {r6('peak')} AS peak,
+       CASE WHEN n < {min_samples} THEN 'too_short' WHEN q95 < 0.008 THEN 'too_quiet'
+            WHEN q95 > 0 AND q20 / q95 > 0.45 THEN 'noisy' WHEN peak > 0.995 THEN 'clipped' ELSE 'ok' END AS verdict
+FROM qq JOIN n USING (clip_id)
+"""
+
+
+def center_features_sql() -> str:
+    return """
+WITH f AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings),
+l AS (SELECT vec_id, label, dim, ln(greatest(abs(CAST(x AS DOUBLE)), 1e-10)) AS lg FROM f)
+SELECT vec_id, CAST(dim AS INTEGER) AS dim, 0.0 + round(lg - avg(lg) OVER (PARTITION BY label, dim) + 1e-9, 6) AS centered FROM l
+"""
+
+
+# ---- run metrics ------------------------------------------------------------------------------
+
+def generation_throughput_sql() -> str:
+    d = "(epoch_us({x}) - t0)"
+    ms = lambda x: f"CAST(round(CAST({d.format(x=x)} AS DECIMAL(20, 0)) / 1000, 1) AS DOUBLE)"
+    return f"""
+WITH g AS (SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS t0, epoch_us(max(ts)) AS t1,
+                  min(ts) FILTER (WHERE event_type = 'view') AS tv, min(ts) FILTER (WHERE event_type = 'click') AS tc
+           FROM events GROUP BY user_id)
+SELECT user_id, CAST(n AS BIGINT) AS n_tokens,
+       CASE WHEN t1 > t0 THEN {r6('n / ((t1 - t0) / 1000000.0)')} END AS tokens_per_s,
+       {ms('tv')} AS first_text_ms, {ms('tc')} AS first_audio_ms
+FROM g
+"""
+
+
+def tool_deltas_sql() -> str:
+    return """
+WITH e AS (SELECT user_id, event_id, event_type,
+                  CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 3 END AS idx FROM events),
+d AS (SELECT *, coalesce(idx, coalesce(max(idx) OVER (PARTITION BY user_id ORDER BY event_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0)) AS call_index FROM e)
+SELECT user_id, call_index, CAST(count(*) AS BIGINT) AS n_fragments,
+       md5(string_agg(event_type, '' ORDER BY event_id)) AS args_md5
+FROM d GROUP BY user_id, call_index
+"""
+
+
+def reward_report_sql() -> str:
+    inner = chat_rewards_sql()
+    return f"""
+WITH cr AS ({inner}), {ROLLOUTS_CTE},
+j AS (SELECT cr.*, length(r.completion) AS len FROM cr JOIN rollouts r USING (prompt_id, gen_id)),
+gs AS (SELECT avg(s) AS mean_group_std FROM (SELECT stddev_pop(reward) AS s FROM j GROUP BY prompt_id))
+SELECT {r6('avg(reward)')} AS mean_reward, {r6('avg(advantage)')} AS adv_mean, {r6('stddev_samp(advantage)')} AS adv_std,
+       CAST(count(*) AS BIGINT) AS n, {r6('avg(len)')} AS mean_length, {r6('max(gs.mean_group_std)')} AS mean_group_std
+FROM j, gs
+"""
+
+
+def preference_loss_sql(beta: float = 0.15) -> str:
+    x = f"({beta} * margin)"
+    ls = f"(CASE WHEN {x} >= 0 THEN -ln(1 + exp(-{x})) ELSE {x} - ln(1 + exp({x})) END)"
+    return f"""
+WITH a AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b
+           FROM conversations WHERE role = 'assistant'),
+p AS (SELECT conv_id, turn, CASE WHEN md5(a) < md5(b) THEN a ELSE b END AS chosen,
+             CASE WHEN md5(a) < md5(b) THEN b ELSE a END AS rejected FROM a WHERE b IS NOT NULL),
+m AS (SELECT conv_id, turn,
+             (-(strlen(chosen) % 97) / 10.0 - -(strlen(rejected) % 89) / 10.0)
+             - (-(length(chosen) % 83) / 10.0 - -(length(rejected) % 79) / 10.0) AS margin FROM p)
+SELECT conv_id, turn, {r6('margin')} AS margin, {r6('-' + ls)} AS loss FROM m
+"""
+
+
+def step_counts_sql(bs: int = 16, accum: int = 8, epochs: int = 2, skip: int = 1) -> str:
+    it = f"greatest(CAST(ceil(count(*) / {bs}) AS BIGINT) - {skip}, 0)"
+    return f"""
+SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST({it} AS BIGINT) AS iters,
+       CAST(ceil({it} / {accum}) * {epochs} AS BIGINT) AS optimizer_steps
+FROM documents GROUP BY lang
+"""
+
+
+def decode_roundtrip_sql() -> str:
+    return "SELECT lang, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_fail FROM documents GROUP BY lang"
+
+
+def doc_sequences_sql() -> str:
+    from tessera.functions.tokens import byte_id_sql
+    bid = byte_id_sql("b")
+    return f"""
+WITH h AS (SELECT doc_id, hex(encode(text)) AS hx, strlen(text) AS n FROM documents),
+i AS (SELECT doc_id, n, list_transform(range(n), lambda k: CAST(('0x' || substr(hx, 2 * k + 1, 2)) AS INTEGER)) AS bytes FROM h),
+t AS (SELECT doc_id, n, list_transform(bytes, lambda b: {bid}) AS ids FROM i)
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens,
+       CAST(3 + coalesce(list_sum(ids[1:126]), 0) AS BIGINT) AS wrap_sum,
+       CAST(greatest(2048 - n, 0) AS BIGINT) AS n_pad,
+       CAST(coalesce(list_sum(ids[greatest(n - 255, 1):n]), 0) AS BIGINT) AS left_sum,
+       CAST(256 - least(n, 256) AS INTEGER) AS first_pos,
+       CAST(least(n, 256) AS BIGINT) AS eos_mask_sum,
+       CAST(CASE WHEN n >= 1 AND n < 512 THEN ids[1] WHEN n >= 512 THEN ids[1] - ids[512] ELSE 0 END AS BIGINT) AS shift_delta,
+       {r6('coalesce(list_sum(list_transform(ids[greatest(n - 299, 1):n], lambda x: -x / 1000.0)), 0.0)')} AS aligned_sum
+FROM t
+"""
