@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scan import sorted_group_scan
+
 
 def _with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*aggs), keys, "left")
@@ -32,22 +34,25 @@ def group_advantage(df: DataFrame, key: str = "prompt_id", reward: str = "reward
 
 # ---- W2 / A17 ----------------------------------------------------------------------
 
-def _gae_group(gamma: float, lam: float):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+def _gae_frames(gamma: float, lam: float):
+    def fn(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         v = pdf["v"].to_numpy(dtype=np.float64)
         r = pdf["reward"].to_numpy(dtype=np.float64)
-        n = len(v)
         nxt = np.append(v[1:], 0.0)
-        delta = r + gamma * nxt - v
-        adv = np.empty(n)
+        nxt[bounds[1:] - 1] = 0.0                     # V after each sequence's last token = 0
+        delta = (r + gamma * nxt - v).tolist()
+        adv = [0.0] * len(delta)
+        c = gamma * lam
+        ends = set((bounds[1:] - 1).tolist())
         acc = 0.0
-        for t in range(n - 1, -1, -1):
-            acc = delta[t] + gamma * lam * acc
+        for t in range(len(delta) - 1, -1, -1):
+            if t in ends:
+                acc = 0.0
+            acc = delta[t] + c * acc
             adv[t] = acc
-        out = pdf.drop(columns=["v", "reward"]).copy()
+        out = pdf.drop(columns=["v", "reward"])
         out["advantage"] = adv
-        out["ret"] = adv + v
+        out["ret"] = np.asarray(adv) + v
         return out
     return fn
 
@@ -57,24 +62,30 @@ def gae(tokens: DataFrame, keys: tuple[str, ...] = ("prompt_id", "gen_id"), gamm
     """Generalised advantage estimation per sequence, exactly as the backward recursion
     ``A_t = delta_t + gamma*lam*A_{t+1}``, ``delta_t = r_t + gamma*V_{t+1} - V_t`` (V after the end = 0).
 
-    Grouped by sequence (bounded by the generation length) with Arrow batches; the closed form
-    ``sum(delta*c^k)/c^t`` is avoided because c^k underflows on long sequences.
+    Rows are hash-partitioned by sequence and sorted by position inside each partition; one ordered
+    scan per partition (``sorted_group_scan``).  The closed form ``sum(delta*c^k)/c^t`` is avoided because
+    c^k underflows on long sequences.
     """
     cols = list(keys) + ["pos", "v", "reward"]
     extra = [c for c in tokens.columns if c not in cols]
+    data = tokens.select(*keys, "pos", *extra, "v", "reward")
     schema = tokens.select(*keys, "pos", *extra).schema.add("advantage", "double").add("ret", "double")
-    return tokens.groupBy(*keys).applyInPandas(_gae_group(gamma, lam), schema)
+    return sorted_group_scan(data, list(keys), ["pos"], _gae_frames(gamma, lam), schema)
 
 
 def whiten(df: DataFrame, col: str = "advantage", mask: str = "mask", out: str | None = None) -> DataFrame:
-    """Masked global mean / population variance, ``(a - m) * (var + 1e-8)^-1/2 * mask``."""
+    """Masked global mean / population variance, ``(a - m) * (var + 1e-8)^-1/2 * mask``.
+
+    One pass for the three masked sums (partial aggregation), one broadcast join of the 1-row result.
+    Callers should persist an expensive ``df`` since it is read twice.
+    """
     out = out or f"{col}_white"
-    msum = F.greatest(F.sum(mask), F.lit(1))
-    s1 = _with_global_stats(df, [(F.sum(F.col(col) * F.col(mask)) / msum).alias("_m")])
-    s2 = _with_global_stats(s1, [(F.sum((F.col(col) - F.col("_m")) ** 2 * F.col(mask)) /
-                                  F.greatest(F.sum(mask), F.lit(1))).alias("_v")])
-    return s2.withColumn(out, (F.col(col) - F.col("_m")) * F.pow(F.col("_v") + 1e-8, -0.5) * F.col(mask)) \
-        .drop("_m", "_v")
+    a, m = F.col(col), F.col(mask)
+    den = F.greatest(F.sum(m), F.lit(1))
+    stats = [(F.sum(a * m) / den).alias("_m"), (F.sum(a * a * m) / den).alias("_a2"), (F.sum(m) / den).alias("_w")]
+    s = _with_global_stats(df, stats)
+    var = F.col("_a2") - 2 * F.col("_m") * F.col("_m") + F.col("_m") * F.col("_m") * F.col("_w")
+    return s.withColumn(out, (a - F.col("_m")) * F.pow(var + 1e-8, -0.5) * m).drop("_m", "_a2", "_w")
 
 
 # ---- W3 / W4 / W5 --------------------------------------------------------------------

@@ -6,6 +6,7 @@ One equi-join on ``prompt_id`` attaches tasks; group statistics are groupBy + jo
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ def chat_rewards(rollouts: DataFrame, scores: DataFrame, key: str = "prompt_id")
 
 def gae_whiten(tokens: DataFrame, gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
     g = adv.gae(tokens.select("prompt_id", "gen_id", "pos", "v", "reward", "mask"), gamma=gamma, lam=lam)
+    g = g.persist(StorageLevel.MEMORY_AND_DISK)     # read twice: global stats, then the normalisation
     w = adv.whiten(g, "advantage", "mask", "advantage_white")
     return w.select("prompt_id", "gen_id", F.col("pos").cast("long").alias("pos"), r6("advantage").alias("advantage"),
                     r6("ret").alias("ret"), r6("advantage_white").alias("advantage_white"))

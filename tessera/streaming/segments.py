@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.scan import sorted_group_scan
+
 WINDOW = 512
 
 EVENT_SCHEMA = T.StructType([
@@ -83,18 +85,23 @@ def _events(key, out: list) -> pd.DataFrame:
 def speech_segments(chunks: DataFrame, thr: float = 0.5, min_speech: int = 2048, min_silence: int = 12800,
                     key: str = "session_id", seq: str = "seq", prob: str = "prob",
                     generating: str | None = None) -> DataFrame:
-    """Batch form: events ``speech_end`` (a segment's first/last window) and ``interrupt`` per session."""
+    """Batch form: events ``speech_end`` (a segment's first/last window) and ``interrupt`` per session.
+    Sessions are scanned in seq order inside hash partitions (``sorted_group_scan``)."""
     cols = [key, seq, prob] + ([generating] if generating else [])
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq)
-        st, out = new_state(), []
-        gens = pdf[generating].to_numpy() if generating else [False] * len(pdf)
-        for s, p, g in zip(pdf[seq].to_numpy(), pdf[prob].to_numpy(), gens):
-            step(st, int(s), float(p), bool(g), thr, min_speech, min_silence, out)
-        return _events(int(pdf[key].iloc[0]), out)
-
-    return chunks.select(*cols).groupBy(key).applyInPandas(fn, EVENT_SCHEMA)
+    def fn(pdf: pd.DataFrame, bounds) -> pd.DataFrame:
+        keys, seqs, probs = pdf[key].to_numpy(), pdf[seq].to_numpy(), pdf[prob].to_numpy()
+        gens = pdf[generating].to_numpy() if generating else None
+        frames = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            st, out = new_state(), []
+            for i in range(a, b):
+                step(st, int(seqs[i]), float(probs[i]), bool(gens[i]) if gens is not None else False,
+                     thr, min_speech, min_silence, out)
+            frames.append(_events(int(keys[a]), out))
+        return pd.concat(frames, ignore_index=True) if frames else _events(0, [])
+
+    return sorted_group_scan(chunks.select(*cols), [key], [seq], fn, EVENT_SCHEMA)
 
 
 def speech_segments_stream(chunks: DataFrame, thr: float = 0.5, min_speech: int = 2048, min_silence: int = 12800,
