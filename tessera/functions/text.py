@@ -9,6 +9,23 @@ from pyspark.sql import functions as F
 PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
+def char_ranges(chars: str) -> str:
+    """A regex character-class body for ``chars`` as compact ``\\x{..}-\\x{..}`` ranges (valid in Java and
+    RE2).  A class of many single escapes is several times slower to match in Java than a few ranges."""
+    cps = sorted({ord(c) for c in chars})
+    out, i = [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        out.append(f"\\x{{{cps[i]:x}}}" + (f"-\\x{{{cps[j]:x}}}" if j > i else ""))
+        i = j + 1
+    return "".join(out)
+
+
+PY_SPACE_CLASS = char_ranges(PY_WHITESPACE)
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

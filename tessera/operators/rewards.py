@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import let
-from tessera.functions.text import PY_WHITESPACE, count_sub, py_strip
+from tessera.functions.text import PY_SPACE_CLASS, count_sub, py_strip
 
 # Unicode classes matching Python's ``\w`` (letters, numbers, underscore) and ``\s`` for str patterns.
 WORD = r"\p{L}\p{N}_"
-SPACE = "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE)
+SPACE = PY_SPACE_CLASS
 REP_TOKEN_PATTERN = f"[{WORD}]+|[^{WORD}{SPACE}]"
 NUMBER_PATTERN = rf"(?<![{WORD}.])[-+]?\p{{Nd}}+(?:\.\p{{Nd}}+)?(?![{WORD}.])"
 TOOL_CALL_PATTERN = r"(?s)<tool_call>(.*?)</tool_call>"

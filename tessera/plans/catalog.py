@@ -106,9 +106,9 @@ def q_doc_token_stats(spark, sf, max_len=1024, reserve=100):
 @register("word_counts_ws", oracles.word_counts_ws_sql())
 def q_word_counts_ws(spark, sf):
     """T4 on a plain whitespace split (SQL-checkable form)."""
-    from tessera.functions.text import PY_WHITESPACE
-    cls = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE) + "]+"
-    d = read_table(spark, sf, "documents").select(F.explode(F.split("text", cls)).alias("word"))
+    from tessera.functions.text import PY_SPACE_CLASS
+    cls = "[" + PY_SPACE_CLASS + "]+"
+    d = spread(read_table(spark, sf, "documents").select("text")).select(F.explode(F.split("text", cls)).alias("word"))
     return d.filter(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
