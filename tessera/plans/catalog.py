@@ -397,3 +397,19 @@ def q_doc_sequences(spark, sf):
         s(sq.first_eos_mask(lids, lmask)).alias("eos_mask_sum"),
         (s(x) - s(y)).alias("shift_delta"),
         rl.r6(F.aggregate(aligned, F.lit(0.0), lambda a, v: a + v)).alias("aligned_sum"))
+
+
+# ---- tokenizer training -------------------------------------------------------------------------
+
+from tessera.operators import bpe  # noqa: E402
+
+
+@register("bpe_train")
+def q_bpe_train(spark, sf, extra_merges=100):
+    """S6-shaped corpus (all conversation turns) -> T2 -> T4 -> T5: the first ``extra_merges`` merges.
+    Rows-only here; the merge order is checked against the public trainer in tests."""
+    texts = read_table(spark, sf, "conversations").select("text")
+    merges = bpe.train_bpe(tk.word_counts(texts, "text"), vocab_size=bpe.FIRST_MERGE_ID + extra_merges)
+    strs = bpe.token_strings(bpe.merge_table(merges))
+    names = spark.createDataFrame(sorted(strs.items()), "id int, token string")
+    return merges.join(F.broadcast(names), "id").select("rank", "left", "right", "id", "count", "token")
