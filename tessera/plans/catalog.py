@@ -413,3 +413,107 @@ def q_bpe_train(spark, sf, extra_merges=100):
     strs = bpe.token_strings(bpe.merge_table(merges))
     names = spark.createDataFrame(sorted(strs.items()), "id int, token string")
     return merges.join(F.broadcast(names), "id").select("rank", "left", "right", "id", "count", "token")
+
+
+# ---- preference pairs, batching, corpus reports -----------------------------------------------
+
+from tessera.plans.sft import ASSISTANT_START, TURN_END  # noqa: E402
+from tessera.sources.tables import with_row_index  # noqa: E402
+
+
+@register("preference_pairs", oracles.preference_pairs_sql())
+def q_preference_pairs(spark, sf, max_len=512, seed=42):
+    """Q9: each side rendered as an assistant turn, P4 with an independent draw per side, T6, Q2, Q4/Q6, Q8."""
+    p = fx.preferences(spark, sf)
+    bos = tk.encode_bytes_py(ASSISTANT_START).tolist()
+    eos = tk.encode_bytes_py(TURN_END).tolist()
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    out = None
+    for side in ("chosen", "rejected"):
+        conv = F.array(ch.make_message(F.lit("assistant"), F.col(side)))
+        d = p.select("conv_id", "turn", key.alias("k"), conv.alias("c"))
+        d = d.withColumn("prompt", ch.render_chat("c"))
+        d = d.withColumn("prompt", ch.strip_empty_think("prompt", "k", 0.2, seed, tag=f"think_{side}"))
+        d = d.withColumn("ids", sq.pad_right(tk.encode_bytes("prompt"), max_len))
+        d = d.withColumn("mask", sq.loss_mask("ids", sq.assistant_spans("ids", bos, eos), len(eos), max_len))
+        x, _ = sq.shift_xy("ids")
+        _, ym = sq.shift_xy("mask")
+        d = d.select("conv_id", "turn", F.lit(side).alias("side"), F.size(x).cast("long").alias("x_len"),
+                     F.aggregate(ym, F.lit(0).cast("long"), lambda a, v: a + v).alias("mask_sum"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@register("pad_to_batch", oracles.pad_to_batch_sql())
+def q_pad_to_batch(spark, sf, n_batches=5):
+    """Q12: sequences grouped into batches (prompt_id mod 5) and padded to the longest in their batch."""
+    t = fx.token_logps(spark, sf)
+    seq = t.groupBy("prompt_id", "gen_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "lp_new"))).alias("_s"))
+    seq = seq.select("prompt_id", "gen_id", (F.col("prompt_id") % n_batches).alias("batch"),
+                     F.col("_s.lp_new").alias("logp"))
+    mx = seq.groupBy("batch").agg(F.max(F.size("logp")).alias("_mx"))
+    padded = seq.join(F.broadcast(mx), "batch").withColumn(
+        "logp_padded", F.concat("logp", F.array_repeat(F.lit(0.0), F.col("_mx") - F.size("logp"))))
+    return padded.select("gen_id", "batch", F.size("logp").cast("long").alias("len"),
+                         F.size("logp_padded").cast("long").alias("padded_len"))
+
+
+@register("supervised_filter", oracles.supervised_filter_sql(256))
+def q_supervised_filter(spark, sf, max_len=256):
+    """Drop samples with no supervised label after truncation; report the supervised share."""
+    r = _sft_report(read_table(spark, sf, "conversations"), max_len=max_len)
+    return r.filter(F.col("n_supervised") > 0).select(
+        "conv_id", "n_supervised", rl.r6(F.col("n_supervised") / F.lit(float(max_len))).alias("supervised_share"))
+
+
+@register("distinct_ngrams", oracles.distinct_ngrams_sql())
+def q_distinct_ngrams(spark, sf):
+    """D2 per language: distinct-1 and distinct-2 over whitespace words of all documents."""
+    from tessera.functions.text import PY_SPACE_CLASS
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    w = d.select("doc_id", "lang", F.filter(F.split("text", "[" + PY_SPACE_CLASS + "]+"),
+                                             lambda x: x != "").alias("w"))
+    uni = w.select("lang", F.explode("w").alias("g"))
+    bi = w.select("lang", F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))),
+                                               F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))),
+                                               lambda a, b: F.concat_ws(" ", a, b))).alias("g"))
+    a1 = uni.groupBy("lang").agg(F.count(F.lit(1)).alias("n1"), F.countDistinct("g").alias("d1"))
+    a2 = bi.groupBy("lang").agg(F.count(F.lit(1)).alias("n2"), F.countDistinct("g").alias("d2"))
+    j = a1.join(a2, "lang", "left")
+    return j.select("lang", F.col("n1").cast("long").alias("n_words"),
+                    rl.r6(F.col("d1") / F.col("n1")).alias("distinct_1"),
+                    rl.r6(F.col("d2") / F.col("n2")).alias("distinct_2"))
+
+
+@register("pretrain_mix", oracles.pretrain_mix_sql(0.15))
+def q_pretrain_mix(spark, sf, share=0.15, seed=42):
+    """D3: SFT conversations plus a keyed ~15 % sample of pretraining documents, as one table."""
+    from tessera.functions.rand import keyed_uniform
+    conv = conversations_from_turns(read_table(spark, sf, "conversations"))
+    sft = conv.select(F.lit("sft").alias("source"), F.col("conv_id").alias("id"),
+                      F.size("conversations").cast("long").alias("n_parts"))
+    docs = read_table(spark, sf, "documents").filter(keyed_uniform("doc_id", "mix", seed) < share)
+    pre = docs.select(F.lit("pretrain").alias("source"), F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("n_parts"))
+    return sft.unionByName(pre)
+
+
+@register("join_logps", oracles.join_logps_sql())
+def q_join_logps(spark, sf):
+    """Policy, reference and rollout log-probs from three tables aligned on (prompt, gen, pos)."""
+    t = fx.token_logps(spark, sf)
+    k = ["prompt_id", "gen_id", "pos"]
+    pol, ref, old = t.select(*k, "lp_new"), t.select(*k, "lp_ref"), t.select(*k, "lp_old", "mask")
+    j = pol.join(ref, k).join(old, k)
+    return j.groupBy("gen_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n"),
+        rl.r6(F.sum((F.col("lp_new") - F.col("lp_ref")) * F.col("mask"))).alias("sum_new_minus_ref"),
+        rl.r6(F.sum((F.col("lp_new") - F.col("lp_old")) * F.col("mask"))).alias("sum_new_minus_old"))
+
+
+@register("pair_random", oracles.pair_random_sql())
+def q_pair_random(spark, sf, seed=42):
+    """Every embedding row paired with one page drawn uniformly (with replacement)."""
+    pages = read_table(spark, sf, "pages").select("page_id").orderBy("page_id")
+    left = read_table(spark, sf, "embeddings").select("vec_id")
+    return lk.pair_random(left, pages, "vec_id", seed).select("vec_id", "page_id")

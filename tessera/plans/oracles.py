@@ -667,3 +667,74 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_tokens,
        {r6('coalesce(list_sum(list_transform(ids[greatest(n - 299, 1):n], lambda x: -x / 1000.0)), 0.0)')} AS aligned_sum
 FROM t
 """
+
+
+def preference_pairs_sql(max_len: int = 512, seed: int = 42) -> str:
+    parts = []
+    for side in ("chosen", "rejected"):
+        key = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+        body = f"(CASE WHEN {u(key, 'think_' + side, seed)} <= 0.2 THEN 6 ELSE 0 END + strlen(ltrim({side}, {NL})))"
+        parts.append(f"""SELECT conv_id, turn, '{side}' AS side, CAST({max_len - 1} AS BIGINT) AS x_len,
+       CAST(greatest(0, least(12 + {body} + 1, {max_len}) - 12 + 1) AS BIGINT) AS mask_sum FROM p""")
+    union = "\nUNION ALL\n".join(parts)
+    return f"""
+WITH a AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b
+           FROM conversations WHERE role = 'assistant'),
+p AS (SELECT conv_id, turn, CASE WHEN md5(a) < md5(b) THEN a ELSE b END AS chosen,
+             CASE WHEN md5(a) < md5(b) THEN b ELSE a END AS rejected FROM a WHERE b IS NOT NULL)
+{union}
+"""
+
+
+def pad_to_batch_sql(n_batches: int = 5) -> str:
+    return f"""
+WITH {TOKENS_CTE},
+s AS (SELECT prompt_id, gen_id, prompt_id % {n_batches} AS batch, count(*) AS len FROM tokens GROUP BY prompt_id, gen_id)
+SELECT gen_id, batch, CAST(len AS BIGINT) AS len, CAST(max(len) OVER (PARTITION BY batch) AS BIGINT) AS padded_len FROM s
+"""
+
+
+def supervised_filter_sql(max_len: int = 256) -> str:
+    return f"""
+SELECT conv_id, n_supervised, 0.0 + round(n_supervised / {float(max_len)} + 1e-9, 6) AS supervised_share
+FROM ({sft_report_sql(max_len)}) WHERE n_supervised > 0
+"""
+
+
+def distinct_ngrams_sql() -> str:
+    return f"""
+WITH w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '[' || {WS} || ']+'), lambda x: x <> '') AS w
+           FROM documents),
+u AS (SELECT lang, unnest(w) AS g FROM w),
+b AS (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+a1 AS (SELECT lang, count(*) AS n1, count(DISTINCT g) AS d1 FROM u GROUP BY lang),
+a2 AS (SELECT lang, count(*) AS n2, count(DISTINCT g) AS d2 FROM b GROUP BY lang)
+SELECT lang, CAST(n1 AS BIGINT) AS n_words, {r6('d1 / n1')} AS distinct_1, {r6('d2 / n2')} AS distinct_2
+FROM a1 LEFT JOIN a2 USING (lang)
+"""
+
+
+def pretrain_mix_sql(share: float = 0.15, seed: int = 42) -> str:
+    return f"""
+SELECT 'sft' AS source, conv_id AS id, CAST(count(*) AS BIGINT) AS n_parts FROM conversations GROUP BY conv_id
+UNION ALL
+SELECT 'pretrain', doc_id, CAST(1 AS BIGINT) FROM documents WHERE {u('doc_id', 'mix', seed)} < {share}
+"""
+
+
+def join_logps_sql() -> str:
+    return f"""
+WITH {TOKENS_CTE}
+SELECT gen_id, CAST(count(*) AS BIGINT) AS n, {r6('sum((lp_new - lp_ref) * mask)')} AS sum_new_minus_ref,
+       {r6('sum((lp_new - lp_old) * mask)')} AS sum_new_minus_old
+FROM tokens GROUP BY gen_id
+"""
+
+
+def pair_random_sql(seed: int = 42) -> str:
+    return f"""
+WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS rn FROM pages),
+n AS (SELECT count(*) AS n FROM pages)
+SELECT e.vec_id, p.page_id FROM embeddings e, n
+JOIN p ON p.rn = CAST(floor({u('e.vec_id', 'pair', seed)} * n.n) AS BIGINT)
+"""
