@@ -517,3 +517,15 @@ def q_pair_random(spark, sf, seed=42):
     pages = read_table(spark, sf, "pages").select("page_id").orderBy("page_id")
     left = read_table(spark, sf, "embeddings").select("vec_id")
     return lk.pair_random(left, pages, "vec_id", seed).select("vec_id", "page_id")
+
+
+# ---- array augmentation -------------------------------------------------------------------------
+
+@register("augment_embeddings", oracles.augment_embeddings_sql())
+def q_augment_embeddings(spark, sf, seed=42):
+    """G1 (gain, moving average, clip) and G2 (feature / frame masks on 8x8 frames) per embedding."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    sig = au.augment_signal("x", "vec_id", seed)
+    msk = au.mask_features("x", 8, "vec_id", seed)
+    tot = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return e.select("vec_id", rl.r6(tot(sig)).alias("signal_sum"), rl.r6(tot(msk)).alias("masked_sum"))

@@ -738,3 +738,25 @@ n AS (SELECT count(*) AS n FROM pages)
 SELECT e.vec_id, p.page_id FROM embeddings e, n
 JOIN p ON p.rn = CAST(floor({u('e.vec_id', 'pair', seed)} * n.n) AS BIGINT)
 """
+
+
+def augment_embeddings_sql(seed: int = 42) -> str:
+    uu = lambda tag: u("vec_id", tag, seed)
+    return f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+g AS (SELECT vec_id, x, len(x) AS n,
+             CASE WHEN {uu('gain_p')} < 0.3 THEN 0.8 + 0.4 * {uu('gain')} ELSE 1.0 END AS gain,
+             {uu('ma_p')} < 0.2 AS ma_on, CAST((floor({uu('ma_k')} * 3) * 2 + 3 - 1) / 2 AS INTEGER) AS h,
+             {uu('fm_p')} < 0.5 AS f_on, CAST(floor({uu('fm_w')} * 8) + 1 AS INTEGER) AS f,
+             {uu('tm_p')} < 0.5 AS t_on, CAST(floor({uu('tm_w')} * least(10, len(x) // 8)) + 1 AS INTEGER) AS t
+      FROM e),
+g2 AS (SELECT *, CAST(floor({uu('fm_0')} * (8 - f + 1)) AS INTEGER) AS f0,
+              CAST(floor({uu('tm_0')} * (n // 8 - t + 1)) AS INTEGER) AS t0,
+              list_transform(x, lambda v: v * gain) AS a FROM g),
+s AS (SELECT *, CASE WHEN ma_on THEN list_transform(range(n), lambda i: list_avg(a[greatest(i - h, 0) + 1:least(i + h, n - 1) + 1]))
+                     ELSE a END AS sm FROM g2)
+SELECT vec_id,
+       {r6('list_sum(list_transform(sm, lambda v: greatest(-1.0, least(1.0, v))))')} AS signal_sum,
+       {r6('list_sum(list_transform(range(n), lambda i: CASE WHEN (f_on AND i % 8 >= f0 AND i % 8 < f0 + f) OR (t_on AND i // 8 >= t0 AND i // 8 < t0 + t) THEN 0.0 ELSE x[i + 1] END))')} AS masked_sum
+FROM s
+"""
