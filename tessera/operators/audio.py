@@ -119,3 +119,14 @@ def mask_features(frames, n_dims: int, key, seed: int = 42, max_f: int = 64, max
         return F.when(hit, F.lit(0.0)).otherwise(x)
 
     return F.transform(a, zero)
+
+
+def layered_loss(tokens: DataFrame, by: list[str], layer: str = "layer", target: str = "target",
+                 loss: str = "loss", stop: int = AUDIO_STOP) -> DataFrame:
+    """A10: per layer sum(loss * valid * (1 + 9*[target = stop])) / (sum(valid) + 1e-9), summed over
+    layers that have a valid target, divided by 8.  ``target = -100`` marks an ignored position."""
+    valid = (F.col(target) != -100).cast("double")
+    w = valid * (1 + 9 * (F.col(target) == stop).cast("double"))
+    per = tokens.groupBy(*by, layer).agg(F.sum(F.col(loss) * w).alias("_ws"), F.sum(valid).alias("_v"))
+    per = per.filter(F.col("_v") > 0)
+    return per.groupBy(*by).agg((F.sum(F.col("_ws") / (F.col("_v") + 1e-9)) / N_LAYERS).alias("audio_loss"))

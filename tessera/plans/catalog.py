@@ -529,3 +529,25 @@ def q_augment_embeddings(spark, sf, seed=42):
     msk = au.mask_features("x", 8, "vec_id", seed)
     tot = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     return e.select("vec_id", rl.r6(tot(sig)).alias("signal_sum"), rl.r6(tot(msk)).alias("masked_sum"))
+
+
+@register("truncate_to_turn", oracles.truncate_to_turn_sql(768))
+def q_truncate_to_turn(spark, sf, max_len=768):
+    """P11 over every conversation with more than one assistant turn (byte-vocabulary lengths)."""
+    conv = conversations_from_turns(read_table(spark, sf, "conversations"))
+    n_asst = F.size(F.filter("conversations", lambda m: m["role"] == "assistant"))
+    c = conv.filter(n_asst > 1).withColumn("cut", ch.truncate_to_turn("conversations", "conv_id", max_len))
+    return c.select("conv_id", F.size("cut").cast("long").alias("n_kept"),
+                    F.size(tk.encode_bytes(ch.render_chat("cut"))).cast("long").alias("n_tokens"))
+
+
+@register("layered_loss", oracles.layered_loss_sql())
+def q_layered_loss(spark, sf):
+    """A10 over the audio-code layers (Q18, stop code appended) with a code-derived per-position loss."""
+    codes = fx.audio_codes(spark, sf)
+    seqs = codes.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("_s"))
+    layers = seqs.select("vec_id", F.posexplode(au.audio_code_layers(F.col("_s.code"))).alias("layer", "codes"))
+    t = layers.select("vec_id", "layer", F.explode("codes").alias("target"))
+    t = t.withColumn("loss", (F.col("target") % 97) / 97.0)
+    out = au.layered_loss(t, ["vec_id"])
+    return out.select("vec_id", rl.r6("audio_loss").alias("audio_loss"))

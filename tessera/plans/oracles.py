@@ -760,3 +760,40 @@ SELECT vec_id,
        {r6('list_sum(list_transform(range(n), lambda i: CASE WHEN (f_on AND i % 8 >= f0 AND i % 8 < f0 + f) OR (t_on AND i // 8 >= t0 AND i // 8 < t0 + t) THEN 0.0 ELSE x[i + 1] END))')} AS masked_sum
 FROM s
 """
+
+
+def truncate_to_turn_sql(max_len: int = 768, reserve: int = 100, seed: int = 42) -> str:
+    """Byte-token size of each rendered message; prefix sums; the latest assistant cut at or before the
+    uniformly picked one whose prefix + reserve < max_len, else the first assistant cut."""
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations
+), p AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN 11 + 6 + strlen(ltrim(text, {NL})) + 2
+                 ELSE 1 + strlen(role) + 1 + strlen(text) + 2 END AS n_tok,
+         CASE WHEN role = 'assistant' THEN row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn) - 1 END AS a_idx
+  FROM c
+), s AS (
+  SELECT *, sum(n_tok) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS prefix,
+         count(*) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS n_asst FROM p
+), pick AS (
+  SELECT DISTINCT conv_id, CAST(floor({u('conv_id', 'turncut', seed)} * n_asst) AS INTEGER) AS pk FROM s WHERE n_asst > 1
+), choice AS (
+  SELECT s.conv_id, coalesce(max(k) FILTER (WHERE a_idx <= pk AND prefix + {reserve} < {max_len}),
+                             min(k) FILTER (WHERE a_idx = 0)) AS cut_k
+  FROM s JOIN pick USING (conv_id) WHERE role = 'assistant' GROUP BY s.conv_id
+)
+SELECT conv_id, CAST(cut_k AS BIGINT) AS n_kept, CAST(max(prefix) FILTER (WHERE k = cut_k) AS BIGINT) AS n_tokens
+FROM choice JOIN s USING (conv_id) GROUP BY conv_id, cut_k
+"""
+
+
+def layered_loss_sql() -> str:
+    return f"""
+WITH {CODES_CTE},
+t AS (SELECT vec_id, pos % 8 AS layer, code AS target FROM codes
+      UNION ALL SELECT DISTINCT vec_id, unnest(range(8)) AS layer, 2050 AS target FROM embeddings),
+l AS (SELECT vec_id, layer, sum((target % 97) / 97.0 * (1 + 9 * CAST(target = 2050 AS DOUBLE))) AS ws, count(*) AS v
+      FROM t GROUP BY vec_id, layer)
+SELECT vec_id, {r6('sum(ws / (v + 1e-9)) / 8')} AS audio_loss FROM l GROUP BY vec_id
+"""
