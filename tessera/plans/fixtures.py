@@ -30,7 +30,7 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
                   .when(mode == 3, F.concat(t, F.lit(TOOL_CALL_BAD)))
                   .when(mode == 4, F.concat_ws(" ", F.substring(t, 1, 40), F.substring(t, 1, 40), F.substring(t, 1, 40)))
                   .otherwise(F.concat(F.lit("<tool_call>"), t)))
-    return a.select(F.col("conv_id").alias("prompt_id"), (F.row_number().over(w) - 1).alias("gen_id"),
+    return a.select(F.col("conv_id").alias("prompt_id"), (F.row_number().over(w) - 1).cast("long").alias("gen_id"),
                     "turn", mode.alias("mode"), completion.alias("completion"))
 
 
@@ -103,7 +103,7 @@ def scored_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """(grp, item, score) from lineitem."""
     li = read_table(spark, sf, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return li.select(F.col("l_orderkey").alias("grp"), F.row_number().over(w).alias("item"),
+    return li.select(F.col("l_orderkey").alias("grp"), F.row_number().over(w).cast("long").alias("item"),
                      (F.col("l_quantity") / F.lit(10.0)).alias("score"))
 
 

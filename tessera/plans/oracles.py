@@ -504,7 +504,7 @@ k AS (SELECT prompt_id, gen_id, idx, json_extract_string({args}, '$.from_currenc
       FROM c WHERE json_valid({b}) AND regexp_full_match({b}, '(?s)\\{{.*\\}}')
         AND json_extract_string({b}, '$.name') = 'get_exchange_rate' AND json_type({b}, '$.arguments') = 'OBJECT'),
 d(from_currency, to_currency, rate) AS (VALUES {vals})
-SELECT prompt_id, gen_id, CAST(idx AS INTEGER) AS idx, from_currency, to_currency, coalesce(d.rate, 1.0) AS rate
+SELECT prompt_id, gen_id, CAST(idx AS INTEGER) AS idx, from_currency, to_currency, CAST(coalesce(d.rate, 1.0) AS DOUBLE) AS rate
 FROM k LEFT JOIN d USING (from_currency, to_currency)
 """
 
