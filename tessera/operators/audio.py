@@ -130,3 +130,18 @@ def layered_loss(tokens: DataFrame, by: list[str], layer: str = "layer", target:
     per = tokens.groupBy(*by, layer).agg(F.sum(F.col(loss) * w).alias("_ws"), F.sum(valid).alias("_v"))
     per = per.filter(F.col("_v") > 0)
     return per.groupBy(*by).agg((F.sum(F.col("_ws") / (F.col("_v") + 1e-9)) / N_LAYERS).alias("audio_loss"))
+
+
+def select_media(conv, question_audios, answer_audios, images) -> Column:
+    """Q25: the media a speech sample uses, by conversation position.  Question audio = item (#user - 1)
+    when in range and non-empty; answer codes = item (#assistant - 1) when in range; image = the first.
+    Missing media -> null (the caller substitutes its all-zero placeholder and length 0)."""
+    c = _c(conv)
+    n_user = F.size(F.filter(c, lambda m: m["role"] == "user"))
+    n_asst = F.size(F.filter(c, lambda m: m["role"] == "assistant"))
+    qa, aa, im = _c(question_audios), _c(answer_audios), _c(images)
+    q = F.when((n_user > 0) & (n_user <= F.size(qa)), F.try_element_at(qa, n_user))
+    q = F.when(F.coalesce(F.length(q), F.lit(0)) > 0, q)
+    a = F.when((n_asst > 0) & (n_asst <= F.size(aa)), F.try_element_at(aa, n_asst))
+    a = F.when(F.coalesce(F.size(a), F.lit(0)) > 0, a)
+    return F.struct(q.alias("question_audio"), a.alias("answer_codes"), F.try_element_at(im, F.lit(1)).alias("image"))

@@ -324,3 +324,39 @@ def truncate_to_turn(conv, key, max_len: int, reserve: int = 100, seed: int = 42
     st = F.struct(piece_n.alias("pieces"), asst.alias("asst"), pick.alias("pick"), header.cast("long").alias("header"))
     cut = let(st, choose)
     return F.when(n_asst > 1, F.slice(conv, 1, cut + 1)).otherwise(conv)
+
+
+# ---- P19 / P20 ------------------------------------------------------------------------
+
+CLONE_VOICE = "voice_clone"   # fixed value: the name used when none is given
+
+
+def validate_voice_names(names, registry, name: str = "name", max_len: int = 24):
+    """Normalise (collapse whitespace; empty -> ``voice_clone``) and give a reject reason:
+    ``too_long`` (> 24 chars), ``reserved`` (``default`` in any case), ``taken`` (already in the registry's
+    builtin or unseen groups) or null when accepted.  ``registry``: (name, grp)."""
+    from tessera.functions.text import PY_SPACE_CLASS
+    norm = F.btrim(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), "[" + PY_SPACE_CLASS + "]+", " "), F.lit(" "))
+    norm = F.when(F.length(norm) == 0, F.lit(CLONE_VOICE)).otherwise(norm)
+    taken = registry.filter(F.col("grp").isin("builtin", "unseen")).select(F.col("name").alias("_n")).distinct() \
+        .withColumn("_taken", F.lit(True))
+    df = names.withColumn("voice", norm)
+    df = df.join(taken, df["voice"] == taken["_n"], "left").drop("_n")
+    reason = (F.when(F.length("voice") > max_len, F.lit("too_long"))
+              .when(F.lower("voice") == "default", F.lit("reserved"))
+              .when(F.coalesce("_taken", F.lit(False)), F.lit("taken")))
+    return df.withColumn("reject", reason).drop("_taken")
+
+
+def build_eval_prompts(text, weight_name: str = "", langs=None, open_thinking: bool = False) -> Column:
+    """P20: weights whose name contains ``pretrain`` get ``<|im_start|>`` + raw prompt; otherwise the chat
+    template with a generation prompt around one user message.  ``langs`` fans each prompt out per language
+    (returned as an array to explode)."""
+    t = _c(text)
+    if "pretrain" in weight_name:
+        p = F.concat(F.lit("<|im_start|>"), t)
+    else:
+        conv = F.array(make_message(F.lit("user"), t))
+        p = render_chat(conv, add_generation_prompt=True, open_thinking=open_thinking)
+    return p if not langs else F.transform(F.array(*[F.lit(x) for x in langs]),
+                                           lambda lang: F.struct(lang.alias("lang"), p.alias("prompt")))

@@ -177,3 +177,68 @@ def drop_special_pairs(ids, logps, drop=(PAD_ID, EOS_ID)) -> tuple[Column, Colum
     """Q14: zip ids with logps, drop pad/eos, unzip."""
     z = F.filter(F.arrays_zip(_c(ids).alias("i"), _c(logps).alias("l")), lambda x: ~x["i"].isin(*drop))
     return F.transform(z, lambda x: x["i"]), F.transform(z, lambda x: x["l"])
+
+
+def scheduled_sampling(ids, labels, key, p: float = 0.05, vocab: int = 6400, image_pad: int = 12,
+                       seed: int = 42) -> Column:
+    """Q23 (text row): where a position is supervised and not the image pad, with probability p replace the
+    input id by a uniform id in [0, vocab).  Draws are keyed by (row, position)."""
+    from tessera.functions.rand import keyed_uniform
+    ids, labels = _c(ids), _c(labels)
+    k = F.col(key) if isinstance(key, str) else key
+
+    def draw(i, tag):
+        return keyed_uniform(F.concat_ws(":", k.cast("string"), i.cast("string")), tag, seed)
+
+    return F.transform(ids, lambda x, i: F.when(
+        (F.element_at(labels, i + 1) != IGNORE_INDEX) & (x != image_pad) & (draw(i, "ss") < p),
+        F.floor(draw(i, "ssv") * vocab).cast("int")).otherwise(x))
+
+
+def scheduled_sampling_audio(layers, audio_labels, key, p: float = 0.05, audio_vocab: int = 2112,
+                             seed: int = 42) -> Column:
+    """Q23 (audio rows): at positions where any layer has a label, with probability p replace all 8 input
+    codes by uniform codes in [0, audio_vocab).  ``layers`` / ``audio_labels``: array<array<int>> (8 x T)."""
+    from tessera.functions.rand import keyed_uniform
+    L, A = _c(layers), _c(audio_labels)
+    k = F.col(key) if isinstance(key, str) else key
+    u = lambda i, tag: keyed_uniform(F.concat_ws(":", k.cast("string"), i.cast("string")), tag, seed)
+    any_label = lambda i: F.exists(A, lambda row: F.element_at(row, i + 1) != IGNORE_INDEX)
+    code = lambda i, j: F.floor(keyed_uniform(
+        F.concat_ws(":", k.cast("string"), i.cast("string"), j.cast("string")), "ssav", seed) * audio_vocab).cast("int")
+    return F.transform(L, lambda row, j: F.transform(row, lambda x, i: F.when(
+        any_label(i) & (u(i, "ssa") < p), code(i, j)).otherwise(x)))
+
+
+def voice_prefix(start, ref_len, has_spk, slots: int | None = None) -> Column:
+    """Q21: placement of reference codes that end where the assistant audio starts (``start``), keeping the
+    tail when too long and reserving one slot for the speaker marker 2051 just before them.
+    Returns struct(ref_start, keep_from, spk_pos) -- keep_from is the first kept reference frame, spk_pos
+    is -1 without a speaker embedding."""
+    s = start if isinstance(start, Column) else F.lit(start)
+    n = ref_len if isinstance(ref_len, Column) else F.lit(ref_len)
+    spk = has_spk if isinstance(has_spk, Column) else F.lit(bool(has_spk))
+    reserve = F.when(spk, F.lit(1)).otherwise(F.lit(0))
+    ref_start = F.greatest(reserve, s - n)
+    room = s - ref_start
+    keep_from = F.when(n > room, n - room).otherwise(F.lit(0))
+    spk_pos = F.when(spk & (ref_start > 0), ref_start - 1).otherwise(F.lit(-1))
+    return F.struct(ref_start.alias("ref_start"), keep_from.alias("keep_from"), spk_pos.alias("spk_pos"))
+
+
+def observation_mask(turns, key: str, turn: str = "turn", model_ids: str = "model_ids",
+                     obs_ids: str = "obs_ids", max_turns: int = 3):
+    """Q26: multi-turn response assembly per rollout: model tokens get mask 1 (their logps kept),
+    tool-observation tokens between turns get mask 0 and logp 0.0; at most ``max_turns`` turns.
+    ``turns``: (key, turn, model_ids, model_logps, obs_ids).  Returns (key, ids, mask, logps)."""
+    t = turns.filter(F.col(turn) < max_turns)
+    part = F.struct(
+        F.col(turn).alias("t"),
+        F.concat(F.col(model_ids), F.coalesce(F.col(obs_ids), F.array().cast("array<int>"))).alias("ids"),
+        F.concat(F.array_repeat(F.lit(1), F.size(model_ids)),
+                 F.array_repeat(F.lit(0), F.coalesce(F.size(obs_ids), F.lit(0)))).alias("mask"),
+        F.concat(F.col("model_logps"),
+                 F.array_repeat(F.lit(0.0), F.coalesce(F.size(obs_ids), F.lit(0)))).alias("lp"))
+    g = t.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("_p"))
+    return g.select(key, F.flatten("_p.ids").alias("ids"), F.flatten("_p.mask").alias("mask"),
+                    F.flatten("_p.lp").alias("logps"))
