@@ -551,3 +551,26 @@ def q_layered_loss(spark, sf):
     t = t.withColumn("loss", (F.col("target") % 97) / 97.0)
     out = au.layered_loss(t, ["vec_id"])
     return out.select("vec_id", rl.r6("audio_loss").alias("audio_loss"))
+
+
+# ---- prompt assembly ----------------------------------------------------------------------------
+
+@register("eval_prompts", oracles.eval_prompts_sql())
+def q_eval_prompts(spark, sf, langs=("zh", "en")):
+    """P20: every user turn as a chat evaluation prompt (generation prompt, thinking closed), fanned out
+    over languages."""
+    t = read_table(spark, sf, "conversations").filter(F.col("role") == "user")
+    p = t.select("conv_id", "turn", F.explode(ch.build_eval_prompts(F.col("text"), langs=list(langs))).alias("x"))
+    return p.select("conv_id", "turn", F.col("x.lang").alias("lang"), F.md5("x.prompt").alias("prompt_md5"),
+                    F.length("x.prompt").cast("long").alias("prompt_len"))
+
+
+@register("audio_placeholders", oracles.audio_placeholders_sql())
+def q_audio_placeholders(spark, sf, seed=42):
+    """P10: audio pads (conv_id mod 5 frames) placed in each conversation's last user message."""
+    conv = conversations_from_turns(read_table(spark, sf, "conversations"))
+    n = (F.col("conv_id") % 5).cast("int")
+    c = conv.withColumn("c2", ch.insert_audio_placeholder("conversations", n, "conv_id", seed))
+    last_user = F.element_at(F.filter("c2", lambda m: m["role"] == "user"), -1)
+    return c.filter(F.exists("conversations", lambda m: m["role"] == "user")) \
+        .select("conv_id", F.md5(last_user["content"]).alias("last_user_md5"))

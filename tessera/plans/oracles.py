@@ -797,3 +797,27 @@ l AS (SELECT vec_id, layer, sum((target % 97) / 97.0 * (1 + 9 * CAST(target = 20
       FROM t GROUP BY vec_id, layer)
 SELECT vec_id, {r6('sum(ws / (v + 1e-9)) / 8')} AS audio_loss FROM l GROUP BY vec_id
 """
+
+
+def eval_prompts_sql(langs=("zh", "en")) -> str:
+    lv = ", ".join(f"('{x}')" for x in langs)
+    p = f"'<|im_start|>user' || {NL} || text || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || {EMPTY_THINK_SQL}"
+    return f"""
+WITH l(lang) AS (VALUES {lv})
+SELECT conv_id, turn, lang, md5({p}) AS prompt_md5, CAST(length({p}) AS BIGINT) AS prompt_len
+FROM conversations, l WHERE role = 'user'
+"""
+
+
+def audio_placeholders_sql(seed: int = 42) -> str:
+    uu = u("conv_id", "audiotag", seed)
+    ap = "repeat('<|audio_pad|>', CAST(conv_id % 5 AS INTEGER))"
+    return f"""
+WITH lu AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT conv_id, md5(CASE WHEN conv_id % 5 = 0 THEN text
+                         WHEN {uu} < 0.4 THEN {ap}
+                         WHEN {uu} < 0.6 THEN text
+                         WHEN {uu} < 0.8 THEN {ap} || {NL} || {NL} || text
+                         ELSE text || {NL} || {NL} || {ap} END) AS last_user_md5
+FROM lu
+"""
