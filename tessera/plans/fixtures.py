@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import read_table
+from tessera.sources.tables import number_within, read_table, with_group_count
 
 # --- fixed values (fixture formulas of FIXTURES.md) -----------------------------
 TOOL_CALL_RATE = ('<tool_call>{"name": "get_exchange_rate", "arguments": {"from_currency": "USD", '
@@ -59,27 +59,28 @@ def preferences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_logps(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-token rollout table from events: (prompt_id, gen_id, pos, lp_new, lp_old, lp_ref, mask, v, reward)."""
-    e = read_table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    last = Window.partitionBy("user_id")
+    """Per-token rollout table from events: (prompt_id, gen_id, pos, lp_new, lp_old, lp_ref, mask, v, reward).
+
+    Positions come from ``number_within`` (global sort + offsets) and sequence lengths from a grouped count,
+    so a user holding a large share of the events is not numbered inside one task."""
+    e = read_table(spark, sf, "events").select("event_id", "ts", "user_id")
+    e = with_group_count(number_within(e, ["user_id"], ["ts", "event_id"], "pos"), ["user_id"], "_n")
     eid = F.col("event_id")
-    df = e.select(
+    return e.select(
         (F.col("user_id") % 40).alias("prompt_id"), F.col("user_id").alias("gen_id"),
-        (F.row_number().over(w) - 1).alias("pos"),
+        F.col("pos").cast("int").alias("pos"),
         (-(1 + eid % 97) / F.lit(50.0)).alias("lp_new"), (-(1 + eid % 89) / F.lit(50.0)).alias("lp_old"),
         (-(1 + eid % 83) / F.lit(50.0)).alias("lp_ref"), (eid % 7 < 6).cast("int").alias("mask"),
-        ((eid % 101) / F.lit(100.0)).alias("v"), "user_id")
-    n = F.count(F.lit(1)).over(last)
-    return df.withColumn("reward", F.when(F.col("pos") == n - 1, (F.col("user_id") % 7) / F.lit(2.0))
-                         .otherwise(F.lit(0.0))).drop("user_id")
+        ((eid % 101) / F.lit(100.0)).alias("v"),
+        F.when(F.col("pos") == F.col("_n") - 1, (F.col("user_id") % 7) / F.lit(2.0)).otherwise(F.lit(0.0))
+        .alias("reward"))
 
 
 def audio_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """(session_id, seq, prob): one 512-sample window per event."""
-    e = read_table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("session_id"), (F.row_number().over(w) - 1).alias("seq"),
+    e = read_table(spark, sf, "events").select("event_id", "ts", "user_id", "props")
+    e = number_within(e, ["user_id"], ["ts", "event_id"], "seq")
+    return e.select(F.col("user_id").alias("session_id"), F.col("seq").cast("int").alias("seq"),
                     (F.get_json_object("props", "$.k").cast("int") / F.lit(100.0)).alias("prob"))
 
 
@@ -91,10 +92,10 @@ def audio_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def waveforms(spark: SparkSession, sf: str) -> DataFrame:
-    """(clip_id, pos, amp): embeddings of one label concatenated in vec_id order."""
-    e = read_table(spark, sf, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    r = e.select("vec_id", "label", "embedding", (F.dense_rank().over(w) - 1).alias("k"))
+    """(clip_id, pos, amp): embeddings of one label concatenated in vec_id order (vec_ids are unique, so the
+    rank inside a label is a position from ``number_within``)."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    r = number_within(e, ["label"], ["vec_id"], "k")
     return r.select(F.col("label").alias("clip_id"), "k", F.posexplode("embedding").alias("i", "x")).select(
         "clip_id", (F.col("k") * 64 + F.col("i")).alias("pos"), F.col("x").cast("double").alias("amp"))
 

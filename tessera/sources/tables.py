@@ -43,3 +43,27 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
+    """0-based position of each row inside its key group, by ``order``, without one window per key.
+
+    A global sort range-partitions the rows, so a hot key (say a third of all rows) is spread over many
+    tasks.  Per (partition, key) the row count and first local index form a small table (one row per key
+    and partition it touches); prefix sums over it give each piece's offset, joined back on
+    (partition, key) -- a join key that a hot key does not skew.
+    """
+    tagged = df.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)) \
+                   .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
+    pieces = tagged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    return (tagged.join(pieces, ["_pid", *keys])
+            .withColumn(out, F.col("_off") + F.col("_local") - F.col("_first"))
+            .drop("_mid", "_pid", "_local", "_first", "_off"))
+
+
+def with_group_count(df: DataFrame, keys: list[str], out: str = "group_size") -> DataFrame:
+    """Rows per key attached to each row (partial aggregation + join; no window per key)."""
+    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)
