@@ -99,3 +99,21 @@ def test_registry_upsert_and_media_pairs(spark):
     runs = spark.createDataFrame([(1, 0), (1, 1)], "sample_id long, k long")
     media = spark.createDataFrame([(1, 0, "img")], "sample_id long, k long, item string")
     assert lookups.pair_media_runs(runs, media).filter(F.col("item").isNull()).count() == 1
+
+
+def test_vision_scan_and_tool_extraction(spark):
+    from tessera.operators.chat import extract_tools, parse_json_fields
+    from tessera.sources import scan_vision_parquet
+    from tessera.sources.schemas import CONVERSATION
+    d = tempfile.mkdtemp(prefix="tessera-vis-", dir="/tmp")
+    conv = json.dumps([{"role": "system", "content": "s", "tools": "[{\"a\": 1}]"},
+                       {"role": "system", "content": "s2", "tools": ""},
+                       {"role": "user", "content": "<image> hi"}])
+    spark.createDataFrame([(conv, b"img", 1), (conv, b"img2", 2)], "conversations string, image_bytes binary, extra int") \
+        .coalesce(1).write.parquet(os.path.join(d, "v"))
+    df = scan_vision_parquet(spark, os.path.join(d, "v"), max_samples=1, columns=["conversations", "image_bytes"])
+    r = df.first()
+    assert df.count() == 1 and r.image_bytes == [bytearray(b"img")] and r.conversations[2].content == "<image> hi"
+    assert "extra" not in df.columns
+    t = spark.createDataFrame([(conv,)], "c string").select(parse_json_fields("c", CONVERSATION).alias("c"))
+    assert t.select(extract_tools("c").alias("t")).first().t == "[{\"a\": 1}]"
