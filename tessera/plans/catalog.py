@@ -574,3 +574,17 @@ def q_audio_placeholders(spark, sf, seed=42):
     last_user = F.element_at(F.filter("c2", lambda m: m["role"] == "user"), -1)
     return c.filter(F.exists("conversations", lambda m: m["role"] == "user")) \
         .select("conv_id", F.md5(last_user["content"]).alias("last_user_md5"))
+
+
+@register("bpe_compression")
+def q_bpe_compression(spark, sf, extra_merges=100):
+    """T5 -> T6 -> T7/T8/T9: merges trained on all conversation turns, every document encoded with them,
+    per-language compression and round-trip failures (rows-only; encoding parity is tested against the
+    public library)."""
+    from tessera.plans.tokenizer_job import evaluate
+    texts = read_table(spark, sf, "conversations").select("text")
+    merges = bpe.train_bpe(tk.word_counts(texts, "text"), vocab_size=bpe.FIRST_MERGE_ID + extra_merges)
+    merges = merges.persist()
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    out = evaluate(docs, "text", "doc_id", merges, ["lang"])
+    return out.select("lang", "n_rows", "n_tokens", rl.r6("chars_per_token").alias("chars_per_token"), "n_fail")

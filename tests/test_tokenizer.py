@@ -57,3 +57,26 @@ def test_bpe_training_and_encoding_match_library(spark):
 
 def test_byte_ids_are_first_after_specials():
     assert min(BYTE_IDS) == 36 and max(BYTE_IDS) == 291
+
+
+def test_tokenizer_job_end_to_end(spark):
+    import os
+    import tempfile
+
+    from tessera.plans.tokenizer_job import evaluate, train_tokenizer
+    from tessera.sources.sinks import load_tokenizer
+    d = tempfile.mkdtemp(prefix="tessera-tok-", dir="/tmp")
+    corpus = os.path.join(d, "corpus.jsonl")
+    rows = read_table(spark, SF_SMALL, "conversations").orderBy("conv_id", "turn").collect()
+    with open(corpus, "w", encoding="utf-8") as f:
+        for r in rows:
+            f.write(json.dumps({"conversations": [{"role": r.role, "content": r.text}]}, ensure_ascii=False) + "\n")
+        f.write("{broken\n")
+    merges = train_tokenizer(spark, corpus, os.path.join(d, "tok"), vocab_size=bpe.FIRST_MERGE_ID + 20)
+    vocab, saved = load_tokenizer(spark, os.path.join(d, "tok"))
+    assert saved.count() == 20 and vocab.count() == 36 + 256 + 20
+    docs = read_table(spark, SF_SMALL, "documents").select("doc_id", "lang", "text")
+    ev = evaluate(docs, "text", "doc_id", merges, ["lang"]).collect()
+    assert sum(r.n_rows for r in ev) == docs.count() and all(r.n_fail == 0 for r in ev)
+    n_bytes = docs.select(F.sum(F.octet_length("text"))).first()[0]
+    assert sum(r.n_tokens for r in ev) < n_bytes          # merges shorten the byte sequence
