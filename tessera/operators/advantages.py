@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import scalar_of
 from tessera.functions.scan import sorted_group_scan
 
 
@@ -19,9 +20,12 @@ def _with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column]) -> Dat
 
 
 def _with_global_stats(df: DataFrame, aggs: list[Column]) -> DataFrame:
-    """Attach one-row global aggregates by an equi-join on a constant key (broadcast: one row)."""
-    stats = df.groupBy().agg(*aggs).withColumn("_k", F.lit(0))
-    return df.withColumn("_k", F.lit(0)).join(F.broadcast(stats), "_k").drop("_k")
+    """Attach one-row global aggregates as a scalar subquery (computed once, no join)."""
+    stats = df.groupBy().agg(*aggs)
+    sc = scalar_of(stats)
+    for c in stats.columns:
+        df = df.withColumn(c, sc[c])
+    return df
 
 
 # ---- W1 --------------------------------------------------------------------------
@@ -140,7 +144,7 @@ def reward_report(df: DataFrame, by: list[str], key: str = "prompt_id", reward:
     main = df.groupBy(*by).agg(*aggs)
     if by:
         return main.join(g, by, "left")
-    return main.withColumn("_k", F.lit(0)).join(g.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return main.withColumn("mean_group_std", scalar_of(g)["mean_group_std"])
 
 
 def masked_loss(tokens: DataFrame, by: list[str], seq_keys: list[str], loss: str = "loss",

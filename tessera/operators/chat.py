@@ -94,11 +94,12 @@ def add_system_prompt(conv, key, ratio: float = 0.2, seed: int = 42, fields=MESS
 
 
 def strip_empty_think(text, key, keep: float = 0.2, seed: int = 42, tag: str = "think") -> Column:
-    """With probability 1-keep remove every ``<think>\\n\\n</think>\\n\\n`` from the rendered text."""
-    text = _c(text)
+    """With probability 1-keep remove every ``<think>\\n\\n</think>\\n\\n`` from the rendered text.
+
+    Written so the text is referenced once (replacing the block by itself when kept): a text expression
+    repeated under a Python UDF's input trips subexpression elimination in Spark."""
     u = keyed_uniform(key, tag, seed)
-    hit = (F.instr(text, EMPTY_THINK) > 0) & (u > keep)
-    return F.when(hit, F.replace(text, F.lit(EMPTY_THINK), F.lit(""))).otherwise(text)
+    return F.replace(_c(text), F.lit(EMPTY_THINK), F.when(u > keep, F.lit("")).otherwise(F.lit(EMPTY_THINK)))
 
 
 def drop_last_turn(conv) -> Column:
@@ -172,13 +173,12 @@ def split_reasoning(content: Column, reasoning: Column) -> tuple[Column, Column]
     return rc, content2
 
 
-def _message(conv: Column, blocks: Column | None, m: Column, i: Column) -> Column:
-    """One rendered message (rules b-e); ``i`` is 0-based."""
+def _message(conv: Column, m: Column, i: Column, blocks: Column | None = None) -> Column:
+    """One rendered message (rules b-e); ``i`` is 0-based; ``blocks`` = this message's tool-call blocks."""
     content = F.coalesce(m["content"], F.lit(""))
     rc, content2 = split_reasoning(content, m["reasoning_content"])
     if blocks is not None:
-        mine = F.try_element_at(blocks, i + 1)
-        calls = F.coalesce(F.array_join(F.transform(mine, lambda t, k: F.concat(
+        calls = F.coalesce(F.array_join(F.transform(blocks, lambda t, k: F.concat(
             F.when((k > 0) | (F.length(content2) > 0), F.lit("\n")).otherwise(F.lit("")), t)), ""), F.lit(""))
     else:
         calls = F.lit("")
@@ -201,13 +201,18 @@ def render_chat(conv, tools=None, add_generation_prompt=False, open_thinking=Fal
                 tool_call_blocks: Column | None = None) -> Column:
     """The ChatML chat template (rules a-f of SURVEY §2.2) as one native expression.
 
-    ``tools``: a JSON-text column (list of tool schemas) or None.  ``tool_call_blocks``: a column
-    reference holding ``tool_call_blocks(conv)`` (Python UDFs cannot run inside the per-message
-    lambda, so callers materialise it first -- see ``with_rendered_chat``); None = no tool calls.
+    ``tools``: a JSON-text column (list of tool schemas) or None.  ``tool_call_blocks``: the per-message
+    rendered tool calls (``tool_call_blocks(conv)``); None = no tool calls.
     ``add_generation_prompt`` and ``open_thinking`` may be bools or boolean Columns.
     """
     conv = _c(conv)
-    body = F.array_join(F.transform(conv, lambda m, i: _message(conv, tool_call_blocks, m, i)), "")
+    if tool_call_blocks is None:
+        body = F.array_join(F.transform(conv, lambda m, i: _message(conv, m, i)), "")
+    else:
+        # the blocks enter as an argument of the higher-order function (arrays_zip), never inside its
+        # lambda: a Python UDF result folded into a lambda body cannot be evaluated
+        zipped = F.arrays_zip(conv.alias("m"), tool_call_blocks.alias("b"))
+        body = F.array_join(F.transform(zipped, lambda z, i: _message(conv, z["m"], i, z["b"])), "")
     first = F.try_element_at(conv, F.lit(1))
     first_is_system = F.coalesce(first["role"] == "system", F.lit(False))
     header = F.when(first_is_system, F.concat(F.lit("<|im_start|>system\n"), F.coalesce(first["content"], F.lit("")),
@@ -234,12 +239,8 @@ def tool_call_blocks(conv) -> Column:
 def with_rendered_chat(df, conv: str, out: str = "text", tools=None, add_generation_prompt=False,
                        open_thinking=False, tool_calls: bool = True):
     """DataFrame form of P7; set ``tool_calls=False`` for inputs known to carry none (skips the UDF)."""
-    blocks = None
-    if tool_calls:
-        df = df.withColumn("_tc_blocks", tool_call_blocks(conv))
-        blocks = F.col("_tc_blocks")
-    df = df.withColumn(out, render_chat(conv, tools, add_generation_prompt, open_thinking, blocks))
-    return df.drop("_tc_blocks") if tool_calls else df
+    blocks = tool_call_blocks(conv) if tool_calls else None
+    return df.withColumn(out, render_chat(conv, tools, add_generation_prompt, open_thinking, blocks))
 
 
 def _as_col(x) -> Column:
@@ -308,7 +309,7 @@ def truncate_to_turn(conv, key, max_len: int, reserve: int = 100, seed: int = 42
     first_is_system = F.coalesce(first["role"] == "system", F.lit(False))
     header = F.when(first_is_system, _byte_token_count(F.concat(
         F.lit("<|im_start|>system\n"), F.coalesce(first["content"], F.lit("")), F.lit("<|im_end|>\n")))).otherwise(0)
-    piece_n = F.transform(conv, lambda m, i: _byte_token_count(_message(conv, None, m, i)))
+    piece_n = F.transform(conv, lambda m, i: _byte_token_count(_message(conv, m, i)))
     asst = F.filter(F.transform(conv, lambda m, i: F.when(m["role"] == "assistant", i)), lambda x: x.isNotNull())
     n_asst = F.size(asst)
     pick = F.floor(keyed_uniform(key, "turncut", seed) * n_asst).cast("int")   # 0-based among assistants

@@ -99,7 +99,7 @@ def pair_random(left: DataFrame, right: DataFrame, left_key: str, seed: int = 42
     """Each left row draws one right row uniformly (with replacement) by a keyed uniform."""
     from tessera.sources.tables import with_row_index
     r = with_row_index(right, "_rn")
-    n = r.groupBy().agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
-    pick = F.floor(keyed_uniform(left_key, "pair", seed) * F.col("_n")).cast("long")
-    lft = left.withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k").withColumn("_rn", pick).drop("_k", "_n")
+    from tessera.functions.arrays import scalar_of
+    n = scalar_of(r.groupBy().agg(F.count(F.lit(1)).alias("_n")))["_n"]
+    lft = left.withColumn("_rn", F.floor(keyed_uniform(left_key, "pair", seed) * n).cast("long"))
     return lft.join(r, "_rn").drop("_rn")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import scalar_of
 from tessera.sources.tables import with_row_index
 
 
@@ -20,8 +21,8 @@ def epoch_shuffle(df: DataFrame, id_col: str, epoch: int, seed: int = 42) -> Dat
 
 
 def _with_count(df: DataFrame, name: str = "_n") -> DataFrame:
-    stats = df.groupBy().agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(0))
-    return df.withColumn("_k", F.lit(0)).join(F.broadcast(stats), "_k").drop("_k")
+    """Row count attached as a scalar subquery (no join)."""
+    return df.withColumn(name, scalar_of(df.groupBy().agg(F.count(F.lit(1)).alias(name)))[name])
 
 
 def shard_by_rank(df: DataFrame, world: int, pos: str = "pos") -> DataFrame:
@@ -41,8 +42,7 @@ def assign_batches(df: DataFrame, batch_size: int, skip: int = 0, pos: str = "po
     partial batch is kept only when the skip was used up.  ``batch_id`` counts the yielded batches."""
     by = by or []
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    d = df.join(F.broadcast(counts), by) if by else \
-        df.withColumn("_k", F.lit(0)).join(F.broadcast(counts.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    d = df.join(counts, by) if by else df.withColumn("_n", scalar_of(counts)["_n"])
     b = F.floor(F.col(pos) / batch_size)
     full_batches = F.floor(F.col("_n") / batch_size)
     is_full = b < full_batches

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.chat import add_system_prompt, extract_tools, strip_empty_think, with_rendered_chat
 from tessera.operators.sequences import assistant_spans, pad_right, span_labels
-from tessera.operators.tokenizer import encode_bytes, encode_bytes_py
+from tessera.operators.tokenizer import encode_bytes, encode_bytes_native, encode_bytes_py
 from tessera.sources.parquet import conversations_from_turns
 
 ASSISTANT_START = "<|im_start|>assistant\n"
@@ -27,7 +27,9 @@ def sft_samples(conv: DataFrame, key: str = "sample_id", max_len: int = 1024, se
     tools = extract_tools("conversations") if with_tools else None
     df = with_rendered_chat(df, "conversations", "prompt", tools=tools, tool_calls=with_tools)
     df = df.withColumn("prompt", strip_empty_think("prompt", key, keep_empty_think, seed))
-    df = df.withColumn("ids_full", encode_bytes("prompt"))
+    # With tool calls the prompt carries a Python UDF result nested under a higher-order function; a second
+    # Python UDF on top of it is not extracted by Spark, so that path uses the (identical) native encoder.
+    df = df.withColumn("ids_full", encode_bytes_native("prompt") if with_tools else encode_bytes("prompt"))
     df = df.withColumn("input_ids", pad_right("ids_full", max_len))
     df = df.withColumn("spans", assistant_spans("input_ids", bos_seq, eos_seq))
     df = df.withColumn("labels", span_labels("input_ids", "spans", len(eos_seq), max_len))
@@ -45,3 +47,26 @@ def sft_report(turns: DataFrame, max_len: int = 1024, seed: int = 42) -> DataFra
         F.size("spans").cast("long").alias("n_spans"),
         (F.size("ids_full") > max_len).cast("long").alias("truncated"),
     )
+
+
+def build_sft_dataset(spark, jsonl_path: str, out_path: str | None = None, max_len: int = 1024,
+                      batch_size: int = 16, epoch: int = 0, skip_batches: int = 0, seed: int = 42,
+                      mode: str = "errorifexists"):
+    """SURVEY §3.1 as one lazy plan: S2 -> P3 -> P7 -> P4 -> T6 -> Q2 -> Q4/Q5 -> L1 -> L3 -> S10.
+
+    Rows ``(sample_id, epoch, pos, batch_id, input_ids, labels)``; the epoch goes into the shuffle seed,
+    the per-row random draws stay keyed by ``sample_id`` (so the samples are identical across epochs, only
+    their order changes).  Written as parquet when ``out_path`` is given.
+    """
+    from tessera.operators.ordering import assign_batches, epoch_shuffle
+    from tessera.sources.jsonl import scan_sft_jsonl
+
+    conv = scan_sft_jsonl(spark, jsonl_path)
+    s = sft_samples(conv, key="sample_id", max_len=max_len, seed=seed, with_tools=True)
+    s = s.select("sample_id", "input_ids", "labels")
+    ordered = epoch_shuffle(s, "sample_id", epoch, seed)
+    batched = assign_batches(ordered, batch_size, skip_batches)
+    out = batched.select("sample_id", "epoch", "pos", "batch_id", "input_ids", "labels")
+    if out_path:
+        out.write.mode(mode).parquet(out_path)
+    return out

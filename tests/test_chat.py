@@ -95,3 +95,25 @@ def test_drop_last_turn_and_placeholders(spark):
     assert "<|audio_pad|>" * 3 in last_user or last_user == "c"
     assert rows[0].a[0].content == "a <image> b"
     del r
+
+
+def test_sft_dataset_job(spark):
+    import os
+    import tempfile
+
+    from tessera.plans.sft import build_sft_dataset
+    d = tempfile.mkdtemp(prefix="tessera-sft-", dir="/tmp")
+    p = os.path.join(d, "sft.jsonl")
+    tools = json.dumps([{"type": "function", "function": {"name": "f"}}])
+    with open(p, "w", encoding="utf-8") as f:
+        for i in range(40):
+            conv = [{"role": "user", "content": f"question {i}"}, {"role": "assistant", "content": f"answer {i}"}]
+            if i % 10 == 0:
+                conv.insert(0, {"role": "system", "content": "s", "tools": tools})
+            f.write(json.dumps({"conversations": conv}) + "\n")
+    out = build_sft_dataset(spark, p, os.path.join(d, "out"), max_len=1024, batch_size=8, skip_batches=1)
+    rows = spark.read.parquet(os.path.join(d, "out")).collect()
+    assert len(rows) == 32 and sorted({r.batch_id for r in rows}) == [0, 1, 2, 3]
+    assert all(len(r.input_ids) == 1024 and len(r.labels) == 1024 for r in rows)
+    assert all(any(x != -100 for x in r.labels) for r in rows)
+    assert out.count() == 32
