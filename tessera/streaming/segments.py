@@ -104,11 +104,24 @@ def speech_segments(chunks: DataFrame, thr: float = 0.5, min_speech: int = 2048,
     return sorted_group_scan(chunks.select(*cols), [key], [seq], fn, EVENT_SCHEMA)
 
 
+def drain(st: dict, pend: dict, thr: float, min_speech: int, min_silence: int, skip_gap: bool = False) -> list:
+    """Consume buffered windows in seq order from ``next_seq``; with ``skip_gap`` first jump over missing
+    windows to the earliest buffered one (the time-out policy for lost windows)."""
+    out = []
+    if skip_gap and pend and st["next_seq"] not in pend:
+        st["next_seq"] = min(pend)
+    while st["next_seq"] in pend:
+        p, g = pend.pop(st["next_seq"])
+        step(st, st["next_seq"], p, g, thr, min_speech, min_silence, out)
+    return out
+
+
 def speech_segments_stream(chunks: DataFrame, thr: float = 0.5, min_speech: int = 2048, min_silence: int = 12800,
                            key: str = "session_id", seq: str = "seq", prob: str = "prob",
                            generating: str | None = None) -> DataFrame:
     """Streaming form with keyed state; windows are consumed in seq order starting at 0, later windows
-    wait in state until the gap before them is filled."""
+    wait in state until the gap before them is filled.  (``drain(skip_gap=True)`` is the policy for
+    lost windows; wiring it to a state time-out is open -- see README.)"""
     cols = [key, seq, prob] + ([generating] if generating else [])
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -123,10 +136,7 @@ def speech_segments_stream(chunks: DataFrame, thr: float = 0.5, min_speech: int
             for s, p, g in zip(pdf[seq].to_numpy(), pdf[prob].to_numpy(), gens):
                 if int(s) >= st["next_seq"]:
                     pend[int(s)] = (float(p), bool(g))
-        out = []
-        while st["next_seq"] in pend:
-            p, g = pend.pop(st["next_seq"])
-            step(st, st["next_seq"], p, g, thr, min_speech, min_silence, out)
+        out = drain(st, pend, thr, min_speech, min_silence)
         keys = sorted(pend)
         state.update(tuple(st[f] for f in STATE_FIELDS) +
                      (keys, [pend[s][0] for s in keys], [pend[s][1] for s in keys]))

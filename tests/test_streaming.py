@@ -54,3 +54,12 @@ def test_split_deltas():
     out = split_deltas_py(["abc</thi", "nk>\n\nhel", "lo"])
     assert out == [(0, "reasoning", "abc</thi"), (1, "content", "hel"), (2, "content", "lo"), (2, "finish", "stop")]
     assert split_deltas_py(["x"], open_thinking=False) == [(0, "content", "x"), (0, "finish", "stop")]
+
+
+def test_gap_policy_waits_then_skips():
+    from tessera.streaming.segments import drain
+    st = new_state()
+    pend = {0: (0.9, False), 1: (0.9, False), 3: (0.9, False)}
+    assert drain(st, pend, 0.5, 2048, 12800) == [] and st["next_seq"] == 2 and list(pend) == [3]
+    drain(st, pend, 0.5, 2048, 12800, skip_gap=True)
+    assert st["next_seq"] == 4 and pend == {} and st["speech"] == 3 * 512
