@@ -588,3 +588,22 @@ def q_bpe_compression(spark, sf, extra_merges=100):
     docs = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "text"))
     out = evaluate(docs, "text", "doc_id", merges, ["lang"])
     return out.select("lang", "n_rows", "n_tokens", rl.r6("chars_per_token").alias("chars_per_token"), "n_fail")
+
+
+@register("voice_names", oracles.voice_names_sql())
+def q_voice_names(spark, sf):
+    """Candidate voice names derived from nations (plain, padded with region, reserved, blank)
+    validated against a registry (nations with key mod 3 = 0 builtin, = 1 manual)."""
+    n = read_table(spark, sf, "nation")
+    r = read_table(spark, sf, "region")
+    k = F.col("n_nationkey") % 4
+    cand = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        "n_nationkey",
+        F.when(k == 0, F.col("n_name"))
+         .when(k == 1, F.concat(F.col("n_name"), F.lit("  \t"), F.col("r_name"), F.lit(" ")))
+         .when(k == 2, F.lit("Default")).otherwise(F.lit("  ")).alias("name"))
+    reg = n.filter(F.col("n_nationkey") % 3 != 2).select(
+        F.col("n_name").alias("name"),
+        F.when(F.col("n_nationkey") % 3 == 0, F.lit("builtin")).otherwise(F.lit("manual")).alias("grp"))
+    out = ch.validate_voice_names(cand, reg)
+    return out.select("n_nationkey", "voice", F.coalesce("reject", F.lit("ok")).alias("verdict"))
