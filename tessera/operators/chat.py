@@ -15,8 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.rand import keyed_uniform, keyed_uniform_sql
-from tessera.functions.text import py_strip, sql_str
+from tessera.functions.rand import keyed_uniform
+from tessera.functions.text import py_strip
 
 # --- fixed values ---------------------------------------------------------------
 SYSTEM_PROMPTS = [

@@ -418,7 +418,6 @@ def q_bpe_train(spark, sf, extra_merges=100):
 # ---- preference pairs, batching, corpus reports -----------------------------------------------
 
 from tessera.plans.sft import ASSISTANT_START, TURN_END  # noqa: E402
-from tessera.sources.tables import with_row_index  # noqa: E402
 
 
 @register("preference_pairs", oracles.preference_pairs_sql())

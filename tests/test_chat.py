@@ -83,9 +83,6 @@ def test_system_prompt_and_empty_think_are_keyed_and_skip_rules(spark):
 def test_drop_last_turn_and_placeholders(spark):
     df = _conv(spark, [[{"role": "user", "content": "a <image> b"}, {"role": "assistant", "content": "x"},
                         {"role": "user", "content": "c"}], []])
-    r = df.select(drop_last_turn("conversations").alias("p"),
-                  expand_image_placeholder("conversations", 2).alias("e"),
-                  insert_audio_placeholder("conversations", 3, "k").alias("a")).orderBy(F.col("k") if False else F.lit(1))
     rows = df.select("k", drop_last_turn("conversations").alias("p"),
                      expand_image_placeholder("conversations", 2).alias("e"),
                      insert_audio_placeholder("conversations", 3, "k").alias("a")).orderBy("k").collect()
@@ -94,7 +91,6 @@ def test_drop_last_turn_and_placeholders(spark):
     last_user = rows[0].a[2].content
     assert "<|audio_pad|>" * 3 in last_user or last_user == "c"
     assert rows[0].a[0].content == "a <image> b"
-    del r
 
 
 def test_sft_dataset_job(spark):
