@@ -152,6 +152,12 @@ def q_speech_segments(spark, sf):
     return xs.speech_segments(fx.audio_chunks(spark, sf), **SEG_ARGS)
 
 
+@register("speech_interrupts")
+def q_speech_interrupts(spark, sf):
+    """Segments plus an interrupt when speech starts while a reply is being generated."""
+    return xs.speech_segments(fx.audio_chunks(spark, sf), generating="generating", **SEG_ARGS)
+
+
 @register("speech_segments_stream")
 def q_speech_segments_stream(spark, sf):
     """X1 as a Structured Streaming job with keyed state; must equal the batch form."""

@@ -77,11 +77,13 @@ def token_logps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audio_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """(session_id, seq, prob): one 512-sample window per event."""
-    e = read_table(spark, sf, "events").select("event_id", "ts", "user_id", "props")
+    """(session_id, seq, prob, generating): one 512-sample window per event; a reply is in progress on
+    'view' events (drives X2 interrupts)."""
+    e = read_table(spark, sf, "events").select("event_id", "ts", "user_id", "props", "event_type")
     e = number_within(e, ["user_id"], ["ts", "event_id"], "seq")
     return e.select(F.col("user_id").alias("session_id"), F.col("seq").cast("int").alias("seq"),
-                    (F.get_json_object("props", "$.k").cast("int") / F.lit(100.0)).alias("prob"))
+                    (F.get_json_object("props", "$.k").cast("int") / F.lit(100.0)).alias("prob"),
+                    (F.col("event_type") == "view").alias("generating"))
 
 
 def audio_codes(spark: SparkSession, sf: str) -> DataFrame:
