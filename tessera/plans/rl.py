@@ -51,6 +51,7 @@ def sequence_advantages(tokens: DataFrame) -> DataFrame:
 
 def policy_losses(tokens: DataFrame, beta: float = 0.1) -> DataFrame:
     """A13 with A9's per-sequence normalisation: mean over sequences of the masked token mean."""
+    tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)     # read twice: per-sequence rewards and the losses
     t = tokens.join(sequence_advantages(tokens), ["prompt_id", "gen_id"])
     t = adv.policy_loss_terms(t, "advantage", beta=beta)
     m = F.col("mask")

@@ -13,6 +13,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Write the id-tagged rows once (reliable checkpoint in the shared folder): they are read twice --
+    for the per-partition counts and for the join back -- and both reads must see the same partition ids,
+    which two separate executions (e.g. under different shuffle coalescing) would not guarantee."""
+    from tessera.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def with_row_index(df: DataFrame, col: str = "row_index") -> DataFrame:
     """0-based position of each row in the DataFrame's current order, without a global window.
 
@@ -23,6 +32,7 @@ def with_row_index(df: DataFrame, col: str = "row_index") -> DataFrame:
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)) \
                    .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
+    tagged = _materialise(tagged)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -56,6 +66,7 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "
     tagged = df.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)) \
                    .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
+    tagged = _materialise(tagged)
     pieces = tagged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
