@@ -45,3 +45,19 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 
 
 QUALITY = _quality()
+
+
+def _warc() -> str:
+    five = " || ".join(
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {10 * g + 1}, 10))::bigint // {32 ** (7 - k)} % 32)::int + 1, 1)"
+        for g in range(4) for k in range(8))
+    return f"""
+with d as (select page_id, coalesce(html, '') as t from pages),
+x as (select page_id, octet_length(encode(t))::bigint as payload_bytes, sha1(t) as h from d),
+y as (select page_id, payload_bytes, {five} as payload_digest, min(page_id) over (partition by h, payload_bytes) as first_page from x)
+select page_id, payload_bytes, payload_digest, case when first_page = page_id then 'response' else 'revisit' end as record_type,
+  case when first_page <> page_id then first_page end as refers_to from y
+"""
+
+
+WARC = _warc()

@@ -10,10 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, oracles, quality, toxicity
+from tessera.llm import chat, licenses, oracles, packing, quality, rans, token_counts, toxicity, warc
 from tessera.llm.common import held_out
 from tessera.sources.tables import read_table
 
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers' files lie; the operators take the path as a parameter."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -41,8 +49,43 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op6_chat")
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.round_trip(turns.unionByName(probe))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packed.withColumn("length", F.col("length").cast("long"))
+
+
 @query("op8_quality", oracles.QUALITY)
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.apply_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_token_ids")
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rans.round_trip(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op10_warc", oracles.WARC)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return captures.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
+                           F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
+                           F.col("response.refers_to").alias("refers_to"))
