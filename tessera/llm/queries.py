@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, licenses, oracles, packing, quality, rans, token_counts, toxicity, warc
+from tessera.llm import chat, decontam, licenses, oracles, packing, quality, rans, token_counts, toxicity, warc
 from tessera.llm.common import held_out
 from tessera.sources.tables import read_table
 
@@ -49,6 +49,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.tilings(docs, read_table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
