@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, licenses, oracles, packing, quality, rans, token_counts, toxicity, warc
+from tessera.llm import chat, decontam, dedup, licenses, oracles, packing, quality, rans, token_counts, toxicity, warc
 from tessera.llm.common import held_out
 from tessera.sources.tables import read_table
 
@@ -43,6 +43,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op2_near_dedup")
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.classes(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 @query("op3_licenses")
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
