@@ -38,45 +38,48 @@ def group_advantage(df: DataFrame, key: str = "prompt_id", reward: str = "reward
 
 # ---- W2 / A17 ----------------------------------------------------------------------
 
-def _gae_frames(gamma: float, lam: float):
+def _gae_frames(gamma: float, lam: float, mask: str | None):
     def fn(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         v = pdf["v"].to_numpy(dtype=np.float64)
-        r = pdf["reward"].to_numpy(dtype=np.float64)
-        nxt = np.append(v[1:], 0.0)
-        nxt[bounds[1:] - 1] = 0.0                     # V after each sequence's last token = 0
-        delta = (r + gamma * nxt - v).tolist()
-        adv = [0.0] * len(delta)
-        c = gamma * lam
-        ends = set((bounds[1:] - 1).tolist())
-        acc = 0.0
-        for t in range(len(delta) - 1, -1, -1):
-            if t in ends:
-                acc = 0.0
-            acc = delta[t] + c * acc
-            adv[t] = acc
+        if mask:
+            v = v * pdf[mask].to_numpy(dtype=np.float64)
+        last = np.repeat(bounds[1:] - 1, np.diff(bounds))   # each row's last row of its sequence
+        at = np.arange(len(v))
+        nxt = np.where(at < last, v[np.minimum(at + 1, len(v) - 1)], 0.0)
+        adv = pdf["reward"].to_numpy(dtype=np.float64) + gamma * nxt - v
+        # A_t = sum of c^k delta_{t+k}: windows of 1, 2, 4, ... rows, each made of two of half the length
+        step, c = 1, gamma * lam
+        while step <= (last - at).max(initial=0):
+            more = np.flatnonzero(at + step <= last)
+            longer = adv.copy()
+            longer[more] += c ** step * adv[more + step]
+            adv, step = longer, 2 * step
         out = pdf.drop(columns=["v", "reward"])
         out["advantage"] = adv
-        out["ret"] = np.asarray(adv) + v
+        out["ret"] = adv + v
         return out
     return fn
 
 
 def gae(tokens: DataFrame, keys: tuple[str, ...] = ("prompt_id", "gen_id"), gamma: float = 1.0,
-        lam: float = 0.95) -> DataFrame:
-    """Generalised advantage estimation per sequence, exactly as the backward recursion
-    ``A_t = delta_t + gamma*lam*A_{t+1}``, ``delta_t = r_t + gamma*V_{t+1} - V_t`` (V after the end = 0).
+        lam: float = 0.95, mask: str | None = "mask") -> DataFrame:
+    """Generalised advantage estimation per sequence, ``A_t = delta_t + gamma*lam*A_{t+1}``,
+    ``delta_t = r_t + gamma*V_{t+1} - V_t``; V counts as 0 outside the response mask and after the end.
 
     Rows are hash-partitioned by sequence and sorted by position inside each partition; one ordered
     scan per partition (``sorted_group_scan``).  The closed form ``sum(delta*c^k)/c^t`` is avoided because
     c^k underflows on long sequences.
     """
+    mask = mask if mask in tokens.columns else None
     cols = list(keys) + ["pos", "v", "reward"]
     extra = [c for c in tokens.columns if c not in cols]
     data = tokens.select(*keys, "pos", *extra, "v", "reward")
     schema = tokens.select(*keys, "pos", *extra).schema.add("advantage", "double").add("ret", "double")
-    return sorted_group_scan(data, list(keys), ["pos"], _gae_frames(gamma, lam), schema)
+    return sorted_group_scan(data, list(keys), ["pos"], _gae_frames(gamma, lam, mask), schema)
 
 
+# ---- A17 ----------------------------------------------------------------------------
+
 def whiten(df: DataFrame, col: str = "advantage", mask: str = "mask", out: str | None = None) -> DataFrame:
     """Masked global mean / population variance, ``(a - m) * (var + 1e-8)^-1/2 * mask``.
 
@@ -95,12 +98,14 @@ def whiten(df: DataFrame, col: str = "advantage", mask: str = "mask", out: str |
 # ---- W3 / W4 / W5 --------------------------------------------------------------------
 
 def top_k(scored: DataFrame, k: int = 50, key: str = "grp", score: str = "score", item: str = "item",
-          salt_buckets: int = 16) -> DataFrame:
+          salt_buckets: int | None = None) -> DataFrame:
     """Per group keep the items whose score is >= the k-th largest (ties kept).
 
     Two steps so a hot group is never ranked in one task: rank inside (group, salt) buckets and keep
-    rank <= k (a superset of the answer), then rank the <= salt_buckets*k survivors per group.
+    rank <= k (a superset of the answer), then rank the <= salt_buckets*k survivors per group.  The number of buckets
+    follows the session's shuffle partitions unless given.
     """
+    salt_buckets = salt_buckets or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(item), F.lit(salt_buckets))
     b = scored.withColumn("_salt", salt)
     w1 = Window.partitionBy(key, "_salt").orderBy(F.col(score).desc())
@@ -155,7 +160,7 @@ def masked_loss(tokens: DataFrame, by: list[str], seq_keys: list[str], loss: str
     seq = per_seq.groupBy(*by).agg(
         F.avg(F.col("_ls") / F.greatest(F.col("_ms"), F.lit(1))).alias("seq_mean"),
         F.avg(F.when(F.col("_ms") > 0, F.col("_ls") / F.col("_ms"))).alias("seq_mean_nonempty"),
-        (F.sum("_ls") / F.sum("_ms")).alias("token_mean"),
+        F.try_divide(F.sum("_ls"), F.sum("_ms")).alias("token_mean"),   # null without a valid token
         (F.sum("_ls") / (F.sum("_ms") + 1e-8)).alias("token_mean_eps"))
     return seq
 

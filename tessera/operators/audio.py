@@ -80,7 +80,7 @@ def audio_quality(samples: DataFrame, key: str = "clip_id", pos: str = "pos", am
 
 def augment_signal(arr, key, seed: int = 42) -> Column:
     """G1 (array-simple part): gain x U(0.8,1.2) with p=0.3, moving average k in {3,5,7} with p=0.2
-    (window clipped at the edges), clip to [-1, 1].  Draws are keyed by row."""
+    (zeros beyond the edges), clip to [-1, 1].  Draws are keyed by row."""
     a = _c(arr)
     g_on = keyed_uniform(key, "gain_p", seed) < 0.3
     gain = F.when(g_on, 0.8 + 0.4 * keyed_uniform(key, "gain", seed)).otherwise(F.lit(1.0))
@@ -94,7 +94,7 @@ def augment_signal(arr, key, seed: int = 42) -> Column:
         return F.transform(arr_, lambda x, i: F.aggregate(
             F.slice(arr_, F.greatest(i - half, F.lit(0)).cast("int") + 1,
                     (F.least(i + half, n - 1) - F.greatest(i - half, F.lit(0)) + 1).cast("int")),
-            F.lit(0.0), lambda s_, y: s_ + y) / (F.least(i + half, n - 1) - F.greatest(i - half, F.lit(0)) + 1))
+            F.lit(0.0), lambda s_, y: s_ + y) / k)
 
     from tessera.functions.arrays import let
     a = F.when(ma_on, let(a, smooth)).otherwise(a)
@@ -103,13 +103,13 @@ def augment_signal(arr, key, seed: int = 42) -> Column:
 
 def mask_features(frames, n_dims: int, key, seed: int = 42, max_f: int = 64, max_t: int = 10) -> Column:
     """G2 on a flattened (T x n_dims) frame array: with p=0.5 zero f in [1,max_f] consecutive dims,
-    with p=0.5 zero t in [1, min(max_t, T)] consecutive frames."""
+    with p=0.5 zero t in [1, min(max_t, T)] consecutive frames if there are at least two."""
     a = _c(frames)
     t_len = (F.size(a) / n_dims).cast("int")
     f_on = keyed_uniform(key, "fm_p", seed) < 0.5
     f = (F.floor(keyed_uniform(key, "fm_w", seed) * F.least(F.lit(max_f), F.lit(n_dims))) + 1).cast("int")
     f0 = F.floor(keyed_uniform(key, "fm_0", seed) * (F.lit(n_dims) - f + 1)).cast("int")
-    t_on = keyed_uniform(key, "tm_p", seed) < 0.5
+    t_on = (keyed_uniform(key, "tm_p", seed) < 0.5) & (t_len > 1)
     t = (F.floor(keyed_uniform(key, "tm_w", seed) * F.least(F.lit(max_t), t_len)) + 1).cast("int")
     t0 = F.floor(keyed_uniform(key, "tm_0", seed) * (t_len - t + 1)).cast("int")
 

@@ -258,11 +258,13 @@ def expand_image_placeholder(conv, n: int = 64, fields=MESSAGE_FIELDS) -> Column
 
 
 def place_image_tag(content, key, seed: int = 42) -> Column:
-    """Remove every ``<image>``, strip, then put one back: u<0.2 front+\\n; <0.4 front+\\n\\n;
-    <0.6 back after \\n; else back after \\n\\n."""
+    """In a text that holds ``<image>``, remove every one, strip, then put one back: u<0.2 front+\\n;
+    <0.4 front+\\n\\n; <0.6 back after \\n; else back after \\n\\n.  Other texts stay."""
+    text = _c(content)
     c = py_strip(F.replace(_c(content), F.lit("<image>"), F.lit("")))
     u = keyed_uniform(key, "imgtag", seed)
-    return (F.when(u < 0.2, F.concat(F.lit("<image>\n"), c))
+    return (F.when(~F.contains(text, F.lit("<image>")), text)
+            .when(u < 0.2, F.concat(F.lit("<image>\n"), c))
             .when(u < 0.4, F.concat(F.lit("<image>\n\n"), c))
             .when(u < 0.6, F.concat(c, F.lit("\n<image>")))
             .otherwise(F.concat(c, F.lit("\n\n<image>"))))

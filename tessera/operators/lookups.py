@@ -77,9 +77,9 @@ def unit_convert(calls: DataFrame, spark: SparkSession) -> DataFrame:
 
 def registry_upsert(reg: DataFrame, updates: DataFrame, name: str = "name", grp: str = "grp",
                     deletes: DataFrame | None = None) -> DataFrame:
-    """A name lives in exactly one group; priority builtin < unseen < manual loads, first load wins
-    within a group, manual overrides; deletes only remove manual entries."""
-    prio = F.when(F.col(grp) == "manual", 3).when(F.col(grp) == "unseen", 2).otherwise(1)
+    """A name lives in exactly one group.  Groups load builtin, unseen, manual: the first load of a name stays,
+    but manual overrides; deletes only remove manual entries."""
+    prio = F.when(F.col(grp) == "manual", 3).when(F.col(grp) == "builtin", 2).otherwise(1)
     allr = reg.withColumn("_o", F.lit(0)).unionByName(updates.withColumn("_o", F.lit(1)))
     w = Window.partitionBy(name).orderBy(prio.desc(), F.col("_o"))
     out = allr.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "_o")

@@ -26,14 +26,15 @@ def _with_count(df: DataFrame, name: str = "_n") -> DataFrame:
 
 
 def shard_by_rank(df: DataFrame, world: int, pos: str = "pos") -> DataFrame:
-    """L2: rank = pos mod world after padding to a multiple of world by wrapping to the start
-    (the padded rows repeat the first rows); adds ``shard`` and ``local_pos``."""
+    """L2: rank = pos mod world after padding to a multiple of world by going round from the start, as often as
+    needed; adds ``shard`` and ``local_pos``.  One count serves all rows; a row repeats itself in place."""
     c = _with_count(df)
-    total = F.ceil(F.col("_n") / world) * world
-    pad = c.filter(F.col(pos) < total - F.col("_n")).withColumn(pos, F.col(pos) + F.col("_n"))
-    both = c.unionByName(pad)
+    n, p = F.col("_n"), F.col(pos)
+    total = F.expr(f"(_n + {world - 1}) div {world} * {world}")
+    again = F.sequence(p, total - 1, n)     # p, p + n, p + 2n, ... below the total
+    both = c.withColumn(pos, F.explode(again))
     return (both.withColumn("shard", F.pmod(F.col(pos), F.lit(world)).cast("int"))
-            .withColumn("local_pos", F.floor(F.col(pos) / world).cast("long")).drop("_n"))
+            .withColumn("local_pos", F.expr(f"{pos} div {world}")).drop("_n"))
 
 
 def assign_batches(df: DataFrame, batch_size: int, skip: int = 0, pos: str = "pos",
@@ -43,8 +44,8 @@ def assign_batches(df: DataFrame, batch_size: int, skip: int = 0, pos: str = "po
     by = by or []
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     d = df.join(counts, by) if by else df.withColumn("_n", scalar_of(counts)["_n"])
-    b = F.floor(F.col(pos) / batch_size)
-    full_batches = F.floor(F.col("_n") / batch_size)
+    b = F.expr(f"{pos} div {batch_size}")
+    full_batches = F.expr(f"_n div {batch_size}")
     is_full = b < full_batches
     keep = (b >= skip) & (is_full | (full_batches >= skip))
     return d.withColumn("batch_id", (b - skip).cast("long")).filter(keep).drop("_n")

@@ -50,7 +50,7 @@ def strip_think_api(text) -> tuple[Column, Column]:
     has_end = F.instr(text, "</think>") > 0
     parts = F.split(text, "</think>", 2)
     reasoning = F.when(has_pair, reasoning_pair).when(has_end, py_strip(F.element_at(parts, 1)))
-    content = F.when(has_pair, content_pair).when(has_end, py_strip(F.element_at(parts, 2))).otherwise(text)
+    content = F.when(has_pair, content_pair).when(has_end, py_strip(F.element_at(parts, 2))).otherwise(py_strip(text))
     return content, reasoning
 
 
@@ -84,33 +84,51 @@ def parse_tool_arguments(raw) -> Column:
 
 
 def tool_result_text(result_json, limit: int = 2048) -> Column:
-    """The tool result's JSON text, or ``{"error": "tool not found"}`` when empty; cut to 2048 chars."""
+    """The tool result's JSON text, or ``{"error": "tool not found"}`` when missing or empty (``{}``, ``[]``, ``null``,
+    ``""``, ``0``, ``false``); cut to ``limit`` characters, the tool protocol's own limit."""
     r = _c(result_json)
-    return F.left(F.when(F.coalesce(F.length(r), F.lit(0)) > 0, r)
+    return F.left(F.when(~F.coalesce(F.trim(r), F.lit("")).isin("", "{}", "[]", "null", '""', "0", "0.0", "false"), r)
                   .otherwise(F.lit('{"error": "tool not found"}')), F.lit(limit))
 
 
 # ---- U2 / J3: argument predicates ---------------------------------------------------
 
-def truthy(v: Column) -> Column:
-    """Python truthiness of a JSON value read as text (null, "", 0, false, [] and {} are false)."""
-    return v.isNotNull() & ~v.isin("", "0", "0.0", "false", "[]", "{}")
+class Arguments:
+    """The arguments of a call with their JSON types kept."""
 
+    def __init__(self, raw: Column):
+        self.parsed = F.try_parse_json(raw)
 
-# name -> predicate over the parsed argument map (a registry of SQL expressions)
+    def _of(self, key: str) -> tuple[Column, Column]:
+        own = F.try_variant_get(self.parsed, f"$.{key}", "variant")
+        return F.schema_of_variant(own), F.try_variant_get(self.parsed, f"$.{key}", "string")
+
+    def has(self, key: str) -> Column:
+        """The key is there with a value other than null."""
+        return F.coalesce(self._of(key)[0] != "VOID", F.lit(False))
+
+    def truthy(self, key: str) -> Column:
+        """False for a missing key, null, an empty string, list or object, false, and zero; the string "0" is true."""
+        kind, text = self._of(key)
+        return F.coalesce(F.when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true")
+                          .when(kind.startswith("ARRAY"), text != "[]").when(kind.startswith("OBJECT"), text != "{}")
+                          .when(kind == "VOID", F.lit(False)).otherwise(text.try_cast("double") != 0), F.lit(False))
+
+
+# name -> predicate over the call's arguments (a registry of SQL expressions)
 ARG_PREDICATES = {
-    "calculate_math": lambda a: truthy(a["expression"]),
-    "unit_converter": lambda a: a["value"].isNotNull() & truthy(a["from_unit"]) & truthy(a["to_unit"]),
-    "get_current_weather": lambda a: truthy(a["location"]),
+    "calculate_math": lambda a: a.truthy("expression"),
+    "unit_converter": lambda a: a.has("value") & a.truthy("from_unit") & a.truthy("to_unit"),
+    "get_current_weather": lambda a: a.truthy("location"),
     "get_current_time": lambda a: F.lit(True),
-    "get_exchange_rate": lambda a: truthy(a["from_currency"]) & truthy(a["to_currency"]),
-    "translate_text": lambda a: truthy(a["text"]) & truthy(a["target_language"]),
+    "get_exchange_rate": lambda a: a.truthy("from_currency") & a.truthy("to_currency"),
+    "translate_text": lambda a: a.truthy("text") & a.truthy("target_language"),
 }
 
 
 def call_is_valid(call: Column, tool_names: Column) -> Column:
     """J3 for one call: its name is among the task's tools and its argument predicate holds."""
-    args = parse_tool_arguments(call["arguments"])
+    args = Arguments(call["arguments"])
     pred = F.lit(False)
     for name, fn in reversed(list(ARG_PREDICATES.items())):
         pred = F.when(call["name"] == name, fn(args)).otherwise(pred)

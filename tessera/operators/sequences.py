@@ -153,14 +153,15 @@ def placeholder_runs(tokens, key: str, pos: str = "pos", tid: str = "token_id",
     return runs.withColumn("k", F.row_number().over(wk) - 1).drop("_isl")
 
 
-def skip_think_prefix(ids, start, marker: list[int], window: int = 50) -> Column:
-    """Q22: if ``marker`` (``</think>\\n\\n``) starts within ``window`` positions from ``start`` (1-based),
-    return the position after it, else ``start``."""
+def skip_think_prefix(ids, start, marker: list[int], window: int = 50, end=None) -> Column:
+    """Q22: if ``marker`` (``</think>\\n\\n``) starts within ``window`` positions from ``start`` (1-based) and before
+    ``end`` (the span's first position outside, default: after the ids), return the position after it, else ``start``."""
     ids = _c(ids)
     s = start if isinstance(start, Column) else F.lit(start)
+    stop = F.size(ids) + 1 if end is None else end if isinstance(end, Column) else F.lit(end)
     arr = _ints(marker)
-    cand = F.filter(F.sequence(s, F.least(s + window - 1, F.size(ids))),
-                    lambda i: F.slice(ids, i, len(marker)) == arr)
+    last = F.least(s + window, stop, F.size(ids) + 1) - 1
+    cand = F.when(last >= s, F.filter(F.sequence(s, last), lambda i: F.slice(ids, i, len(marker)) == arr))
     return F.coalesce(F.try_element_at(cand, F.lit(1)) + len(marker), s)
 
 

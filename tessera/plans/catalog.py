@@ -262,8 +262,8 @@ def q_image_runs(spark, sf):
 
 @register("image_tags", oracles.image_tags_sql())
 def q_image_tags(spark, sf):
-    """Re-place the image tag in every turn that has one."""
-    t = fx.image_tagged_turns(spark, sf).filter(F.instr("text", "<image>") > 0)
+    """Every turn; the image tag of those that have one is placed anew."""
+    t = fx.image_tagged_turns(spark, sf)
     key = F.col("conv_id") * 1000 + F.col("turn")
     return t.select("conv_id", "turn", F.md5(ch.place_image_tag("text", key)).alias("tagged_md5"))
 

@@ -28,7 +28,7 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
                   .when(mode == 1, F.concat(F.substring(t, 1, 60), F.lit("</think>"), F.expr("substring(text, 61)")))
                   .when(mode == 2, F.concat(t, F.lit(TOOL_CALL_RATE)))
                   .when(mode == 3, F.concat(t, F.lit(TOOL_CALL_BAD)))
-                  .when(mode == 4, F.concat_ws(" ", F.substring(t, 1, 40), F.substring(t, 1, 40), F.substring(t, 1, 40)))
+                  .when(mode == 4, F.concat_ws(" ", t, t, t))
                   .otherwise(F.concat(F.lit("<tool_call>"), t)))
     return a.select(F.col("conv_id").alias("prompt_id"), (F.row_number().over(w) - 1).cast("long").alias("gen_id"),
                     "turn", mode.alias("mode"), completion.alias("completion"))

@@ -144,7 +144,7 @@ ROLLOUTS_CTE = f"""rollouts AS (
            WHEN 1 THEN substr(text, 1, 60) || '</think>' || substr(text, 61)
            WHEN 2 THEN text || {q(TOOL_CALL_RATE)}
            WHEN 3 THEN text || {q(TOOL_CALL_BAD)}
-           WHEN 4 THEN substr(text, 1, 40) || ' ' || substr(text, 1, 40) || ' ' || substr(text, 1, 40)
+           WHEN 4 THEN text || ' ' || text || ' ' || text
            ELSE '<tool_call>' || text END AS completion
   FROM conversations WHERE role = 'assistant')"""
 
@@ -168,23 +168,29 @@ TOKENS_CTE = """tokens AS (
   FROM events)"""
 
 
-def _arg(x: str, key: str) -> str:
+def _arg(x: str, key: str) -> tuple[str, str]:
     raw_t = f"json_type({x}, '$.arguments')"
     s = f"json_extract_string({x}, '$.arguments')"
     args = (f"(CASE WHEN {raw_t} = 'VARCHAR' THEN (CASE WHEN json_valid({s}) THEN {s} ELSE '{{}}' END) "
             f"WHEN {raw_t} = 'OBJECT' THEN CAST(json_extract({x}, '$.arguments') AS VARCHAR) ELSE '{{}}' END)")
-    return f"json_extract_string({args}, '$.{key}')"
+    return args, key
 
 
-def _truthy(v: str) -> str:
-    return f"({v} IS NOT NULL AND {v} NOT IN ('', '0', '0.0', 'false', '[]', '{{}}'))"
+def _text(arg) -> str:
+    return f"json_extract_string({arg[0]}, '$.{arg[1]}')"
+
+
+def _truthy(arg) -> str:
+    t, s = f"json_type({arg[0]}, '$.{arg[1]}')", _text(arg)
+    return (f"coalesce(CASE {t} WHEN 'VARCHAR' THEN {s} <> '' WHEN 'BOOLEAN' THEN {s} = 'true' WHEN 'ARRAY' THEN {s} <> '[]' "
+            f"WHEN 'OBJECT' THEN {s} <> '{{}}' WHEN 'NULL' THEN false ELSE try_cast({s} AS DOUBLE) <> 0 END, false)")
 
 
 def _valid_call(x: str, tools: str) -> str:
     name = f"json_extract_string({x}, '$.name')"
     a = lambda k: _truthy(_arg(x, k))
     pred = (f"CASE {name} WHEN 'calculate_math' THEN {a('expression')} "
-            f"WHEN 'unit_converter' THEN ({_arg(x, 'value')} IS NOT NULL AND {a('from_unit')} AND {a('to_unit')}) "
+            f"WHEN 'unit_converter' THEN ({_text(_arg(x, 'value'))} IS NOT NULL AND {a('from_unit')} AND {a('to_unit')}) "
             f"WHEN 'get_current_weather' THEN {a('location')} WHEN 'get_current_time' THEN true "
             f"WHEN 'get_exchange_rate' THEN ({a('from_currency')} AND {a('to_currency')}) "
             f"WHEN 'translate_text' THEN ({a('text')} AND {a('target_language')}) ELSE false END")
@@ -245,12 +251,13 @@ FROM b
 """
 
 
-def gae_whiten_sql(gamma: float = 1.0, lam: float = 0.95) -> str:
+def gae_whiten_sql(gamma: float = 1.0, lam: float = 0.95, tokens: str = TOKENS_CTE) -> str:
     c = gamma * lam
     return f"""
-WITH {TOKENS_CTE},
+WITH {tokens},
+t0 AS (SELECT * REPLACE (v * mask AS v) FROM tokens),
 d AS (
-  SELECT *, reward + {gamma} * lead(v, 1, 0.0) OVER (PARTITION BY gen_id ORDER BY pos) - v AS delta FROM tokens
+  SELECT *, reward + {gamma} * lead(v, 1, 0.0) OVER (PARTITION BY gen_id ORDER BY pos) - v AS delta FROM t0
 ), a AS (
   SELECT *, sum(delta * pow({c}, pos)) OVER (PARTITION BY gen_id ORDER BY pos
              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / pow({c}, pos) AS adv FROM d
@@ -286,7 +293,7 @@ s AS (SELECT prompt_id, gen_id, sum(-lp_new * mask) AS ls, sum(mask) AS ms FROM
 SELECT prompt_id,
        0.0 + round(avg(ls / greatest(ms, 1)) + 1e-9, 6) AS seq_mean,
        0.0 + round(avg(CASE WHEN ms > 0 THEN ls / ms END) + 1e-9, 6) AS seq_mean_nonempty,
-       0.0 + round(sum(ls) / sum(ms) + 1e-9, 6) AS token_mean,
+       0.0 + round(sum(ls) / nullif(sum(ms), 0) + 1e-9, 6) AS token_mean,
        0.0 + round(sum(ls) / (sum(ms) + 1e-8) + 1e-9, 6) AS token_mean_eps
 FROM s GROUP BY prompt_id
 """
@@ -483,11 +490,12 @@ def image_tags_sql(seed: int = 42) -> str:
     uu = u("conv_id * 1000 + turn", "imgtag", seed)
     return f"""
 WITH {IMAGE_TURNS_CTE}
-SELECT conv_id, turn, md5(CASE WHEN {uu} < 0.2 THEN '<image>' || {NL} || {c}
+SELECT conv_id, turn, md5(CASE WHEN position('<image>' IN text) = 0 THEN text
+                               WHEN {uu} < 0.2 THEN '<image>' || {NL} || {c}
                                WHEN {uu} < 0.4 THEN '<image>' || {NL} || {NL} || {c}
                                WHEN {uu} < 0.6 THEN {c} || {NL} || '<image>'
                                ELSE {c} || {NL} || {NL} || '<image>' END) AS tagged_md5
-FROM tagged WHERE position('<image>' IN text) > 0
+FROM tagged
 """
 
 
@@ -748,12 +756,12 @@ g AS (SELECT vec_id, x, len(x) AS n,
              CASE WHEN {uu('gain_p')} < 0.3 THEN 0.8 + 0.4 * {uu('gain')} ELSE 1.0 END AS gain,
              {uu('ma_p')} < 0.2 AS ma_on, CAST((floor({uu('ma_k')} * 3) * 2 + 3 - 1) / 2 AS INTEGER) AS h,
              {uu('fm_p')} < 0.5 AS f_on, CAST(floor({uu('fm_w')} * 8) + 1 AS INTEGER) AS f,
-             {uu('tm_p')} < 0.5 AS t_on, CAST(floor({uu('tm_w')} * least(10, len(x) // 8)) + 1 AS INTEGER) AS t
+             ({uu('tm_p')} < 0.5 AND len(x) // 8 > 1) AS t_on, CAST(floor({uu('tm_w')} * least(10, len(x) // 8)) + 1 AS INTEGER) AS t
       FROM e),
 g2 AS (SELECT *, CAST(floor({uu('fm_0')} * (8 - f + 1)) AS INTEGER) AS f0,
               CAST(floor({uu('tm_0')} * (n // 8 - t + 1)) AS INTEGER) AS t0,
               list_transform(x, lambda v: v * gain) AS a FROM g),
-s AS (SELECT *, CASE WHEN ma_on THEN list_transform(range(n), lambda i: list_avg(a[greatest(i - h, 0) + 1:least(i + h, n - 1) + 1]))
+s AS (SELECT *, CASE WHEN ma_on THEN list_transform(range(n), lambda i: list_sum(a[greatest(i - h, 0) + 1:least(i + h, n - 1) + 1]) / (2 * h + 1))
                      ELSE a END AS sm FROM g2)
 SELECT vec_id,
        {r6('list_sum(list_transform(sm, lambda v: greatest(-1.0, least(1.0, v))))')} AS signal_sum,

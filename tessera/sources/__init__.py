@@ -1,4 +1,4 @@
-from tessera.sources.tables import TABLES, read_table, with_row_index  # noqa: F401
+from tessera.sources.tables import TABLES, read_table, with_file_order, with_row_index  # noqa: F401
 from tessera.sources.jsonl import (  # noqa: F401
     scan_agent_jsonl,
     scan_preference_jsonl,

@@ -2,56 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources import schemas
-from tessera.sources.tables import with_row_index
+from tessera.sources.tables import with_file_order
 
 
-def _read(spark: SparkSession, path: str, schema, mode: str = "PERMISSIVE") -> DataFrame:
-    return spark.read.schema(schema).option("mode", mode).json(path)
+def _read(spark: SparkSession, path: str, schema, mode: str = "FAILFAST") -> DataFrame:
+    return with_file_order(spark.read.schema(schema).option("mode", mode).json(path), "sample_id")
 
 
 def scan_pretrain_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One ``text`` per line.  The reference's ``str()`` turns a null into "None"; we drop nulls."""
-    df = with_row_index(_read(spark, path, schemas.PRETRAIN), "sample_id")
-    return df.filter(F.col("text").isNotNull())
+    return _read(spark, path, schemas.PRETRAIN).filter(F.col("text").isNotNull())
 
 
 def scan_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed five-string-field message schema."""
-    return with_row_index(_read(spark, path, schemas.SFT), "sample_id")
+    """Fixed five-string-field message schema; a malformed line fails the job."""
+    return _read(spark, path, schemas.SFT)
 
 
 def scan_preference_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """S3: ``chosen`` / ``rejected`` message lists."""
-    return with_row_index(_read(spark, path, schemas.PREFERENCE), "sample_id")
+    """S3: ``chosen`` / ``rejected`` message lists; a malformed line fails the job."""
+    return _read(spark, path, schemas.PREFERENCE)
 
 
 def scan_rlaif_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """``conversations`` only."""
-    return with_row_index(_read(spark, path, schemas.RLAIF), "sample_id")
+    """``conversations`` only; a malformed line fails the job."""
+    return _read(spark, path, schemas.RLAIF)
 
 
 def scan_agent_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Strict -- a malformed line fails the job, like the reference's ``json.loads`` loop."""
-    return with_row_index(_read(spark, path, schemas.AGENT, mode="FAILFAST"), "sample_id")
+    """Conversations and ground truth; a malformed line fails the job."""
+    return _read(spark, path, schemas.AGENT)
 
 
-def scan_tokenizer_corpus(spark: SparkSession, path: str, max_lines: int | None = 10000) -> DataFrame:
-    """The tokenizer-training text stream.
+def without_undecodable(text: Column) -> Column:
+    """Bytes that are no UTF-8 are dropped; replacement characters that stand in the data stay."""
+    real, spare = F.lit("\ufffd"), F.lit("\U0010fffe")
+    kept = F.replace(F.make_valid_utf8(F.replace(text, real, spare)), real, F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(kept, spare, real))
 
-    The line cap counts every physical line, malformed ones included; malformed JSON is
+
+def scan_tokenizer_corpus(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
+    """The tokenizer-training text stream of the whole corpus, or of its first ``max_lines`` lines in file order.
+
+    A line cap counts every physical line, malformed ones included; malformed JSON is
     skipped; the non-empty ``content`` values of a line are joined by newlines; lines
-    with none are skipped.  ``max_lines=None`` reads the whole corpus.
+    with none are skipped.
     """
-    lines = with_row_index(spark.read.text(path), "line_no")
+    lines = with_file_order(spark.read.text(path), "line_no")
     if max_lines is not None:
         lines = lines.filter(F.col("line_no") < max_lines)
-    # undecodable bytes arrive as U+FFFD; the reference drops them (errors="ignore")
-    clean = F.regexp_replace("value", "\uFFFD", "")
-    parsed = lines.select("line_no", F.from_json(clean, schemas.SFT).alias("j"))
+    parsed = lines.select("line_no", F.from_json(without_undecodable(F.col("value")), schemas.SFT).alias("j"))
     contents = F.filter(F.col("j.conversations.content"), lambda c: c.isNotNull() & (F.length(c) > 0))
     return (parsed.filter(F.col("j").isNotNull())
             .select("line_no", contents.alias("contents"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.sources import schemas
-from tessera.sources.tables import with_row_index
+from tessera.sources.tables import with_file_order
 
 
 def conversations_from_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -42,15 +42,14 @@ def scan_vision_parquet(spark: SparkSession, path: str, max_samples: int | None
     Unlike the reference we read only the needed columns (``columns``).  ``max_samples`` keeps the
     first N rows in file order (an ordered limit).
     """
-    df = spark.read.parquet(path)
+    df = with_file_order(spark.read.parquet(path), "sample_id")
     if columns:
-        df = df.select(*columns)
-    df = with_row_index(df, "sample_id")
+        df = df.select(*columns, "sample_id")
     if max_samples is not None:
         df = df.filter(F.col("sample_id") < max_samples)
     fields = {f.name: f.dataType for f in df.schema.fields}
     if "conversations" in fields and isinstance(fields["conversations"], T.StringType):
-        df = df.withColumn("conversations", F.from_json("conversations", schemas.CONVERSATION))
+        df = df.withColumn("conversations", F.from_json("conversations", schemas.VISION_CONVERSATION))
     if "image_bytes" in fields:
         df = df.withColumn("image_bytes", _as_list(F.col("image_bytes"), fields["image_bytes"]))
     return df
@@ -67,10 +66,11 @@ SPEECH_OPTIONAL = {
 
 def scan_speech_parquet(spark: SparkSession, paths: str, max_samples: int | None = None) -> DataFrame:
     """Comma-separated shards unioned in order; optional columns default to ``[]``; first N rows."""
-    shards = [spark.read.parquet(p.strip()).withColumn("_shard", F.lit(i))
-              for i, p in enumerate(paths.split(",")) if p.strip()]
+    shards, before = [], 0
+    for p in filter(None, (p.strip() for p in paths.split(","))):
+        shards.append(with_file_order(spark.read.parquet(p), "sample_id").withColumn("sample_id", F.col("sample_id") + before))
+        before += spark.read.parquet(p).count()   # from the footers
     df = union_shards(shards)
-    df = with_row_index(df, "sample_id")
     if max_samples is not None:
         df = df.filter(F.col("sample_id") < max_samples)
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -83,7 +83,7 @@ def scan_speech_parquet(spark: SparkSession, paths: str, max_samples: int | None
             df = df.withColumn(name, F.coalesce(F.col(name), F.array().cast(dtype)))
     if isinstance(fields.get("conversations"), T.StringType):
         df = df.withColumn("conversations", F.from_json("conversations", schemas.CONVERSATION))
-    return df.drop("_shard")
+    return df
 
 
 def union_shards(dfs: list[DataFrame]) -> DataFrame:
@@ -93,7 +93,7 @@ def union_shards(dfs: list[DataFrame]) -> DataFrame:
 
 def scan_media_dir(spark: SparkSession, directory: str, prefix: str = "", suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Files of a directory by name prefix and case-insensitive suffix, sorted by name, with bytes."""
-    df = spark.read.format("binaryFile").load(directory)
+    df = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*").load(directory)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     df = df.withColumn("name", name).filter(F.col("name").startswith(prefix))
     if suffixes:

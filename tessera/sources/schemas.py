@@ -12,15 +12,11 @@ CONVERSATION = T.ArrayType(MESSAGE)
 
 PRETRAIN = T.StructType([T.StructField("text", S)])
 SFT = T.StructType([T.StructField("conversations", CONVERSATION)])
-SIMPLE_MESSAGE = T.StructType([T.StructField("role", S), T.StructField("content", S)])
-PREFERENCE = T.StructType([
-    T.StructField("chosen", T.ArrayType(SIMPLE_MESSAGE)), T.StructField("rejected", T.ArrayType(SIMPLE_MESSAGE)),
-])
-TOOL_MESSAGE = T.StructType([T.StructField("role", S), T.StructField("content", S), T.StructField("tools", S)])
-RLAIF = T.StructType([T.StructField("conversations", T.ArrayType(TOOL_MESSAGE))])
-AGENT = T.StructType([
-    T.StructField("conversations", T.ArrayType(TOOL_MESSAGE)), T.StructField("gt", T.ArrayType(S)),
-])
+PREFERENCE = T.StructType([T.StructField("chosen", CONVERSATION), T.StructField("rejected", CONVERSATION)])
+RLAIF = T.StructType([T.StructField("conversations", CONVERSATION)])
+AGENT = T.StructType([T.StructField("conversations", CONVERSATION), T.StructField("gt", T.ArrayType(S))])
+#: Vision messages may carry the functions a sample offers.
+VISION_CONVERSATION = T.ArrayType(T.StructType([*MESSAGE.fields, T.StructField("functions", S)]))
 TOOL_CALL = T.StructType([T.StructField("name", S), T.StructField("arguments", S)])
 AUDIO_CHUNK = T.StructType([
     T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()),

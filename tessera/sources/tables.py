@@ -43,6 +43,24 @@ def with_row_index(df: DataFrame, col: str = "row_index") -> DataFrame:
             .drop("_mid", "_pid", "_local", "_off"))
 
 
+def with_file_order(scan: DataFrame, col: str = "row_index") -> DataFrame:
+    """0-based position of each row of a file scan in the order of file path and place in the file; nothing is copied.
+
+    Call it on the scan itself.  A scan's splits are the same each time it runs, so one pass over the metadata alone counts the rows
+    of each (task, file) piece and a prefix sum over the pieces gives their first numbers.  The broadcast side has one row
+    per piece, which the number of splits bounds.
+    """
+    mid = F.monotonically_increasing_id()
+    tagged = scan.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), mid.alias("__mid"))
+    tagged = tagged.withColumn("__task", F.shiftright("__mid", 33))
+    piece = ["__task", "__path", "__block"]
+    pieces = tagged.groupBy(*piece).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__least"))
+    before = Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*piece, "__least", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return (tagged.join(F.broadcast(pieces), piece).withColumn(col, F.col("__before") + F.col("__mid") - F.col("__least"))
+            .drop(*piece, "__mid", "__least", "__before"))
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition when a scan yields fewer partitions than the cluster has cores.
 

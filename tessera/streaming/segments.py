@@ -1,9 +1,12 @@
-"""Speech segmentation of per-window speech probabilities, per session.
+"""Speech segments from per-window speech probabilities, per session.
 
-One step function holds the per-session state (counters and seq numbers only -- no audio is kept);
-it runs as a batch ``groupBy(session).applyInPandas`` (the oracle) and as a streaming
-``applyInPandasWithState`` whose state also buffers windows that arrive out of order until the gap
-is filled.  Windows are 512 samples; thresholds are in samples like the reference's.
+Definition, in runs of windows that are all loud (probability above the threshold) or all quiet: a segment opens in the first
+loud run of at least ``m`` windows since the last segment closed, and closes in the first later quiet run of at least
+``s`` windows.  It starts at that loud run, one window earlier if a quiet window without a segment stands there, and ends
+at the closing run's first window.  An interrupt is the first loud window of a segment, from its ``m``-th on, during a reply.
+
+The batch form finds runs and segments with windows over the table (gaps and islands).  The streaming form keeps the current
+run's length per session and reads what to do from a table of (state, window kind); windows that come early wait in the state.
 """
 
 from __future__ import annotations
@@ -11,12 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.scan import sorted_group_scan
-
 WINDOW = 512
 
 EVENT_SCHEMA = T.StructType([
@@ -25,122 +26,142 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("end_seq", T.LongType()), T.StructField("n_windows", T.LongType()),
 ])
 
-STATE_FIELDS = ["next_seq", "speaking", "speech", "silence", "tail", "buf_start", "buf_end", "ring", "seg_no",
-                "interrupted"]
-STATE_SCHEMA = T.StructType([
-    T.StructField("next_seq", T.LongType()), T.StructField("speaking", T.BooleanType()),
-    T.StructField("speech", T.LongType()), T.StructField("silence", T.LongType()),
-    T.StructField("tail", T.LongType()), T.StructField("buf_start", T.LongType()),
-    T.StructField("buf_end", T.LongType()), T.StructField("ring", T.LongType()),
-    T.StructField("seg_no", T.IntegerType()), T.StructField("interrupted", T.BooleanType()),
-    T.StructField("pend_seq", T.ArrayType(T.LongType())), T.StructField("pend_prob", T.ArrayType(T.DoubleType())),
-    T.StructField("pend_gen", T.ArrayType(T.BooleanType())),
-])
 
+def windows_for(samples: int) -> int:
+    """Windows that hold at least so many samples; one at least."""
+    return max(1, -(-samples // WINDOW))
 
-def new_state() -> dict:
-    return {"next_seq": 0, "speaking": False, "speech": 0, "silence": 0, "tail": 0, "buf_start": None,
-            "buf_end": None, "ring": None, "seg_no": 0, "interrupted": False}
-
-
-def step(st: dict, seq: int, prob: float, generating: bool, thr: float, min_speech: int, min_silence: int,
-         out: list) -> None:
-    """Advance one window.  Appends ``(event, seg_no, start, end)`` tuples to ``out``."""
-    if prob > thr:
-        st["silence"] = st["tail"] = 0
-        st["speech"] += WINDOW
-        if st["buf_start"] is None:
-            st["buf_start"] = seq
-        st["buf_end"] = seq
-        if st["speech"] >= min_speech and not st["speaking"]:
-            st["speaking"] = True
-            if st["ring"] is not None:          # the one pre-roll window
-                st["buf_start"] = st["ring"]
-            st["ring"] = None
-        if generating and st["speaking"] and not st["interrupted"]:
-            st["interrupted"] = True
-            out.append(("interrupt", st["seg_no"], seq, seq))
-    elif st["speaking"]:
-        st["silence"] += WINDOW
-        st["tail"] += 1
-        st["buf_end"] = seq
-        if st["silence"] >= min_silence:
-            end = st["buf_end"] - (st["tail"] - 1) if st["tail"] > 1 else st["buf_end"]
-            out.append(("speech_end", st["seg_no"], st["buf_start"], end))
-            st.update(speaking=False, speech=0, silence=0, tail=0, buf_start=None, buf_end=None,
-                      seg_no=st["seg_no"] + 1, interrupted=False)
-    else:
-        if st["speech"] > 0:                    # short noise is dropped
-            st["buf_start"] = st["buf_end"] = None
-        st["speech"] = 0
-        st["ring"] = seq
-    st["next_seq"] = seq + 1
-
-
-def _events(key, out: list) -> pd.DataFrame:
-    rows = [(key, e, s, a, b, b - a + 1) for e, s, a, b in out]
-    return pd.DataFrame(rows, columns=[f.name for f in EVENT_SCHEMA.fields])
+
+# ---- batch ------------------------------------------------------------------------------------------------------------
 
 
 def speech_segments(chunks: DataFrame, thr: float = 0.5, min_speech: int = 2048, min_silence: int = 12800,
                     key: str = "session_id", seq: str = "seq", prob: str = "prob",
                     generating: str | None = None) -> DataFrame:
-    """Batch form: events ``speech_end`` (a segment's first/last window) and ``interrupt`` per session.
-    Sessions are scanned in seq order inside hash partitions (``sorted_group_scan``)."""
-    cols = [key, seq, prob] + ([generating] if generating else [])
+    """Events ``speech_end`` (first and last window of a closed segment) and ``interrupt``, natively."""
+    m, s = windows_for(min_speech), windows_for(min_silence)
+    order = Window.partitionBy("session_id").orderBy("seq")
+    rows = chunks.select(F.col(key).cast("long").alias("session_id"), F.col(seq).cast("long").alias("seq"), (F.col(prob) > thr).alias("loud"),
+                         (F.col(generating) if generating else F.lit(False)).alias("reply"))
+    rows = rows.withColumn("change", F.coalesce((F.lag("loud").over(order) != F.col("loud")).cast("int"), F.lit(1)))
+    rows = rows.withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # m-th and later windows of their loud run may interrupt
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("session_id", "run").orderBy("seq")))
+    runs = rows.groupBy("session_id", "run").agg(F.first("loud").alias("loud"), F.min("seq").alias("first"), F.count("*").alias("n"))
+    by_run = Window.partitionBy("session_id").orderBy("run")
+    closing = ~F.col("loud") & (F.col("n") >= s)
+    runs = (runs.withColumn("closing", closing)
+            .withColumn("part", F.coalesce(F.sum(F.col("closing").cast("int")).over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("before_n", F.lag("n").over(by_run)).withColumn("before_closing", F.lag("closing").over(by_run)))
+    opening = F.col("loud") & (F.col("n") >= m)
+    parts = runs.groupBy("session_id", "part").agg(
+        F.min(F.when(opening, F.struct("first", "run", "before_n", "before_closing"))).alias("open"),
+        F.min(F.when(F.col("closing"), F.col("first"))).alias("end_seq"))
+    by_part = Window.partitionBy("session_id").orderBy("part")
+    parts = (parts.withColumn("closed_before", F.coalesce(F.lag(F.col("open").isNotNull()).over(by_part), F.lit(False)))
+             .where(F.col("open").isNotNull()).withColumn("seg_no", (F.row_number().over(by_part) - 1).cast("int")))
+    # the window before is spare unless there is none or the segment before closed on it
+    spare = F.col("open.before_n").isNotNull() & ~(F.col("open.before_closing") & F.col("closed_before") & (F.col("open.before_n") <= s))
+    parts = parts.withColumn("start_seq", F.col("open.first") - F.coalesce(spare, F.lit(False)).cast("int"))
+    ends = parts.where(F.col("end_seq").isNotNull()).select("session_id", F.lit("speech_end").alias("event"), "seg_no", "start_seq", "end_seq")
+    out = ends
+    if generating:
+        loud = rows.where("loud and reply").join(runs.select("session_id", "run", "part"), ["session_id", "run"])
+        hits = (loud.join(parts.select("session_id", "part", "seg_no", F.col("open.run").alias("opened")), ["session_id", "part"])
+                .where((F.col("run") > F.col("opened")) | ((F.col("run") == F.col("opened")) & (F.col("nth") >= m)))
+                .groupBy("session_id", "seg_no").agg(F.min("seq").alias("at")))
+        out = out.unionByName(hits.select("session_id", F.lit("interrupt").alias("event"), "seg_no", F.col("at").alias("start_seq"), F.col("at").alias("end_seq")))
+    return out.withColumn("n_windows", F.col("end_seq") - F.col("start_seq") + 1)
+
+
+# ---- stream -----------------------------------------------------------------------------------------------------------
+
+# what a window does: (in a segment, loud) -> name of the rule
+RULES = {(False, True): "grow", (False, False): "idle", (True, True): "speak", (True, False): "hush"}
+
+
+class Segmenter:
+    """One session: lengths of the current run and the open segment's start.  ``fields`` is all of it."""
+
+    FIELDS = ("next_seq", "open", "loud_run", "quiet_run", "spare", "start", "seg_no", "interrupted")
+
+    def __init__(self, m: int, s: int, fields: tuple | None = None):
+        self.m, self.s, self.events = m, s, []
+        values = fields or (0, False, 0, 0, False, None, 0, False)
+        for name, value in zip(self.FIELDS, values):
+            setattr(self, name, value)
+
+    @property
+    def fields(self) -> tuple:
+        return tuple(getattr(self, f) for f in self.FIELDS)
+
+    def grow(self, seq: int) -> None:
+        self.loud_run += 1
+        if self.loud_run == self.m:
+            self.open, self.quiet_run, self.start = True, 0, seq - self.m + 1 - int(self.spare)
+
+    def idle(self, seq: int) -> None:
+        self.loud_run, self.spare = 0, True
+
+    def speak(self, seq: int) -> None:
+        self.quiet_run = 0
+
+    def hush(self, seq: int) -> None:
+        self.quiet_run += 1
+        if self.quiet_run == self.s:
+            self.events.append(("speech_end", self.seg_no, self.start, seq - self.s + 1))
+            self.open, self.loud_run, self.spare, self.interrupted, self.seg_no = False, 0, False, False, self.seg_no + 1
+
+    def push(self, seq: int, loud: bool, reply: bool) -> None:
+        getattr(self, RULES[self.open, loud])(seq)
+        if self.open and loud and reply and not self.interrupted:
+            self.interrupted = True
+            self.events.append(("interrupt", self.seg_no, seq, seq))
+        self.next_seq = seq + 1
+
+    def drain(self, pending: dict, skip_gap: bool = False) -> None:
+        """Take waiting windows in order from ``next_seq``; ``skip_gap`` first jumps to the earliest of them (lost windows)."""
+        if skip_gap and pending and self.next_seq not in pending:
+            self.next_seq = min(pending)
+        while self.next_seq in pending:
+            self.push(self.next_seq, *pending.pop(self.next_seq))
 
-    def fn(pdf: pd.DataFrame, bounds) -> pd.DataFrame:
-        keys, seqs, probs = pdf[key].to_numpy(), pdf[seq].to_numpy(), pdf[prob].to_numpy()
-        gens = pdf[generating].to_numpy() if generating else None
-        frames = []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            st, out = new_state(), []
-            for i in range(a, b):
-                step(st, int(seqs[i]), float(probs[i]), bool(gens[i]) if gens is not None else False,
-                     thr, min_speech, min_silence, out)
-            frames.append(_events(int(keys[a]), out))
-        return pd.concat(frames, ignore_index=True) if frames else _events(0, [])
-
-    return sorted_group_scan(chunks.select(*cols), [key], [seq], fn, EVENT_SCHEMA)
-
-
-def drain(st: dict, pend: dict, thr: float, min_speech: int, min_silence: int, skip_gap: bool = False) -> list:
-    """Consume buffered windows in seq order from ``next_seq``; with ``skip_gap`` first jump over missing
-    windows to the earliest buffered one (the time-out policy for lost windows)."""
-    out = []
-    if skip_gap and pend and st["next_seq"] not in pend:
-        st["next_seq"] = min(pend)
-    while st["next_seq"] in pend:
-        p, g = pend.pop(st["next_seq"])
-        step(st, st["next_seq"], p, g, thr, min_speech, min_silence, out)
-    return out
+
+STATE_SCHEMA = T.StructType([
+    T.StructField("next_seq", T.LongType()), T.StructField("open", T.BooleanType()), T.StructField("loud_run", T.LongType()),
+    T.StructField("quiet_run", T.LongType()), T.StructField("spare", T.BooleanType()), T.StructField("start", T.LongType()),
+    T.StructField("seg_no", T.IntegerType()), T.StructField("interrupted", T.BooleanType()),
+    T.StructField("wait_seq", T.ArrayType(T.LongType())), T.StructField("wait_loud", T.ArrayType(T.BooleanType())),
+    T.StructField("wait_reply", T.ArrayType(T.BooleanType())),
+])
+
+
+def _events(key, events: list) -> pd.DataFrame:
+    rows = [(key, e, n, a, b, b - a + 1) for e, n, a, b in events]
+    return pd.DataFrame(rows, columns=[f.name for f in EVENT_SCHEMA.fields])
 
 
 def speech_segments_stream(chunks: DataFrame, thr: float = 0.5, min_speech: int = 2048, min_silence: int = 12800,
                            key: str = "session_id", seq: str = "seq", prob: str = "prob",
                            generating: str | None = None) -> DataFrame:
-    """Streaming form with keyed state; windows are consumed in seq order starting at 0, later windows
-    wait in state until the gap before them is filled.  (``drain(skip_gap=True)`` is the policy for
-    lost windows; wiring it to a state time-out is open -- see README.)"""
+    """Streaming form with keyed state; windows are taken in seq order from 0, later ones wait until the gap before them is
+    filled.  (``drain(skip_gap=True)`` is the policy for lost windows; wiring it to a state time-out is open -- see README.)"""
+    m, s = windows_for(min_speech), windows_for(min_silence)
     cols = [key, seq, prob] + ([generating] if generating else [])
-
-    def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            row = state.get
-            st = dict(zip(STATE_FIELDS, row[:len(STATE_FIELDS)]))
-            pend = dict(zip(row[10] or [], zip(row[11] or [], row[12] or [])))
-        else:
-            st, pend = new_state(), {}
-        for pdf in pdfs:
-            gens = pdf[generating].to_numpy() if generating else [False] * len(pdf)
-            for s, p, g in zip(pdf[seq].to_numpy(), pdf[prob].to_numpy(), gens):
-                if int(s) >= st["next_seq"]:
-                    pend[int(s)] = (float(p), bool(g))
-        out = drain(st, pend, thr, min_speech, min_silence)
-        keys = sorted(pend)
-        state.update(tuple(st[f] for f in STATE_FIELDS) +
-                     (keys, [pend[s][0] for s in keys], [pend[s][1] for s in keys]))
-        yield _events(int(k[0]), out)
-
-    return chunks.select(*cols).groupBy(key).applyInPandasWithState(
-        fn, EVENT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+    n = len(Segmenter.FIELDS)
+
+    def fn(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = tuple(state.get) if state.exists else None
+        session = Segmenter(m, s, held[:n] if held else None)
+        pending = dict(zip(held[n] or [], zip(held[n + 1] or [], held[n + 2] or []))) if held else {}
+        for frame in frames:
+            replies = frame[generating].to_numpy() if generating else [False] * len(frame)
+            for at, p, reply in zip(frame[seq].to_numpy(), frame[prob].to_numpy(), replies):
+                if int(at) >= session.next_seq:
+                    pending[int(at)] = (bool(p > thr), bool(reply))
+        session.drain(pending)
+        waiting = sorted(pending)
+        state.update(session.fields + (waiting, [pending[x][0] for x in waiting], [pending[x][1] for x in waiting]))
+        yield _events(int(k[0]), session.events)
+
+    return chunks.select(*cols).groupBy(key).applyInPandasWithState(fn, EVENT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")

@@ -95,7 +95,7 @@ def test_registry_upsert_and_media_pairs(spark):
     upd = spark.createDataFrame([("a", "manual"), ("b", "builtin"), ("n", "manual")], "name string, grp string")
     dele = spark.createDataFrame([("m",), ("b",)], "name string")
     out = {r.name: r.grp for r in lookups.registry_upsert(reg, upd, deletes=dele).collect()}
-    assert out == {"a": "manual", "b": "unseen", "n": "manual"}
+    assert out == {"a": "manual", "b": "builtin", "n": "manual"}
     runs = spark.createDataFrame([(1, 0), (1, 1)], "sample_id long, k long")
     media = spark.createDataFrame([(1, 0, "img")], "sample_id long, k long, item string")
     assert lookups.pair_media_runs(runs, media).filter(F.col("item").isNull()).count() == 1

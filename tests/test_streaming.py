@@ -1,13 +1,15 @@
-from tessera.streaming.segments import new_state, speech_segments, speech_segments_stream, step
-from tessera.streaming.text import incremental_pieces, split_deltas_py
+import random
+
+from tessera.streaming.segments import Segmenter, speech_segments, speech_segments_stream, windows_for
+from tessera.streaming.text import delta_parts, incremental_pieces, split_deltas
 from tessera.operators.tokenizer import encode_bytes_py
 
 
 def run(probs, gen=None, **kw):
-    st, out = new_state(), []
+    session = Segmenter(windows_for(kw.get("ms", 2048)), windows_for(kw.get("sil", 12800)))
     for i, p in enumerate(probs):
-        step(st, i, p, bool(gen and gen[i]), kw.get("thr", 0.5), kw.get("ms", 2048), kw.get("sil", 12800), out)
-    return out
+        session.push(i, p > kw.get("thr", 0.5), bool(gen and gen[i]))
+    return session.events
 
 
 def test_noise_shorter_than_minimum_is_dropped():
@@ -50,16 +52,38 @@ def test_incremental_decode_splits_multibyte():
     assert incremental_pieces(ids[:3]) == [(0, 0, "a")]         # trailing incomplete bytes are held
 
 
-def test_split_deltas():
-    out = split_deltas_py(["abc</thi", "nk>\n\nhel", "lo"])
+def test_batch_equals_stepping_on_random_sessions(spark):
+    rng = random.Random(11)
+    rows, want = [], []
+    for key in range(60):
+        p_loud = rng.choice([0.3, 0.6, 0.85])
+        probs, gen = [], []
+        while len(probs) < rng.randint(5, 60):
+            probs += [0.9 if rng.random() < p_loud else 0.1] * rng.randint(1, 4)
+        gen = [rng.random() < 0.3 for _ in probs]
+        rows += [(key, i, p, g) for i, (p, g) in enumerate(zip(probs, gen))]
+        want += [(key, e, n, a, b, b - a + 1) for e, n, a, b in run(probs, gen, ms=1024, sil=1536)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, prob double, generating boolean")
+    got = [tuple(r) for r in speech_segments(df, min_speech=1024, min_silence=1536, generating="generating").collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_split_deltas(spark):
+    out = delta_parts(["abc</thi", "nk>\n\nhel", "lo"])
     assert out == [(0, "reasoning", "abc</thi"), (1, "content", "hel"), (2, "content", "lo"), (2, "finish", "stop")]
-    assert split_deltas_py(["x"], open_thinking=False) == [(0, "content", "x"), (0, "finish", "stop")]
+    assert delta_parts(["x"], open_thinking=False) == [(0, "content", "x"), (0, "finish", "stop")]
+    call = '<tool_call>{"name": "f", "arguments": {"a": 1}}</tool_call>'
+    assert delta_parts([call + "</think>", "done"]) == [(0, "reasoning", call), (1, "content", "done"), (1, "finish", "stop")]
+    assert delta_parts(["r</think>", call])[-2:] == [(1, "tool_call", '{"name": "f", "arguments": {"a": 1}}'), (1, "finish", "tool_calls")]
+    df = spark.createDataFrame([(7, 1, "nk>b"), (7, 0, "a</thi"), (8, 0, "only")], "request_id long, seq long, delta string")
+    rows = sorted(tuple(r) for r in split_deltas(df).collect())
+    assert rows == [(7, 0, "reasoning", "a</thi"), (7, 1, "content", "b"), (7, 1, "finish", "stop"), (8, 0, "finish", "stop"), (8, 0, "reasoning", "only")]
 
 
 def test_gap_policy_waits_then_skips():
-    from tessera.streaming.segments import drain
-    st = new_state()
-    pend = {0: (0.9, False), 1: (0.9, False), 3: (0.9, False)}
-    assert drain(st, pend, 0.5, 2048, 12800) == [] and st["next_seq"] == 2 and list(pend) == [3]
-    drain(st, pend, 0.5, 2048, 12800, skip_gap=True)
-    assert st["next_seq"] == 4 and pend == {} and st["speech"] == 3 * 512
+    session = Segmenter(4, 25)
+    pending = {0: (True, False), 1: (True, False), 3: (True, False)}
+    session.drain(pending)
+    assert session.next_seq == 2 and list(pending) == [3]
+    session.drain(pending, skip_gap=True)
+    assert session.next_seq == 4 and pending == {} and session.loud_run == 3 and not session.events
