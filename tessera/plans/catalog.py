@@ -112,9 +112,9 @@ def q_word_counts_ws(spark, sf):
     return d.filter(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
-@register("word_counts")
+@register("word_counts", oracles.word_counts_sql())
 def q_word_counts(spark, sf):
-    """T4 with the byte-level pre-tokenizer (rows-only: RE2 has no lookahead)."""
+    """T4 with the byte-level pre-tokenizer."""
     d = spread(read_table(spark, sf, "documents").select("text"))
     return tk.word_counts(d, "text").withColumn("n", F.col("n").cast("long"))
 
@@ -146,19 +146,19 @@ from tessera.streaming import text as xt  # noqa: E402
 SEG_ARGS = dict(thr=0.5, min_speech=1024, min_silence=1024)
 
 
-@register("speech_segments")
+@register("speech_segments", oracles.speech_events_sql(False))
 def q_speech_segments(spark, sf):
-    """X1 batch form over the audio-chunk fixture (rows-only check; golden tests cover the quirks)."""
+    """X1 batch form over the audio-chunk fixture."""
     return xs.speech_segments(fx.audio_chunks(spark, sf), **SEG_ARGS)
 
 
-@register("speech_interrupts")
+@register("speech_interrupts", oracles.speech_events_sql(True))
 def q_speech_interrupts(spark, sf):
     """Segments plus an interrupt when speech starts while a reply is being generated."""
     return xs.speech_segments(fx.audio_chunks(spark, sf), generating="generating", **SEG_ARGS)
 
 
-@register("speech_segments_stream")
+@register("speech_segments_stream", oracles.speech_events_sql(False))
 def q_speech_segments_stream(spark, sf):
     """X1 as a Structured Streaming job with keyed state; must equal the batch form."""
     src = streams.stream_from(spark, fx.audio_chunks(spark, sf), "chunks")

@@ -372,6 +372,49 @@ AUDIO_CHUNKS_CTE = """chunks AS (
   FROM events)"""
 
 
+def speech_events_sql(interrupts: bool, m: int = 2, s: int = 2) -> str:
+    """One window after the other per session: the state machine as a recursive query over seq."""
+    opens, closes = f"(NOT t.open AND w.loud AND t.loud_run + 1 = {m})", f"(t.open AND NOT w.loud AND t.quiet_run + 1 = {s})"
+    fires = f"((t.open OR {opens}) AND w.loud AND w.reply AND NOT t.interrupted)"
+    extra = "" if not interrupts else "UNION ALL SELECT session_id, 'interrupt', seg_no, seq, seq FROM st WHERE fired"
+    return f"""
+WITH RECURSIVE {AUDIO_CHUNKS_CTE},
+w AS (SELECT session_id, seq, prob > 0.5 AS loud, {'reply' if interrupts else 'false'} AS reply FROM
+      (SELECT chunks.*, event_type = 'view' AS reply FROM chunks JOIN
+         (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_type FROM events)
+         USING (session_id, seq))),
+st AS (
+  SELECT DISTINCT session_id, CAST(-1 AS BIGINT) AS seq, false AS open, 0 AS loud_run, 0 AS quiet_run, false AS spare, CAST(NULL AS BIGINT) AS start,
+         0 AS seg_no, false AS interrupted, false AS closed, false AS fired, CAST(NULL AS BIGINT) AS closed_start, 0 AS next_no FROM w
+  UNION ALL
+  SELECT t.session_id, w.seq, CASE WHEN {opens} THEN true WHEN {closes} THEN false ELSE t.open END,
+         CASE WHEN {closes} OR (NOT t.open AND NOT w.loud) THEN 0 WHEN NOT t.open AND w.loud THEN t.loud_run + 1 ELSE t.loud_run END,
+         CASE WHEN t.open AND w.loud OR {opens} THEN 0 WHEN t.open AND NOT w.loud THEN t.quiet_run + 1 ELSE t.quiet_run END,
+         CASE WHEN {closes} THEN false WHEN NOT t.open AND NOT w.loud THEN true ELSE t.spare END,
+         CASE WHEN {opens} THEN w.seq - {m} + 1 - CAST(t.spare AS INTEGER) ELSE t.start END,
+         t.next_no, CASE WHEN {closes} THEN false WHEN {fires} THEN true ELSE t.interrupted END,
+         {closes}, {fires}, t.start, t.next_no + CAST({closes} AS INTEGER)
+  FROM st t JOIN w ON w.session_id = t.session_id AND w.seq = t.seq + 1)
+SELECT session_id, event, CAST(seg_no AS INTEGER) AS seg_no, start_seq, end_seq, end_seq - start_seq + 1 AS n_windows FROM (
+  SELECT session_id, 'speech_end' AS event, seg_no, closed_start AS start_seq, seq - {s} + 1 AS end_seq FROM st WHERE closed
+  {extra}) e
+"""
+
+
+def word_counts_sql() -> str:
+    """The pre-token pattern without lookahead: a mark before the last of the blanks that precede a character that is none."""
+    blank = r"[\t-\r \x{85}\p{Z}]"
+    solid = r"[^\t-\r \x{85}\p{Z}]"
+    other = r"[^\t-\r \x{85}\p{Z}\p{L}\p{N}\x01]"
+    pattern = "|".join(["''s", "''t", "''re", "''ve", "''m", "''ll", "''d",
+                        *[f"\\x01 {c}+|{c}+" for c in (r"\p{L}", r"\p{N}", other)], rf"\x01{blank}", f"{blank}+"])
+    return f"""
+WITH t AS (SELECT regexp_replace(text, '({blank})({solid})', chr(1) || '\\1\\2', 'g') AS x FROM documents),
+p AS (SELECT unnest(regexp_extract_all(x, '{pattern}')) AS w FROM t)
+SELECT replace(w, chr(1), '') AS word, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1
+"""
+
+
 def overlap_chunks_sql(size: int = 4, overlap: int = 2) -> str:
     return f"""
 WITH {AUDIO_CHUNKS_CTE},
