@@ -162,29 +162,38 @@ _ADDED_RE = "|".join(re.escape(t) for t in ADDED_TOKENS)
 _SEGMENT_PATTERN = f"({_ADDED_RE})|((?:(?!{_ADDED_RE})[\\s\\S])+)"
 
 
-def encode_bpe(df: DataFrame, text: str, key: str, merges: DataFrame, out: str = "ids") -> DataFrame:
-    """T6 with merges: added tokens split off first; the rest pre-tokenized; every *distinct* word is
-    encoded once (Arrow batches over a broadcast merge table bounded by the vocabulary size) and joined
-    back; per-row ids re-assembled in order."""
-    spark: SparkSession = df.sparkSession
-    ranks = merge_table(merges)
-    bc = spark.sparkContext.broadcast(ranks)
-    seg = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(_SEGMENT_PATTERN), 0)).alias("si", "seg"))
-    added = F.create_map(*[x for t in ADDED_TOKENS for x in (F.lit(t), F.lit(TOKEN_ID[t]))])
-    is_added = F.element_at(added, F.col("seg"))
-    special = seg.filter(is_added.isNotNull()).select(key, "si", F.lit(0).alias("wi"),
-                                                      F.array(is_added.cast("int")).alias("wids"))
-    words = seg.filter(is_added.isNull()).select(
-        key, "si", F.posexplode(F.regexp_extract_all("seg", F.lit(PRETOKENIZE_PATTERN), 0)).alias("wi", "word"))
+CACHED_WORDS = 200_000
+
+
+def encode_bpe_column(text, merges: DataFrame) -> Column:
+    """T6 with merges as a column: added tokens split off first, the rest pre-tokenized in the JVM, then one Arrow
+    pass over the word lists with a broadcast merge table (bounded by the vocabulary size) and a bounded word cache
+    per task.  No shuffle."""
+    ranks = merges.sparkSession.sparkContext.broadcast(merge_table(merges))
+    t = F.col(text) if isinstance(text, str) else text
+    added = F.array(*[F.lit(x) for x in ADDED_TOKENS])
+    words = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(_SEGMENT_PATTERN), 0), lambda seg: F.when(
+        F.array_contains(added, seg), F.array(seg)).otherwise(F.regexp_extract_all(seg, F.lit(PRETOKENIZE_PATTERN), 0))))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def enc(ws: pd.Series) -> pd.Series:
-        r = bc.value
-        return ws.map(lambda w: bpe_word([BYTE_IDS[b] for b in w.encode("utf-8")], r))
-
-    distinct = words.select("word").distinct().withColumn("wids", enc("word"))
-    coded = words.join(distinct, "word").select(key, "si", "wi", "wids")
-    allp = coded.unionByName(special)
-    return allp.groupBy(key).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("si", "wi", "wids"))),
-                              lambda x: x["wids"])).alias(out))
+    def encode(lists: pd.Series) -> pd.Series:
+        cache = {x: [TOKEN_ID[x]] for x in ADDED_TOKENS}
+        out = []
+        for words in lists:
+            ids = []
+            for w in words if words is not None else ():
+                own = cache.get(w)
+                if own is None:
+                    own = bpe_word([BYTE_IDS[b] for b in w.encode("utf-8")], ranks.value)
+                    if len(cache) < CACHED_WORDS:
+                        cache[w] = own
+                ids += own
+            out.append(ids)
+        return pd.Series(out, dtype="object")
+
+    return encode(words)
+
+
+def encode_bpe(df: DataFrame, text: str, key: str, merges: DataFrame, out: str = "ids") -> DataFrame:
+    """T6 with merges: (key, ids) of each row, in place."""
+    return df.select(key, encode_bpe_column(text, merges).alias(out))

@@ -54,8 +54,7 @@ def decode_with(merges: DataFrame, ids_col: str, skip_special: bool = False):
 
 def evaluate(df: DataFrame, text: str, key: str, merges: DataFrame, by: list[str]) -> DataFrame:
     """T8 + T9 per group: rows, mean chars/token, round-trip failures."""
-    enc = bpe.encode_bpe(df, text, key, merges)
-    j = df.join(enc, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    j = df.withColumn("ids", bpe.encode_bpe_column(text, merges))
     j = j.withColumn("back", decode_with(merges, "ids"))
     ratio = F.when(F.size("ids") > 0, F.length(text) / F.size("ids"))
     return j.groupBy(*by).agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
