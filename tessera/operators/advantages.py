@@ -170,6 +170,17 @@ def log_sigmoid(x: Column) -> Column:
     return F.when(x >= 0, -F.log1p(F.exp(-x))).otherwise(x - F.log1p(F.exp(x)))
 
 
+def masked_logp_sums(tokens: DataFrame, pair: list[str], side: str = "chosen", policy: str = "lp_new", ref: str = "lp_ref",
+                     mask: str = "mask") -> DataFrame:
+    """A11 from per-token log-probabilities: masked sums of each side of a pair as pc, pr, rc, rr.  ``side`` is true on the
+    chosen side; a pair lacking a side has null sums.  One partial aggregation, no join."""
+    def total(c, chosen):
+        return F.sum(F.when(F.col(side) == F.lit(chosen), F.col(c) * F.col(mask)))
+
+    return tokens.groupBy(*pair).agg(total(policy, True).alias("pc"), total(policy, False).alias("pr"),
+                                     total(ref, True).alias("rc"), total(ref, False).alias("rr"))
+
+
 def preference_loss(pairs: DataFrame, beta: float = 0.15, pc: str = "pc", pr: str = "pr", rc: str = "rc",
                     rr: str = "rr") -> DataFrame:
     """``-logsigmoid(beta * ((pi_c - pi_r) - (ref_c - ref_r)))`` per pair (masked logp sums given)."""
@@ -198,6 +209,28 @@ def policy_diagnostics(tokens: DataFrame, by: list[str], mask: str = "mask", cli
         F.sum(m).alias("n_tokens"))
 
 
+def token_kl(tokens: DataFrame, by: list[str], mask: str = "mask") -> DataFrame:
+    """Token-weighted mean of ref minus new log-probability."""
+    gap = (F.col("lp_ref") - F.col("lp_new")) * F.col(mask)
+    return tokens.groupBy(*by).agg((F.sum(gap) / F.greatest(F.sum(mask), F.lit(1))).alias("kl"))
+
+
+def ppo_objective(tokens: DataFrame, by: list[str], adv: str = "advantage", value: str = "value", old_value: str = "old_value",
+                  ret: str = "ret", mask: str = "mask", clip_eps: float = 0.2, clip_value: float = 0.2,
+                  kl_coef: float = 0.02) -> DataFrame:
+    """The clipped policy loss plus ``kl_coef`` times the k3 KL, and the clipped value loss, each a mean over all
+    valid tokens of a group (not over sequences)."""
+    t = token_ratios(tokens)
+    m, a, r = F.col(mask), F.col(adv), F.col("ratio")
+    bounded = F.greatest(F.lit(1 - clip_eps), F.least(F.lit(1 + clip_eps), r))
+    near = F.greatest(F.col(old_value) - clip_value, F.least(F.col(old_value) + clip_value, F.col(value)))
+    worse = F.greatest(F.pow(F.col(value) - F.col(ret), 2), F.pow(near - F.col(ret), 2))
+    n = F.greatest(F.sum(m), F.lit(1))
+    return t.groupBy(*by).agg(
+        (F.sum(F.greatest(-a * r, -a * bounded) * m) / n + kl_coef * F.sum(F.col("kl_k3") * m) / n).alias("policy_loss"),
+        (0.5 * F.sum(worse * m) / n).alias("value_loss"))
+
+
 def policy_loss_terms(tokens: DataFrame, adv: str = "advantage", beta: float = 0.1, eps: float = 0.2,
                       eps_high: float = 5.0, clip_eps: float = 0.2) -> DataFrame:
     """Per-token losses for the three objectives (cispo, grpo, ppo)."""

@@ -78,6 +78,24 @@ def extract_tool_calls(text) -> Column:
                                               p["j"]["arguments"].alias("arguments")))
 
 
+def extract_tool_calls_api(text) -> Column:
+    """P16 (ii): bodies of the form ``{...}`` as ``array<struct<id, name, arguments>>``; ``call_i`` counts all such bodies, bad
+    JSON is skipped, null if none parses.  A missing name is empty, missing arguments are ``{}``."""
+    bodies = F.regexp_extract_all(_c(text), F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), 1)
+    parsed = F.transform(bodies, lambda b, i: F.struct(i.alias("idx"), parse_json_object(b, "name string, arguments string").alias("j")))
+    calls = F.transform(F.filter(parsed, lambda p: p["j"].isNotNull()), lambda p: F.struct(
+        F.concat(F.lit("call_"), p["idx"].cast("string")).alias("id"), F.coalesce(p["j"]["name"], F.lit("")).alias("name"),
+        F.coalesce(p["j"]["arguments"], F.lit("{}")).alias("arguments")))
+    return F.when(F.size(calls) > 0, calls)
+
+
+def without_tool_calls(text) -> Column:
+    """P16 (iii): the text without its ``<tool_call>`` blocks if at least one parses, else the text; stripped."""
+    text = _c(text)
+    bare = F.regexp_replace(text, TOOL_CALL_PATTERN, "")
+    return py_strip(F.when(F.size(extract_tool_calls(text)) > 0, bare).otherwise(text))
+
+
 def parse_tool_arguments(raw) -> Column:
     """Argument text -> ``map<string,string>``; unparsable or missing -> empty map."""
     return F.coalesce(F.from_json(_c(raw), "map<string,string>"), F.create_map().cast("map<string,string>"))
@@ -235,15 +253,21 @@ def clip(x: Column, bound: float = 3.0) -> Column:
 
 
 def agent_reward(df: DataFrame, completion: str = "completion", tools: str = "tools", gt: str = "gt",
-                 unfinished: str = "unfinished", score: str | None = None) -> DataFrame:
-    """A6 over rollouts already joined with their task (J2): adds n_calls, n_valid, n_matched, reward."""
+                 unfinished: str = "unfinished", score: str | None = None, turns: str | None = None) -> DataFrame:
+    """A6 over rollouts already joined with their task (J2): adds n_calls, n_valid, n_matched, reward.
+
+    ``turns`` names the outputs of a rollout's turns (without it the completion is the one turn): calls and tag
+    penalties are summed over all of them, the last turn's answer is the answer."""
     resp = F.col(completion)
-    has, _, answer = split_think(resp)
-    df = df.withColumn("_answer", answer).withColumn("_calls", extract_tool_calls("_answer"))
+    answers = F.transform(F.col(turns) if turns else F.array(resp), lambda t: split_think(t)[2])
+    df = df.withColumn("_turns", answers).withColumn("_answer", F.coalesce(F.try_element_at("_turns", F.lit(-1)), py_strip(resp)))
+    df = df.withColumn("_calls", F.flatten(F.transform("_turns", extract_tool_calls)))
     n_calls = F.size("_calls")
-    tag = tag_imbalance(F.array(F.col("_answer")))
-    # no tool call: format + optional external score - repetition
-    plain = tag + format_score(resp, lo=5) - rep_penalty("_answer")
+    tag = tag_imbalance("_turns")
+    # no tool call: format + optional external score - repetition of what follows the reasoning
+    has, _, after = split_think(resp)
+    plain_answer = F.when(has, after).otherwise(F.col("_answer"))
+    plain = tag + format_score(resp, lo=5) - rep_penalty(plain_answer)
     if score is not None:
         plain = plain + F.coalesce(F.col(score), F.lit(0.0))
     # tool calls: alignment + ground truth - unfinished - repetition
@@ -262,8 +286,7 @@ def agent_reward(df: DataFrame, completion: str = "completion", tools: str = "to
     with_calls = (tag + tool_gap("n_valid", "n_calls", n_gt) + gt_term
                   - F.when(unf, F.lit(0.5)).otherwise(F.lit(0.0)) - rep_penalty(rep_text))
     reward = clip(F.when(F.col("n_calls") > 0, with_calls).otherwise(plain))
-    del has
-    return df.withColumn("reward", reward).drop("_answer", "_calls", "_final")
+    return df.withColumn("reward", reward).drop("_turns", "_answer", "_calls", "_final")
 
 
 def chat_reward(df: DataFrame, completion: str = "completion", score: str | None = None) -> DataFrame:

@@ -83,6 +83,61 @@ def q_policy_loss(spark, sf):
     return rl.policy_losses(fx.token_logps(spark, sf))
 
 
+@register("gae_prefix_mask", oracles.gae_whiten_sql(tokens=oracles.PREFIX_TOKENS_CTE))
+def q_gae_prefix_mask(spark, sf):
+    """W2 / A17 with response masks that are prefixes, empty ones among them."""
+    return rl.gae_whiten(fx.prefix_masked(fx.token_logps(spark, sf)))
+
+
+@register("masked_loss_prefix", oracles.masked_loss_sql(oracles.PREFIX_TOKENS_CTE))
+def q_masked_loss_prefix(spark, sf):
+    """A9 by sequence, so that a group without any valid token occurs."""
+    t = fx.prefix_masked(fx.token_logps(spark, sf)).withColumn("loss", -F.col("lp_new")).withColumn("prompt_id", F.col("gen_id"))
+    d = adv.masked_loss(t, ["prompt_id"], ["gen_id"])
+    return d.select("prompt_id", *[rl.r6(c).alias(c) for c in ("seq_mean", "seq_mean_nonempty", "token_mean", "token_mean_eps")])
+
+
+@register("ppo_objective", oracles.ppo_objective_sql())
+def q_ppo_objective(spark, sf):
+    """A12 value loss and A13 PPO with the KL term, per prompt, over all valid tokens."""
+    t = fx.prefix_masked(fx.token_logps(spark, sf)).withColumns({
+        "advantage": F.col("v") - 0.5, "value": -F.col("lp_new") / 2, "old_value": F.col("v"), "ret": -F.col("lp_old") / 2})
+    return adv.ppo_objective(t, ["prompt_id"]).select("prompt_id", rl.r6("policy_loss").alias("policy_loss"), rl.r6("value_loss").alias("value_loss"))
+
+
+@register("token_kl", oracles.token_kl_sql())
+def q_token_kl(spark, sf):
+    """Token-weighted KL per prompt."""
+    t = fx.prefix_masked(fx.token_logps(spark, sf))
+    return adv.token_kl(t, ["prompt_id"]).select("prompt_id", rl.r6("kl").alias("kl"))
+
+
+@register("preference_loss_tokens", oracles.preference_loss_tokens_sql())
+def q_preference_loss_tokens(spark, sf):
+    """A11 from masked per-token log-probabilities: sequences gen and gen + 40 of a prompt are a pair."""
+    t = fx.prefix_masked(fx.token_logps(spark, sf)).withColumns({
+        "pair": F.expr("gen_id div 80"), "chosen": F.expr("gen_id div 40 % 2 = 0")})
+    p = adv.masked_logp_sums(t, ["prompt_id", "pair"]).where("pc is not null and pr is not null")
+    out = adv.preference_loss(p)
+    return out.select("prompt_id", "pair", rl.r6("margin").alias("margin"), rl.r6("loss").alias("loss"))
+
+
+@register("agent_rewards_turns", oracles.agent_rewards_sql(turns=True))
+def q_agent_rewards_turns(spark, sf):
+    """A3 / A6 over all turns of a rollout."""
+    return rl.agent_rewards(fx.episodes(spark, sf), fx.tasks(spark, sf), turns="turn_outputs")
+
+
+@register("tool_calls_api", oracles.tool_calls_api_sql())
+def q_tool_calls_api(spark, sf):
+    """P16 (ii) and (iii): calls with ids, and the texts without their calls."""
+    from tessera.operators import rewards as rw
+    r = fx.rollouts(spark, sf)
+    ids = F.transform(rw.extract_tool_calls_api("completion"), lambda c: F.concat_ws("|", c["id"], c["name"]))
+    return r.select("prompt_id", "gen_id", F.coalesce(F.array_join(ids, ","), F.lit("none")).alias("calls"),
+                    F.md5(rw.without_tool_calls("completion")).alias("text_md5"))
+
+
 # ---- tokenizer statistics, ordering ----------------------------------------------------------
 
 from tessera.operators import ordering as od  # noqa: E402

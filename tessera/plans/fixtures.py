@@ -76,6 +76,20 @@ def token_logps(spark: SparkSession, sf: str) -> DataFrame:
         .alias("reward"))
 
 
+def prefix_masked(tokens: DataFrame) -> DataFrame:
+    """Response masks as rollouts have them, a prefix of the sequence: none of it for gen_id % 3 = 0, the first 20 positions
+    for 1, all for 2."""
+    g = F.col("gen_id") % 3
+    return tokens.withColumn("mask", F.when(g == 0, 0).when(g == 1, (F.col("pos") < 20).cast("int")).otherwise(1))
+
+
+def episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """(prompt_id, completion, turn_outputs): all completions of a conversation as the turns of one rollout."""
+    r = rollouts(spark, sf).groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("turn", "completion"))).alias("t"))
+    return r.select("prompt_id", F.lit(0).cast("long").alias("gen_id"), F.col("t.completion").alias("turn_outputs")).withColumn(
+        "completion", F.array_join("turn_outputs", "\n"))
+
+
 def audio_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """(session_id, seq, prob, generating): one 512-sample window per event; a reply is in progress on
     'view' events (drives X2 interrupts)."""

@@ -168,6 +168,10 @@ TOKENS_CTE = """tokens AS (
   FROM events)"""
 
 
+PREFIX_TOKENS_CTE = TOKENS_CTE.replace("tokens AS (", "all_tokens AS (", 1) + """,
+tokens AS (SELECT * REPLACE (CASE gen_id % 3 WHEN 0 THEN 0 WHEN 1 THEN CAST(pos < 20 AS INTEGER) ELSE 1 END AS mask) FROM all_tokens)"""
+
+
 def _arg(x: str, key: str) -> tuple[str, str]:
     raw_t = f"json_type({x}, '$.arguments')"
     s = f"json_extract_string({x}, '$.arguments')"
@@ -202,22 +206,28 @@ def tool_calls_of(answer: str) -> str:
     return f"list_filter({bodies}, lambda b: json_valid(b) AND regexp_full_match(b, '(?s)\\{{.*\\}}'))"
 
 
-def agent_rewards_sql() -> str:
+def agent_rewards_sql(turns: bool = False) -> str:
     clip = lambda x: f"greatest(-3.0, least(3.0, {x}))"
-    tag = f"(-0.5 * abs({count_sub('answer', '<tool_call>')} - {count_sub('answer', '</tool_call>')}))"
-    plain = f"({tag} + {format_score('resp', 5)} - {rep_penalty('answer')})"
+    gaps = f"list_transform(answers, lambda y: abs({count_sub('y', '<tool_call>')} - {count_sub('y', '</tool_call>')}))"
+    tag = f"(-0.5 * list_sum({gaps}))"
+    plain = f"({tag} + {format_score('resp', 5)} - {rep_penalty('plain_answer')})"
     gap = "(abs(n_valid - len(gt)) + greatest(0, n_calls - n_valid))"
     withc = (f"({tag} + (CASE WHEN {gap} = 0 THEN 0.5 ELSE -0.5 * {gap} END) + "
              f"(CASE WHEN len(gt) > 0 THEN 2.5 * n_matched / len(gt) ELSE 0.0 END) - "
              f"(CASE WHEN unfinished THEN 0.5 ELSE 0.0 END) - "
              f"{rep_penalty('CASE WHEN length(final) > 0 THEN final ELSE answer END')})")
-    return f"""
-WITH {ROLLOUTS_CTE}, {TASKS_CTE},
-a AS (
-  SELECT r.prompt_id, r.gen_id, r.completion AS resp, t.tools, t.gt, t.unfinished, {answer_of('r.completion')} AS answer
-  FROM rollouts r JOIN tasks t USING (prompt_id)
+    source = ("""src AS (SELECT prompt_id, 0 AS gen_id, list(completion ORDER BY turn) AS turns,
+                     string_agg(completion, chr(10) ORDER BY turn) AS completion FROM rollouts GROUP BY prompt_id)""" if turns else
+              "src AS (SELECT *, [completion] AS turns FROM rollouts)")
+    return f"""
+WITH {ROLLOUTS_CTE}, {TASKS_CTE}, {source},
+a0 AS (
+  SELECT r.prompt_id, r.gen_id, r.completion AS resp, t.tools, t.gt, t.unfinished,
+         list_transform(r.turns, lambda z: {answer_of('z')}) AS answers, {answer_of('r.completion')} AS whole
+  FROM src r JOIN tasks t USING (prompt_id)
+), a AS (SELECT *, answers[-1] AS answer, CASE WHEN position('</think>' IN resp) > 0 THEN whole ELSE answers[-1] END AS plain_answer FROM a0
 ), b AS (
-  SELECT *, {tool_calls_of('answer')} AS calls,
+  SELECT *, flatten(list_transform(answers, lambda y: {tool_calls_of('y')})) AS calls,
          CASE WHEN unfinished THEN '' WHEN position('</tool_call>' IN answer) > 0
               THEN string_split(answer, '</tool_call>')[-1] ELSE answer END AS final
   FROM a
@@ -286,10 +296,11 @@ FROM tokens GROUP BY prompt_id
 """
 
 
-def masked_loss_sql() -> str:
+def masked_loss_sql(tokens: str = TOKENS_CTE) -> str:
+    prompt = "gen_id AS prompt_id" if tokens is not TOKENS_CTE else "prompt_id"
     return f"""
-WITH {TOKENS_CTE},
-s AS (SELECT prompt_id, gen_id, sum(-lp_new * mask) AS ls, sum(mask) AS ms FROM tokens GROUP BY prompt_id, gen_id)
+WITH {tokens},
+s AS (SELECT {prompt}, gen_id, sum(-lp_new * mask) AS ls, sum(mask) AS ms FROM tokens GROUP BY prompt_id, gen_id)
 SELECT prompt_id,
        0.0 + round(avg(ls / greatest(ms, 1)) + 1e-9, 6) AS seq_mean,
        0.0 + round(avg(CASE WHEN ms > 0 THEN ls / ms END) + 1e-9, 6) AS seq_mean_nonempty,
@@ -320,6 +331,49 @@ FROM s GROUP BY prompt_id
 """
 
 
+def ppo_objective_sql(eps: float = 0.2, clip_value: float = 0.2, kl_coef: float = 0.02) -> str:
+    n = "greatest(sum(mask), 1)"
+    return f"""
+WITH {PREFIX_TOKENS_CTE},
+t AS (SELECT *, v - 0.5 AS a, exp(lp_new - lp_old) AS r, -lp_new / 2 AS vn, v AS vo, -lp_old / 2 AS g,
+             exp(lp_ref - lp_new) - (lp_ref - lp_new) - 1 AS kl FROM tokens)
+SELECT prompt_id,
+       {r6(f'sum(greatest(-a * r, -a * greatest({1 - eps}, least({1 + eps}, r))) * mask) / {n} + {kl_coef} * sum(kl * mask) / {n}')} AS policy_loss,
+       {r6(f'0.5 * sum(greatest(pow(vn - g, 2), pow(greatest(vo - {clip_value}, least(vo + {clip_value}, vn)) - g, 2)) * mask) / {n}')} AS value_loss
+FROM t GROUP BY prompt_id
+"""
+
+
+def token_kl_sql() -> str:
+    return f"""
+WITH {PREFIX_TOKENS_CTE}
+SELECT prompt_id, {r6('sum((lp_ref - lp_new) * mask) / greatest(sum(mask), 1)')} AS kl FROM tokens GROUP BY prompt_id
+"""
+
+
+def preference_loss_tokens_sql(beta: float = 0.15) -> str:
+    side = lambda c, k: f"sum({c} * mask) FILTER (WHERE gen_id // 40 % 2 = {k})"
+    return f"""
+WITH {PREFIX_TOKENS_CTE},
+p AS (SELECT prompt_id, gen_id // 80 AS pair, {side('lp_new', 0)} AS pc, {side('lp_new', 1)} AS pr, {side('lp_ref', 0)} AS rc, {side('lp_ref', 1)} AS rr
+      FROM tokens GROUP BY 1, 2),
+m AS (SELECT *, (pc - pr) - (rc - rr) AS margin FROM p WHERE pc IS NOT NULL AND pr IS NOT NULL)
+SELECT prompt_id, pair, {r6('margin')} AS margin, {r6(f'ln(1 + exp(-{beta} * margin))')} AS loss FROM m
+"""
+
+
+def tool_calls_api_sql() -> str:
+    found = "regexp_extract_all(completion, '(?s)<tool_call>[\\s]*(\\{.*?\\})[\\s]*</tool_call>', 1)"
+    ids = f"list_filter(list_transform(range(len({found})), lambda i: CASE WHEN json_valid({found}[i + 1]) THEN 'call_' || i || '|' || coalesce(json_extract_string({found}[i + 1], '$.name'), '') END), lambda x: x IS NOT NULL)"
+    bare = "regexp_replace(completion, '(?s)<tool_call>(.*?)</tool_call>', '', 'g')"
+    return f"""
+WITH {ROLLOUTS_CTE}
+SELECT prompt_id, gen_id, CASE WHEN len({ids}) > 0 THEN array_to_string({ids}, ',') ELSE 'none' END AS calls,
+       md5({strip(f"CASE WHEN len({tool_calls_of('completion')}) > 0 THEN {bare} ELSE completion END")}) AS text_md5
+FROM rollouts
+"""
+
+
 def added_token_count(x: str) -> str:
     """Byte-vocabulary token count: UTF-8 bytes, minus (length-1) per occurrence of an added token."""
     from tessera.functions.tokens import ADDED_TOKENS

@@ -20,8 +20,8 @@ def r6(c) -> F.Column:
     return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(1e-9), 6) + F.lit(0.0)
 
 
-def agent_rewards(rollouts: DataFrame, tasks: DataFrame) -> DataFrame:
-    df = rw.agent_reward(rw.attach_task(rollouts, tasks))
+def agent_rewards(rollouts: DataFrame, tasks: DataFrame, turns: str | None = None) -> DataFrame:
+    df = rw.agent_reward(rw.attach_task(rollouts, tasks), turns=turns)
     return df.select("prompt_id", "gen_id", F.col("n_calls").cast("long").alias("n_calls"),
                      F.col("n_valid").cast("long").alias("n_valid"), F.col("n_matched").cast("long").alias("n_matched"),
                      r6("reward").alias("reward"))
