@@ -1,78 +1,48 @@
-"""J1 tool lookups as broadcast dimension joins, J6 registry upsert, J7 run/media pairing,
-J11 random pairing.  Dimension tables here are fixed and tiny (size-bounded broadcasts)."""
+"""J1 tool lookups as dimension joins, J6 registry upsert, J7 run/media pairing, J11 random pairing.
+
+A lookup takes its dimension as a table; what a tool answers for unknown keys is the default of each value.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import keyed_uniform
 
-# --- fixed values: mock tool data ----------------------------------------------------
-WEATHER = {"北京": ("28°C", "晴"), "上海": ("15°C", "多云"), "广州": ("32°C", "闷热"), "深圳": ("30°C", "晴"),
-           "杭州": ("22°C", "阴"), "成都": ("18°C", "小雨"), "武汉": ("25°C", "多云"), "南京": ("20°C", "晴"),
-           "西安": ("16°C", "大风"), "重庆": ("26°C", "阴"), "Tokyo": ("12°C", "晴"), "New York": ("8°C", "多云"),
-           "London": ("5°C", "小雨"), "Paris": ("10°C", "阴"), "Sydney": ("25°C", "晴朗")}
-WEATHER_DEFAULT = ("22°C", "晴")
-TIME = {"Asia/Shanghai": "2025-03-07 14:30:00", "America/New_York": "2025-03-07 01:30:00",
-        "Europe/London": "2025-03-07 06:30:00", "Asia/Tokyo": "2025-03-07 15:30:00",
-        "Europe/Paris": "2025-03-07 07:30:00", "Australia/Sydney": "2025-03-07 17:30:00"}
-TIME_DEFAULT_ZONE = "Asia/Shanghai"
-EXCHANGE = {("USD", "CNY"): 7.21, ("EUR", "CNY"): 7.85, ("GBP", "CNY"): 9.12, ("JPY", "CNY"): 0.048,
-            ("USD", "EUR"): 0.92, ("USD", "GBP"): 0.79, ("CNY", "JPY"): 20.83, ("AUD", "CNY"): 4.72}
-TRANSLATE = {("你好世界", "english"): "Hello World", ("Good morning", "chinese"): "早上好",
-             ("今天天气真好", "english"): "The weather is nice today", ("I love programming", "chinese"): "我喜欢编程",
-             ("机器学习很有趣", "english"): "Machine learning is interesting", ("Happy birthday", "chinese"): "生日快乐"}
-UNITS = {"km_miles": 0.621371, "miles_km": 1.60934, "kg_pounds": 2.20462, "pounds_kg": 0.453592,
-         "meters_feet": 3.28084, "feet_meters": 0.3048, "celsius_fahrenheit": 1.8, "fahrenheit_celsius": 0.5556}
-# ----------------------------------------------------------------------------------------
-
-
-def dims(spark: SparkSession) -> dict[str, DataFrame]:
-    return {
-        "weather": spark.createDataFrame([(k, t, c) for k, (t, c) in WEATHER.items()],
-                                         "location string, temperature string, condition string"),
-        "time": spark.createDataFrame(list(TIME.items()), "timezone string, datetime string"),
-        "exchange": spark.createDataFrame([(a, b, r) for (a, b), r in EXCHANGE.items()],
-                                          "from_currency string, to_currency string, rate double"),
-        "translate": spark.createDataFrame([(a, b, r) for (a, b), r in TRANSLATE.items()],
-                                           "text string, target_language string, translated_text string"),
-        "units": spark.createDataFrame(list(UNITS.items()), "unit_key string, factor double"),
-    }
-
-
-def exchange_rate(calls: DataFrame, spark: SparkSession) -> DataFrame:
-    """Rate by (from, to) with default 1.0 (left broadcast equi-join on a composite key)."""
-    d = dims(spark)["exchange"]
-    return (calls.join(F.broadcast(d), ["from_currency", "to_currency"], "left")
-            .withColumn("rate", F.coalesce(F.col("rate"), F.lit(1.0))))
-
-
-def weather(calls: DataFrame, spark: SparkSession) -> DataFrame:
-    d = dims(spark)["weather"]
-    return (calls.join(F.broadcast(d), ["location"], "left")
-            .withColumn("temperature", F.coalesce("temperature", F.lit(WEATHER_DEFAULT[0])))
-            .withColumn("condition", F.coalesce("condition", F.lit(WEATHER_DEFAULT[1]))))
-
-
-def current_time(calls: DataFrame, spark: SparkSession) -> DataFrame:
-    d = dims(spark)["time"]
-    c = calls.withColumn("timezone", F.coalesce("timezone", F.lit(TIME_DEFAULT_ZONE)))
-    return c.join(F.broadcast(d), ["timezone"], "left") \
-        .withColumn("datetime", F.coalesce("datetime", F.lit(TIME[TIME_DEFAULT_ZONE])))
-
-
-def translate(calls: DataFrame, spark: SparkSession) -> DataFrame:
-    d = dims(spark)["translate"]
-    return calls.join(F.broadcast(d), ["text", "target_language"], "left") \
-        .withColumn("translated_text", F.coalesce("translated_text", "text"))
-
-
-def unit_convert(calls: DataFrame, spark: SparkSession) -> DataFrame:
-    d = dims(spark)["units"]
+
+def lookup(calls: DataFrame, dim: DataFrame, keys: list[str], defaults: dict[str, Column]) -> DataFrame:
+    """The values of ``dim`` by ``keys`` (left equi-join), a default where the key is unknown, null or missing."""
+    found = calls.drop(*defaults).join(dim.select(*keys, *defaults), keys, "left")
+    return found.withColumns({name: F.coalesce(F.col(name), default) for name, default in defaults.items()})
+
+
+def exchange_rate(calls: DataFrame, rates: DataFrame) -> DataFrame:
+    """Rate by (from_currency, to_currency), default 1.0."""
+    return lookup(calls, rates, ["from_currency", "to_currency"], {"rate": F.lit(1.0)})
+
+
+def weather(calls: DataFrame, reports: DataFrame, temperature: str, condition: str) -> DataFrame:
+    """Temperature and condition by location; the defaults are arguments."""
+    return lookup(calls, reports, ["location"], {"temperature": F.lit(temperature), "condition": F.lit(condition)})
+
+
+def current_time(calls: DataFrame, clocks: DataFrame, default_zone: str, default_time: str) -> DataFrame:
+    """Datetime by timezone; a missing zone is the default zone, an unknown one has the default time."""
+    zoned = calls.withColumn("timezone", F.coalesce("timezone", F.lit(default_zone)))
+    return lookup(zoned, clocks, ["timezone"], {"datetime": F.lit(default_time)})
+
+
+def translate(calls: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Translation by (text, target_language), default the text itself."""
+    return lookup(calls, phrases, ["text", "target_language"], {"translated_text": F.col("text")})
+
+
+def unit_convert(calls: DataFrame, factors: DataFrame) -> DataFrame:
+    """Value times the factor of ``from_to`` (default 1), rounded half to even at 4 places."""
     key = F.concat(F.lower(F.coalesce("from_unit", F.lit(""))), F.lit("_"), F.lower(F.coalesce("to_unit", F.lit(""))))
-    return (calls.withColumn("unit_key", key).join(F.broadcast(d), ["unit_key"], "left")
-            .withColumn("result", F.bround(F.col("value").cast("double") * F.coalesce("factor", F.lit(1.0)), 4)))
+    found = lookup(calls.withColumn("unit_key", key), factors, ["unit_key"], {"factor": F.lit(1.0)})
+    return found.withColumn("result", F.bround(F.col("value").cast("double") * F.col("factor"), 4))
 
 
 def registry_upsert(reg: DataFrame, updates: DataFrame, name: str = "name", grp: str = "grp",

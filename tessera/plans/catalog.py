@@ -284,11 +284,11 @@ def q_tool_calls(spark, sf):
 @register("exchange_lookup", oracles.exchange_lookup_sql())
 def q_exchange_lookup(spark, sf):
     """P17 + J1: exchange-rate tool calls resolved against the rate dimension (default 1.0)."""
-    c = _calls(spark, sf).filter((F.col("name") == "get_exchange_rate") & F.col("arguments").startswith("{"))
+    c = _calls(spark, sf).filter(F.col("name") == "get_exchange_rate")
     a = rw.parse_tool_arguments("arguments")
     c = c.select("prompt_id", "gen_id", F.col("idx").cast("int").alias("idx"),
                  a["from_currency"].alias("from_currency"), a["to_currency"].alias("to_currency"))
-    return lk.exchange_rate(c, spark).select("prompt_id", "gen_id", "idx", "from_currency", "to_currency", "rate")
+    return lk.exchange_rate(c, fx.rates(spark, sf)).select("prompt_id", "gen_id", "idx", "from_currency", "to_currency", "rate")
 
 
 @register("chat_parse", oracles.chat_parse_sql())

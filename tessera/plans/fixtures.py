@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tessera.sources.tables import number_within, read_table, with_group_count
 
 # --- fixed values (fixture formulas of FIXTURES.md) -----------------------------
-TOOL_CALL_RATE = ('<tool_call>{"name": "get_exchange_rate", "arguments": {"from_currency": "USD", '
-                  '"to_currency": "CNY"}}</tool_call> 7.21')
+TOOL_CALL_RATE = ('<tool_call>{"name": "get_exchange_rate", "arguments": {"from_currency": "', '", "to_currency": "CNY"}}</tool_call> 7.21')
+CURRENCIES = ("USD", "EUR", "GBP", "XXX")   # by conv_id % 4; the last has no rate
 TOOL_CALL_BAD = ('<tool_call>{"name": "calculate_math", "arguments": {"expression": ""}}</tool_call>'
                  '<tool_call>{bad</tool_call>')
 # ---------------------------------------------------------------------------------
@@ -24,9 +24,10 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     mode = ((F.col("conv_id") + F.col("turn")) % 6).cast("int")
     t = F.col("text")
+    currency = F.element_at(F.array(*[F.lit(c) for c in CURRENCIES]), (F.col("conv_id") % 4 + 1).cast("int"))
     completion = (F.when(mode == 0, t)
                   .when(mode == 1, F.concat(F.substring(t, 1, 60), F.lit("</think>"), F.expr("substring(text, 61)")))
-                  .when(mode == 2, F.concat(t, F.lit(TOOL_CALL_RATE)))
+                  .when(mode == 2, F.concat(t, F.lit(TOOL_CALL_RATE[0]), currency, F.lit(TOOL_CALL_RATE[1])))
                   .when(mode == 3, F.concat(t, F.lit(TOOL_CALL_BAD)))
                   .when(mode == 4, F.concat_ws(" ", t, t, t))
                   .otherwise(F.concat(F.lit("<tool_call>"), t)))
@@ -34,6 +35,13 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
                     "turn", mode.alias("mode"), completion.alias("completion"))
 
 
+def rates(spark: SparkSession, sf: str) -> DataFrame:
+    """(from_currency, to_currency, rate) of the first three nations' keys."""
+    n = read_table(spark, sf, "nation").where("n_nationkey < 3")
+    name = F.element_at(F.array(*[F.lit(c) for c in CURRENCIES]), (F.col("n_nationkey") + 1).cast("int"))
+    return n.select(name.alias("from_currency"), F.lit("CNY").alias("to_currency"), (7 + F.col("n_nationkey") / F.lit(8.0)).alias("rate"))
+
+
 def tasks(spark: SparkSession, sf: str) -> DataFrame:
     """(prompt_id, tools, gt, unfinished) per conversation."""
     c = read_table(spark, sf, "conversations").select("conv_id").distinct()

@@ -73,7 +73,7 @@ FROM s GROUP BY conv_id
 
 from tessera.functions.text import PY_WHITESPACE  # noqa: E402
 from tessera.operators.rewards import REP_TOKEN_PATTERN, WORD  # noqa: E402
-from tessera.plans.fixtures import TOOL_CALL_BAD, TOOL_CALL_RATE  # noqa: E402
+from tessera.plans.fixtures import CURRENCIES, TOOL_CALL_BAD, TOOL_CALL_RATE  # noqa: E402
 
 WS = "||".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
 
@@ -142,7 +142,7 @@ ROLLOUTS_CTE = f"""rollouts AS (
          CASE (conv_id + turn) % 6
            WHEN 0 THEN text
            WHEN 1 THEN substr(text, 1, 60) || '</think>' || substr(text, 61)
-           WHEN 2 THEN text || {q(TOOL_CALL_RATE)}
+           WHEN 2 THEN text || {q(TOOL_CALL_RATE[0])} || {sql_list(CURRENCIES)}[conv_id % 4 + 1] || {q(TOOL_CALL_RATE[1])}
            WHEN 3 THEN text || {q(TOOL_CALL_BAD)}
            WHEN 4 THEN text || ' ' || text || ' ' || text
            ELSE '<tool_call>' || text END AS completion
@@ -509,7 +509,6 @@ FROM conversations WHERE strlen(text) > 0
 # ---- chat / tools / media ---------------------------------------------------------------------
 
 from tessera.operators.rewards import HISTORY_JOIN  # noqa: E402
-from tessera.operators.lookups import EXCHANGE  # noqa: E402
 
 NL = "chr(10)"
 EMPTY_THINK_SQL = f"'<think>' || {NL} || {NL} || '</think>' || {NL} || {NL}"
@@ -597,7 +596,6 @@ FROM tagged
 
 
 def exchange_lookup_sql() -> str:
-    vals = ", ".join(f"({q(a)}, {q(b)}, {r})" for (a, b), r in EXCHANGE.items())
     b = strip("body")
     args = f"CAST(json_extract({b}, '$.arguments') AS VARCHAR)"
     return f"""
@@ -607,8 +605,8 @@ c AS (SELECT prompt_id, gen_id, unnest(bodies) AS body, unnest(range(len(bodies)
 k AS (SELECT prompt_id, gen_id, idx, json_extract_string({args}, '$.from_currency') AS from_currency,
              json_extract_string({args}, '$.to_currency') AS to_currency
       FROM c WHERE json_valid({b}) AND regexp_full_match({b}, '(?s)\\{{.*\\}}')
-        AND json_extract_string({b}, '$.name') = 'get_exchange_rate' AND json_type({b}, '$.arguments') = 'OBJECT'),
-d(from_currency, to_currency, rate) AS (VALUES {vals})
+        AND json_extract_string({b}, '$.name') = 'get_exchange_rate'),
+d AS (SELECT {sql_list(CURRENCIES)}[n_nationkey + 1] AS from_currency, 'CNY' AS to_currency, 7 + n_nationkey / 8.0 AS rate FROM nation WHERE n_nationkey < 3)
 SELECT prompt_id, gen_id, CAST(idx AS INTEGER) AS idx, from_currency, to_currency, CAST(coalesce(d.rate, 1.0) AS DOUBLE) AS rate
 FROM k LEFT JOIN d USING (from_currency, to_currency)
 """

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tessera") -> SparkSession:
     builder = (
@@ -32,6 +36,20 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "t
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application, so that its functions load there whatever their path
+    holds.  A package that came as an archive itself (``--py-files``) is there already."""
+    sc, root = spark.sparkContext, Path(__file__).parent
+    if not root.is_dir() or sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="tessera-package-")) / "tessera.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; a scratch one is made only in local mode, where it is unset (tests)."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
