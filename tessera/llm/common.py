@@ -57,26 +57,29 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-class TwoGenerationCache(dict):
-    """``dict`` that computes missing values and forgets old ones: at most ``2 * cap`` entries.
+class BoundedCache(dict):
+    """``dict`` that computes missing values.  The first ``cap`` keys stay, which are the frequent ones; later ones share
+    a side table of ``cap // 4`` that starts anew when full.  Keys longer than ``longest`` are computed each time.
 
-    Keys longer than ``longest`` are computed each time.  Only speed depends on it, never a result.
+    Only speed depends on it, never a result.
     """
 
-    def __init__(self, compute: Callable, cap: int = 300_000, longest: int = 64):
+    def __init__(self, compute: Callable, cap: int = 400_000, longest: int = 64):
         super().__init__()
-        self.compute, self.cap, self.longest, self.old = compute, cap, longest, {}
+        self.compute, self.cap, self.longest, self.side = compute, cap, longest, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
+        value = self.side.get(key)
         if value is None:
             value = self.compute(key)
             if len(key) > self.longest:
                 return value
-        if len(self) >= self.cap:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+            if len(self) < self.cap:
+                self[key] = value
+            else:
+                if len(self.side) >= self.cap // 4:
+                    self.side.clear()
+                self.side[key] = value
         return value
 
 
@@ -84,9 +87,9 @@ _PER_WORKER: dict = {}
 
 
 def per_worker(key, make: Callable):
-    """One object per Python worker and key (a worker serves many tasks); only the latest few are kept."""
+    """One object per Python worker and key (a worker serves many tasks); only the latest two are kept."""
     if key not in _PER_WORKER:
-        while len(_PER_WORKER) >= 4:
+        while len(_PER_WORKER) >= 2:
             _PER_WORKER.pop(next(iter(_PER_WORKER)))
         _PER_WORKER[key] = make()
     return _PER_WORKER[key]

@@ -3,7 +3,9 @@
 Both tokenizers cut a text into pre-tokens first, and a merge never crosses a cut.  At each single blank before a character
 that is no white space there is always such a cut: byte-level pre-tokens may only begin with a blank, the word
 tokenizer drops white space.  So a text falls into chunks at those blanks, and its ids are the chunks' ids in order; most
-chunks are words seen before.  Chunks not in the cache are encoded by the library itself.
+chunks are words seen before.  Of chunks not in the cache, a plain word (letters of basic Latin and Latin-1, which both
+patterns take as one pre-token) with a tail of full stops and the like goes to the library's model directly; any other
+is encoded by the library from the start.
 
 Added special tokens may hold no blank (both files' don't), so they stay within a chunk and are found by the library there.
 """
@@ -11,12 +13,16 @@ Added special tokens may hold no blank (both files' don't), so they stay within
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
-from tessera.llm.common import TwoGenerationCache
+from tessera.llm.common import BoundedCache
 
 _CUT = re.compile(r" (?=\S)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_LETTERS = "".join(map(chr, (*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)))))
 
 
 class Irregular(Exception):
@@ -28,25 +34,57 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_symbols(chars: str) -> dict[int, str]:
+    """What the library's byte-level step makes of each character, for ``str.translate``."""
+    from tokenizers.pre_tokenizers import ByteLevel
+    step = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {ord(c): step.pre_tokenize_str(c)[0][0] for c in chars}
+
+
 class ByteEncoder:
     """Byte-level vocabulary (blanks belong to the pre-token after them).
 
-    ``value(ids)`` makes what the cache holds of a chunk; ``parts`` returns those values in order.
+    ``value(ids)`` makes what the cache holds of a chunk, ``join`` makes one of several; ``parts`` returns a text's in order.
     """
 
-    def __init__(self, path: str, value=len, table: dict | None = None):
-        self.tokenizer, self.value = load(path), value
+    def __init__(self, path: str, value=len, join=sum, table: dict | None = None):
+        self.tokenizer, self.value, self.join = load(path), value, join
+        self.model, self.symbols = self.tokenizer.model, byte_symbols(" " + _LETTERS)
         self.table = table or {}
-        self.chunks = TwoGenerationCache(self._chunk)
+        self.tails: dict = {}
+        self.chunks = BoundedCache(self._chunk)
 
     def encode(self, text: str):
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _word(self, word: str):
+        """A pre-token of plain letters, with or without the blank before it."""
+        if not word.isascii() or word[0] == " ":
+            word = word.translate(self.symbols)
+        return self.value([t.id for t in self.model.tokenize(word)])
+
+    def _tail(self, tail: str):
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self.encode(tail)
+        return self.tails[tail]
+
     def _chunk(self, key: str):
         if not key or key == "\n" or (key[0] != "\n" and key[0].isspace()) or (key[0] == "\n" and key[1].isspace()):
             raise Irregular
         known = self.table.get(key)
-        return self.encode(key if key[0] == "\n" else " " + key) if known is None else known
+        if known is not None:
+            return known
+        new_line = key[0] == "\n"
+        plain = _PLAIN.fullmatch(key, 1 if new_line else 0)
+        if not plain:
+            return self.encode(key if new_line else " " + key)
+        word, tail = plain.groups()
+        out = [self._tail("\n"), self.words[word]] if new_line else [self._word(" " + word)]
+        if tail:
+            out.append(self._tail(tail))
+        return self.join(out) if len(out) > 1 else out[0]
 
     def parts(self, text: str) -> list:
         """A newline between characters that are no white space begins a chunk of its own too."""
@@ -75,15 +113,30 @@ class WordEncoder(ByteEncoder):
     """Word vocabulary (white space is dropped, so a cut at any blank or newline is valid)."""
 
     def _chunk(self, key: str):
-        return self.encode(key)
+        plain = _PLAIN.fullmatch(key)
+        if not plain:
+            return self.encode(key)
+        word, tail = plain.groups()
+        own = self._word(word.lower())
+        return self.join([own, self._tail(tail)]) if tail else own
 
     def parts(self, text: str) -> list:
-        return list(map(self.chunks.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+        return list(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def u32(ids) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
     return np.asarray(ids, "<u4").tobytes()
 
 
-def u16(ids) -> bytes:
-    return np.asarray(ids, "<u2").tobytes()
+def _packer(code: str):
+    """Fast for short lists of ids."""
+    def pack(ids: list) -> bytes:
+        packed = array(code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+    return pack
+
+
+ids_u32, ids_u16 = _packer("I"), _packer("H")

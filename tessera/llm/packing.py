@@ -18,7 +18,6 @@ doc_ids with different texts are packed as different documents, exact repeats to
 from __future__ import annotations
 
 import bisect
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,24 +25,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc32_u32, per_worker, row_chunks, text_of, written
-from tessera.llm.encoding import ByteEncoder, u32
+from tessera.llm.encoding import ByteEncoder, ids_u32
 
 CAPACITY = 2048
 END = 0
 GROUPS = (64, 512, CAPACITY)  # numbers of groups that are tried; the plan with the fewest sequences is taken
 SMALL = 4  # pieces up to capacity / SMALL are small
-BUCKET_ROWS = 20_000  # pieces numbered together
+BUCKET_ROWS = 4_000  # pieces numbered together
 
 # ---- pieces ---------------------------------------------------------------------------------------------------------
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def _pieces(path: str, capacity: int, key: str, with_ids: bool):
+def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches):
         import pyarrow as pa
-        encoder = per_worker(("ids", key), lambda: ByteEncoder(path, u32))
-        end = u32([END])
+        encoder = per_worker(("ids", path), lambda: ByteEncoder(path, ids_u32, b"".join))
+        end = ids_u32([END])
         for doc_ids, texts in row_chunks(batches, ["doc_id", "text"]):
             rows = []
             for doc, text in zip(doc_ids, texts):
@@ -65,7 +64,7 @@ def _pieces(path: str, capacity: int, key: str, with_ids: bool):
 def pieces(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece of at most ``capacity`` ids; ``with_ids`` adds the ids as little-endian unsigned 32-bit integers."""
     rows = docs.select("doc_id", text_of(text).alias("text"))
-    return rows.mapInArrow(_pieces(path, capacity, uuid.uuid4().hex, with_ids), PIECE + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(_pieces(path, capacity, with_ids), PIECE + (", ids binary" if with_ids else ""))
 
 
 # ---- plan -----------------------------------------------------------------------------------------------------------

@@ -18,7 +18,6 @@ in doc_id in the order of their text; an empty table gives no file rows and no r
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -26,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc32_u32, per_worker, row_chunks, scratch_path, text_of
-from tessera.llm.encoding import WordEncoder, u16, u32
+from tessera.llm.encoding import WordEncoder, ids_u16, ids_u32, u32
 
 BITS = 20
 LANES, STEPS, CHECK = 32, 1024, 256
 BLOCK = LANES * STEPS
-SEGMENT = 1 << 20
+SEGMENT = 1 << 22
 LOW = np.uint64(1 << 31)
 MAGIC = b"TRS1"
 END = 2
@@ -184,12 +183,12 @@ def decode(payload: bytes) -> np.ndarray:
 FILE = "part int, segment int, doc_ids array<long>, lengths array<int>, payload binary"
 
 
-def _write_part(path: str, end: int, key: str, narrow: bool):
+def _write_part(path: str, end: int, narrow: bool):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        pack, kind = (u16, "<u2") if narrow else (u32, "<u4")
-        encoder = per_worker(("words", key), lambda: WordEncoder(path, pack))
+        pack, kind = (ids_u16, "<u2") if narrow else (ids_u32, "<u4")
+        encoder = per_worker(("words", path), lambda: WordEncoder(path, pack, b"".join))
         part, size, tail = TaskContext.get().partitionId(), np.dtype(kind).itemsize, pack([end])
         docs, lengths, held, total, segment = [], [], [], 0, 0
 
@@ -223,7 +222,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end: int = END, text: str =
     rows = docs.select("doc_id", text_of(text).alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     narrow = load(path).get_vocab_size() <= 1 << 16
-    (rows.mapInArrow(_write_part(path, end, uuid.uuid4().hex, narrow), FILE)
+    (rows.mapInArrow(_write_part(path, end, narrow), FILE)
      .write.option("compression", "uncompressed").parquet(out))
 
 

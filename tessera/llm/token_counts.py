@@ -11,8 +11,6 @@ inside texts count as the library takes them by default; clashing columns of the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +30,12 @@ def frequent_lengths(path: str) -> dict[str, int]:
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit of each whole text in one narrow pass."""
-    table, key = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path)), uuid.uuid4().hex
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path))
 
     @F.pandas_udf("long")
     def counted(texts):
         import pandas as pd
-        encoder = per_worker(("counts", key), lambda: ByteEncoder(path, len, table.value))
+        encoder = per_worker(("counts", path), lambda: ByteEncoder(path, len, sum, table.value))
         return pd.Series([sum(encoder.parts(t)) for t in texts], dtype="int64")
 
     t = text_of(text)

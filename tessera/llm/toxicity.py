@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TwoGenerationCache, discard, held_out, per_worker, row_chunks, text_of, written
+from tessera.llm.common import BoundedCache, discard, held_out, per_worker, row_chunks, text_of, written
 
 # ---- character language model ---------------------------------------------------------------------------------------
 
@@ -226,7 +226,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.decoder, self.shares, self.floor, self.cut = Decoder(model.costs), model.shares, model.base / 2, model.cut
         self.heads = {f[:4] for f in self.shares} | {f for f in self.shares if len(f) < 4}
-        self.tokens = TwoGenerationCache(self._token)
+        self.tokens = BoundedCache(self._token)
 
     def words(self, text: str) -> set:
         """The distinct words of the restored text."""

@@ -27,9 +27,9 @@ def docs(spark):
 @pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", ByteEncoder), ("word_bpe_49k.json", WordEncoder)])
 def test_encoders_match_the_library(name, kind):
     path = tokenizer_path(name)
-    library, ours = load(path), kind(path, u32)
+    library, ours = load(path), kind(path, u32, b"".join)
     rng = random.Random(7)
-    odd = ["".join(rng.choice("ab .,\n\t'é1!<| \x1c　") for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    odd = ["Grüße,", "naïve...", "É.", "x!?", "ÀÖØöøÿ", "don't.", "a×b", "ß", "IJ", "É", "fiancé\nfoo.", "a.b", "Word\nWord, \nx"] + ["".join(rng.choice("ab .,\n\t'é1!<| \x1c　") for _ in range(rng.randint(0, 30))) for _ in range(5000)]
     for t in odd + [t for t in TEXTS if t is not None]:
         assert b"".join(ours.parts(t)) == u32(library.encode(t, add_special_tokens=False).ids), repr(t)
 
