@@ -14,10 +14,15 @@ from tessera.sources.tables import with_row_index
 
 
 def epoch_shuffle(df: DataFrame, id_col: str, epoch: int, seed: int = 42) -> DataFrame:
-    """L1: rows in a seeded permutation (seed + epoch); adds 0-based ``pos``."""
+    """L1: rows in a seeded permutation (seed + epoch); adds 0-based ``pos``.
+
+    Only the ids are sorted and numbered; the other columns are joined to their positions by the id, which must be
+    unique."""
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed + epoch}")))
-    ordered = df.withColumn("_h", h).orderBy("_h", id_col)
-    return with_row_index(ordered, "pos").drop("_h").withColumn("epoch", F.lit(epoch))
+    ids = df.select(id_col).withColumn("_h", h).orderBy("_h", id_col).drop("_h")
+    places = with_row_index(ids, "pos")
+    out = places if df.columns == [id_col] else df.join(places, id_col)
+    return out.withColumn("epoch", F.lit(epoch))
 
 
 def _with_count(df: DataFrame, name: str = "_n") -> DataFrame:
@@ -27,23 +32,24 @@ def _with_count(df: DataFrame, name: str = "_n") -> DataFrame:
 
 def shard_by_rank(df: DataFrame, world: int, pos: str = "pos") -> DataFrame:
     """L2: rank = pos mod world after padding to a multiple of world by going round from the start, as often as
-    needed; adds ``shard`` and ``local_pos``.  One count serves all rows; a row repeats itself in place."""
+    needed; adds ``shard``, ``local_pos`` and ``shard_size`` (the same for all shards).  One count serves all rows; a row
+    repeats itself in place."""
     c = _with_count(df)
     n, p = F.col("_n"), F.col(pos)
     total = F.expr(f"(_n + {world - 1}) div {world} * {world}")
     again = F.sequence(p, total - 1, n)     # p, p + n, p + 2n, ... below the total
     both = c.withColumn(pos, F.explode(again))
     return (both.withColumn("shard", F.pmod(F.col(pos), F.lit(world)).cast("int"))
-            .withColumn("local_pos", F.expr(f"{pos} div {world}")).drop("_n"))
+            .withColumn("local_pos", F.expr(f"{pos} div {world}"))
+            .withColumn("shard_size", F.expr(f"(_n + {world - 1}) div {world}")).drop("_n"))
 
 
 def assign_batches(df: DataFrame, batch_size: int, skip: int = 0, pos: str = "pos",
-                   by: list[str] | None = None) -> DataFrame:
-    """L3: consecutive batches of ``batch_size``; the first ``skip`` full batches are dropped and the final
+                   size: str | None = None) -> DataFrame:
+    """L3: consecutive batches of ``batch_size``, of a table or, with ``size`` naming the column of a row's shard size, of
+    each shard; the first ``skip`` full batches are dropped and the final
     partial batch is kept only when the skip was used up.  ``batch_id`` counts the yielded batches."""
-    by = by or []
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    d = df.join(counts, by) if by else df.withColumn("_n", scalar_of(counts)["_n"])
+    d = df.withColumnRenamed(size, "_n") if size else _with_count(df)
     b = F.expr(f"{pos} div {batch_size}")
     full_batches = F.expr(f"_n div {batch_size}")
     is_full = b < full_batches

@@ -182,7 +182,7 @@ def q_epoch_batches(spark, sf, epochs=(0, 1), world=4, batch_size=8, skip0=1):
     for e in epochs:
         p = od.epoch_shuffle(docs, "doc_id", e)
         s = od.shard_by_rank(p, world)
-        b = od.assign_batches(s, batch_size, skip0 if e == epochs[0] else 0, pos="local_pos", by=["shard"])
+        b = od.assign_batches(s, batch_size, skip0 if e == epochs[0] else 0, pos="local_pos", size="shard_size")
         b = b.select(F.col("epoch").cast("int").alias("epoch"), "doc_id", F.col("pos").cast("long").alias("pos"),
                      "shard", "local_pos", "batch_id")
         out = b if out is None else out.unionByName(b)
