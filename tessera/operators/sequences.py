@@ -111,6 +111,15 @@ def shift_xy(ids) -> tuple[Column, Column]:
     return F.slice(ids, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ids, F.lit(2), F.greatest(n - 1, F.lit(0)))
 
 
+def pad_to_batch(df, batch: str, fill: dict[str, Column]):
+    """Q12: arrays named by ``fill`` padded on the right, with its values, to the longest of ``batch`` (of the first array
+    named; the others must be as long).  One partial aggregation and an equi-join on the batch."""
+    first = next(iter(fill))
+    longest = df.groupBy(batch).agg(F.max(F.size(first)).alias("_longest"))
+    short = F.col("_longest") - F.size(first)
+    return df.join(longest, batch).withColumns({c: F.concat(F.col(c), F.array_repeat(v, short)) for c, v in fill.items()}).drop("_longest")
+
+
 def left_truncate_pad(ids, max_len: int, pad: int = PAD_ID) -> tuple[Column, Column]:
     """Q10: keep the last max_len ids, left-pad to max_len; returns (ids, attention_mask)."""
     t = tail(ids, max_len)

@@ -478,45 +478,32 @@ def q_bpe_train(spark, sf, extra_merges=100):
 
 # ---- preference pairs, batching, corpus reports -----------------------------------------------
 
-from tessera.plans.sft import ASSISTANT_START, TURN_END  # noqa: E402
+from tessera.plans.sft import preference_samples  # noqa: E402
+
+
+def _md5_of(array) -> F.Column:
+    return F.md5(F.array_join(F.transform(array, lambda x: x.cast("string")), ","))
 
 
 @register("preference_pairs", oracles.preference_pairs_sql())
 def q_preference_pairs(spark, sf, max_len=512, seed=42):
-    """Q9: each side rendered as an assistant turn, P4 with an independent draw per side, T6, Q2, Q4/Q6, Q8."""
-    p = fx.preferences(spark, sf)
-    bos = tk.encode_bytes_py(ASSISTANT_START).tolist()
-    eos = tk.encode_bytes_py(TURN_END).tolist()
-    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    out = None
-    for side in ("chosen", "rejected"):
-        conv = F.array(ch.make_message(F.lit("assistant"), F.col(side)))
-        d = p.select("conv_id", "turn", key.alias("k"), conv.alias("c"))
-        d = d.withColumn("prompt", ch.render_chat("c"))
-        d = d.withColumn("prompt", ch.strip_empty_think("prompt", "k", 0.2, seed, tag=f"think_{side}"))
-        d = d.withColumn("ids", sq.pad_right(tk.encode_bytes("prompt"), max_len))
-        d = d.withColumn("mask", sq.loss_mask("ids", sq.assistant_spans("ids", bos, eos), len(eos), max_len))
-        x, _ = sq.shift_xy("ids")
-        _, ym = sq.shift_xy("mask")
-        d = d.select("conv_id", "turn", F.lit(side).alias("side"), F.size(x).cast("long").alias("x_len"),
-                     F.aggregate(ym, F.lit(0).cast("long"), lambda a, v: a + v).alias("mask_sum"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    """Q9: the six arrays of every pair, by digest."""
+    p = fx.preferences(spark, sf).withColumns({side: F.array(ch.make_message(F.lit("assistant"), F.col(side))) for side in ("chosen", "rejected")})
+    arrays = preference_samples(p, ["conv_id", "turn"], max_len, seed)
+    return arrays.select("conv_id", "turn", *[_md5_of(c).alias(c) for c in arrays.columns[2:]])
 
 
 @register("pad_to_batch", oracles.pad_to_batch_sql())
 def q_pad_to_batch(spark, sf, n_batches=5):
-    """Q12: sequences grouped into batches (prompt_id mod 5) and padded to the longest in their batch."""
+    """Q12: ids, masks and log-probabilities of the sequences of a batch (prompt_id mod 5), padded alike."""
     t = fx.token_logps(spark, sf)
-    seq = t.groupBy("prompt_id", "gen_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "lp_new"))).alias("_s"))
-    seq = seq.select("prompt_id", "gen_id", (F.col("prompt_id") % n_batches).alias("batch"),
-                     F.col("_s.lp_new").alias("logp"))
-    mx = seq.groupBy("batch").agg(F.max(F.size("logp")).alias("_mx"))
-    padded = seq.join(F.broadcast(mx), "batch").withColumn(
-        "logp_padded", F.concat("logp", F.array_repeat(F.lit(0.0), F.col("_mx") - F.size("logp"))))
-    return padded.select("gen_id", "batch", F.size("logp").cast("long").alias("len"),
-                         F.size("logp_padded").cast("long").alias("padded_len"))
+    seq = t.groupBy("prompt_id", "gen_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lp_new", "mask"))).alias("_s"))
+    seq = seq.select("gen_id", (F.col("prompt_id") % n_batches).alias("batch"), F.transform("_s", lambda x: x["pos"] % 50 + 1).alias("ids"),
+                     F.col("_s.mask").alias("mask"), F.col("_s.lp_new").alias("logp"))
+    padded = sq.pad_to_batch(seq, "batch", {"ids": F.lit(0), "mask": F.lit(0), "logp": F.lit(0.0)})
+    fiftieths = F.transform("logp", lambda x: F.round(x * 50).cast("int"))
+    return padded.select("gen_id", "batch", F.size("ids").cast("long").alias("padded_len"), _md5_of("ids").alias("ids_md5"),
+                         _md5_of("mask").alias("mask_md5"), _md5_of(fiftieths).alias("logp_md5"))
 
 
 @register("supervised_filter", oracles.supervised_filter_sql(256))

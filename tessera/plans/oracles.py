@@ -773,27 +773,45 @@ FROM t
 
 
 def preference_pairs_sql(max_len: int = 512, seed: int = 42) -> str:
-    parts = []
+    from tessera.functions.tokens import TOKEN_ID, byte_id_sql
+
+    def byte_ids(text):
+        return (f"list_transform(range(strlen({text})), lambda k: list_transform([CAST(('0x' || substr(hex(encode({text})), 2 * k + 1, 2)) AS INTEGER)], "
+                f"lambda b: {byte_id_sql('b')})[1])")
+
+    key = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+    head = f"[{TOKEN_ID['<|im_start|>']}] || {byte_ids(f"('assistant' || {NL})")}"
+    breaks = byte_ids(f"({NL} || {NL})")
+    think = f"[{TOKEN_ID['<think>']}] || {breaks} || [{TOKEN_ID['</think>']}] || {breaks}"
+    cols = []
     for side in ("chosen", "rejected"):
-        key = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
-        body = f"(CASE WHEN {u(key, 'think_' + side, seed)} <= 0.2 THEN 6 ELSE 0 END + strlen(ltrim({side}, {NL})))"
-        parts.append(f"""SELECT conv_id, turn, '{side}' AS side, CAST({max_len - 1} AS BIGINT) AS x_len,
-       CAST(greatest(0, least(12 + {body} + 1, {max_len}) - 12 + 1) AS BIGINT) AS mask_sum FROM p""")
-    union = "\nUNION ALL\n".join(parts)
+        body = f"((CASE WHEN {u(key, 'think_' + side, seed)} <= 0.2 THEN {think} ELSE [] END) || {byte_ids(f'ltrim({side}, {NL})')})"
+        full = f"({head} || {body} || [{TOKEN_ID['<|im_end|>']}] || {byte_ids(NL)})"
+        cols.append(f"{full} AS f_{side}, len({body}) AS b_{side}")
+    outs = []
+    for side in ("chosen", "rejected"):
+        ids = f"(f_{side}[1:{max_len}] || list_transform(range(greatest({max_len} - len(f_{side}), 0)), lambda k: 0))"
+        mask = f"list_transform(range(2, {max_len + 1}), lambda i: CASE WHEN i >= 12 AND i <= least(13 + b_{side}, {max_len}) THEN 1 ELSE 0 END)"
+        outs += [f"md5(array_to_string({ids}[1:{max_len - 1}], ',')) AS x_{side}", f"md5(array_to_string({ids}[2:{max_len}], ',')) AS y_{side}",
+                 f"md5(array_to_string({mask}, ',')) AS mask_{side}"]
     return f"""
 WITH a AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b
            FROM conversations WHERE role = 'assistant'),
 p AS (SELECT conv_id, turn, CASE WHEN md5(a) < md5(b) THEN a ELSE b END AS chosen,
-             CASE WHEN md5(a) < md5(b) THEN b ELSE a END AS rejected FROM a WHERE b IS NOT NULL)
-{union}
+             CASE WHEN md5(a) < md5(b) THEN b ELSE a END AS rejected FROM a WHERE b IS NOT NULL),
+f AS (SELECT conv_id, turn, {', '.join(cols)} FROM p)
+SELECT conv_id, turn, {', '.join(outs)} FROM f
 """
 
 
 def pad_to_batch_sql(n_batches: int = 5) -> str:
+    pad = lambda c: f"md5(array_to_string({c} || list_transform(range(m - len({c})), lambda k: 0), ','))"
     return f"""
 WITH {TOKENS_CTE},
-s AS (SELECT prompt_id, gen_id, prompt_id % {n_batches} AS batch, count(*) AS len FROM tokens GROUP BY prompt_id, gen_id)
-SELECT gen_id, batch, CAST(len AS BIGINT) AS len, CAST(max(len) OVER (PARTITION BY batch) AS BIGINT) AS padded_len FROM s
+s AS (SELECT gen_id, prompt_id % {n_batches} AS batch, list(pos % 50 + 1 ORDER BY pos) AS ids, list(mask ORDER BY pos) AS mask,
+             list(CAST(round(lp_new * 50) AS INTEGER) ORDER BY pos) AS lp FROM tokens GROUP BY prompt_id, gen_id),
+w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS m FROM s)
+SELECT gen_id, batch, CAST(m AS BIGINT) AS padded_len, {pad('ids')} AS ids_md5, {pad('mask')} AS mask_md5, {pad('lp')} AS logp_md5 FROM w
 """
 
 
