@@ -2,7 +2,8 @@
 
 Inputs that Spark derives (fixtures) are first written as parquet under the session's checkpoint
 folder, then consumed with ``readStream`` and ``trigger(availableNow=True)``; results are read back as
-a batch DataFrame.  Checkpoints live under the same shared folder, so a restarted job resumes.
+a batch DataFrame.  A job given a ``root`` of its own keeps output and checkpoint there, so started again it goes on
+where it stopped; without one it gets a fresh folder under the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -19,21 +20,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def run_available_now(spark: SparkSession, stream: DataFrame, name: str, foreach_batch=None) -> DataFrame:
-    out, ckpt = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-ckpt")
-    w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+def run_available_now(spark: SparkSession, stream: DataFrame, name: str, foreach_batch=None, root: str | None = None) -> DataFrame:
+    """Run over what has arrived and return all results so far.  Results of ``foreach_batch`` go to a folder per
+    micro-batch that a retried batch overwrites, so none is written twice."""
+    root = root or scratch(spark, name)
+    out, checkpoint = f"{root}/out", f"{root}/checkpoint"
+    w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if foreach_batch is not None:
-        w = w.foreachBatch(lambda df, epoch_id: foreach_batch(df).write.mode("append").parquet(out))
+        w = w.foreachBatch(lambda df, batch: foreach_batch(df).write.mode("overwrite").parquet(f"{out}/batch={batch}"))
     else:
         w = w.format("parquet").option("path", out).outputMode("append")
     q = w.start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    rows = spark.read.parquet(out)
+    return rows.drop("batch") if foreach_batch is not None else rows
 
 
-def stream_from(spark: SparkSession, df: DataFrame, name: str, files: int = 4, key: str | None = None) -> DataFrame:
-    """Materialise ``df`` as parquet files and open them as a streaming source (one file per trigger).
-    With ``key`` all rows of a key land in the same file (hence the same micro-batch)."""
+def stream_from(spark: SparkSession, df: DataFrame, name: str, files: int | None = None, key: str | None = None) -> DataFrame:
+    """Materialise ``df`` as parquet files and open them as a streaming source (one file per trigger).  Without ``files`` their
+    number follows the data; with ``key`` all rows of a key land in the same file (hence the same micro-batch)."""
     path = scratch(spark, f"{name}-src")
-    (df.repartition(files, key) if key else df.repartition(files)).write.parquet(path)
+    cut = [files] if files else []
+    (df.repartition(*cut, key) if key else df.repartition(files) if files else df).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -87,3 +87,16 @@ def test_gap_policy_waits_then_skips():
     assert session.next_seq == 2 and list(pending) == [3]
     session.drain(pending, skip_gap=True)
     assert session.next_seq == 4 and pending == {} and session.loud_run == 3 and not session.events
+
+
+def test_restart_goes_on_and_retries_write_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tessera.plans import streams
+    root, src = str(tmp_path / "job"), str(tmp_path / "in")
+    spark.range(10).write.parquet(src)
+    stream = lambda: spark.readStream.schema("id long").parquet(src)
+    double = lambda df: df.select((F.col("id") * 2).alias("x"))
+    assert streams.run_available_now(spark, stream(), "t", double, root).count() == 10
+    spark.range(10, 15).write.mode("append").parquet(src)
+    rows = [r.x for r in streams.run_available_now(spark, stream(), "t", double, root).collect()]
+    assert sorted(rows) == [2 * i for i in range(15)]
