@@ -290,28 +290,19 @@ def insert_audio_placeholder(conv, n_frames, key, seed: int = 42) -> Column:
 
 # ---- P11: cut a multi-turn conversation at a random assistant turn that fits ---------
 
-def _byte_token_count(text: Column) -> Column:
-    """Byte-vocabulary token count of a text: UTF-8 bytes, each added token counted once."""
-    from tessera.functions.tokens import ADDED_TOKENS
-    from tessera.functions.text import count_sub
-    n = F.octet_length(text)
-    for t in ADDED_TOKENS:
-        n = n - count_sub(text, t) * (len(t.encode("utf-8")) - 1)
-    return n
-
-
 def truncate_to_turn(conv, key, max_len: int, reserve: int = 100, seed: int = 42) -> Column:
     """With more than one assistant message, pick one uniformly and cut after it; while the rendered
     prefix needs ``tokens + reserve >= max_len`` step back to the previous assistant message; if none fits,
     keep the cut after the first assistant message.  Token counts use the byte vocabulary; a prefix's
     count is the header plus its messages' pieces (pieces do not depend on later messages when the cut
     ends on an assistant message)."""
+    from tessera.operators.tokenizer import byte_token_count
     conv = _c(conv)
     first = F.try_element_at(conv, F.lit(1))
     first_is_system = F.coalesce(first["role"] == "system", F.lit(False))
-    header = F.when(first_is_system, _byte_token_count(F.concat(
+    header = F.when(first_is_system, byte_token_count(F.concat(
         F.lit("<|im_start|>system\n"), F.coalesce(first["content"], F.lit("")), F.lit("<|im_end|>\n")))).otherwise(0)
-    piece_n = F.transform(conv, lambda m, i: _byte_token_count(_message(conv, m, i)))
+    piece_n = F.transform(conv, lambda m, i: byte_token_count(_message(conv, m, i)))
     asst = F.filter(F.transform(conv, lambda m, i: F.when(m["role"] == "assistant", i)), lambda x: x.isNotNull())
     n_asst = F.size(asst)
     pick = F.floor(keyed_uniform(key, "turncut", seed) * n_asst).cast("int")   # 0-based among assistants

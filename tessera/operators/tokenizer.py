@@ -1,10 +1,9 @@
 """Tokenizer jobs (T1-T10) as Spark plans.
 
 Byte-level vocabulary: 36 added tokens, then the 256 byte symbols (ids 36..291), then merges.
-``encode_bytes`` is the exact encoder for the byte vocabulary (no merges) and is fully native:
-UTF-8 hex of the text, one regex pass that cuts it into added tokens and single bytes, and one map
-lookup per piece.  With merges (``train_bpe``) texts are pre-tokenized into words, each *distinct* word
-is encoded once, and the result is joined back (``encode_bpe``).
+``encode_bytes`` is the exact encoder for the byte vocabulary (no merges), an Arrow-batched table lookup;
+``encode_bytes_native`` is the same in built-in expressions.  With merges (``train_bpe``) texts are pre-tokenized
+in the JVM and their words encoded in place through a bounded cache (``bpe.encode_bpe_column``).
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.tokens import (
-    ADDED_TOKENS, BYTE_IDS, SPECIAL_TOKENS, TOKEN_ID, byte_id_expr, byte_symbol_table,
+    ADDED_TOKENS, BYTE_IDS, SPECIAL_TOKENS, TOKEN_ID, byte_id_expr, byte_symbol_table, id_byte_expr,
 )
 
 # Library-default byte-level pre-tokenizer split, in Java regex syntax.
@@ -78,18 +77,22 @@ def encode_bytes_native(text) -> Column:
     return F.flatten(F.transform(pieces, piece_ids))
 
 
+def byte_token_count(text) -> Column:
+    """Number of ids of the byte vocabulary without making them: UTF-8 bytes, each added token counted once."""
+    text = F.col(text) if isinstance(text, str) else text
+    added = F.regexp_extract_all(text, F.lit("(" + "|".join(re.escape(t) for t in ADDED_TOKENS) + ")"), 1)
+    excess = F.aggregate(added, F.lit(0), lambda n, t: n + F.octet_length(t) - 1)
+    return F.octet_length(text) - F.when(F.contains(text, F.lit("<")), excess).otherwise(0)
+
+
 def decode_bytes(ids, skip_special: bool = True) -> Column:
     """T7 over the byte vocabulary: ids -> bytes -> text; invalid UTF-8 becomes U+FFFD."""
     ids = F.col(ids) if isinstance(ids, str) else ids
-    inv = []
-    for t, i in TOKEN_ID.items():
-        if skip_special and t in SPECIAL_TOKENS:
-            continue
-        inv += [F.lit(i), F.lit(_hex(t))]
-    for b in range(256):
-        inv += [F.lit(BYTE_IDS[b]), F.lit(f"{b:02X}")]
-    m = F.create_map(*inv)
-    hexs = F.array_join(F.transform(ids, lambda x: F.coalesce(F.element_at(m, x), F.lit(""))), "")
+    first = min(BYTE_IDS)
+    added = F.array(*[F.lit("" if skip_special and t in SPECIAL_TOKENS else _hex(t)) for t in ADDED_TOKENS])   # by id
+    hexs = F.array_join(F.transform(ids, lambda x: F.when(x >= first + 256, F.lit(""))
+                                    .when(x >= first, F.lpad(F.hex(id_byte_expr(x)), 2, "0"))
+                                    .otherwise(F.coalesce(F.get(added, x), F.lit("")))), "")
     return F.make_valid_utf8(F.unhex(hexs).cast("string"))
 
 

@@ -149,8 +149,8 @@ from tessera.sources.tables import spread  # noqa: E402
 def q_doc_token_stats(spark, sf, max_len=1024, reserve=100):
     """T6 (byte vocabulary) + T9 + T10 over all documents, per language."""
     d = spread(read_table(spark, sf, "documents").select("lang", "text"))
-    d = d.withColumn("ids", tk.encode_bytes("text"))
-    n = F.size("ids")
+    d = d.withColumn("n", tk.byte_token_count("text"))
+    n = F.col("n")
     return d.groupBy("lang").agg(
         F.count(F.lit(1)).cast("long").alias("n_rows"), F.sum(n).cast("long").alias("n_tokens"),
         F.max(n).cast("long").alias("max_tokens"),
