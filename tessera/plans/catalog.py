@@ -580,12 +580,11 @@ def q_augment_embeddings(spark, sf, seed=42):
 
 @register("truncate_to_turn", oracles.truncate_to_turn_sql(768))
 def q_truncate_to_turn(spark, sf, max_len=768):
-    """P11 over every conversation with more than one assistant turn (byte-vocabulary lengths)."""
+    """P11 over every conversation; those with fewer than two assistant turns stay whole (byte-vocabulary lengths)."""
     conv = conversations_from_turns(read_table(spark, sf, "conversations"))
-    n_asst = F.size(F.filter("conversations", lambda m: m["role"] == "assistant"))
-    c = conv.filter(n_asst > 1).withColumn("cut", ch.truncate_to_turn("conversations", "conv_id", max_len))
+    c = conv.withColumn("cut", ch.truncate_to_turn("conversations", "conv_id", max_len))
     return c.select("conv_id", F.size("cut").cast("long").alias("n_kept"),
-                    F.size(tk.encode_bytes(ch.render_chat("cut"))).cast("long").alias("n_tokens"))
+                    tk.byte_token_count(ch.render_chat("cut")).cast("long").alias("n_tokens"))
 
 
 @register("layered_loss", oracles.layered_loss_sql())

@@ -903,6 +903,7 @@ WITH c AS (
   SELECT s.conv_id, coalesce(max(k) FILTER (WHERE a_idx <= pk AND prefix + {reserve} < {max_len}),
                              min(k) FILTER (WHERE a_idx = 0)) AS cut_k
   FROM s JOIN pick USING (conv_id) WHERE role = 'assistant' GROUP BY s.conv_id
+  UNION ALL SELECT conv_id, max(k) FROM s WHERE n_asst <= 1 GROUP BY conv_id
 )
 SELECT conv_id, CAST(cut_k AS BIGINT) AS n_kept, CAST(max(prefix) FILTER (WHERE k = cut_k) AS BIGINT) AS n_tokens
 FROM choice JOIN s USING (conv_id) GROUP BY conv_id, cut_k
