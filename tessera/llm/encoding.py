@@ -52,7 +52,7 @@ class ByteEncoder:
         self.model, self.symbols = self.tokenizer.model, byte_symbols(" " + _LETTERS)
         self.table = table or {}
         self.tails: dict = {}
-        self.chunks = BoundedCache(self._chunk)
+        self.chunks, self.words = BoundedCache(self._chunk, 800_000), BoundedCache(self._word, 300_000)
 
     def encode(self, text: str):
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -81,7 +81,7 @@ class ByteEncoder:
         if not plain:
             return self.encode(key if new_line else " " + key)
         word, tail = plain.groups()
-        out = [self._tail("\n"), self.words[word]] if new_line else [self._word(" " + word)]
+        out = [self._tail("\n"), self.words[word]] if new_line else [self.words[" " + word]]
         if tail:
             out.append(self._tail(tail))
         return self.join(out) if len(out) > 1 else out[0]
@@ -117,7 +117,7 @@ class WordEncoder(ByteEncoder):
         if not plain:
             return self.encode(key)
         word, tail = plain.groups()
-        own = self._word(word.lower())
+        own = self.words[word.lower()]
         return self.join([own, self._tail(tail)]) if tail else own
 
     def parts(self, text: str) -> list:
