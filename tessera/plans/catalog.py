@@ -478,7 +478,7 @@ def q_bpe_train(spark, sf, extra_merges=100):
 
 # ---- preference pairs, batching, corpus reports -----------------------------------------------
 
-from tessera.plans.sft import preference_samples  # noqa: E402
+from tessera.plans import sft as sft_jobs  # noqa: E402
 
 
 def _md5_of(array) -> F.Column:
@@ -489,10 +489,17 @@ def _md5_of(array) -> F.Column:
 def q_preference_pairs(spark, sf, max_len=512, seed=42):
     """Q9: the six arrays of every pair, by digest."""
     p = fx.preferences(spark, sf).withColumns({side: F.array(ch.make_message(F.lit("assistant"), F.col(side))) for side in ("chosen", "rejected")})
-    arrays = preference_samples(p, ["conv_id", "turn"], max_len, seed)
+    arrays = sft_jobs.preference_samples(p, ["conv_id", "turn"], max_len, seed)
     return arrays.select("conv_id", "turn", *[_md5_of(c).alias(c) for c in arrays.columns[2:]])
 
 
+@register("pretrain_samples", oracles.pretrain_samples_sql())
+def q_pretrain_samples(spark, sf, max_len=512):
+    """The pretraining job over every document (T6, Q1, Q2, Q3), by digest."""
+    p = sft_jobs.pretrain_samples(read_table(spark, sf, "documents"), "doc_id", "text", max_len)
+    return p.select("doc_id", _md5_of("input_ids").alias("ids_md5"), _md5_of("labels").alias("labels_md5"))
+
+
 @register("pad_to_batch", oracles.pad_to_batch_sql())
 def q_pad_to_batch(spark, sf, n_batches=5):
     """Q12: ids, masks and log-probabilities of the sequences of a batch (prompt_id mod 5), padded alike."""

@@ -772,6 +772,18 @@ FROM t
 """
 
 
+def pretrain_samples_sql(max_len: int = 512) -> str:
+    from tessera.functions.tokens import byte_id_sql
+    return f"""
+WITH h AS (SELECT doc_id, hex(encode(text)) AS hx, strlen(text) AS n FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, list_transform(range(least(n, {max_len - 2})), lambda k: CAST(('0x' || substr(hx, 2 * k + 1, 2)) AS INTEGER)) AS bytes FROM h),
+w AS (SELECT doc_id, [1] || list_transform(bytes, lambda b: {byte_id_sql('b')}) || [2] AS ids FROM i),
+p AS (SELECT doc_id, ids || list_transform(range({max_len} - len(ids)), lambda k: 0) AS x FROM w)
+SELECT doc_id, md5(array_to_string(x, ',')) AS ids_md5, md5(array_to_string(list_transform(x, lambda v: CASE WHEN v = 0 THEN -100 ELSE v END), ',')) AS labels_md5
+FROM p
+"""
+
+
 def preference_pairs_sql(max_len: int = 512, seed: int = 42) -> str:
     from tessera.functions.tokens import TOKEN_ID, byte_id_sql
 

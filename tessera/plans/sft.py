@@ -18,18 +18,47 @@ ASSISTANT_START = "<|im_start|>assistant\n"
 TURN_END = "<|im_end|>\n"
 
 
+def merged_encoder(merges: DataFrame):
+    """Column encoder of a trained vocabulary, for the ``encode`` argument of the jobs."""
+    from tessera.operators.bpe import encode_bpe_column
+    return lambda text: encode_bpe_column(text, merges)
+
+
+def _marks(spark, encode) -> tuple[list[int], list[int]]:
+    """Ids of the marks around an assistant turn."""
+    if encode is encode_bytes:
+        return encode_bytes_py(ASSISTANT_START).tolist(), encode_bytes_py(TURN_END).tolist()
+    marks = spark.createDataFrame([(ASSISTANT_START, TURN_END)], "a string, b string")
+    row = marks.select(encode("a").alias("a"), encode("b").alias("b")).first()
+    return list(row.a), list(row.b)
+
+
+def pretrain_samples(rows: DataFrame, key: str, text: str = "text", max_len: int = 512, encode=encode_bytes) -> DataFrame:
+    """SURVEY §3 pretraining job as one plan: T6 -> Q1 -> Q2 -> Q3.  (key, input_ids, labels)."""
+    from tessera.operators.sequences import mask_pad_labels, wrap_truncate
+    ids = rows.where(F.col(text).isNotNull()).select(key, encode(text).alias("ids"))
+    padded = ids.select(key, pad_right(wrap_truncate("ids", max_len), max_len).alias("input_ids"))
+    return padded.withColumn("labels", mask_pad_labels("input_ids"))
+
+
 def sft_samples(conv: DataFrame, key: str = "sample_id", max_len: int = 1024, seed: int = 42,
-                with_tools: bool = True, system_ratio: float = 0.2, keep_empty_think: float = 0.2) -> DataFrame:
-    """Rows ``(key, prompt, ids_full, input_ids, labels, spans)`` from a ``conversations`` column."""
-    bos_seq = encode_bytes_py(ASSISTANT_START).tolist()
-    eos_seq = encode_bytes_py(TURN_END).tolist()
+                with_tools: bool = True, system_ratio: float = 0.2, keep_empty_think: float = 0.2, encode=encode_bytes) -> DataFrame:
+    """Rows ``(key, prompt, ids_full, input_ids, labels, spans)`` from a ``conversations`` column.  ``encode`` turns a text
+    column into ids: the byte vocabulary, or ``merged_encoder(merges)``."""
+    bos_seq, eos_seq = _marks(conv.sparkSession, encode)
     df = conv.withColumn("conversations", add_system_prompt("conversations", key, system_ratio, seed))
     tools = extract_tools("conversations") if with_tools else None
     df = with_rendered_chat(df, "conversations", "prompt", tools=tools, tool_calls=with_tools)
     df = df.withColumn("prompt", strip_empty_think("prompt", key, keep_empty_think, seed))
     # With tool calls the prompt carries a Python UDF result nested under a higher-order function; a second
     # Python UDF on top of it is not extracted by Spark, so that path uses the (identical) native encoder.
-    df = df.withColumn("ids_full", encode_bytes_native("prompt") if with_tools else encode_bytes("prompt"))
+    native = with_tools and encode is encode_bytes
+    if with_tools and not native:   # ... and for other encoders the rendered prompts are written first
+        from tessera.plans.streams import scratch
+        path = scratch(conv.sparkSession, "prompts")
+        df.write.parquet(path)
+        df = conv.sparkSession.read.schema(df.schema).parquet(path)
+    df = df.withColumn("ids_full", encode_bytes_native("prompt") if native else encode("prompt"))
     df = df.withColumn("input_ids", pad_right("ids_full", max_len))
     df = df.withColumn("spans", assistant_spans("input_ids", bos_seq, eos_seq))
     df = df.withColumn("labels", span_labels("input_ids", "spans", len(eos_seq), max_len))
@@ -54,7 +83,7 @@ def preference_samples(pairs: DataFrame, keys: list[str], max_len: int = 1024, s
     ``rejected``; P4 draws once per side.  ``encode`` turns a text column into ids (default: the byte vocabulary)."""
     from tessera.operators.chat import render_chat
     from tessera.operators.sequences import loss_mask, shift_xy
-    bos, eos = encode_bytes_py(ASSISTANT_START).tolist(), encode_bytes_py(TURN_END).tolist()
+    bos, eos = _marks(pairs.sparkSession, encode)
     out = pairs.withColumn("_key", F.concat_ws(":", *[F.col(k).cast("string") for k in keys]))
     for side in ("chosen", "rejected"):
         out = out.withColumn("_prompt", strip_empty_think(render_chat(side), "_key", 0.2, seed, tag=f"think_{side}"))

@@ -80,3 +80,26 @@ def test_tokenizer_job_end_to_end(spark):
     assert sum(r.n_rows for r in ev) == docs.count() and all(r.n_fail == 0 for r in ev)
     n_bytes = docs.select(F.sum(F.octet_length("text"))).first()[0]
     assert sum(r.n_tokens for r in ev) < n_bytes          # merges shorten the byte sequence
+
+
+def test_merged_vocabulary_in_the_jobs(spark):
+    """SFT and pretraining samples with trained merges: shorter, and they decode to the same texts."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import bpe, chat
+    from tessera.operators import tokenizer as tk
+    from tessera.plans import sft
+    from tessera.plans.tokenizer_job import decode_with
+    texts = ["the cat sat on the mat"] * 3 + ["the other cat"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "sample_id long, text string")
+    merges = bpe.train_bpe(tk.word_counts(df, "text"), vocab_size=bpe.FIRST_MERGE_ID + 20)
+    encode = sft.merged_encoder(merges)
+    conv = df.withColumn("conversations", F.array(chat.make_message(F.lit("user"), F.col("text")), chat.make_message(F.lit("assistant"), F.col("text"))))
+    for tools in (False, True):
+        merged = sft.sft_samples(conv, max_len=96, with_tools=tools, encode=encode)
+        plain = {r.sample_id: r for r in sft.sft_samples(conv, max_len=96, with_tools=tools).collect()}
+        for r in merged.withColumn("back", decode_with(merges, "ids_full")).collect():
+            assert r.back == r.prompt == plain[r.sample_id].prompt and len(r.ids_full) < len(plain[r.sample_id].ids_full)
+            assert any(x != -100 for x in r.labels)
+    p = sft.pretrain_samples(df, "sample_id", max_len=32, encode=encode).orderBy("sample_id").first()
+    assert p.input_ids[0] == 1 and len(p.input_ids) == 32 and p.labels.count(-100) == p.input_ids.count(0) > 0
