@@ -19,12 +19,6 @@ def keyed_uniform(key: Column | str, tag: str, seed: int = 42) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def keyed_uniform_sql(key_sql: str, tag: str, seed: int = 42) -> str:
-    """The same draw as a Spark SQL expression string (for use inside higher-order functions)."""
-    return (f"(cast(conv(substring(md5(concat(cast({key_sql} as string), ':{tag}:{seed}')), 1, 8), 16, 10)"
-            f" as double) / 4294967296.0D)")
-
-
 def weighted_choice(u: Column, outcomes: Sequence, weights: Sequence[float]) -> Column:
     """``when`` ladder over cumulative weights on one uniform draw."""
     total = float(sum(weights))
@@ -35,8 +29,3 @@ def weighted_choice(u: Column, outcomes: Sequence, weights: Sequence[float]) ->
         expr = F.when(u < acc, F.lit(value)) if expr is None else expr.when(u < acc, F.lit(value))
     last = F.lit(outcomes[-1])
     return last if expr is None else expr.otherwise(last)
-
-
-def uniform_pick(u: Column, n: int) -> Column:
-    """1-based index of a uniform pick among n items."""
-    return (F.floor(u * n) + 1).cast("int")

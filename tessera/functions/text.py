@@ -55,8 +55,3 @@ def count_sub(x: Column | str, sub: str) -> Column:
     """Python ``str.count(sub)``: non-overlapping occurrences."""
     x = _c(x)
     return ((F.length(x) - F.length(F.replace(x, F.lit(sub), F.lit("")))) / F.lit(len(sub))).cast("int")
-
-
-def sql_str(s: str) -> str:
-    """Quote a Python string as a Spark SQL literal."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"

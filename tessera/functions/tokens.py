@@ -89,9 +89,3 @@ def id_byte_expr(t: Column) -> Column:
     """Inverse of ``byte_id_expr`` for the ids of byte symbols."""
     return (F.when(t <= 129, t - 3).when(t <= 141, t + 31).when(t <= 223, t + 32).when(t <= 256, t - 224)
             .when(t <= 290, t - 130).otherwise(F.lit(173))).cast("int")
-
-
-def id_byte_sql(t: str) -> str:
-    """Inverse of byte_id_sql for ids 36..291."""
-    return (f"(CASE WHEN {t} <= 129 THEN {t} - 3 WHEN {t} <= 141 THEN {t} + 31 WHEN {t} <= 223 THEN {t} + 32 "
-            f"WHEN {t} <= 256 THEN {t} - 224 WHEN {t} <= 290 THEN {t} - 130 ELSE 173 END)")

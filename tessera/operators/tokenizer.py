@@ -103,14 +103,6 @@ def special_token_table(spark: SparkSession, n: int = 36) -> DataFrame:
     return spark.createDataFrame(rows, "id int, token string, special boolean")
 
 
-def vocab_table(spark: SparkSession) -> DataFrame:
-    """Added tokens + the 256 byte symbols: (id, token, special, byte)."""
-    sym = dict(byte_symbol_table())
-    rows = [(i, t, t in SPECIAL_TOKENS, None) for i, t in enumerate(ADDED_TOKENS)]
-    rows += [(BYTE_IDS[b], sym[b], False, b) for b in range(256)]
-    return spark.createDataFrame(rows, "id int, token string, special boolean, byte int")
-
-
 def pretokenize(text) -> Column:
     """Byte-level pre-tokenizer pieces (library-default split, no prefix space)."""
     text = F.col(text) if isinstance(text, str) else text
@@ -129,17 +121,16 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
-def compression_ratio(df: DataFrame, text_col: str, ids_col: str, by: list[str]) -> DataFrame:
-    """Mean over rows of chars/tokens, per group."""
-    ratio = F.length(text_col) / F.size(ids_col)
-    return (df.filter(F.size(ids_col) > 0).groupBy(*by)
-            .agg(F.avg(ratio).alias("chars_per_token"), F.count(F.lit(1)).alias("n_rows")))
+def compression_ratio(df: DataFrame, text_col: str, n_col: str, by: list[str]) -> DataFrame:
+    """Mean over rows of chars per token, per group; rows without tokens don't count."""
+    n = F.col(n_col)
+    return df.groupBy(*by).agg(F.avg(F.when(n > 0, F.length(text_col) / n)).alias("chars_per_token"))
 
 
-def token_length_stats(df: DataFrame, ids_col: str, by: list[str], max_len: int, reserve: int = 0) -> DataFrame:
-    """Token lengths and the share that does not fit in ``max_len - reserve``."""
-    n = F.size(ids_col)
+def token_length_stats(df: DataFrame, n_col: str, by: list[str], max_len: int, reserve: int = 0, share: float = 0.95) -> DataFrame:
+    """Rows, tokens, longest, the exact ``share`` quantile of the lengths, and the share that does not fit in
+    ``max_len - reserve``."""
+    n = F.col(n_col)
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(n).alias("n_tokens"), F.max(n).alias("max_tokens"),
-        F.avg((n + reserve >= max_len).cast("double")).alias("truncated_share"),
-    )
+        F.percentile(n, share).alias("quantile_tokens"), F.avg((n + reserve >= max_len).cast("double")).alias("truncated_share"))

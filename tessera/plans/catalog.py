@@ -150,12 +150,9 @@ def q_doc_token_stats(spark, sf, max_len=1024, reserve=100):
     """T6 (byte vocabulary) + T9 + T10 over all documents, per language."""
     d = spread(read_table(spark, sf, "documents").select("lang", "text"))
     d = d.withColumn("n", tk.byte_token_count("text"))
-    n = F.col("n")
-    return d.groupBy("lang").agg(
-        F.count(F.lit(1)).cast("long").alias("n_rows"), F.sum(n).cast("long").alias("n_tokens"),
-        F.max(n).cast("long").alias("max_tokens"),
-        rl.r6(F.avg(F.when(n > 0, F.length("text") / n))).alias("chars_per_token"),
-        rl.r6(F.avg(F.when(n + reserve >= max_len, F.lit(1.0)).otherwise(F.lit(0.0)))).alias("truncated_share"))
+    both = tk.token_length_stats(d, "n", ["lang"], max_len, reserve).join(tk.compression_ratio(d, "text", "n", ["lang"]), "lang")
+    return both.select("lang", *[F.col(c).cast("long").alias(c) for c in ("n_rows", "n_tokens", "max_tokens")],
+                       *[rl.r6(c).alias(c) for c in ("quantile_tokens", "chars_per_token", "truncated_share")])
 
 
 @register("word_counts_ws", oracles.word_counts_ws_sql())

@@ -386,6 +386,7 @@ def doc_token_stats_sql(max_len: int = 1024, reserve: int = 100) -> str:
     return f"""
 WITH d AS (SELECT lang, text, {n} AS n FROM documents)
 SELECT lang, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(max(n) AS BIGINT) AS max_tokens,
+       0.0 + round(quantile_cont(n, 0.95) + 1e-9, 6) AS quantile_tokens,
        0.0 + round(avg(CASE WHEN n > 0 THEN length(text) / n END) + 1e-9, 6) AS chars_per_token,
        0.0 + round(avg(CASE WHEN n + {reserve} >= {max_len} THEN 1.0 ELSE 0.0 END) + 1e-9, 6) AS truncated_share
 FROM d GROUP BY lang
