@@ -22,6 +22,7 @@ from tessera.llm.common import BoundedCache
 
 _CUT = re.compile(r" (?=\S)")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_TAIL = frozenset(".,;:!?")
 _LETTERS = "".join(map(chr, (*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)))))
 
 
@@ -41,6 +42,17 @@ def byte_symbols(chars: str) -> dict[int, str]:
     return {ord(c): step.pre_tokenize_str(c)[0][0] for c in chars}
 
 
+def word_and_tail(key: str) -> tuple[str, str] | None:
+    """A plain word and the full stops and the like after it; None if the chunk is anything else."""
+    if key.isascii():  # the usual cases, without a pattern
+        if key.isalpha():
+            return key, ""
+        if key[-1:] in _TAIL and key[:-1].isalpha():
+            return key[:-1], key[-1]
+    plain = _PLAIN.fullmatch(key)
+    return plain.groups() if plain else None
+
+
 class ByteEncoder:
     """Byte-level vocabulary (blanks belong to the pre-token after them).
 
@@ -77,10 +89,10 @@ class ByteEncoder:
         if known is not None:
             return known
         new_line = key[0] == "\n"
-        plain = _PLAIN.fullmatch(key, 1 if new_line else 0)
+        plain = word_and_tail(key[1:] if new_line else key)
         if not plain:
             return self.encode(key if new_line else " " + key)
-        word, tail = plain.groups()
+        word, tail = plain
         out = [self._tail("\n"), self.words[word]] if new_line else [self.words[" " + word]]
         if tail:
             out.append(self._tail(tail))
@@ -113,10 +125,10 @@ class WordEncoder(ByteEncoder):
     """Word vocabulary (white space is dropped, so a cut at any blank or newline is valid)."""
 
     def _chunk(self, key: str):
-        plain = _PLAIN.fullmatch(key)
+        plain = word_and_tail(key)
         if not plain:
             return self.encode(key)
-        word, tail = plain.groups()
+        word, tail = plain
         own = self.words[word.lower()]
         return self.join([own, self._tail(tail)]) if tail else own
 
