@@ -86,10 +86,10 @@ class BoundedCache(dict):
 _PER_WORKER: dict = {}
 
 
-def per_worker(key, make: Callable):
-    """One object per Python worker and key (a worker serves many tasks); only the latest two are kept."""
+def per_worker(key, make: Callable, keep: int = 1):
+    """One object per Python worker and key (a worker serves many tasks and stages); only the latest ``keep`` stay."""
     if key not in _PER_WORKER:
-        while len(_PER_WORKER) >= 2:
+        while len(_PER_WORKER) >= keep:
             _PER_WORKER.pop(next(iter(_PER_WORKER)))
         _PER_WORKER[key] = make()
     return _PER_WORKER[key]

@@ -173,7 +173,7 @@ TILING = ("doc_id long, item_id long, n_tiles int, longest_tile int, matched_wor
 def _tile_batches(shared, key, min_match, threshold):
     def run(batches):
         import pyarrow as pa
-        index = per_worker(("index", key), lambda: Index(shared.value, min_match))
+        index = per_worker(("index", key), lambda: Index(shared.value, min_match), keep=8)
         names = ["doc_id", "item_id", "n_tiles", "longest_tile", "matched_words", "item_words", "coverage", "tiles"]
         spot = pa.struct([("item_start", pa.int32()), ("text_start", pa.int32()), ("words", pa.int32())])
         types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.list_(spot)]
@@ -213,7 +213,7 @@ def _covered(shared, key, min_match, threshold):
     @F.pandas_udf("double")
     def covered(texts):
         import pandas as pd
-        index = per_worker(("index", key), lambda: Index(shared.value, min_match))
+        index = per_worker(("index", key), lambda: Index(shared.value, min_match), keep=8)
         return pd.Series([max((sum(x for _, _, x in tiles) / n for _, n, tiles in index.tilings(t, threshold)), default=0.0) for t in texts],
                          dtype="float64")
 
