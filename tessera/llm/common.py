@@ -103,5 +103,19 @@ def row_chunks(batches: Iterator, columns: list[str], max_rows: int = 256) -> It
             yield [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
 
 
+def text_slices(batches: Iterator, column: str, most_bytes: int = 16 << 20) -> Iterator:
+    """Slices of Arrow batches whose texts hold at most so many bytes, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def crc32_u32(data: bytes, start: int = 0) -> int:
     return zlib.crc32(data, start) & 0xFFFFFFFF

@@ -64,7 +64,7 @@ class ByteEncoder:
         self.model, self.symbols = self.tokenizer.model, byte_symbols(" " + _LETTERS)
         self.table = table or {}
         self.tails: dict = {}
-        self.chunks, self.words = BoundedCache(self._chunk, 800_000), BoundedCache(self._word, 300_000)
+        self.chunks, self.words = BoundedCache(self._chunk, 400_000), BoundedCache(self._word, 150_000)
 
     def encode(self, text: str):
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -135,6 +135,29 @@ class WordEncoder(ByteEncoder):
     def parts(self, text: str) -> list:
         return list(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def arrays(self, texts, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow array of texts without nulls, one text after the other, and each text's number of ids.
+
+        Arrow splits the texts and finds the distinct chunks; Python looks up those alone, and numpy lays their ids out for
+        every occurrence.  ``value`` must make bytes of ``dtype``."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        values = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
+        ids = np.frombuffer(b"".join(values), dtype)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(dtype).itemsize
+        first = np.cumsum(sizes) - sizes
+        chunk = coded.indices.to_numpy()
+        per_chunk = sizes[chunk]
+        ends = np.cumsum(per_chunk)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(first[chunk] - (ends - per_chunk), per_chunk) + np.arange(total)
+        edge = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], pc.list_value_length(split).to_numpy()]))]
+        return ids[place], np.diff(edge)
+
 
 def u32(ids) -> bytes:
     """Little-endian unsigned 32-bit integers."""

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc32_u32, per_worker, row_chunks, scratch_path, text_of
+from tessera.llm.common import crc32_u32, per_worker, row_chunks, scratch_path, text_of, text_slices
 from tessera.llm.encoding import WordEncoder, ids_u16, ids_u32, u32
 
 BITS = 20
@@ -189,24 +189,32 @@ def _write_part(path: str, end: int, narrow: bool):
         from pyspark import TaskContext
         pack, kind = (ids_u16, "<u2") if narrow else (ids_u32, "<u4")
         encoder = per_worker(("words", path), lambda: WordEncoder(path, pack, b"".join))
-        part, size, tail = TaskContext.get().partitionId(), np.dtype(kind).itemsize, pack([end])
+        part = TaskContext.get().partitionId()
         docs, lengths, held, total, segment = [], [], [], 0, 0
 
         def row():
-            ids = np.frombuffer(b"".join(held), kind).astype(np.uint32)
+            ids = np.concatenate(held).astype(np.uint32)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([docs], pa.list_(pa.int64())),
                  pa.array([lengths], pa.list_(pa.int32())), pa.array([encode(ids)], pa.binary())],
                 ["part", "segment", "doc_ids", "lengths", "payload"])
 
-        for doc_ids, texts in row_chunks(batches, ["doc_id", "text"]):
-            for doc, text in zip(doc_ids, texts):
-                ids = b"".join(encoder.parts(text)) + tail
-                docs.append(doc)
-                lengths.append(len(ids) // size)
-                held.append(ids)
-                total += lengths[-1]
-                if total >= SEGMENT:
+        for some in text_slices(batches, "text"):
+            ids, sizes = encoder.arrays(some.column(some.schema.get_field_index("text")), kind)
+            # every document's ids and its end id
+            stops = np.cumsum(sizes + 1)
+            closed = np.full(len(ids) + len(sizes), end, ids.dtype)
+            closed[np.delete(np.arange(len(closed)), stops - 1)] = ids
+            names = some.column(some.schema.get_field_index("doc_id")).to_pylist()
+            at = 0
+            while at < len(names):  # whole documents up to the segment's size, at least one
+                begin = int(stops[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(stops, begin + SEGMENT - total, "right")))
+                docs += names[at:to]
+                lengths += (sizes[at:to] + 1).tolist()
+                held.append(closed[begin:int(stops[to - 1])])
+                total, at = total + int(stops[to - 1]) - begin, to
+                if total >= SEGMENT or at < len(names):
                     yield row()
                     docs, lengths, held, total, segment = [], [], [], 0, segment + 1
         if docs:

@@ -34,6 +34,34 @@ def test_encoders_match_the_library(name, kind):
         assert b"".join(ours.parts(t)) == u32(library.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def test_arrays_match_the_library():
+    import pyarrow as pa
+    path = tokenizer_path("word_bpe_49k.json")
+    library, ours = load(path), WordEncoder(path, u32, b"".join)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab .,\n\t'é1!<| \x1c　") for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [t for t in TEXTS if t is not None]
+    for part in (texts, ["", " "], []):
+        ids, sizes = ours.arrays(pa.array(part, pa.string()), "<u4")
+        want = [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def test_segments_end_with_documents(spark, monkeypatch):
+    """Small segments: every cut falls between documents and nothing is lost."""
+    monkeypatch.setattr(rans, "SEGMENT", 40)
+    df = spark.createDataFrame([(i, "word " * (i % 23)) for i in range(200)], "doc_id long, text string")
+    run = rans._write_part(tokenizer_path("word_bpe_49k.json"), 2, True)
+    import pyarrow as pa
+    from pyspark import TaskContext
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    rows = df.orderBy("doc_id").toArrow().to_batches()
+    out = pa.Table.from_batches(list(run(iter(rows)))).to_pylist()
+    assert [d for r in out for d in r["doc_ids"]] == list(range(200)) and [r["segment"] for r in out] == list(range(len(out)))
+    for r in out:
+        assert sum(r["lengths"]) == len(rans.decode(r["payload"])) and (sum(r["lengths"]) <= 40 or len(r["lengths"]) == 1)
+    assert [n for r in out for n in r["lengths"]] == [i % 23 + 1 for i in range(200)]
+
+
 def test_counts(docs):
     path = tokenizer_path("byte_bpe_50k.json")
     library = load(path)
