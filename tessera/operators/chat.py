@@ -19,17 +19,14 @@ from tessera.functions.rand import keyed_uniform
 from tessera.functions.text import py_strip
 
 # --- fixed values ---------------------------------------------------------------
+# Prompts that name no product; a job with prompts of its own passes them.
 SYSTEM_PROMPTS = [
     "你是一个知识丰富的AI，尽力为用户提供准确的信息。",
-    "你是omni，一个小巧但有用的语言模型。",
     "你是一个专业的AI助手，请提供有价值的回答。",
-    "你是omni，请尽力帮助用户解决问题。",
     "你是一个可靠的AI，请给出准确的回答。",
     "You are a helpful AI assistant.",
-    "You are omni, a lightweight intelligent assistant.",
     "You are a friendly chatbot. Please answer the user's questions carefully.",
     "You are a knowledgeable AI. Try your best to provide accurate information.",
-    "You are omni, a small but useful language model.",
 ]
 EMPTY_THINK = "<think>\n\n</think>\n\n"
 TOOLS_INTRO = ("# Tools\n\nYou may call one or more functions to assist with the user query.\n\n"
@@ -75,8 +72,8 @@ def make_message(role: Column, content: Column, fields=MESSAGE_FIELDS) -> Column
     return F.struct(*[vals.get(f, F.lit(None).cast("string")).alias(f) for f in fields])
 
 
-def add_system_prompt(conv, key, ratio: float = 0.2, seed: int = 42, fields=MESSAGE_FIELDS) -> Column:
-    """Prepend one of the fixed system prompts with probability ``ratio``.
+def add_system_prompt(conv, key, ratio: float = 0.2, seed: int = 42, fields=MESSAGE_FIELDS, prompts=tuple(SYSTEM_PROMPTS)) -> Column:
+    """Prepend one of ``prompts`` with probability ``ratio``.
 
     Skipped when any message carries tools or the first message is already a system message.
     Two keyed draws: ``sys`` decides, ``sysp`` picks the prompt uniformly.  An empty list passes through
@@ -86,8 +83,8 @@ def add_system_prompt(conv, key, ratio: float = 0.2, seed: int = 42, fields=MESS
     has_tools = F.exists(conv, lambda m: F.coalesce(F.length(m["tools"]) > 0, F.lit(False)))
     first_role = F.try_element_at(conv, F.lit(1))["role"]
     u = keyed_uniform(key, "sys", seed)
-    pick = (F.floor(keyed_uniform(key, "sysp", seed) * len(SYSTEM_PROMPTS)) + 1).cast("int")
-    prompt = F.element_at(F.array(*[F.lit(p) for p in SYSTEM_PROMPTS]), pick)
+    pick = (F.floor(keyed_uniform(key, "sysp", seed) * len(prompts)) + 1).cast("int")
+    prompt = F.element_at(F.array(*[F.lit(p) for p in prompts]), pick)
     prepended = F.concat(F.array(make_message(F.lit("system"), prompt, fields)), conv)
     cond = (F.size(conv) > 0) & ~has_tools & (F.coalesce(first_role, F.lit("")) != "system") & (u < ratio)
     return F.when(cond, prepended).otherwise(conv)

@@ -43,7 +43,7 @@ WITH c AS (
   SELECT conv_id, turn, role, text FROM c
   UNION ALL
   SELECT conv_id, -1 AS turn, 'system' AS role,
-         {SYSTEM_PROMPTS_SQL}[CAST(floor(u_pick * 10) AS INTEGER) + 1] AS text
+         {SYSTEM_PROMPTS_SQL}[CAST(floor(u_pick * {len(SYSTEM_PROMPTS)}) AS INTEGER) + 1] AS text
   FROM k WHERE first_role <> 'system' AND u_sys < 0.2
 ), p AS (
   SELECT m.conv_id, m.turn, m.role,

@@ -42,11 +42,12 @@ def pretrain_samples(rows: DataFrame, key: str, text: str = "text", max_len: int
 
 
 def sft_samples(conv: DataFrame, key: str = "sample_id", max_len: int = 1024, seed: int = 42,
-                with_tools: bool = True, system_ratio: float = 0.2, keep_empty_think: float = 0.2, encode=encode_bytes) -> DataFrame:
+                with_tools: bool = True, system_ratio: float = 0.2, keep_empty_think: float = 0.2, encode=encode_bytes, prompts=None) -> DataFrame:
     """Rows ``(key, prompt, ids_full, input_ids, labels, spans)`` from a ``conversations`` column.  ``encode`` turns a text
-    column into ids: the byte vocabulary, or ``merged_encoder(merges)``."""
+    column into ids: the byte vocabulary, or ``merged_encoder(merges)``; ``prompts`` are the system prompts to draw from."""
     bos_seq, eos_seq = _marks(conv.sparkSession, encode)
-    df = conv.withColumn("conversations", add_system_prompt("conversations", key, system_ratio, seed))
+    df = conv.withColumn("conversations", add_system_prompt(
+        "conversations", key, system_ratio, seed, **({"prompts": tuple(prompts)} if prompts else {})))
     tools = extract_tools("conversations") if with_tools else None
     df = with_rendered_chat(df, "conversations", "prompt", tools=tools, tool_calls=with_tools)
     df = df.withColumn("prompt", strip_empty_think("prompt", key, keep_empty_think, seed))
