@@ -38,7 +38,8 @@ class Rule:
     weight: float
 
 
-# label | keyword | full name in words | short id in words.  Names are regular expressions over words.
+# label | keyword | full name in words | short id in words.  Names are regular expressions over words; every match of a name has a
+# word that begins with its keyword.
 NAMES = """
 agpl-3 | affero | (gnu )?affero general public licen[cs]e( version)? v?3( 0)? | agpl ?v? ?3( 0)?( only| or later)?
 agpl-1 | affero | affero general public licen[cs]e( version)? v?1( 0)? | agpl ?v? ?1( 0)?( only| or later)?
@@ -54,10 +55,10 @@ gpl-3 | general | (gnu )?general public licen[cs]e( version)? v?3( 0)? | gpl ?v?
 gpl-2 | general | (gnu )?general public licen[cs]e( version)? v?2( 0)? | gpl ?v? ?2( 0)?( only| or later)?
 gpl-1 | general | (gnu )?general public licen[cs]e( version)? v?1( 0)? | gpl ?v? ?1( 0)?( only| or later)?
 gpl | general | (gnu )?general public licen[cs]e | gpl
-cc-by-nc-nd | noncommercial | (creative commons )?attribution non ?commercial no ?deriv(ative)?s | cc by nc nd( [1-4] [05])?
-cc-by-nc-sa | noncommercial | (creative commons )?attribution non ?commercial share ?alike | cc by nc sa( [1-4] [05])?
-cc-by-nc-4 | noncommercial | (creative commons )?attribution non ?commercial 4 0( international)? | cc by nc 4 0
-cc-by-nc | noncommercial | (creative commons )?attribution non ?commercial | cc by nc( [1-3] [05])?
+cc-by-nc-nd | attribution | (creative commons )?attribution non ?commercial no ?deriv(ative)?s | cc by nc nd( [1-4] [05])?
+cc-by-nc-sa | attribution | (creative commons )?attribution non ?commercial share ?alike | cc by nc sa( [1-4] [05])?
+cc-by-nc-4 | attribution | (creative commons )?attribution non ?commercial 4 0( international)? | cc by nc 4 0
+cc-by-nc | attribution | (creative commons )?attribution non ?commercial | cc by nc( [1-3] [05])?
 cc-by-nd | attribution | (creative commons )?attribution no ?deriv(ative)?s | cc by nd( [1-4] [05])?
 cc-by-sa-4 | attribution | (creative commons )?attribution share ?alike 4 0( international)? | cc by sa 4 0
 cc-by-sa-3 | attribution | (creative commons )?attribution share ?alike 3 0( unported)? | cc by sa 3 0
@@ -90,7 +91,7 @@ cddl-1 | distribution | common development and distribution licen[cs]e( version)
 cpl-1 | common | common public licen[cs]e( version)? v?1( 0)? | cpl ?v? ?1 0
 eupl-1.2 | european | european union public licen[cs]e( version)? v?1 2 | eupl ?v? ?1 2
 eupl | european | european union public licen[cs]e | eupl( 1 [01])?
-isc | isc | (isc|internet systems consortium) licen[cs]e | isc
+isc | licen | (isc|internet systems consortium) licen[cs]e | isc
 zlib | zlib | zlib( libpng)? licen[cs]e | zlib( libpng)?
 boost-1 | boost | boost software licen[cs]e( version)? v?1( 0)? | bsl 1 0
 unlicense | unlicense | unlicense( licen[cs]e)? | unlicense
@@ -140,7 +141,7 @@ NOTICES = (
     ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 0.9),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms", 0.9),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 0.9),
-    ("apache-2", "apache", r"you may not use this file except in compliance with the license", 0.9),
+    ("apache-2", "compliance", r"you may not use this file except in compliance with the license", 0.9),
     ("copyright", "copyright", r"copyright( c)? (19|20)[0-9][0-9]( (19|20)[0-9][0-9])?", 0.3),
 )
 

@@ -1,4 +1,6 @@
+import random
 import re
+from re import _parser
 
 import pytest
 
@@ -65,6 +67,47 @@ def test_intervals_match_python_regex(rows):
             assert [(d.start, d.stop, d.rule) for d in rows[i].detections] == kept, t
 
 
+def sample(rng, parsed):
+    """A random match of a parsed pattern."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            kind, y = rng.choice(x)
+            out += chr(y if str(kind) == "LITERAL" else rng.randint(*y))
+        elif op == "BRANCH":
+            out += sample(rng, rng.choice(x[1]))
+        elif op == "SUBPATTERN":
+            out += sample(rng, x[-1])
+        elif op == "MAX_REPEAT":
+            out += "".join(sample(rng, x[2]) for _ in range(rng.randint(x[0], min(x[1], x[0] + 2))))
+        else:
+            raise ValueError(op)
+    return out
+
+
+def samples(times=20):
+    rng = random.Random(5)
+    return [(rule, sample(rng, _parser.parse(rule.pattern))) for rule in L.RULES for _ in range(times)]
+
+
+def test_every_match_holds_its_keyword():
+    """Without the gate, on random matches of each pattern."""
+    for rule, text in samples():
+        assert re.fullmatch(rule.pattern, text)
+        assert f" {rule.keyword}" in f" {text}", (rule, text)
+
+
+def test_gated_names(spark):
+    texts = {"Creative Commons Attribution-Non-Commercial 4.0": "cc-by-nc-4", "Creative Commons Attribution-Non Commercial-NoDerivs": "cc-by-nc-nd",
+             "Creative Commons Attribution Non-Commercial Share Alike": "cc-by-nc-sa", "Creative Commons Attribution-Non-Commercial": "cc-by-nc",
+             "the Internet Systems Consortium License": "isc"}
+    rows = L.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.text: r.labels for r in rows} == texts
+
+
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
