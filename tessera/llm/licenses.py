@@ -1,8 +1,8 @@
 """License scan by ordered signature rules, in built-in expressions only.
 
 A text is reduced to its words, one blank before, between and after them, so a rule is a regular expression over words and
-a place is a word number.  A text without any word of the prefilter is left at once; on others a rule's regular
-expression runs only if a word of the text begins with the rule's keyword.  What the rules find
+a place is a word number.  A rule's regular expression runs only if a word of the text begins with the rule's keyword and the
+text holds what the pattern always spells out; both are taken from the rules, so no match is lost.  What the rules find
 are intervals of words.  They are resolved in one pass by place: an interval inside a kept one is
 suppressed, equal intervals go to the rule that comes first, and of two that overlap in part the one whose rule comes
 first stays.  Base phrases are found beside that and are never suppressed.
@@ -161,9 +161,6 @@ def signature_rules() -> list[Rule]:
 
 RULES = signature_rules()
 
-#: A text holds a license only if it holds one of these.
-PREFILTER = r"(?i)licen[cs]e|spdx|(?:^|[^a-z])cc[^a-z]{1,3}by[^a-z]|cc0|rights reserved|copyright|public domain|confidential|prohibited|hereby granted|redistribution and|creative commons|permission to use"
-
 _INTERVALS = "array<struct<start:bigint,stop:bigint,rule:int,label:string,weight:double>>"
 
 
@@ -200,17 +197,31 @@ def _found(words: Column, regex: Column) -> Column:
         lambda acc: acc["out"])
 
 
+def spelled_out(pattern: str) -> list[str]:
+    """Strings in every match of a rule's pattern between blanks: what stands outside classes, options and alternatives.  The longest three."""
+    p = re.sub(r"\[[^\]]*\][?*+]?", "\0", f" {pattern} ")
+    p = re.sub(r"[^()\0]\?", "\0", p)
+    while "(" in p:
+        p = re.sub(r"\(([^()]*)\)([?*]?)", lambda m: "\0" if m[2] or "|" in m[1] else m[1], p)
+    return sorted((x for x in p.split("\0") if len(x.strip()) > 2), key=len, reverse=True)[:3]
+
+
 def _table(rules) -> Column:
-    """The rules as one constant array."""
-    rows = [{"rule": n, "label": r.label, "keyword": " " + r.keyword, "regex": _regex(r.pattern), "weight": r.weight} for n, r in enumerate(rules)]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule:int,label:string,keyword:string,regex:string,weight:double>>")
+    """The rules as one constant array, by keyword."""
+    by: dict[str, list] = {}
+    for n, r in enumerate(rules):
+        by.setdefault(" " + r.keyword, []).append(
+            {"rule": n, "label": r.label, "spelled": spelled_out(r.pattern), "regex": _regex(r.pattern), "weight": r.weight})
+    return F.from_json(F.lit(json.dumps([{"keyword": k, "rules": rows} for k, rows in by.items()])),
+                       "array<struct<keyword:string,rules:array<struct<rule:int,label:string,spelled:array<string>,regex:string,weight:double>>>>")
 
 
 def detections(words: Column, rules=None) -> Column:
-    """All intervals of all rules whose keyword the text holds, unresolved."""
+    """All intervals of all rules whose keyword and spelled-out strings the text holds, unresolved."""
     table = _table(RULES if rules is None else rules)
     return let(F.lower(words), lambda low: F.flatten(F.transform(
-        F.filter(table, lambda r: F.contains(low, r["keyword"])),
+        F.filter(F.flatten(F.transform(F.filter(table, lambda g: F.contains(low, g["keyword"])), lambda g: g["rules"])),
+                 lambda r: F.forall(r["spelled"], lambda x: F.contains(low, x))),
         lambda r: F.transform(_found(low, r["regex"]), lambda x: F.struct(
             x["start"].alias("start"), x["stop"].alias("stop"), r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight"))))))
 
@@ -234,20 +245,21 @@ def resolve(found: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and the kept ``detections``."""
-    none = F.array().cast(_INTERVALS)
     places = "array<struct<start:bigint,label:string>>"
 
     def places_of(label):
         return lambda x: F.struct(x["start"].alias("start"), F.lit(label).alias("label"))
 
+    def base_of(w, phrase, label):
+        held = F.transform(_found(w, F.lit(_regex(phrase))), places_of(label))
+        return F.when(F.contains(F.lower(w), F.lit(f" {phrase} ")), held.cast(places)).otherwise(F.array().cast(places))
+
     def digest(w):
-        base = F.flatten(F.array(*[F.transform(_found(w, F.lit(_regex(p))), places_of(label)) for p, label in BASE]))
-        return F.struct(base.cast(places).alias("base"), resolve(detections(w, rules)).alias("found"))
+        base = F.flatten(F.array(*[base_of(w, *b) for b in BASE]))
+        return F.struct(base.alias("base"), resolve(detections(w, rules)).alias("found"))
 
-    empty = F.struct(F.array().cast(places).alias("base"), none.alias("found"))
-    t = text_of(text)
-    out = df.withColumn("__llm_words", word_string(t))
-    out = out.withColumn("__llm_hits", F.when(t.rlike(PREFILTER) | F.col("__llm_words").rlike("(?i) cc by nc "), let(F.col("__llm_words"), digest)).otherwise(empty))
+    out = df.withColumn("__llm_words", word_string(text_of(text)))
+    out = out.withColumn("__llm_hits", let(F.col("__llm_words"), digest))
     base, found = F.col("__llm_hits.base"), F.col("__llm_hits.found")
     labels = F.array_sort(F.array_distinct(F.concat(F.transform(base, lambda x: x["label"]), F.transform(found, lambda x: x["label"]))))
     return out.withColumns({

@@ -108,6 +108,33 @@ def test_gated_names(spark):
     assert {r.text: r.labels for r in rows} == texts
 
 
+def test_spelled_out_strings_stand_in_every_match():
+    assert L.spelled_out("(the )?((gnu )?general public licen[cs]e( version)? v?3( 0)?)") == ["general public licen"]
+    for rule, text in samples():
+        assert all(x in f" {text} " for x in L.spelled_out(rule.pattern)), (rule, text)
+
+
+def test_no_match_is_lost(spark):
+    """Random matches of every rule, broken over lines, against all rules without any gate."""
+    texts = [text.replace(" ", "\n" if n % 3 else " ") for n, (_, text) in enumerate(samples(1))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(8)
+    compiled = [re.compile(f" (?:{r.pattern})(?= )") for r in L.RULES]
+    for i, found in rows.select("i", L.detections(L.word_string(rows.text))).collect():
+        line = " " + " ".join(WORD.findall(texts[i].translate(UPPER))) + " "
+        want = {(line[:m.start()].count(" "), line[:m.end()].count(" "), n) for n, p in enumerate(compiled) for m in p.finditer(line)}
+        assert {(d.start, d.stop, d.rule) for d in found} == want, line
+    assert all(r.labels for r in L.scan(rows).collect())
+
+
+def test_texts_without_the_word_license(spark):
+    texts = {"This code is released under the GPL v3.": "gpl-3", "Distributed under the terms of the AGPL 3.0": "agpl-3", "Available under Apache 2.0": "apache-2",
+             "Permission is hereby\ngranted, free of charge, to any person\nobtaining a copy": "mit", "All rights\nreserved.": "proprietary",
+             "nothing of the kind": ""}
+    rows = L.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.text: r.labels for r in rows} == texts
+    assert all((r.score > 0) == (r.labels != "") for r in rows)
+
+
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
