@@ -2,8 +2,8 @@
 
 1. A character language model (4-grams over 28 symbols) is counted over all documents, partial counts first.  Its
    table has 28**4 cells whatever the corpus, which bounds what is collected and broadcast.
-2. ``Decoder.restore`` turns a suspicious piece of text (leet characters between letters, letters parted by single
-   separators, repeated letters) into a lattice: each character may stand for itself, for a letter it imitates, for the
+2. ``Decoder.restore`` turns a suspicious piece of text (leet characters between letters, letters parted by
+   separators or white space, doubled letters, look-alike letters) into a lattice: each character may stand for itself, for a letter it imitates, for the
    letter before it, or for nothing.  Viterbi finds the cheapest path of channel costs and language model.
 3. Words of restored text are scored by their likeliest feature (the word or a prefix of it): the share of toxic
    documents among those of the training sample that hold it, drawn towards the base rate.  A document's share is that
@@ -98,12 +98,15 @@ KEEP, IMITATE, DROP_SEPARATOR, KEEP_SEPARATOR, DROP_REPEAT, DROP_JUNK = 0.05, 2.
 
 _LETTERS = r"[^\W\d_]"
 _LEET_CLASS = re.escape("".join(LEET)).replace(" ", "")
-#: A letter and a leet character side by side, a separator between letters, a letter three times, or three doubled letters.
-_ODD = re.compile(rf"(?:{_LETTERS}[{_LEET_CLASS}]|[{_LEET_CLASS}]{_LETTERS})|{_LETTERS}[.\-_*~'`,/\\:;^=]+{_LETTERS}|({_LETTERS})\1\1|(?:({_LETTERS})\2){{3}}")
-#: Three or more single characters, each parted from the next by one blank.
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
-_SPACED_HINT = re.compile(r" \S \S \S ")
-_REPEATED = re.compile(rf"({_LETTERS})\1\1|(?:({_LETTERS})\2){{3}}")
+_LOOKALIKE = f"[{''.join(HOMOGLYPHS)}]"
+#: A letter and a leet character side by side, a separator between letters, a letter three times, three doubled letters, or a look-alike letter.
+_ODD = re.compile(rf"(?:{_LETTERS}[{_LEET_CLASS}]|[{_LEET_CLASS}]{_LETTERS})|{_LETTERS}[.\-_*~'`,/\\:;^=]+{_LETTERS}|({_LETTERS})\1\1|(?:({_LETTERS})\2){{3}}|{_LOOKALIKE}")
+_LETTERS_ODD = re.compile(rf"({_LETTERS})\1\1|(?:({_LETTERS})\2){{3}}|{_LOOKALIKE}")
+#: Words of the language hold doubled letters too, so a token that is odd by these alone has two readings.
+_DOUBLED = re.compile(rf"({_LETTERS})\1")
+#: Three or more single characters, each parted from the next by white space.
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_SPACED_HINT = re.compile(r"\s\S\s+\S\s+\S\s")
 
 
 _HIDDEN = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
@@ -178,20 +181,36 @@ class Decoder:
 
     def token(self, token: str) -> str:
         """A token of normal text, restored; one that is not odd is left as it is."""
-        odd = _REPEATED if token.strip(".,").isalpha() else _ODD
+        odd = _LETTERS_ODD if token.strip(".,").isalpha() else _ODD
         return self.decode(token) if odd.search(token) else token
 
+    def readings(self, token: str) -> list[str]:
+        """The token restored and, if only doubled letters are odd in it, both as it is and decoded."""
+        own = self.token(token)
+        return [own, self.decode(token)] if own == token and _DOUBLED.search(token) else [own]
+
     def spaced_runs(self, t: str) -> list[str]:
-        """Readings of the runs of single characters in a normal text."""
+        """Readings of the runs of single characters in a normal text: each run as a whole and, where its gaps differ, also
+        its parts between the wider gaps."""
         if not _SPACED_HINT.search(f" {t} "):
             return []
-        return [self.decode(m[0]) for m in _SPACED.finditer(t) if any(c.isalpha() for c in m[0])]
+        out = []
+        for run in (m[0] for m in _SPACED.finditer(t) if any(c.isalpha() for c in m[0])):
+            out.append(self._spaced(run))
+            gaps = re.findall(r"\s+", run)
+            if len(set(map(len, gaps))) > 1:
+                parts = re.split(rf"\s{{{min(map(len, gaps)) + 1},}}", run)
+                out += [self._spaced(x) for x in parts if len(x.split()) > 2]
+        return out
+
+    def _spaced(self, run: str) -> str:
+        return self.decode(" ".join(run.split()))
 
     def restore(self, text: str) -> str:
         """The whole text, restored: spaced runs first, then each token."""
         t = normal(text)
         if _SPACED_HINT.search(f" {t} "):
-            t = _SPACED.sub(lambda m: self.decode(m[0]) if any(c.isalpha() for c in m[0]) else m[0], t)
+            t = _SPACED.sub(lambda m: self._spaced(m[0]) if any(c.isalpha() for c in m[0]) else m[0], t)
         return re.sub(r"\S+", lambda m: self.token(m[0]), t)
 
 
@@ -231,7 +250,7 @@ class Scorer:
     def words(self, text: str) -> set:
         """The distinct words of the restored text."""
         t = normal(text)
-        pieces = [self.decoder.token(x) for x in set(t.split())] + self.decoder.spaced_runs(t)
+        pieces = [p for x in set(t.split()) for p in self.decoder.readings(x)] + self.decoder.spaced_runs(t)
         return {w for p in pieces for w in _WORD.findall(p)}
 
     def _worst(self, text: str) -> float:
@@ -242,7 +261,7 @@ class Scorer:
         return best
 
     def _token(self, token: str) -> float:
-        return self._worst(self.decoder.token(token))
+        return max(map(self._worst, self.decoder.readings(token)))
 
     def share(self, text: str) -> float:
         t = normal(text)

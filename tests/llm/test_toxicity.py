@@ -71,6 +71,22 @@ def test_obfuscated_words_score_alike(model):
     assert s.score("the thing of and") < 0.5
 
 
+def test_more_noise_scores_alike(model):
+    """Doubled letters, look-alike letters and any white space between characters."""
+    s = T.Scorer(model)
+    for plain, forms in {"stupid": ["stuupid", "stuupid;", "sstupid"], "idiot": ["iidiot", "idіot"], "scum": ["sscumm", "ѕcum"], "trash": ["ttrash"],
+                         "moron": ["mоron", "mоrоn", "m  o  r  o  n", "m\to\tr\to\tn", "m\no\nr\no\nn", "m o  r \t o n"]}.items():
+        own = s.score(f"the {plain} of")
+        assert own > 2 * s.score("the thing of"), plain
+        for x in forms:
+            assert s.score(f"the {x} of") == pytest.approx(own), x
+    assert s.score("i d i o t   y o u") >= 0.5
+    assert s.decoder.restore("good letters happen") == "good letters happen"
+    assert "good" in s.words("good letters happen")
+    for x in ("good", "letter", "happen", "a  b  c", "1  2  x"):
+        assert s.score(f"the {x} of") < 0.5, x
+
+
 def test_odd_rows(spark, model):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a" * 200_000, "x"), (4, "1" * 50_000, "x"), (5, "moron", "x"), (5, "moron", "x"), (None, "moron", "x")]
     got = T.score(spark.createDataFrame(rows, "doc_id long, text string, score string"), model).collect()
