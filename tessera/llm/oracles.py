@@ -61,3 +61,10 @@ select page_id, payload_bytes, payload_digest, case when first_page = page_id th
 
 
 WARC = _warc()
+
+
+EXACT = r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
+g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d group by text_sha256)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d join g using (text_sha256)
+"""

@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, dedup, licenses, oracles, packing, quality, rans, token_counts, toxicity, warc
+from tessera.llm import (alignment, chat, decontam, dedup, exact_dedup, licenses, oracles, packing, periodic, quality, rans, token_counts,
+                         toxicity, warc)
 from tessera.llm.common import held_out
 from tessera.sources.tables import read_table
 
 
-
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizers' files lie; the operators take the path as a parameter."""
     import public_tokenizers
@@ -100,3 +100,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
                            F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
                            F.col("response.refers_to").alias("refers_to"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digests(periodic.with_planted_periods(docs))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.with_counts(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op13_exact_dedup", oracles.EXACT)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
