@@ -1,32 +1,38 @@
 """Byte-level BPE training (T5) and encoding with merges (T6) on Spark.
 
-Training works on the distinct-word table from T4 (word, count): each word is its sequence of byte
-symbols.  A round counts adjacent pairs over all words (one partial + final aggregation), takes the
-ranked head of the pair table (count desc, then smaller ids -- the public trainer's order) and merges
-a *batch* of pairs at once when that provably gives the same merges as one-at-a-time:
-
-  walk the ranking; stop at the first pair that shares a symbol with an earlier one (or is a self
-  pair); keep the earlier pairs whose count is strictly greater than that pair's count (the top pair
-  always).  A merge only changes counts of pairs that share one of its symbols, and every pair it
-  creates is bounded by such a pair's count, so nothing can overtake the kept pairs.
-
-Only the chosen merge batch (bounded by the vocabulary size) reaches the driver; words stay
-distributed and are checkpointed into the shared folder after every round (cutting the lineage).
+Training works on the distinct-word table from T4 (word, count): each word is its sequence of byte symbols.  A round
+makes as many merges as it can prove from a small summary of the words, in three Spark jobs:
+
+1. Adjacent pairs are counted over all words (partial + final aggregation).  Some ``head`` of the most frequent, all pairs of
+   some count or more, are the round's candidates; the next lower count is the cut.
+2. Each word is split where two neighbours are no candidate pair.  The pieces ("chains") are counted over all words.  A pair,
+   of old or of new symbols, whose seam lies between pieces occurs no more often than that seam's own pair: at most cut times.
+   Every other occurrence lies within a chain.  So as long as the most frequent pair of the chains stands above the
+   cut it is the most frequent of all, and the merges follow from the chains alone: a table of pair counts with an index
+   pair -> chains, updated only from the chains a merge touches.
+3. The words that hold a merged pair are rewritten by the round's merges in order, into a table of the shared folder; the
+   former one is deleted.
+
+The driver holds at most ``MOST_PAIRS`` pairs and ``MOST_CHAINS`` chains: where more chains differ, the head is halved until they fit; at
+last the first pair alone is merged (it has one chain, or one per length of a run).  The public trainer's order is kept (count descending, then smaller ids), and so is its rule that a merge
+whose text is in the vocabulary already takes that id.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+import time
+from collections import Counter, defaultdict
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.tokens import ADDED_TOKENS, BYTE_IDS, N_SPECIAL, TOKEN_ID, byte_id_expr, byte_symbol_table
 from tessera.operators.tokenizer import PRETOKENIZE_PATTERN
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import drop_table, shared_table
 
 FIRST_MERGE_ID = N_SPECIAL + 256
 
@@ -38,80 +44,158 @@ def raw_byte_ids(text) -> Column:
     return F.transform(F.filter(F.split(latin, ""), lambda ch: F.length(ch) > 0), lambda ch: byte_id_expr(F.ascii(ch)))
 
 
-def _choose(top: list, remaining: int, exhaustive: bool) -> list:
-    """Pick the merge batch from the ranked head ``top`` = [(a, b, count), ...]."""
-    batch, used, cut = [], set(), None
-    for a, b, c in top:
-        if a == b:
-            if not batch:
-                return [(a, b, c)]
-            cut = c
-            break
-        if a in used or b in used:
-            cut = c
-            break
-        batch.append((a, b, c))
-        used.update((a, b))
-    if cut is None and not exhaustive and top:
-        cut = top[-1][2]          # pairs beyond the head are bounded by its last count
-    if cut is not None:
-        batch = batch[:1] + [p for p in batch[1:] if p[2] > cut]
-    return batch[:remaining]
+#: Bounds on what a round brings to the driver, and the least number of its candidate pairs where they allow it.
+MOST_PAIRS, MOST_CHAINS, HEAD = 20_000, 50_000, 512
+
+
+class ChainTrainer:
+    """Merges in order over a bounded table of chains; ``texts`` maps bytes to ids and grows with the vocabulary."""
+
+    def __init__(self, chains: list[tuple[tuple, int]], texts: dict[bytes, int], names: dict[int, bytes]):
+        self.texts, self.names = texts, names
+        self.chains = [list(c) for c, _ in chains]
+        self.times = [n for _, n in chains]
+        self.count: Counter = Counter()
+        self.index: dict = defaultdict(set)
+        for k, c in enumerate(self.chains):
+            for pair in zip(c, c[1:]):
+                self.count[pair] += self.times[k]
+                self.index[pair].add(k)
+        self.queue = [(-n, pair) for pair, n in self.count.items()]
+        heapq.heapify(self.queue)
+
+    def top(self) -> tuple[tuple, int] | None:
+        """The most frequent pair, smaller ids first among equals; entries whose count has changed are put right as they come up."""
+        while self.queue:
+            n, pair = self.queue[0]
+            now = self.count[pair]
+            if now == -n and now > 0:
+                return pair, now
+            heapq.heappop(self.queue)
+            if now > 0:
+                heapq.heappush(self.queue, (-now, pair))
+        return None
+
+    def merge(self, pair: tuple) -> tuple[int, bool]:
+        """Replace the pair wherever it stands; returns its id and whether its text is new to the vocabulary."""
+        text = self.names[pair[0]] + self.names[pair[1]]
+        fresh = text not in self.texts
+        made = self.texts.setdefault(text, len(self.texts) + N_SPECIAL)
+        self.names[made] = text
+        grown = set()
+        for k in self.index.pop(pair):
+            old = self.chains[k]
+            new = replace_pair(old, pair, made)
+            if len(new) == len(old):
+                continue
+            for p in zip(old, old[1:]):
+                self.count[p] -= self.times[k]
+            for p in zip(new, new[1:]):
+                self.count[p] += self.times[k]
+                self.index[p].add(k)
+                grown.add(p)
+            self.chains[k] = new
+        for p in grown:
+            heapq.heappush(self.queue, (-self.count[p], p))
+        return made, fresh
+
+
+def replace_pair(symbols: list, pair: tuple, made: int) -> list:
+    """Occurrences of ``pair`` from left to right become ``made``."""
+    a, b = pair
+    out, i, n = [], 0, len(symbols)
+    while i < n:
+        if symbols[i] == a and i + 1 < n and symbols[i + 1] == b:
+            out.append(made)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
 
 
-def _merge_udf(mapping: dict):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def merge(syms: pd.Series) -> pd.Series:
-        def one(s):
-            s = list(s)
-            out, i, n = [], 0, len(s)
-            while i < n:
-                if i + 1 < n and (s[i], s[i + 1]) in mapping:
-                    out.append(mapping[(s[i], s[i + 1])])
-                    i += 2
+def _adjacent(words: DataFrame) -> DataFrame:
+    s = F.col("syms")
+    both = F.arrays_zip(F.slice(s, F.lit(1), F.size(s) - 1).alias("a"), F.slice(s, F.lit(2), F.size(s) - 1).alias("b"))
+    return words.select("n", F.inline(both)).groupBy("a", "b").agg(F.sum("n").alias("c"))
+
+
+def _chains(words: DataFrame, candidates: set) -> DataFrame:
+    """Pieces of two symbols and more of each word, cut where neighbours are no candidate pair, with their counts."""
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def cut(column: pd.Series) -> pd.Series:
+        out = []
+        for symbols in column:
+            s = symbols.tolist()
+            pieces, piece = [], s[:1]
+            for pair in zip(s, s[1:]):
+                if pair in candidates:
+                    piece.append(pair[1])
                 else:
-                    out.append(s[i])
-                    i += 1
-            return out
-        return syms.map(one)
-    return merge
+                    if len(piece) > 1:
+                        pieces.append(piece)
+                    piece = [pair[1]]
+            out.append(pieces + [piece] if len(piece) > 1 else pieces)
+        return pd.Series(out, dtype="object")
 
+    return words.select("n", F.explode(cut("syms")).alias("chain")).groupBy("chain").agg(F.sum("n").alias("n"))
 
-def train_bpe(word_counts: DataFrame, vocab_size: int = 6400, word: str = "word", count: str = "n",
-              head: int = 4096, verbose: bool = False) -> DataFrame:
-    """T5: ordered merges ``(rank, left, right, id, count)`` until the vocabulary holds ``vocab_size`` ids."""
+
+def _apply(words: DataFrame, ranks: dict) -> DataFrame:
+    """Words after the merges ``{pair: (rank, id)}`` in order of rank; a lone symbol has no pair left and goes."""
+    table = words.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def merged(column: pd.Series) -> pd.Series:
+        return pd.Series([bpe_word(s.tolist(), table.value) for s in column], dtype="object")
+
+    return words.select("n", merged("syms").alias("syms")).where(F.size("syms") > 1)
+
+
+def train_bpe(word_counts: DataFrame, vocab_size: int = 6400, word: str = "word", count: str = "n", head: int = HEAD,
+              most_chains: int = MOST_CHAINS, rounds: list | None = None) -> DataFrame:
+    """T5: ordered merges ``(rank, left, right, id, count)`` until the vocabulary holds ``vocab_size`` ids or no pair is left.
+
+    ``rounds``, a list, takes (merges, chains, seconds) of each round."""
     spark = word_counts.sparkSession
-    ensure_checkpoint_dir(spark)
-    words = word_counts.select(F.col(count).cast("long").alias("n"), raw_byte_ids(word).alias("syms")) \
-        .filter(F.size("syms") >= 2)
-    words = words.persist(StorageLevel.MEMORY_AND_DISK)
-    merges, next_id, rounds = [], FIRST_MERGE_ID, 0
-    while next_id < vocab_size:
-        s = F.col("syms")
-        pairs = words.select("n", F.explode(F.arrays_zip(F.slice(s, 1, F.size(s) - 1).alias("a"),
-                                                         F.slice(s, 2, F.size(s) - 1).alias("b"))).alias("p"))
-        counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("c"))
-        top = [(r.a, r.b, r.c) for r in counts.orderBy(F.desc("c"), "a", "b").limit(head + 1).collect()]
-        if not top:
+    words, path = shared_table(word_counts.select(F.col(count).cast("long").alias("n"), raw_byte_ids(word).alias("syms")).where(F.size("syms") > 1), "bpe")
+    names = {BYTE_IDS[b]: bytes([b]) for b in range(256)}
+    texts = {t: i for i, t in names.items()}
+    merges: list = []
+    while N_SPECIAL + len(texts) < vocab_size:
+        begun = time.monotonic()
+        top = [(r.a, r.b, r.c) for r in _adjacent(words).orderBy(F.desc("c"), "a", "b").limit(MOST_PAIRS + 1).collect()]
+        # widths of the head after which a lower count follows, or none
+        levels = [k for k in range(1, len(top)) if top[k][2] < top[k - 1][2]] + [len(top)] * (0 < len(top) <= MOST_PAIRS)
+        fits = [k for k in levels if k < head] + [k for k in levels if k >= head][:1]
+        chains: list = []
+        while fits:
+            chains = _chains(words, {(a, b) for a, b, _ in top[:fits[-1]]}).limit(most_chains + 1).collect()
+            if len(chains) <= most_chains:
+                break
+            fits = [k for k in fits if k <= fits[-1] // 2]
+        single = not fits and bool(top)
+        if single:
+            chains = _chains(words, {top[0][:2]}).collect()
+        floor = 0 if single or not fits or fits[-1] == len(top) else top[fits[-1]][2]
+        trainer = ChainTrainer([(tuple(r.chain), r.n) for r in chains], texts, names)
+        ranks: dict = {}
+        while N_SPECIAL + len(texts) < vocab_size and (best := trainer.top()):
+            if best[1] <= floor or (single and ranks):
+                break
+            made, fresh = trainer.merge(best[0])
+            ranks[best[0]] = (len(ranks), made)
+            merges.append((len(merges), *best[0], made, best[1]))
+            if not fresh:  # a symbol of two derivations: seams are no longer told by it, so count anew
+                break
+        if not ranks:
             break
-        exhaustive = len(top) <= head
-        batch = _choose(top[:head], vocab_size - next_id, exhaustive)
-        mapping = {}
-        for a, b, c in batch:
-            merges.append((len(merges), a, b, next_id, c))
-            mapping[(a, b)] = next_id
-            next_id += 1
-        new = words.withColumn("syms", _merge_udf(mapping)("syms")).filter(F.size("syms") >= 2)
-        rounds += 1
-        # cut the lineage every round: the plan would otherwise nest one Python UDF per round
-        new = new.persist(StorageLevel.MEMORY_AND_DISK)
-        cut = new.checkpoint(eager=True)       # persisted first so the checkpoint write does not recompute
-        new.unpersist()
-        words.unpersist()
-        words = cut
-        if verbose:
-            print(f"bpe round {rounds}: +{len(batch)} merges, vocab {next_id}", flush=True)
-    words.unpersist()
+        former = path
+        words, path = shared_table(_apply(words, ranks), "bpe")
+        drop_table(spark, former)
+        if rounds is not None:
+            rounds.append((len(ranks), len(chains), time.monotonic() - begun))
+    drop_table(spark, path)
     return spark.createDataFrame(merges, "rank int, left int, right int, id int, count long")
 
 
@@ -135,27 +219,28 @@ def token_strings(merges: dict) -> dict:
 
 
 def bpe_word(ids: list, ranks: dict) -> list:
-    """Encode one pre-token: repeatedly merge the adjacent pair of lowest rank (leftmost first)."""
-    s = list(ids)
-    while len(s) > 1:
-        best, pos = None, -1
-        for i in range(len(s) - 1):
-            r = ranks.get((s[i], s[i + 1]))
-            if r is not None and (best is None or r[0] < best[0]):
-                best, pos = r, i
-        if best is None:
-            break
-        a, b = s[pos], s[pos + 1]
-        out, i = [], 0
-        while i < len(s):
-            if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
-                out.append(best[1])
-                i += 2
-            else:
-                out.append(s[i])
-                i += 1
-        s = out
-    return s
+    """Encode one pre-token: merge the adjacent pair of lowest rank, leftmost first, until none is left.
+
+    Pairs wait in a heap by rank and place; symbols are linked, so a merge touches its neighbours alone (n log n in all)."""
+    n = len(ids)
+    queue = [(r[0], i, r[1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+    if not queue:
+        return list(ids)
+    heapq.heapify(queue)
+    s, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
+    while queue:
+        rank, i, made = heapq.heappop(queue)
+        j = after[i]
+        if s[i] is None or j >= n or ranks.get((s[i], s[j])) != (rank, made):
+            continue  # one of the two was merged meanwhile
+        s[i], s[j], after[i] = made, None, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if r := ranks.get((made, s[after[i]])):
+                heapq.heappush(queue, (r[0], i, r[1]))
+        if before[i] >= 0 and (r := ranks.get((s[before[i]], made))):
+            heapq.heappush(queue, (r[0], before[i], r[1]))
+    return [x for x in s if x is not None]
 
 
 _ADDED_RE = "|".join(re.escape(t) for t in ADDED_TOKENS)

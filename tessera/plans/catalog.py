@@ -462,14 +462,16 @@ def q_doc_sequences(spark, sf):
 from tessera.operators import bpe  # noqa: E402
 
 
+def _trained(spark, sf):
+    """T2 -> T4 -> T5 on all conversation turns (S6-shaped corpus): every merge of the 6,400-id vocabulary."""
+    return bpe.train_bpe(tk.word_counts(read_table(spark, sf, "conversations").select("text"), "text"))
+
+
 @register("bpe_train")
-def q_bpe_train(spark, sf, extra_merges=100):
-    """S6-shaped corpus (all conversation turns) -> T2 -> T4 -> T5: the first ``extra_merges`` merges.
-    Rows-only here; the merge order is checked against the public trainer in tests."""
-    texts = read_table(spark, sf, "conversations").select("text")
-    merges = bpe.train_bpe(tk.word_counts(texts, "text"), vocab_size=bpe.FIRST_MERGE_ID + extra_merges)
-    strs = bpe.token_strings(bpe.merge_table(merges))
-    names = spark.createDataFrame(sorted(strs.items()), "id int, token string")
+def q_bpe_train(spark, sf):
+    """All merges in order.  Rows-only here; the tests compare every merge and id with the public trainer's."""
+    merges = _trained(spark, sf)
+    names = spark.createDataFrame(sorted(bpe.token_strings(bpe.merge_table(merges)).items()), "id int, token string")
     return merges.join(F.broadcast(names), "id").select("rank", "left", "right", "id", "count", "token")
 
 
@@ -627,19 +629,28 @@ def q_audio_placeholders(spark, sf, seed=42):
 
 
 @register("bpe_compression")
-def q_bpe_compression(spark, sf, extra_merges=100):
-    """T5 -> T6 -> T7/T8/T9: merges trained on all conversation turns, every document encoded with them,
-    per-language compression and round-trip failures (rows-only; encoding parity is tested against the
-    public library)."""
+def q_bpe_compression(spark, sf):
+    """T5 -> T6 -> T9: every document encoded with the whole trained vocabulary, compression per language (rows-only;
+    encoding parity is tested against the public library)."""
     from tessera.plans.tokenizer_job import evaluate
-    texts = read_table(spark, sf, "conversations").select("text")
-    merges = bpe.train_bpe(tk.word_counts(texts, "text"), vocab_size=bpe.FIRST_MERGE_ID + extra_merges)
-    merges = merges.persist()
     docs = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "text"))
-    out = evaluate(docs, "text", "doc_id", merges, ["lang"])
+    out = evaluate(docs, "text", "doc_id", _trained(spark, sf), ["lang"])
     return out.select("lang", "n_rows", "n_tokens", rl.r6("chars_per_token").alias("chars_per_token"), "n_fail")
 
 
+@register("bpe_roundtrip", """
+select lang, count(*)::bigint as n_rows, md5(string_agg(md5(text), '' order by doc_id)) as texts_md5 from documents group by lang""")
+def q_bpe_roundtrip(spark, sf):
+    """T6 -> T7 with the whole trained vocabulary: what comes back of every document, by digest."""
+    from tessera.plans.tokenizer_job import decode_with
+    merges = _trained(spark, sf)
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    back = docs.withColumn("ids", bpe.encode_bpe_column("text", merges)).select("doc_id", "lang", F.md5(decode_with(merges, "ids")).alias("m"))
+    return back.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "m"))), lambda x: x["m"]), "")).alias("texts_md5"))
+
+
 @register("voice_names", oracles.voice_names_sql())
 def q_voice_names(spark, sf):
     """Candidate voice names derived from nations (plain, padded with region, reserved, blank)

@@ -30,31 +30,56 @@ def test_pretokenizer_matches_library(spark):
         assert [_as_symbols(x) for x in g] == _lib_pieces(t), t
 
 
-def test_bpe_training_and_encoding_match_library(spark):
+def _library_trained(rows, vocab_size):
     from tokenizers import Tokenizer, models, pre_tokenizers, trainers
-    vs = bpe.FIRST_MERGE_ID + 40
-    texts = read_table(spark, SF_SMALL, "conversations").select("text")
-    merges = bpe.train_bpe(tk.word_counts(texts, "text"), vocab_size=vs)
-    strs = bpe.token_strings(bpe.merge_table(merges))
-    mine = [(strs[r.left], strs[r.right]) for r in merges.orderBy("rank").collect()]
     tok = Tokenizer(models.BPE())
     tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
-    tr = trainers.BpeTrainer(vocab_size=vs, show_progress=False, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(),
+    tr = trainers.BpeTrainer(vocab_size=vocab_size, show_progress=False, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(),
                              special_tokens=all_special_tokens())
-    rows = [r.text for r in texts.collect()]
     tok.train_from_iterator(rows, trainer=tr)
-    ref = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in json.loads(tok.to_str())["model"]["merges"]]
-    assert mine == ref
+    model = json.loads(tok.to_str())["model"]
+    return tok, [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]], model["vocab"]
+
+
+def _as_strings(merges):
+    strs = bpe.token_strings(bpe.merge_table(merges))
+    return [(strs[r.left], strs[r.right]) for r in merges.orderBy("rank").collect()], strs
+
+
+def test_bpe_training_and_encoding_match_library(spark):
+    """The whole vocabulary: 6,400 ids, or until no pair is left."""
+    texts = read_table(spark, SF_SMALL, "conversations").select("text")
+    merges = bpe.train_bpe(tk.word_counts(texts, "text"))
+    mine, strs = _as_strings(merges)
+    tok, ref, vocab = _library_trained([r.text for r in texts.collect()], 6400)
+    assert mine == ref and len(mine) > 4000
     # vocabulary ids agree too
-    vocab = json.loads(tok.to_str())["model"]["vocab"]
     assert all(vocab[s] == i for i, s in strs.items())
     df = read_table(spark, SF_SMALL, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
-    df = df.unionByName(spark.createDataFrame([(10**9, "<|im_start|>user\nhi<|im_end|>\n<think>x</think>")], "k long, text string"))
+    df = df.unionByName(spark.createDataFrame([(10**9, "<|im_start|>user\nhi<|im_end|>\n<think>x</think>"), (10**9 + 1, "anananan " * 3 + "a" * 3000)], "k long, text string"))
     got = {r.k: list(r.ids) for r in bpe.encode_bpe(df, "text", "k", merges).collect()}
     for r in df.collect():
         assert tok.encode(r.text).ids == got.get(r.k, []), r.text
 
 
+def test_bpe_rounds_under_any_bound(spark, tmp_path):
+    """Few chains a round, down to one pair at a time, give the same merges; no round's table stays behind."""
+    import os
+    from tessera.session import ensure_checkpoint_dir
+    words = ["aaaa", "aaaaaaa", "abab", "abcabc", "bcab", "xyxyx", "xyz", "abc", "bca", "cab", "ééé", "aab"]
+    counts = spark.createDataFrame([(w, 3 + 5 * i % 7) for i, w in enumerate(words)], "word string, n long")
+    rows = [w for i, w in enumerate(words) for _ in range(3 + 5 * i % 7)]
+    _, ref, vocab = _library_trained(rows, 330)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    for head, most in ((1, 1), (2, 6), (4, 50), (512, 50_000)):
+        rounds = []
+        mine, strs = _as_strings(bpe.train_bpe(counts, 330, head=head, most_chains=most, rounds=rounds))
+        assert mine == ref and all(vocab[s] == i for i, s in strs.items()), (head, most)
+        assert all(n <= max(most, 7) for _, n, _ in rounds)
+    assert set(os.listdir(folder)) == before
+
+
 def test_byte_ids_are_first_after_specials():
     assert min(BYTE_IDS) == 36 and max(BYTE_IDS) == 291
 
