@@ -24,17 +24,28 @@ def generation_throughput(events: DataFrame, request: str, ts: str, kind: str, t
         F.round((F.col("_ta") - F.col("_t0")) * 1000, 1).alias("first_audio_ms"))
 
 
-def assemble_tool_deltas(chunks: DataFrame, request: str, seq: str, index: str, frag: str) -> DataFrame:
-    """Streamed argument fragments concatenated in arrival order per (request, call index).
-    A fragment without an index goes to the next slot (one past the largest index seen so far)."""
+def assemble_tool_deltas(chunks: DataFrame, request: str, seq: str, index: str, id: str, name: str, arguments: str) -> DataFrame:
+    """Streamed fragments of tool calls put together in arrival order, one row per (request, call slot).
+
+    A fragment with an index goes to that slot, and slots up to it come to be (empty where no fragment names them); one without
+    opens the slot after the last.  With c nulls so far the number of slots is c + max(0, index + 1 - nulls before), a
+    running count and a running maximum; ``seq`` orders a request's fragments.
+    """
     from pyspark.sql import Window
-    w = Window.partitionBy(request).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    idx = F.coalesce(F.col(index), F.coalesce(F.max(index).over(w) + 1, F.lit(0)))
-    c = chunks.withColumn("_idx", idx)
-    return c.groupBy(request, F.col("_idx").alias("call_index")).agg(
-        F.count(F.lit(1)).cast("long").alias("n_fragments"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, frag))), lambda x: x[frag]), "")
-        .alias("arguments"))
+    upto = Window.partitionBy(request).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(request).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    nulls = F.sum(F.col(index).isNull().cast("long"))
+    c = chunks.withColumn("_nulls", nulls.over(upto)).withColumn("_free", F.col(index) + 1 - F.col("_nulls"))
+    opened = F.col("_nulls") - 1 + F.greatest(F.lit(0), F.coalesce(F.max("_free").over(before), F.lit(0)))
+    c = c.withColumn("call_index", F.coalesce(F.col(index), opened).cast("long"))
+    joined = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, F.col(part).alias("x")))), lambda r: r["x"]), "")
+    calls = c.groupBy(request, "call_index").agg(F.count(F.lit(1)).alias("n_fragments"), joined(id).alias("id"), joined(name).alias("name"),
+                                                 joined(arguments).alias("arguments"))
+    named = calls.groupBy(request).agg(F.collect_list("call_index").alias("_slots"))
+    empty = named.select(request, F.explode(F.array_except(F.sequence(F.lit(0).cast("long"), F.array_max("_slots")), "_slots")).alias("call_index"))
+    blank = F.lit("")
+    return calls.unionByName(empty.select(request, "call_index", F.lit(0).cast("long").alias("n_fragments"), blank.alias("id"),
+                                          blank.alias("name"), blank.alias("arguments")))
 
 
 def step_counts(df: DataFrame, by: list[str], batch_size: int, accum: int, epochs: int, skip: int = 0) -> DataFrame:

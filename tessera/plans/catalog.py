@@ -255,6 +255,104 @@ def q_incremental_text(spark, sf):
     return agg
 
 
+# ---- keyed-state streams ---------------------------------------------------------------------------
+
+from tessera.sources.parquet import conversations_from_turns as _conversations  # noqa: E402
+from tessera.streaming import keyed as xk  # noqa: E402
+
+
+@register("speech_segments_lossy", oracles.speech_events_sql(True, lossy=True))
+def q_speech_segments_lossy(spark, sf):
+    """X1 / X2 over a feed that loses windows: state timers pass over the gaps.  A last window of another session, two days on,
+    moves the watermark past all that is waited for."""
+    chunks = fx.lossy_chunks(spark, sf)
+    end = spark.range(1).select(F.lit(-1).cast(chunks.schema["session_id"].dataType).alias("session_id"), F.lit(0).alias("seq"), F.lit(0.0).alias("prob"),
+                                F.lit(False).alias("generating"), F.timestamp_millis(F.lit(fx.EPOCH_MS + 2 * 86_400_000)).alias("at"))
+    feed = streams.scratch(spark, "lossy-src")
+    chunks.write.parquet(feed)
+    end.write.mode("append").parquet(feed)  # later than all others, as the source goes by the files' times
+    src = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    return streams.run_available_now(spark, xs.speech_segments_stream(src, generating="generating", at="at", late="1 day", **SEG_ARGS), "lossy-segments")
+
+
+@register("incremental_text_stream", oracles.incremental_text_sql())
+def q_incremental_text_stream(spark, sf):
+    """X3 with the pending bytes in keyed state, over tokens that arrive in any order."""
+    t = read_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), tk.encode_bytes("text").alias("ids"))
+    ids = t.select("request_id", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "token_id"))
+    ids = ids.select("request_id", "pos", "token_id", (F.col("pos") == F.col("n") - 1).alias("last"))
+    src = streams.stream_from(spark, ids, "tokens")
+    p = streams.run_available_now(spark, xk.stream_of(src, xk.Decode, "request_id", "pos", ["token_id"], "last"), "pieces")
+    return p.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n_pieces"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "text"))), lambda x: x["text"]), "")).alias("text_md5"))
+
+
+@register("delta_split", oracles.delta_split_sql())
+def q_delta_split(spark, sf):
+    """Streamed replies split into reasoning, content, tool calls and the end."""
+    return xt.split_deltas(fx.reply_deltas(spark, sf).drop("last"))
+
+
+@register("delta_split_stream", oracles.delta_split_sql())
+def q_delta_split_stream(spark, sf):
+    """X4 with a resumable tag search in keyed state."""
+    src = streams.stream_from(spark, fx.reply_deltas(spark, sf), "deltas")
+    return streams.run_available_now(spark, xk.stream_of(src, xk.SplitDelta, "request_id", "seq", ["delta"], "last").toDF(
+        "request_id", "seq", "kind", "text"), "delta-parts")
+
+
+def _chunk_digests(chunks):
+    return chunks.select("session_id", "chunk_no", "start_seq", "end_seq", "trim", F.md5(F.array_join("frames", ",")).alias("frames_md5"))
+
+
+@register("chunk_frames", oracles.chunk_frames_sql())
+def q_chunk_frames(spark, sf):
+    """X5 with the frames themselves (size 4, overlap 2)."""
+    return _chunk_digests(xc.chunk_frames(fx.session_frames(spark, sf).drop("last")))
+
+
+@register("chunk_frames_stream", oracles.chunk_frames_sql())
+def q_chunk_frames_stream(spark, sf):
+    """X5 with the tail of the frames in keyed state and a flush at the session's end."""
+    src = streams.stream_from(spark, fx.session_frames(spark, sf), "frames")
+    return _chunk_digests(streams.run_available_now(spark, xk.stream_of(src, xk.overlapping(4, 2), "session_id", "seq", ["frame"], "last"), "chunks"))
+
+
+def _history_digests(rows):
+    said = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|")
+    return rows.select("conv_id", "turn", F.size("history").cast("long").alias("n_hist"), F.md5(said).alias("history_md5"))
+
+
+@register("history_messages", oracles.history_messages_sql())
+def q_history_messages(spark, sf):
+    """The last 4 messages before each message, whole."""
+    return _history_digests(xc.history_messages(fx.ordered_messages(spark, sf), 4, order="seq"))
+
+
+@register("history_messages_stream", oracles.history_messages_sql())
+def q_history_messages_stream(spark, sf):
+    """P12 / X6 with the kept messages in keyed state."""
+    src = streams.stream_from(spark, fx.ordered_messages(spark, sf), "messages")
+    return _history_digests(streams.run_available_now(spark, xk.stream_of(src, xk.history(4), "conv_id", "seq", ["role", "text"], "last"), "history"))
+
+
+@register("stream_sft_samples", oracles.stream_sft_samples_sql())
+def q_stream_sft_samples(spark, sf):
+    """JSON-line files arriving as a stream, with lines that are none, become training rows."""
+    lines = streams.scratch(spark, "sft-lines")
+    conv = _conversations(read_table(spark, sf, "conversations"), "conv_id")
+    streams.write_json_lines(conv, "conv_id", lines)
+    conv.where("conv_id % 10 = 0").select(F.format_string('{"id": "%d", "conversations": [{"role"', "conv_id").alias("value")).write.mode("append").text(lines)
+    samples, rejects = streams.sft_samples_stream(spark, lines)
+    real = F.filter("input_ids", lambda x: x != 0)
+    rows = samples.select(F.col("sample_id").cast("long").alias("conv_id"), F.lit("sample").alias("kind"), F.size(real).cast("long").alias("n_real"),
+                          F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_supervised"))
+    bad = rejects.select(F.regexp_extract("value", r'"id": "(\d+)"', 1).cast("long").alias("conv_id"), F.col("reason").alias("kind"))
+    zero = F.lit(0).cast("long")
+    return rows.unionByName(bad.select("conv_id", "kind", zero.alias("n_real"), zero.alias("n_supervised")))
+
+
 # ---- chat shaping, tool calls, media placeholders -----------------------------------------------
 
 from tessera.operators import audio as au  # noqa: E402
@@ -389,12 +487,14 @@ def q_generation_throughput(spark, sf):
 
 @register("tool_deltas", oracles.tool_deltas_sql())
 def q_tool_deltas(spark, sf):
-    """Fragments (event types) assembled per (user, call index); some fragments carry no index."""
+    """Fragments assembled per (user, call slot); some carry no index, id, name or arguments."""
+    k = F.col("event_id")
     e = read_table(spark, sf, "events").select(
-        "user_id", "event_id", "event_type",
-        F.when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise(F.col("event_id") % 3).alias("idx"))
-    a = mt.assemble_tool_deltas(e, "user_id", "event_id", "idx", "event_type")
-    return a.select("user_id", "call_index", "n_fragments", F.md5("arguments").alias("args_md5"))
+        "user_id", "event_id", F.when((k % 5 == 0) | (k % 7 == 1), F.lit(None)).otherwise(k % 4).alias("idx"),
+        F.when(k % 3 == 0, F.concat(F.lit("c"), k % 10)).alias("id"), F.when(k % 4 == 1, F.substring("event_type", 1, 2)).alias("name"),
+        F.when(k % 11 != 0, F.col("event_type")).alias("args"))
+    a = mt.assemble_tool_deltas(e, "user_id", "event_id", "idx", "id", "name", "args")
+    return a.select("user_id", "call_index", "n_fragments", "id", "name", F.md5("arguments").alias("args_md5"))
 
 
 @register("reward_report", oracles.reward_report_sql())

@@ -139,3 +139,40 @@ def image_tagged_turns(spark: SparkSession, sf: str) -> DataFrame:
     text = (F.when(h < "4", F.concat(F.lit("<image>"), F.col("text")))
             .when(h < "8", F.concat(F.col("text"), F.lit(" <image> x"))).otherwise(F.col("text")))
     return c.withColumn("text", text)
+
+
+#: When the feed of ``lossy_chunks`` begins.
+EPOCH_MS = 1_700_000_000_000
+
+
+def lossy_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Audio chunks with an event time (32 ms a window), some windows of each session lost on the way."""
+    c = audio_chunks(spark, sf).where((F.col("seq") * 7 + F.col("session_id")) % 13 != 5)
+    return c.withColumn("at", F.timestamp_millis(EPOCH_MS + F.col("seq") * 32 + F.col("session_id") % 7 * 10))
+
+
+def reply_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """(request_id, seq, delta, last): each turn as a streamed reply in deltas of seven characters, with a reasoning part unless turn mod 5
+    is 0 and a tool call at its end where turn mod 4 is 1."""
+    t = read_table(spark, sf, "conversations")
+    plan = F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("plan "), F.md5("text"), F.lit("</think>\n\n")))
+    call = F.when((F.col("turn") % 4 == 1) & (F.col("turn") % 5 != 0), F.lit('<tool_call>{"name": "f", "arguments": {"a": 1}}</tool_call>')).otherwise("")
+    whole = F.concat(plan, F.translate("text", "<", "("), call)
+    t = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), whole.alias("w")).withColumn("n", F.ceil(F.length("w") / 7).cast("int"))
+    t = t.where("n > 0").select("request_id", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return t.select("request_id", F.col("i").cast("long").alias("seq"), F.substr("w", F.col("i") * 7 + 1, F.lit(7)).alias("delta"),
+                    (F.col("i") == F.col("n") - 1).alias("last"))
+
+
+def ordered_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, seq, role, text, last): messages numbered from 0 in their conversation."""
+    t = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return t.withColumns({"seq": (F.row_number().over(w) - 1).cast("long"), "last": F.lead("turn").over(w).isNull()}).drop("turn")
+
+
+def session_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """(session_id, seq, frame, last): a code per window of a session."""
+    c = audio_chunks(spark, sf).select("session_id", F.col("seq").cast("long").alias("seq"), F.format_string("%d:%.2f", "seq", "prob").alias("frame"))
+    n = c.groupBy("session_id").agg(F.max("seq").alias("_m"))
+    return c.join(n, "session_id").withColumn("last", F.col("seq") == F.col("_m")).drop("_m")

@@ -427,8 +427,21 @@ AUDIO_CHUNKS_CTE = """chunks AS (
   FROM events)"""
 
 
-def speech_events_sql(interrupts: bool, m: int = 2, s: int = 2) -> str:
-    """One window after the other per session: the state machine as a recursive query over seq."""
+def speech_events_sql(interrupts: bool, m: int = 2, s: int = 2, lossy: bool = False) -> str:
+    """One window after the other per session: the state machine as a recursive query over seq, or over the places of those
+    windows that were not lost, which stand for their seq in the end."""
+    if lossy:
+        whole = speech_events_sql(interrupts, m, s)
+        cte, body = whole.split("st AS (", 1)
+        cte = cte.replace("w AS (SELECT", "w0 AS (SELECT") + """real AS (SELECT * EXCLUDE (seq), seq AS seq0, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS seq
+  FROM w0 WHERE (seq * 7 + session_id) % 13 <> 5),
+w AS (SELECT session_id, seq, loud, reply FROM real),
+"""
+        head, tail = body.split("SELECT session_id, event, CAST(seg_no", 1)
+        return f"""{cte}st AS ({head}SELECT o.session_id, o.event, o.seg_no, a.seq0 AS start_seq, b.seq0 AS end_seq, b.seq0 - a.seq0 + 1 AS n_windows
+FROM (SELECT session_id, event, CAST(seg_no{tail}) o
+JOIN real a ON a.session_id = o.session_id AND a.seq = o.start_seq JOIN real b ON b.session_id = o.session_id AND b.seq = o.end_seq
+"""
     opens, closes = f"(NOT t.open AND w.loud AND t.loud_run + 1 = {m})", f"(t.open AND NOT w.loud AND t.quiet_run + 1 = {s})"
     fires = f"((t.open OR {opens}) AND w.loud AND w.reply AND NOT t.interrupted)"
     extra = "" if not interrupts else "UNION ALL SELECT session_id, 'interrupt', seg_no, seq, seq FROM st WHERE fired"
@@ -703,14 +716,22 @@ FROM g
 
 
 def tool_deltas_sql() -> str:
+    """One fragment after the other per user: the length of the list of calls as a recursive query."""
     return """
-WITH e AS (SELECT user_id, event_id, event_type,
-                  CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 3 END AS idx FROM events),
-d AS (SELECT *, coalesce(idx, coalesce(max(idx) OVER (PARTITION BY user_id ORDER BY event_id
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0)) AS call_index FROM e)
-SELECT user_id, call_index, CAST(count(*) AS BIGINT) AS n_fragments,
-       md5(string_agg(event_type, '' ORDER BY event_id)) AS args_md5
-FROM d GROUP BY user_id, call_index
+WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+    CASE WHEN event_id % 5 = 0 OR event_id % 7 = 1 THEN NULL ELSE event_id % 4 END AS idx,
+    CASE WHEN event_id % 3 = 0 THEN 'c' || (event_id % 10) ELSE '' END AS id,
+    CASE WHEN event_id % 4 = 1 THEN substr(event_type, 1, 2) ELSE '' END AS name, CASE WHEN event_id % 11 <> 0 THEN event_type ELSE '' END AS args FROM events),
+st AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS len, CAST(NULL AS BIGINT) AS slot FROM e
+  UNION ALL
+  SELECT t.user_id, e.k, CASE WHEN e.idx IS NULL THEN t.len + 1 WHEN e.idx >= t.len THEN e.idx + 1 ELSE t.len END,
+         CASE WHEN e.idx IS NULL THEN t.len ELSE e.idx END
+  FROM st t JOIN e ON e.user_id = t.user_id AND e.k = t.k + 1),
+slots AS (SELECT user_id, unnest(range(0, max(len))) AS call_index FROM st GROUP BY user_id),
+f AS (SELECT st.user_id, st.slot AS call_index, e.* EXCLUDE (user_id) FROM st JOIN e ON e.user_id = st.user_id AND e.k = st.k)
+SELECT user_id, CAST(call_index AS BIGINT) AS call_index, CAST(count(f.k) AS BIGINT) AS n_fragments, coalesce(string_agg(id, '' ORDER BY f.k), '') AS id,
+       coalesce(string_agg(name, '' ORDER BY f.k), '') AS name, md5(coalesce(string_agg(args, '' ORDER BY f.k), '')) AS args_md5
+FROM slots LEFT JOIN f USING (user_id, call_index) GROUP BY user_id, call_index
 """
 
 
@@ -971,3 +992,51 @@ SELECT n_nationkey, voice,
             WHEN voice IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0) THEN 'taken' ELSE 'ok' END AS verdict
 FROM v
 """
+
+
+def delta_split_sql() -> str:
+    """From places in the whole reply: the share of each delta before the tag or before what was sent until it was whole, and after
+    the tag and the newlines that stood in the delta that made it whole."""
+    return """
+WITH t AS (SELECT conv_id * 1000 + turn AS request_id,
+    CASE WHEN turn % 5 = 0 THEN '' ELSE 'plan ' || md5(text) || '</think>' || chr(10) || chr(10) END || replace(text, '<', '(') ||
+    CASE WHEN turn % 4 = 1 AND turn % 5 <> 0 THEN '<tool_call>{"name": "f", "arguments": {"a": 1}}</tool_call>' ELSE '' END AS w,
+    turn % 4 = 1 AND turn % 5 <> 0 AS called FROM conversations),
+n AS (SELECT *, length(w) AS n, strpos(w, '</think>') - 1 AS tag FROM t WHERE length(w) > 0),
+p AS (SELECT *, CASE WHEN tag < 0 THEN n ELSE least(n, CAST(ceil((tag + 8) / 7.0) AS BIGINT) * 7) END AS seen FROM n),
+q AS (SELECT *, CASE WHEN tag < 0 THEN n ELSE greatest(tag, seen - 7) END AS split,
+        CASE WHEN tag < 0 THEN n ELSE tag + 8 + length(regexp_extract(substr(w, CAST(tag + 9 AS BIGINT), CAST(seen - tag - 8 AS BIGINT)), '^\\n*')) END AS resume FROM p),
+d AS (SELECT *, unnest(range(0, CAST(ceil(n / 7.0) AS BIGINT))) AS seq FROM q),
+x AS (SELECT request_id, seq, 'reasoning' AS kind, substr(w, CAST(seq * 7 + 1 AS BIGINT), CAST(greatest(0, least(seq * 7 + 7, split) - seq * 7) AS BIGINT)) AS text FROM d
+  UNION ALL
+  SELECT request_id, seq, 'content', substr(w, CAST(greatest(seq * 7, resume) + 1 AS BIGINT), CAST(greatest(0, seq * 7 + 7 - greatest(seq * 7, resume)) AS BIGINT)) FROM d)
+SELECT request_id, CAST(seq AS BIGINT) AS seq, kind, text FROM x WHERE text <> ''
+UNION ALL SELECT request_id, CAST(ceil(n / 7.0) AS BIGINT) - 1, 'tool_call', '{"name": "f", "arguments": {"a": 1}}' FROM q WHERE called
+UNION ALL SELECT request_id, CAST(ceil(n / 7.0) AS BIGINT) - 1, 'finish', CASE WHEN called THEN 'tool_calls' ELSE 'stop' END FROM q
+"""
+
+
+def chunk_frames_sql() -> str:
+    chunks = overlap_chunks_sql().strip()
+    return f"""
+WITH o AS ({chunks}),
+f AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+        CAST(json_extract_string(props, '$.k') AS INTEGER) / 100.0 AS prob FROM events)
+SELECT o.session_id, chunk_no, start_seq, end_seq, trim, md5(string_agg(printf('%d:%.2f', seq, prob), ',' ORDER BY seq)) AS frames_md5
+FROM o JOIN f ON f.session_id = o.session_id AND f.seq BETWEEN start_seq AND end_seq GROUP BY ALL
+"""
+
+
+def history_messages_sql(n: int = 4) -> str:
+    return f"""
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS turn, CAST(count(*) OVER w AS BIGINT) AS n_hist,
+       md5(coalesce(string_agg(role || ':' || text, '|') OVER w, '')) AS history_md5
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)
+"""
+
+
+def stream_sft_samples_sql(max_len: int = 1024) -> str:
+    return f"""
+SELECT conv_id, 'sample' AS kind, least(n_tokens, {max_len}) AS n_real, n_supervised FROM ({sft_report_sql(max_len).strip()}) r
+UNION ALL SELECT DISTINCT conv_id, 'malformed', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM conversations WHERE conv_id % 10 = 0
+"""

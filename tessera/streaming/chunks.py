@@ -1,4 +1,4 @@
-"""X5 count-window chunking with overlap, X6 session history (batch forms as plain Spark plans)."""
+"""X5 count-window chunking with overlap, X6 session history (batch forms as plain Spark plans; ``keyed.py`` has the streams)."""
 
 from __future__ import annotations
 
@@ -33,3 +33,21 @@ def history_window(turns: DataFrame, n: int, key: str = "conv_id", order: str =
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-n, -1)
     return (turns.withColumn("n_hist", F.count(F.lit(1)).over(w).cast("long"))
             .withColumn("hist_first", F.min(order).over(w)))
+
+
+def chunk_frames(frames: DataFrame, key: str = "session_id", seq: str = "seq", frame: str = "frame", size: int = 4, overlap: int = 2) -> DataFrame:
+    """X5 with the frames themselves: each frame goes to its chunk and to those whose overlap it is, and chunks are put together."""
+    chunks = overlap_chunks(frames, key, size, overlap)
+    own = F.floor(F.col(seq) / size) + 1
+    numbers = F.sequence(own, F.floor((F.col(seq) + overlap) / size) + 1)
+    dealt = frames.select(key, seq, frame, F.explode(numbers.cast("array<int>")).alias("chunk_no"))
+    whole = dealt.groupBy(key, "chunk_no").agg(F.array_sort(F.collect_list(F.struct(seq, frame))).alias("_f"))
+    return chunks.join(whole, [key, "chunk_no"]).select(*chunks.columns, F.transform("_f", lambda x: x[frame]).alias("frames"))
+
+
+def history_messages(turns: DataFrame, n: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """P12 / X6 with the messages themselves: each message and the ``n`` before it, 0 keeps none."""
+    kept = F.array().cast("array<struct<role: string, text: string>>")
+    if n > 0:
+        kept = F.collect_list(F.struct("role", "text")).over(Window.partitionBy(key).orderBy(order).rowsBetween(-n, -1))
+    return turns.select(key, F.col(order).cast("long").alias("turn"), "role", "text", kept.alias("history"))

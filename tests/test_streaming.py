@@ -1,5 +1,6 @@
 import random
 
+from tessera.streaming import keyed
 from tessera.streaming.segments import Segmenter, speech_segments, speech_segments_stream, windows_for
 from tessera.streaming.text import delta_parts, incremental_pieces, split_deltas
 from tessera.operators.tokenizer import encode_bytes_py
@@ -89,6 +90,95 @@ def test_gap_policy_waits_then_skips():
     assert session.next_seq == 4 and pending == {} and session.loud_run == 3 and not session.events
 
 
+def test_lost_windows_restarts_and_ended_sessions(spark, tmp_path):
+    """A feed that loses windows, in three parts with a restart between: stream = batch, and sessions that ended leave no state."""
+    from pyspark.sql import functions as F
+    from tessera.plans import streams
+    rng, rows = random.Random(4), []
+    for key in range(12):
+        rows += [(key, i, 0.9 if rng.random() < 0.6 else 0.1, rng.random() < 0.3, key * 4000 + 32 * i) for i in range(rng.randint(20, 120)) if rng.random() > 0.06]
+    rows.append((99, 0, 0.1, False, 10_000_000))
+    df = spark.createDataFrame(rows, "session_id long, seq long, prob double, generating boolean, ms long").withColumn("at", F.timestamp_millis("ms"))
+    kw = dict(min_speech=1024, min_silence=1536, generating="generating")
+    batch = sorted(tuple(r) for r in speech_segments(df, **kw).collect())
+    src, root, sizes = str(tmp_path / "in"), str(tmp_path / "job"), []
+    for low, high in ((0, 20_000), (20_000, 30_000), (30_000, 1 << 40)):
+        df.where(f"ms >= {low} and ms < {high}").drop("ms").orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.drop("ms").schema).option("maxFilesPerTrigger", 1).parquet(src)
+        out = streams.run_available_now(spark, speech_segments_stream(stream, at="at", patience_ms=1000, idle_ms=8000, **kw), "t", root=root)
+        sizes.append(spark.read.format("statestore").load(f"{root}/checkpoint").count())
+        got = sorted(tuple(r) for r in out.collect())
+        assert set(got) <= set(batch)
+    assert got == batch and len(batch) > 20
+    assert sizes[-1] == 1 and sizes[0] > 1
+
+
+def by_fold(fold, rows):
+    return keyed.fold_rows(fold(), rows)
+
+
+def test_folds_do_not_depend_on_the_cut(spark, tmp_path):
+    """Rows in any order over micro-batches and a restart give what the whole key in order gives; ended keys leave no state."""
+    from pyspark.sql import functions as F
+    from tessera.plans import streams
+    rng = random.Random(8)
+    whole = {k: ["".join(rng.choice(["</th", "ink>", "a", "\n", "x y", "</think>", "<think>"]) for _ in range(2)) for _ in range(rng.randint(1, 9))] for k in range(15)}
+    rows = [(k, i, d, i == len(ds) - 1) for k, ds in whole.items() for i, d in enumerate(ds)]
+    rng.shuffle(rows)
+    folds = {"split": (keyed.SplitDelta, ["delta"]), "chunks": (keyed.overlapping(3, 2), ["delta"]), "history": (keyed.history(2), ["delta", "delta2"])}
+    for name, (fold, cells) in folds.items():
+        src, root = str(tmp_path / name / "in"), str(tmp_path / name / "job")
+        for part in (rows[:20], rows[20:45], rows[45:]):
+            df = spark.createDataFrame(part, "k long, n long, delta string, last boolean").withColumn("delta2", F.upper("delta"))
+            df.coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(df.schema).parquet(src)
+            out = streams.run_available_now(spark, keyed.stream_of(stream, fold, "k", "n", cells, "last"), name, root=root)
+        want = [(k, *map(repr, r)) for k, ds in whole.items() for r in by_fold(fold, [(i, d, d.upper())[:1 + len(cells)] for i, d in enumerate(ds)])]
+        got = [(r[0], *map(repr, r[1:])) for r in out.collect()]
+        if name == "history":  # rows come back as Row
+            got = [(r[0], repr(r[1]), repr(r[2]), repr(r[3]), repr([tuple(m) for m in r[4]])) for r in out.collect()]
+        assert sorted(got) == sorted(want), name
+        assert spark.read.format("statestore").load(f"{root}/checkpoint").count() == 0
+
+
+def test_split_fold_equals_the_batch_form():
+    rng = random.Random(9)
+    for _ in range(300):
+        deltas = ["".join(rng.choice(["</th", "ink>", "a", "\n", "</think>", '<tool_call>{"name": "f"}</tool_call>']) for _ in range(rng.randint(1, 3)))
+                  for _ in range(rng.randint(1, 6))]
+        assert by_fold(keyed.SplitDelta, list(enumerate(deltas))) == delta_parts(deltas), deltas
+
+
+def test_decode_fold_equals_the_batch_form():
+    for text in ("a中b😀", "", "é" * 5, "plain"):
+        ids = encode_bytes_py(text).tolist()
+        got = [(a, b, t) for _, a, b, t in by_fold(keyed.Decode, list(enumerate(ids)))]
+        assert got == incremental_pieces(ids) and "".join(t for _, _, t in got) == text
+
+
+def test_training_rows_from_json_lines(spark, tmp_path):
+    """Stream over files that keep coming, with a restart: rows equal the batch job's, malformed lines are told apart."""
+    import json
+    from pyspark.sql import functions as F
+    from tessera.plans import streams
+    from tessera.plans.sft import sft_samples
+    from tessera.sources import schemas
+    lines, root = tmp_path / "lines", str(tmp_path / "job")
+    lines.mkdir()
+    talk = lambda i: [{"role": "user", "content": f"q {i}"}, {"role": "assistant", "content": f"a {i}"}]
+    good = [json.dumps({"id": str(i), "conversations": talk(i)}) for i in range(9)] + [json.dumps({"conversations": talk(77)})]
+    bad = ["{broken", "", '{"id": "5", "conversations": []}', '{"conversations": [null]}', '"text"', '{"id": 3}']
+    for n, part in enumerate((good[:4] + bad[:2], good[4:] + bad[2:])):
+        (lines / f"{n}.jsonl").write_text("\n".join(part) + "\n")
+        samples, rejects = streams.sft_samples_stream(spark, str(lines), root)
+    parsed = spark.createDataFrame([(x,) for x in good], "value string").withColumn("j", F.from_json("value", "id string, conversations " + schemas.CONVERSATION.simpleString()))
+    conv = parsed.select(F.coalesce("j.id", F.md5("value")).alias("sample_id"), "j.conversations")
+    want = sft_samples(conv, key="sample_id", with_tools=False).select("sample_id", "input_ids", "labels").collect()
+    assert sorted(tuple(r) for r in samples.collect()) == sorted(tuple(r) for r in want) and len(want) == 10
+    assert sorted(r.reason for r in rejects.collect()) == ["empty"] + ["malformed"] * 4 + ["null message"]
+    assert streams.sft_samples_stream(spark, str(lines), root)[0].count() == 10  # nothing new, nothing twice
+
+
 def test_restart_goes_on_and_retries_write_once(spark, tmp_path):
     from pyspark.sql import functions as F
     from tessera.plans import streams
