@@ -66,6 +66,9 @@ class PairEncoder:
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         #: No piece goes on over a blank or holds a newline beside other characters, so a token never crosses a cut.
         self.cuts = not any("▁" in p.lstrip("▁") or ("\n" in p and p != "\n") for p in pieces)
+        #: A blank and a plain word is one pre-token, which the model takes without the rest of the library.
+        self.word, self.blank = self.a.model.tokenize, _byte_symbols()[ord(" ")]
+        self.specials = any(t.isascii() and t.isalpha() for t in map(bytes.decode, added.values()))
         self.most, self.known, self.recent = most, {}, {}
 
     def split(self, text: str) -> list[str]:
@@ -89,8 +92,8 @@ class PairEncoder:
         """Aligned chunks; None where a side's tokens don't give back the bytes."""
         missing = [k for k in keys if k not in self.known and k not in self.recent]
         fresh = {}
-        for at in range(0, len(missing), 10_000):
-            part = missing[at:at + 10_000]
+        for at in range(0, len(missing), 2_000):
+            part = missing[at:at + 2_000]
             for key, chunk in zip(part, self._align(part)):
                 fresh[key] = chunk
         out = [self.known[k] if k in self.known else self.recent[k] if k in self.recent else fresh[k] for k in keys]
@@ -107,7 +110,8 @@ class PairEncoder:
         """A chunk of a newline is encoded as it stands (B's own blank before it is taken off), others after a blank."""
         plain = [k if k[0] == "\n" else k[1:] if k[0] == " " else k for k in keys]
         raw = [k.encode() if k[0] == "\n" else (" " + x).encode() for k, x in zip(keys, plain)]
-        ids_a = [e.ids for e in self.a.encode_batch([r.decode() for r in raw], add_special_tokens=False)]
+        ids_a = [[t.id for t in self.word(self.blank + k)] if k.isascii() and k.isalpha() and not self.specials else
+                 self.a.encode(r.decode(), add_special_tokens=False).ids for k, r in zip(keys, raw)]
         ids_b = self.b.encode(plain, num_threads=1)
         ids_b = [b[1:] if k[0] == "\n" and self.bytes_b[b[0]] == b" " else b for k, b in zip(keys, ids_b)]
         right = [b"".join(map(self.bytes_a.__getitem__, a)) == r == b"".join(map(self.bytes_b.__getitem__, b))
