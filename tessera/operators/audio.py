@@ -34,6 +34,51 @@ def delay_pattern_long(layers: DataFrame, key: str, start, max_len: int) -> Data
     return ex.filter(F.col("pos") < max_len).select(key, "layer", "pos", "code")
 
 
+def speech_rows(answer, start, max_len: int, ref=None, has_spk=False, use_ref=None) -> Column:
+    """Q19 + Q21 as arrays: struct(input, labels) of 8 rows of ``max_len`` codes each.
+
+    Later of these wins on the position grid: background (input 2049, label -100); reference codes that end where the answer starts,
+    their tail where there is no room for all; the speaker marker 2051 just before them; layer l's answer codes
+    from ``start + l + 1`` on, which alone are labels.  A row is its stretches one after the other, cut at ``max_len``.
+
+    ``answer`` holds 8 arrays (null or empty: background only, no reference and no marker); ``ref`` is flat, frame-major; ``use_ref`` says
+    whether it is used (the draw of ``reference_draw``).
+    """
+    first = start if isinstance(start, Column) else F.lit(start)
+    spoken = F.coalesce(F.size(_c(answer)) == N_LAYERS, F.lit(False))
+    flat = F.coalesce(_c(ref), F.array().cast("array<int>")) if ref is not None else F.array().cast("array<int>")
+    frames = F.floor(F.size(flat) / N_LAYERS).cast("int")
+    spk = spoken & (has_spk if isinstance(has_spk, Column) else F.lit(bool(has_spk)))
+    using = spoken & (frames > 0) & (F.lit(True) if use_ref is None else use_ref)
+    ref_start = F.when(using, F.greatest(spk.cast("int"), first - frames)).otherwise(first)
+    kept = F.when(using, F.greatest(F.least(first - ref_start, frames), F.lit(0))).otherwise(F.lit(0))
+    marker = (spk & (ref_start > 0)).cast("int")
+    row = lambda *parts: F.slice(F.concat(*parts), 1, max_len)
+    pads = lambda code, n: F.array_repeat(F.lit(code), n)
+    inputs, labels = [], []
+
+    def reference(j: int) -> Column:
+        return F.filter(flat, lambda x, i: (i % N_LAYERS == j) & (i < frames * N_LAYERS) & (i >= (frames - kept) * N_LAYERS))
+
+    for j in range(N_LAYERS):
+        codes = F.when(spoken, F.get(_c(answer), F.lit(j))).otherwise(F.array().cast("array<int>"))
+        inputs.append(row(pads(AUDIO_PAD, ref_start - marker), pads(AUDIO_SPK, marker), F.when(kept > 0, reference(j)).otherwise(F.array().cast("array<int>")),
+                          pads(AUDIO_PAD, first - ref_start - kept + j + 1), codes, pads(AUDIO_PAD, F.lit(max_len))))
+        labels.append(row(pads(-100, first + j + 1), codes, pads(-100, F.lit(max_len))))
+    return F.struct(F.array(*inputs).alias("input"), F.array(*labels).alias("labels"))
+
+
+def reference_draw(key, seed: int = 42) -> Column:
+    """Q21: a reference is used with probability 0.5."""
+    return keyed_uniform(key, "ref", seed) > 0.5
+
+
+def shifted_rows(rows) -> tuple[Column, Column]:
+    """Inputs without their last position, labels without their first."""
+    cut = lambda name, at: F.transform(_c(rows)[name], lambda r: F.slice(r, at, F.size(r) - 1))
+    return cut("input", 1), cut("labels", 2)
+
+
 def undelay_frames(codes: DataFrame, key: str, start_col: str = "start", stop_from: int = 2048) -> DataFrame:
     """Q20: frame f = [layer l at step start+1+l+f]; frames are emitted only while every layer is before its
     first code >= 2048; codes >= 2049 become 0.  Long input ``(key, layer, pos, code)``."""

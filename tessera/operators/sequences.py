@@ -252,3 +252,34 @@ def observation_mask(turns, key: str, turn: str = "turn", model_ids: str = "mode
     g = t.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("_p"))
     return g.select(key, F.flatten("_p.ids").alias("ids"), F.flatten("_p.mask").alias("mask"),
                     F.flatten("_p.lp").alias("logps"))
+
+
+def assemble_rollout(turns, key: str, turn: str = "turn", max_turns: int = 3):
+    """Q26: the response of a multi-turn rollout, (key, prompt_ids, ids, mask, logps, unfinished).
+
+    ``turns``: (key, turn from 0, context_ids, new_ids, new_logps, calls, observe_ids).  Pad and end tokens leave the new ids (Q14; mask 1).
+    A turn without calls ends the rollout.  After one with calls the context is rendered anew with the tools' results, and
+    what lies beyond the known length is the observation (mask 0, logp 0.0): a shorter context adds nothing.  With n new ids
+    a turn and o ids of its new context, the known length is S + max(prompt, o - S so far), S the running sum of n: two
+    windows, no fold.  ``unfinished``: the last allowed turn still has calls.
+    """
+    from pyspark.sql import Window
+    w = Window.partitionBy(key).orderBy(turn)
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    ids, lps = drop_special_pairs("new_ids", "new_logps")
+    t = turns.where(F.col(turn) < max_turns).withColumns({"_ids": ids, "_lps": lps})
+    t = t.withColumn("_over", F.coalesce(F.max((F.col("calls") == 0).cast("int")).over(before), F.lit(0))).where("_over = 0")
+    t = t.withColumns({"_sum": F.sum(F.size("_ids")).over(so_far), "_prompt": F.first(F.size("context_ids")).over(so_far)})
+    t = t.withColumn("_gap", F.when(F.col("calls") > 0, F.size("observe_ids") - F.col("_sum")))
+    known = F.col("_sum") + F.greatest("_prompt", F.coalesce(F.max("_gap").over(before), F.col("_prompt")))
+    t = t.withColumn("_known", known)
+    seen = F.slice("observe_ids", F.least(F.col("_known"), F.size("observe_ids")).cast("int") + 1, F.size("observe_ids"))
+    delta = F.when(F.col("calls") > 0, F.coalesce(seen, F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
+    t = t.withColumn("_delta", delta)
+    part = F.struct(F.col(turn).alias("t"), F.concat("_ids", "_delta").alias("ids"),
+                    F.concat(F.array_repeat(F.lit(1), F.size("_ids")), F.array_repeat(F.lit(0), F.size("_delta"))).alias("mask"),
+                    F.concat("_lps", F.array_repeat(F.lit(0.0), F.size("_delta"))).alias("lp"))
+    g = t.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("_p"), F.min(F.struct(turn, "context_ids")).alias("_c"),
+                           F.max((F.col(turn) == max_turns - 1) & (F.col("calls") > 0)).alias("unfinished"))
+    return g.select(key, F.col("_c.context_ids").alias("prompt_ids"), F.flatten("_p.ids").alias("ids"), F.flatten("_p.mask").alias("mask"),
+                    F.flatten("_p.lp").alias("logps"), "unfinished")

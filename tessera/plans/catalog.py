@@ -446,6 +446,34 @@ def q_audio_roundtrip(spark, sf):
                          F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
 
 
+def _joined(arrays) -> "F.Column":
+    return F.md5(F.array_join(F.transform(F.flatten(arrays), lambda c: c.cast("string")), ","))
+
+
+@register("speech_rows", oracles.speech_rows_sql())
+def q_speech_rows(spark, sf, max_len=48):
+    """Q18 -> Q21 draw and placement -> Q19 overlay -> shift -> Q23 sampling (p = 0.3): eight rows of inputs and labels."""
+    seqs = fx.audio_codes(spark, sf).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("_s"))
+    k = F.col("vec_id")
+    s = seqs.select("vec_id", F.when(k % 11 != 0, au.audio_code_layers(F.col("_s.code"))).alias("answer"),
+                    F.when(k % 3 != 0, F.transform(F.slice("_s.code", 1, 45), lambda c: (c + 1) % 2048)).alias("ref"),
+                    (4 + k % 7).cast("int").alias("start"), (k % 2 == 0).alias("spk"))
+    rows = s.select("vec_id", au.speech_rows("answer", F.col("start"), max_len, "ref", F.col("spk"), au.reference_draw("vec_id")).alias("rows"))
+    x, y = au.shifted_rows("rows")
+    d = rows.select("vec_id", x.alias("x"), y.alias("y"))
+    d = d.withColumn("z", sq.scheduled_sampling_audio("x", "y", "vec_id", p=0.3))
+    return d.select("vec_id", _joined("x").alias("input_md5"), _joined("y").alias("labels_md5"), _joined("z").alias("sampled_md5"))
+
+
+@register("rollout_assembly", oracles.rollout_assembly_sql())
+def q_rollout_assembly(spark, sf):
+    """Q26 with Q14: observations as what re-rendered contexts add to the known length."""
+    r = sq.assemble_rollout(fx.rollout_turns(spark, sf), "conv_id")
+    text = lambda c, scale=1: F.md5(F.array_join(F.transform(c, lambda x: F.round(x * scale).cast("int").cast("string")), ","))
+    return r.select("conv_id", F.size("prompt_ids").cast("long").alias("n_prompt"), F.size("ids").cast("long").alias("n_ids"), text("ids").alias("ids_md5"),
+                    text("mask").alias("mask_md5"), text("logps", 100).alias("logps_md5"), "unfinished")
+
+
 @register("audio_quality", oracles.audio_quality_sql())
 def q_audio_quality(spark, sf):
     """A15 with the fixture's short-clip settings (frame 80, hop 40, minimum 1000 samples)."""

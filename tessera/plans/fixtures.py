@@ -176,3 +176,19 @@ def session_frames(spark: SparkSession, sf: str) -> DataFrame:
     c = audio_chunks(spark, sf).select("session_id", F.col("seq").cast("long").alias("seq"), F.format_string("%d:%.2f", "seq", "prob").alias("frame"))
     n = c.groupBy("session_id").agg(F.max("seq").alias("_m"))
     return c.join(n, "session_id").withColumn("last", F.col("seq") == F.col("_m")).drop("_m")
+
+
+def rollout_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of multi-turn rollouts from the first four messages of each conversation, as character codes: 0 and 2 (pad, end) among the new
+    ids; new contexts that go on from the old, or come out shorter where the turn and conversation are of one parity."""
+    t = ordered_messages(spark, sf).where("seq < 4").select("conv_id", F.col("seq").cast("int").alias("turn"), F.md5("text").alias("h"))
+    codes = lambda s: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    n = F.col("conv_id") % 9 + F.col("turn") * 3 + 4
+    new = F.substr("h", F.lit(1), n)
+    context = F.concat(F.lit("ask "), F.col("conv_id").cast("string"), F.repeat(F.lit("+"), F.col("turn") * 20))
+    longer = F.concat(context, new, F.lit("obs"), F.substr("h", F.lit(1), F.lit(20) - F.col("turn") * 5))
+    observe = F.when((F.col("conv_id") + F.col("turn")) % 4 == 3, F.lit("short")).otherwise(longer)
+    new_ids = F.concat(F.array(F.lit(0)), codes(new), F.array(F.lit(2)))
+    return t.select("conv_id", "turn", codes(context).alias("context_ids"), new_ids.alias("new_ids"),
+                    F.transform(new_ids, lambda x: -x / F.lit(100.0)).alias("new_logps"),
+                    F.when((F.col("conv_id") + F.col("turn")) % 5 == 4, 0).otherwise(1).alias("calls"), codes(observe).alias("observe_ids"))

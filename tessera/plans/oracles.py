@@ -1040,3 +1040,48 @@ def stream_sft_samples_sql(max_len: int = 1024) -> str:
 SELECT conv_id, 'sample' AS kind, least(n_tokens, {max_len}) AS n_real, n_supervised FROM ({sft_report_sql(max_len).strip()}) r
 UNION ALL SELECT DISTINCT conv_id, 'malformed', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM conversations WHERE conv_id % 10 = 0
 """
+
+
+def speech_rows_sql(max_len: int = 48, p: float = 0.3) -> str:
+    """Position by position: what stands at (layer, pos), in order of priority."""
+    spot = "vec_id || ':' || (pos - 0)"
+    return f"""
+WITH {CODES_CTE},
+v AS (SELECT DISTINCT vec_id, 4 + vec_id % 7 AS start, vec_id % 2 = 0 AND vec_id % 11 <> 0 AS spk,
+        vec_id % 11 <> 0 AND vec_id % 3 <> 0 AND {u('vec_id', 'ref')} > 0.5 AS use_ref FROM codes),
+r AS (SELECT *, CASE WHEN use_ref THEN greatest(CAST(spk AS INTEGER), start - 5) ELSE start END AS ref_start FROM v),
+g AS (SELECT *, unnest(range(0, {max_len})) AS pos FROM (SELECT *, unnest(range(0, 8)) AS layer FROM r)),
+c AS (SELECT g.*, a.code AS answer, b.code AS ref FROM g
+  LEFT JOIN codes a ON a.vec_id = g.vec_id AND a.pos % 8 = g.layer AND a.pos // 8 = g.pos - g.start - g.layer - 1 AND g.vec_id % 11 <> 0
+  LEFT JOIN codes b ON b.vec_id = g.vec_id AND b.pos % 8 = g.layer AND b.pos // 8 = g.pos - g.start + 5 AND g.use_ref AND g.pos >= g.ref_start AND g.pos < g.start),
+e AS (SELECT *, CASE WHEN vec_id % 11 <> 0 AND pos = start + layer + 1 + 8 THEN 2050 ELSE answer END AS own FROM c),
+f AS (SELECT vec_id, layer, pos, coalesce(own, CASE WHEN spk AND ref_start > 0 AND pos = ref_start - 1 THEN 2051 END, (ref + 1) % 2048, 2049) AS x, coalesce(own, -100) AS y FROM e),
+s AS (SELECT vec_id, layer, pos, x, lead(y) OVER (PARTITION BY vec_id, layer ORDER BY pos) AS y FROM f),
+k AS (SELECT * FROM s WHERE pos < {max_len - 1}),
+m AS (SELECT *, max(y) OVER (PARTITION BY vec_id, pos) <> -100 AND {u(spot, 'ssa')} < {p} AS hit FROM k)
+SELECT vec_id, md5(string_agg(x, ',' ORDER BY layer, pos)) AS input_md5, md5(string_agg(y, ',' ORDER BY layer, pos)) AS labels_md5,
+  md5(string_agg(CASE WHEN hit THEN CAST(floor({u("vec_id || ':' || pos || ':' || layer", 'ssav')} * 2112) AS INTEGER) ELSE x END, ',' ORDER BY layer, pos)) AS sampled_md5
+FROM m GROUP BY vec_id
+"""
+
+
+def rollout_assembly_sql() -> str:
+    """Turn by turn: the known length as a recursive query."""
+    chars = lambda s: f"list_transform(string_split({s}, ''), lambda x: ascii(x))"
+    return f"""
+WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, md5(text) AS h FROM conversations),
+t AS (SELECT conv_id, turn, 'ask ' || conv_id || repeat('+', CAST(turn * 20 AS INTEGER)) AS context, substr(h, 1, conv_id % 9 + turn * 3 + 4) AS new, h,
+        (conv_id + turn) % 5 <> 4 AS calls FROM o WHERE turn < 3),
+x AS (SELECT *, CASE WHEN (conv_id + turn) % 4 = 3 THEN 'short' ELSE context || new || 'obs' || substr(h, 1, 20 - turn * 5) END AS observe FROM t),
+st AS (
+  SELECT conv_id, CAST(-1 AS BIGINT) AS turn, length(context) AS known, true AS going, '' AS new, '' AS delta, false AS unfinished FROM x WHERE turn = 0
+  UNION ALL
+  SELECT s.conv_id, x.turn, CASE WHEN x.calls THEN greatest(s.known + length(x.new), length(x.observe)) ELSE s.known + length(x.new) END, x.calls, x.new,
+         CASE WHEN x.calls THEN substr(x.observe, CAST(s.known + length(x.new) + 1 AS BIGINT)) ELSE '' END, x.calls AND x.turn = 2
+  FROM st s JOIN x ON x.conv_id = s.conv_id AND x.turn = s.turn + 1 WHERE s.going),
+p AS (SELECT conv_id, max(CASE WHEN turn = -1 THEN known END) AS n_prompt, bool_or(unfinished) AS unfinished,
+        string_agg(new || delta, '' ORDER BY turn) AS said, string_agg(repeat('1', length(new)) || repeat('0', length(delta)), '' ORDER BY turn) AS mask FROM st GROUP BY conv_id)
+SELECT conv_id, n_prompt, length(said) AS n_ids, md5(array_to_string({chars('said')}, ',')) AS ids_md5, md5(array_to_string(string_split(mask, ''), ',')) AS mask_md5,
+  md5(array_to_string(list_transform(list_zip({chars('said')}, string_split(mask, '')), lambda z: CASE WHEN z[2] = '1' THEN -z[1] ELSE 0 END), ',')) AS logps_md5, unfinished
+FROM p
+"""

@@ -51,3 +51,49 @@ def test_layered_loss_weights_stop(spark):
                               "s int, layer int, target int, loss double")
     r = audio.layered_loss(t, ["s"]).first()
     assert abs(r.audio_loss - (1.0 + 10.0) / 2 / 8) < 1e-6
+
+
+def test_speech_rows_by_hand(spark):
+    """An overlay written position by position, for every mix of reference, marker, room and length."""
+    def by_hand(answer, start, max_len, ref, spk):
+        x = [[2049] * max_len for _ in range(8)]
+        y = [[-100] * max_len for _ in range(8)]
+        if answer:
+            at = start
+            if len(ref) >= 8:
+                n = len(ref) // 8
+                at = max(int(spk), start - n)
+                for j in range(8):
+                    for i, c in enumerate([ref[8 * f + j] for f in range(n)][max(0, n - (start - at)):]):
+                        x[j][at + i] = c
+            if spk and at > 0:
+                for j in range(8):
+                    x[j][at - 1] = 2051
+            for j in range(8):
+                for i, c in enumerate(answer[j]):
+                    if start + j + 1 + i < max_len:
+                        x[j][start + j + 1 + i] = y[j][start + j + 1 + i] = c
+        return x, y
+
+    rows = []
+    for k, (start, frames, spk, n) in enumerate((s, f, m, n) for s in (2, 6, 12) for f in (0, 1, 5, 9) for m in (False, True) for n in (0, 1, 6)):
+        answer = [[100 * j + i for i in range(n)] + [2050] for j in range(8)] if n else None
+        rows.append((k, answer, start, list(range(500, 500 + 8 * frames + k % 8)), spk))
+    df = spark.createDataFrame(rows, "k int, answer array<array<int>>, start int, ref array<int>, spk boolean")
+    got = {r.k: r.r for r in df.select("k", audio.speech_rows("answer", F.col("start"), 20, "ref", F.col("spk")).alias("r")).collect()}
+    for k, answer, start, ref, spk in rows:
+        assert (got[k].input, got[k].labels) == by_hand(answer, start, 20, ref, spk), (k, start, len(ref), spk)
+
+
+def test_rollout_observations(spark):
+    """The rollout loop turn by turn; a re-rendered context that is shorter adds nothing, pads and ends leave the new ids."""
+    turns = [(1, 0, [1, 2, 9], [7, 0, 8, 2], [-0.1, -0.2, -0.3, -0.4], 1, [1, 2, 9, 7, 8, 50, 51]),
+             (1, 1, [1, 2, 9, 7, 8, 50, 51], [6], [-0.5], 1, [1, 2]), (1, 2, [], [5], [-0.6], 2, list(range(12))),
+             (2, 0, [3], [4, 4], [-1.0, -2.0], 0, None), (2, 1, [3], [5], [-1.0], 1, [9, 9, 9, 9, 9]),
+             (3, 0, [3], [], [], 1, None)]
+    df = spark.createDataFrame(turns, "k long, turn int, context_ids array<int>, new_ids array<int>, new_logps array<double>, calls int, observe_ids array<int>")
+    got = {r.k: r for r in sequences.assemble_rollout(df, "k").collect()}
+    assert got[1].ids == [7, 8, 50, 51, 6, 5, 9, 10, 11] and got[1].mask == [1, 1, 0, 0, 1, 1, 0, 0, 0] and got[1].unfinished
+    assert got[1].logps == [-0.1, -0.3, 0.0, 0.0, -0.5, -0.6, 0.0, 0.0, 0.0] and got[1].prompt_ids == [1, 2, 9]
+    assert got[2].ids == [4, 4] and got[2].mask == [1, 1] and not got[2].unfinished
+    assert got[3].ids == [] and not got[3].unfinished
