@@ -9,7 +9,8 @@ Grammar of a formatted conversation, read strictly from left to right:
                   | "[ROLE " role "] " text " [/ROLE]"   any other role
 
 The text of a turn ends at the first closing mark of its kind.  Rendering tries a turn's text as it is, parses what it
-rendered, and if role and text don't come back alike escapes the text's control strings and parses again.  An escape puts a
+rendered, and if role and text don't come back alike, or the text shows a control string of any kind, escapes its control strings and
+parses again.  An escape puts a
 backslash after the first character of a control string, and one more where backslashes stand there already; reading
 takes one away, so any text survives.  The characters under the loss mask are the assistants' texts, as they stand in the
 formatted text and without their marks.
@@ -104,9 +105,9 @@ def _reads_back(rendered: str, role: str, text: str) -> bool:
 
 
 def render_turn(role: str, text: str) -> str:
-    """A turn whose parse is the turn: as it is if that reads back, else escaped."""
+    """A turn whose parse is the turn: as it is if it shows no control string and reads back, else escaped."""
     opening, closing = marks(role)
-    for body in (text, escape(text)):
+    for body in (escape(text),) if _ESCAPE.search(text) else (text, escape(text)):
         rendered = f"{opening}{body}{closing}"
         if _reads_back(rendered, role, text):
             return rendered
