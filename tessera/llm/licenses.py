@@ -227,20 +227,34 @@ def detections(words: Column, rules=None) -> Column:
 
 
 def resolve(found: Column) -> Column:
-    """Containment and priority, in one pass by start (longer first, then the rule's order) that keeps the last interval:
-    a new one inside it goes; one that overlaps it in part replaces it if its rule comes first, else goes."""
+    """Priority and containment: the interval of the first rule is kept, or the longest that contains it, what overlaps it goes, and so
+    on with those left; so only kept intervals suppress others.
+
+    An interval takes the place in line of the first rule among those it contains and stands before them.  Stretches of the text whose
+    intervals don't touch are resolved each on its own."""
     ordered = F.transform(F.sort_array(F.transform(found, lambda x: F.struct(
         x["start"].alias("start"), (-x["stop"]).alias("back"), x["rule"].alias("rule"), x["label"].alias("label"), x["weight"].alias("weight")))),
         lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("stop"), x["rule"].alias("rule"), x["label"].alias("label"), x["weight"].alias("weight")))
     none = F.array().cast(_INTERVALS)
-
-    def step(kept, x):
-        last = F.element_at(kept, -1)
-        return (F.when((F.size(kept) == 0) | (x["start"] >= last["stop"]), F.concat(kept, F.array(x)))
-                .when((x["stop"] <= last["stop"]) | (last["rule"] <= x["rule"]), kept)
-                .otherwise(F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))))
-
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(ordered, none, step))
+    begun = F.struct(F.lit(-1).cast("bigint").alias("stop"), F.array().cast(f"array<{_INTERVALS}>").alias("done"), none.alias("open"))
+
+    def sweep(acc, x):
+        apart = x["start"] >= acc["stop"]
+        return F.struct(
+            F.greatest(acc["stop"], x["stop"]).alias("stop"),
+            F.when(apart, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
+            F.when(apart, F.array(x)).otherwise(F.concat(acc["open"], F.array(x))).alias("open"))
+
+    def settle(stretch):
+        line = F.sort_array(F.transform(stretch, lambda x: F.struct(
+            F.array_min(F.transform(F.filter(stretch, lambda y: (y["start"] >= x["start"]) & (y["stop"] <= x["stop"])), lambda y: y["rule"])).alias("place"),
+            (x["start"] - x["stop"]).alias("shortness"), x["start"].alias("start"), x["rule"].alias("rule"), x.alias("own"))))
+        kept = F.aggregate(F.transform(line, lambda x: x["own"]), none, lambda kept, x: F.when(
+            F.exists(kept, lambda k: (k["start"] < x["stop"]) & (x["start"] < k["stop"])), kept).otherwise(F.concat(kept, F.array(x))))
+        return F.when(F.size(stretch) < 2, stretch).otherwise(F.sort_array(kept))
+
+    stretches = F.aggregate(ordered, begun, sweep, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    return F.when(F.size(found) == 0, none).otherwise(F.flatten(F.transform(stretches, settle)))
 
 
 def scan(df: DataFrame, text: str = "text", rules=None) -> DataFrame:

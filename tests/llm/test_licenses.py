@@ -57,14 +57,37 @@ def test_intervals_match_python_regex(rows):
                 for m in re.finditer(f" (?:{rule.pattern})(?= )", line):
                     start = line[:m.start()].count(" ")
                     found.append((start, start + m[0].count(" "), n))
-        kept = []
-        for start, stop, n in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
-            if not kept or start >= kept[-1][1]:
-                kept.append((start, stop, n))
-            elif stop > kept[-1][1] and n < kept[-1][2]:
-                kept[-1] = (start, stop, n)
         if t and len(t) < 1000:
-            assert [(d.start, d.stop, d.rule) for d in rows[i].detections] == kept, t
+            assert [(d.start, d.stop, d.rule) for d in rows[i].detections] == by_priority(found), t
+
+
+def by_priority(found):
+    """Take the first rule's interval, or the longest around it; strike out what overlaps it; go on with the rest."""
+    left, kept = list(found), []
+    while left:
+        first = min(n for _, _, n in left)
+        around = [x for x in left if any(x[0] <= y[0] and y[1] <= x[1] for y in left if y[2] == first)]
+        best = min(around, key=lambda x: (x[0] - x[1], x[0], x[2]))
+        kept.append(best)
+        left = [x for x in left if x[1] <= best[0] or best[1] <= x[0]]
+    return sorted(kept)
+
+
+def test_chains_of_overlaps(spark):
+    """A loser suppresses nothing: rules of any priority over stretches that overlap in chains and lie in each other."""
+    import dataclasses
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(12)]
+    line = " ".join(words)
+    for _ in range(12):
+        spans = [(a, rng.randint(a + 1, min(12, a + 6))) for a in (rng.randrange(12) for _ in range(6))]
+        rules = [dataclasses.replace(L.RULES[0], keyword=words[a], label=f"r{n}", pattern=" ".join(words[a:b])) for n, (a, b) in enumerate(spans)]
+        got = L.scan(spark.createDataFrame([(1, line)], "doc_id long, text string"), rules=rules).first()
+        want = by_priority([(a, b, n) for n, (a, b) in enumerate(spans)])
+        assert [(d.start, d.stop, d.rule) for d in got.detections] == want, spans
+    hi, mid, low = (dataclasses.replace(L.RULES[0], keyword=k, label=x, pattern=p) for k, x, p in (("cc", "hi", "cc dd ee"), ("bb", "mid", "bb cc"), ("aa", "low", "aa bb")))
+    got = L.scan(spark.createDataFrame([(1, "aa bb cc dd ee")], "doc_id long, text string"), rules=[hi, mid, low]).first()
+    assert got.labels == "hi,low"
 
 
 def sample(rng, parsed):
