@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_token_ids": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op10_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op13_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
 }
 
 
@@ -40,7 +43,8 @@ def docs(spark):
 
 
 def test_one_row_per_document(results, docs):
-    for name in ("op1_toxicity", "op2_near_dedup", "op3_licenses", "op5_token_counts", "op8_quality", "op9_token_ids"):
+    for name in ("op1_toxicity", "op2_near_dedup", "op3_licenses", "op5_token_counts", "op8_quality", "op9_token_ids",
+                 "op11_periodic_runs", "op12_token_alignment", "op13_exact_dedup"):
         assert sorted(r.doc_id for r in results[name]) == sorted(docs), name
 
 
