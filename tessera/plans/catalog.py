@@ -450,6 +450,17 @@ def _joined(arrays) -> "F.Column":
     return F.md5(F.array_join(F.transform(F.flatten(arrays), lambda c: c.cast("string")), ","))
 
 
+@register("last_answer_labels", oracles.last_answer_labels_sql())
+def q_last_answer_labels(spark, sf):
+    """Q7: of a conversation's answers only the last is supervised."""
+    from tessera.operators.tokenizer import encode_bytes_py
+    from tessera.plans import sft
+    conv = _conversations(read_table(spark, sf, "conversations"), "conv_id")
+    s = sft.sft_samples(conv, key="conv_id", with_tools=False)
+    labels = sq.span_labels("input_ids", "spans", len(encode_bytes_py(sft.TURN_END)), 1024, keep_last_only=True)
+    return s.select("conv_id", F.size(F.filter(labels, lambda x: x != -100)).cast("long").alias("n_supervised"))
+
+
 @register("speech_rows", oracles.speech_rows_sql())
 def q_speech_rows(spark, sf, max_len=48):
     """Q18 -> Q21 draw and placement -> Q19 overlay -> shift -> Q23 sampling (p = 0.3): eight rows of inputs and labels."""

@@ -1085,3 +1085,10 @@ SELECT conv_id, n_prompt, length(said) AS n_ids, md5(array_to_string({chars('sai
   md5(array_to_string(list_transform(list_zip({chars('said')}, string_split(mask, '')), lambda z: CASE WHEN z[2] = '1' THEN -z[1] ELSE 0 END), ',')) AS logps_md5, unfinished
 FROM p
 """
+
+
+def last_answer_labels_sql() -> str:
+    """The supervised tokens of the last message that has a span."""
+    body = sft_report_sql()
+    head = body[:body.rindex("SELECT conv_id, CAST(sum(n_tok)")].replace("SELECT conv_id, n_tok, role,", "SELECT conv_id, off, n_tok, role,")
+    return head + "SELECT conv_id, CAST(coalesce(arg_max(sup, off) FILTER (has_span = 1), 0) AS BIGINT) AS n_supervised FROM s GROUP BY conv_id"
