@@ -10,18 +10,18 @@ def generation_throughput(events: DataFrame, request: str, ts: str, kind: str, t
                           audio_kind: str) -> DataFrame:
     """A14 per request: new tokens (events) per second of elapsed time, and first-text / first-audio
     latency in milliseconds rounded to 1 decimal (null when that kind never occurs)."""
-    t = F.col(ts).cast("double")
-    first = F.min(t)
+    t = F.unix_micros(F.col(ts).cast("timestamp"))  # whole microseconds, so that rounding is exact
     agg = events.groupBy(request).agg(
-        F.count(F.lit(1)).alias("n_tokens"), first.alias("_t0"), F.max(t).alias("_t1"),
+        F.count(F.lit(1)).alias("n_tokens"), F.min(t).alias("_t0"), F.max(t).alias("_t1"),
         F.min(F.when(F.col(kind) == text_kind, t)).alias("_tt"),
         F.min(F.when(F.col(kind) == audio_kind, t)).alias("_ta"))
-    el = F.col("_t1") - F.col("_t0")
-    return agg.select(
-        request, F.col("n_tokens").cast("long").alias("n_tokens"),
-        F.when(el > 0, F.col("n_tokens") / el).alias("tokens_per_s"),
-        F.round((F.col("_tt") - F.col("_t0")) * 1000, 1).alias("first_text_ms"),
-        F.round((F.col("_ta") - F.col("_t0")) * 1000, 1).alias("first_audio_ms"))
+    elapsed = F.col("_t1") - F.col("_t0")
+
+    def ms(c):
+        return F.round((F.col(c) - F.col("_t0")).cast("decimal(20,0)") / 1000, 1).cast("double")
+
+    return agg.select(request, "n_tokens", F.when(elapsed > 0, F.col("n_tokens") / (elapsed / 1000000.0)).alias("tokens_per_s"),
+                      ms("_tt").alias("first_text_ms"), ms("_ta").alias("first_audio_ms"))
 
 
 def assemble_tool_deltas(chunks: DataFrame, request: str, seq: str, index: str, id: str, name: str, arguments: str) -> DataFrame:

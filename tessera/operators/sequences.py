@@ -143,6 +143,14 @@ def first_eos_mask(ids, pad_mask, eos: int = EOS_ID) -> Column:
     return F.transform(pad_mask, lambda m, i: F.when(keep(m, i), F.lit(1)).otherwise(F.lit(0)))
 
 
+def response_lengths(ids, pad_mask, eos: int = EOS_ID) -> Column:
+    """Q16: tokens up to and including the first EOS that is not padding, without one all that are not padding; 1 at least."""
+    ids, pad_mask = _c(ids), _c(pad_mask)
+    eos_pos = F.array_position(F.zip_with(ids, pad_mask, lambda x, m: (x == eos) & (m == 1)), True)
+    real = F.aggregate(pad_mask, F.lit(0).cast("long"), lambda n, m: n + m)
+    return F.greatest(F.when(eos_pos > 0, eos_pos).otherwise(real), F.lit(1).cast("long"))
+
+
 def align_logprobs(lp, n) -> Column:
     """Q15: shorter -> front-pad 0.0; longer -> keep the tail."""
     lp = _c(lp)

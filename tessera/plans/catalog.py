@@ -508,20 +508,8 @@ def q_center_features(spark, sf):
 @register("generation_throughput", oracles.generation_throughput_sql())
 def q_generation_throughput(spark, sf):
     """A14 per user: events as generated tokens, 'view' as first text, 'click' as first audio."""
-    e = read_table(spark, sf, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    g = e.groupBy("user_id").agg(
-        F.count(F.lit(1)).cast("long").alias("n_tokens"), F.min(us).alias("_t0"), F.max(us).alias("_t1"),
-        F.min(F.when(F.col("event_type") == "view", us)).alias("_tv"),
-        F.min(F.when(F.col("event_type") == "click", us)).alias("_tc"))
-
-    def ms(c):
-        return F.round((F.col(c) - F.col("_t0")).cast("decimal(20,0)") / 1000, 1).cast("double")
-
-    return g.select("user_id", "n_tokens",
-                    F.when(F.col("_t1") > F.col("_t0"),
-                           rl.r6(F.col("n_tokens") / ((F.col("_t1") - F.col("_t0")) / 1000000.0))).alias("tokens_per_s"),
-                    ms("_tv").alias("first_text_ms"), ms("_tc").alias("first_audio_ms"))
+    g = mt.generation_throughput(read_table(spark, sf, "events"), "user_id", "ts", "event_type", "view", "click")
+    return g.withColumn("tokens_per_s", rl.r6("tokens_per_s"))
 
 
 @register("tool_deltas", oracles.tool_deltas_sql())

@@ -97,3 +97,9 @@ def test_rollout_observations(spark):
     assert got[1].logps == [-0.1, -0.3, 0.0, 0.0, -0.5, -0.6, 0.0, 0.0, 0.0] and got[1].prompt_ids == [1, 2, 9]
     assert got[2].ids == [4, 4] and got[2].mask == [1, 1] and not got[2].unfinished
     assert got[3].ids == [] and not got[3].unfinished
+
+
+def test_response_lengths(spark):
+    rows = [([5, 2, 6, 2], [1, 1, 1, 1], 2), ([5, 6, 0, 0], [1, 1, 0, 0], 2), ([0, 2], [0, 0], 1), ([], [], 1), ([2, 5], [0, 1], 1)]
+    df = spark.createDataFrame(rows, "ids array<int>, mask array<int>, n int")
+    assert all(r.got == r.n for r in df.select("n", sequences.response_lengths("ids", "mask").alias("got")).collect())
