@@ -780,18 +780,17 @@ def q_bpe_roundtrip(spark, sf):
 
 @register("voice_names", oracles.voice_names_sql())
 def q_voice_names(spark, sf):
-    """Candidate voice names derived from nations (plain, padded with region, reserved, blank)
-    validated against a registry (nations with key mod 3 = 0 builtin, = 1 manual)."""
+    """Candidate voice names of customers (their name, nation and number with odd blanks, reserved, blank) against a registry of
+    customers' names (key mod 3 = 0 builtin, = 1 manual)."""
+    c = read_table(spark, sf, "customer")
     n = read_table(spark, sf, "nation")
-    r = read_table(spark, sf, "region")
-    k = F.col("n_nationkey") % 4
-    cand = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        "n_nationkey",
-        F.when(k == 0, F.col("n_name"))
-         .when(k == 1, F.concat(F.col("n_name"), F.lit("  \t"), F.col("r_name"), F.lit(" ")))
+    k = F.col("c_custkey") % 4
+    cand = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(
+        "c_custkey",
+        F.when(k == 0, F.col("c_name"))
+         .when(k == 1, F.concat(F.col("n_name"), F.lit("  \t"), F.col("c_custkey").cast("string"), F.lit(" ")))
          .when(k == 2, F.lit("Default")).otherwise(F.lit("  ")).alias("name"))
-    reg = n.filter(F.col("n_nationkey") % 3 != 2).select(
-        F.col("n_name").alias("name"),
-        F.when(F.col("n_nationkey") % 3 == 0, F.lit("builtin")).otherwise(F.lit("manual")).alias("grp"))
+    reg = c.filter(F.col("c_custkey") % 3 != 2).select(
+        F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.lit("builtin")).otherwise(F.lit("manual")).alias("grp"))
     out = ch.validate_voice_names(cand, reg)
-    return out.select("n_nationkey", "voice", F.coalesce("reject", F.lit("ok")).alias("verdict"))
+    return out.select("c_custkey", "voice", F.coalesce("reject", F.lit("ok")).alias("verdict"))

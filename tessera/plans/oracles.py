@@ -983,13 +983,13 @@ def voice_names_sql() -> str:
     norm = f"trim(regexp_replace(name, '[' || {WS} || ']+', ' ', 'g'), ' ')"
     return f"""
 WITH c AS (
-  SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN n_name || '  ' || chr(9) || r_name || ' '
+  SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN n_name || '  ' || chr(9) || c_custkey || ' '
                            WHEN 2 THEN 'Default' ELSE '  ' END AS name
-  FROM nation JOIN region ON n_regionkey = r_regionkey
-), v AS (SELECT n_nationkey, CASE WHEN {norm} = '' THEN 'voice_clone' ELSE {norm} END AS voice FROM c)
-SELECT n_nationkey, voice,
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+), v AS (SELECT c_custkey, CASE WHEN {norm} = '' THEN 'voice_clone' ELSE {norm} END AS voice FROM c)
+SELECT c_custkey, voice,
        CASE WHEN length(voice) > 24 THEN 'too_long' WHEN lower(voice) = 'default' THEN 'reserved'
-            WHEN voice IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0) THEN 'taken' ELSE 'ok' END AS verdict
+            WHEN voice IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0) THEN 'taken' ELSE 'ok' END AS verdict
 FROM v
 """
 
