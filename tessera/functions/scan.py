@@ -3,7 +3,7 @@
 ``groupBy().applyInPandas`` builds one pandas frame per group (milliseconds each); for many short
 groups that dominates.  Here rows are hash-partitioned by key and sorted by (key, order) inside each
 partition, and one ``mapInPandas`` pass walks the contiguous groups of each Arrow batch.  A group cut
-by a batch boundary is carried into the next batch, so every call sees whole groups; memory per task
+by a batch boundary is held until it ends and joined once, so every call sees whole groups; memory per task
 is bounded by one batch plus one group.
 """
 
@@ -38,18 +38,22 @@ def sorted_group_scan(df: DataFrame, keys: list[str], order: list[str],
     ordered = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None
+        held: list[pd.DataFrame] = []   # pieces of the group that the last batch left open
         for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            b = group_bounds(pdf, keys)
-            last = b[-2]
-            done, carry = pdf.iloc[:last].reset_index(drop=True), pdf.iloc[last:].reset_index(drop=True)
+            if held:
+                edge = pd.concat([held[-1].iloc[-1:], pdf.iloc[[0, -1]]], ignore_index=True)
+                if len(group_bounds(edge, keys)) == 2:   # all of the batch goes on with the open group
+                    held.append(pdf)
+                    continue
+                pdf = pd.concat([*held, pdf], ignore_index=True)
+            last = group_bounds(pdf, keys)[-2]
+            done, held = pdf.iloc[:last].reset_index(drop=True), [pdf.iloc[last:].reset_index(drop=True)]
             if len(done):
                 yield fn(done, group_bounds(done, keys))
-        if carry is not None and len(carry):
-            yield fn(carry, group_bounds(carry, keys))
+        if held:
+            rest = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            yield fn(rest, group_bounds(rest, keys))
 
     return ordered.mapInPandas(run, schema)

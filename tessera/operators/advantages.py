@@ -38,44 +38,91 @@ def group_advantage(df: DataFrame, key: str = "prompt_id", reward: str = "reward
 
 # ---- W2 / A17 ----------------------------------------------------------------------
 
-def _gae_frames(gamma: float, lam: float, mask: str | None):
+#: Rows of a sequence that one scan holds; a longer sequence is cut into pieces of as many positions.
+GAE_PIECE = 4096
+
+
+def _discounted(pdf: pd.DataFrame, bounds: np.ndarray, gamma: float, c: float, given: np.ndarray | None = None):
+    """Advantages of whole runs of rows by windows of 1, 2, 4, ... rows, each made of two of half the length; a row that
+    ``given`` marks ends its run and brings its advantage along.  Returns them and each row's last row."""
+    v = pdf["v"].to_numpy(dtype=np.float64)
+    last = np.repeat(bounds[1:] - 1, np.diff(bounds))
+    at = np.arange(len(v))
+    nxt = np.where(at < last, v[np.minimum(at + 1, len(v) - 1)], 0.0)
+    adv = pdf["reward"].to_numpy(dtype=np.float64) + gamma * nxt - v
+    if given is not None:
+        adv[given] = pdf["advantage"].to_numpy(dtype=np.float64)[given]
+    step = 1
+    while step <= (last - at).max(initial=0):
+        more = np.flatnonzero(at + step <= last)
+        longer = adv.copy()
+        longer[more] += c ** step * adv[more + step]
+        adv, step = longer, 2 * step
+    return adv, last
+
+
+def _gae_heads(gamma: float, lam: float):
+    """Each piece as its first row, with its advantage if nothing followed the piece, and the piece's length."""
     def fn(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        v = pdf["v"].to_numpy(dtype=np.float64)
-        if mask:
-            v = v * pdf[mask].to_numpy(dtype=np.float64)
-        last = np.repeat(bounds[1:] - 1, np.diff(bounds))   # each row's last row of its sequence
-        at = np.arange(len(v))
-        nxt = np.where(at < last, v[np.minimum(at + 1, len(v) - 1)], 0.0)
-        adv = pdf["reward"].to_numpy(dtype=np.float64) + gamma * nxt - v
-        # A_t = sum of c^k delta_{t+k}: windows of 1, 2, 4, ... rows, each made of two of half the length
-        step, c = 1, gamma * lam
-        while step <= (last - at).max(initial=0):
-            more = np.flatnonzero(at + step <= last)
-            longer = adv.copy()
-            longer[more] += c ** step * adv[more + step]
-            adv, step = longer, 2 * step
-        out = pdf.drop(columns=["v", "reward"])
-        out["advantage"] = adv
-        out["ret"] = adv + v
+        adv, _ = _discounted(pdf, bounds, gamma, gamma * lam)
+        out = pdf.iloc[bounds[:-1]].copy()
+        out["advantage"], out["length"] = adv[bounds[:-1]], np.diff(bounds)
         return out
     return fn
 
 
+def _gae_links(gamma: float, lam: float):
+    """A piece is an affine map: what follows (V, A) adds c^(n-1) (gamma V + c A) to its first advantage.  The maps are composed from
+    the last piece of a sequence to the first; each first row then closes the piece before it."""
+    c = gamma * lam
+
+    def fn(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        adv = pdf["advantage"].to_numpy(dtype=np.float64).copy()
+        v, n, piece = (pdf[x].to_numpy() for x in ("v", "length", "piece"))
+        before = np.zeros(len(pdf), np.int64)
+        for start, end in zip(bounds[:-1], bounds[1:]):
+            for i in range(end - 2, start - 1, -1):
+                adv[i] += c ** (int(n[i]) - 1) * (gamma * v[i + 1] + c * adv[i + 1])
+            before[start + 1:end] = piece[start:end - 1]
+        out = pdf.drop(columns=["length"])
+        out["advantage"], out["piece"] = adv, before
+        return out
+    return fn
+
+
+def _gae_rows(gamma: float, lam: float):
+    def fn(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        given = pdf["advantage"].notna().to_numpy()
+        adv, _ = _discounted(pdf, bounds, gamma, gamma * lam, given)
+        out = pdf.drop(columns=["v", "reward", "piece"])
+        out["advantage"], out["ret"] = adv, adv + pdf["v"].to_numpy(dtype=np.float64)
+        return out[~given].reset_index(drop=True)
+    return fn
+
+
 def gae(tokens: DataFrame, keys: tuple[str, ...] = ("prompt_id", "gen_id"), gamma: float = 1.0,
-        lam: float = 0.95, mask: str | None = "mask") -> DataFrame:
+        lam: float = 0.95, mask: str | None = "mask", piece: int = GAE_PIECE) -> DataFrame:
     """Generalised advantage estimation per sequence, ``A_t = delta_t + gamma*lam*A_{t+1}``,
     ``delta_t = r_t + gamma*V_{t+1} - V_t``; V counts as 0 outside the response mask and after the end.
 
-    Rows are hash-partitioned by sequence and sorted by position inside each partition; one ordered
-    scan per partition (``sorted_group_scan``).  The closed form ``sum(delta*c^k)/c^t`` is avoided because
-    c^k underflows on long sequences.
+    A sequence is cut into pieces of ``piece`` positions, so a long one spans many tasks.  The first rows of all pieces but the
+    first of each sequence are brought together per sequence (one row a piece) and composed from the end; each then joins the
+    rows of the piece before it as that piece's last row, so that rows are shuffled once, by (sequence, piece), sorted by position and
+    scanned (``sorted_group_scan``).  Sequences within one piece cost nothing more.  The closed form
+    ``sum(delta*c^k)/c^t`` is avoided because c^k underflows on long sequences.
     """
-    mask = mask if mask in tokens.columns else None
-    cols = list(keys) + ["pos", "v", "reward"]
-    extra = [c for c in tokens.columns if c not in cols]
-    data = tokens.select(*keys, "pos", *extra, "v", "reward")
+    keys = list(keys)
+    extra = [c for c in tokens.columns if c not in [*keys, "pos", "v", "reward"]]
+    v = F.col("v") * F.col(mask) if mask in tokens.columns else F.col("v")
+    data = tokens.select(*keys, "pos", *extra, v.cast("double").alias("v"), F.col("reward").cast("double").alias("reward"),
+                         F.floor(F.coalesce(F.col("pos"), F.lit(0)) / piece).cast("long").alias("piece"))
+    headed = data.withColumn("advantage", F.lit(None).cast("double")).schema
+    heads = sorted_group_scan(data.where(F.col("piece") > 0), [*keys, "piece"], ["pos"], _gae_heads(gamma, lam),
+                              data.withColumn("advantage", F.lit(None).cast("double")).withColumn("length", F.lit(0).cast("long")).schema)
+    closing = sorted_group_scan(heads, keys, ["piece"], _gae_links(gamma, lam), headed)
+    rows = data.withColumn("advantage", F.lit(None).cast("double")).unionByName(closing)
     schema = tokens.select(*keys, "pos", *extra).schema.add("advantage", "double").add("ret", "double")
-    return sorted_group_scan(data, list(keys), ["pos"], _gae_frames(gamma, lam, mask), schema)
+    return sorted_group_scan(rows, [*keys, "piece"], ["pos"], _gae_rows(gamma, lam), schema)
 
 
 # ---- A17 ----------------------------------------------------------------------------

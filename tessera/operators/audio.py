@@ -3,10 +3,13 @@ array augmentation (G1, G2).  Codes are 0..2047; pad 2049, stop 2050, speaker 20
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import keyed_uniform
+from tessera.sources.tables import number_within, with_group_count
 
 AUDIO_PAD, AUDIO_STOP, AUDIO_SPK = 2049, 2050, 2051
 N_LAYERS = 8
@@ -99,12 +102,33 @@ def default_speaker_vector(v, dim: int = 192) -> Column:
     return F.when(F.coalesce(F.size(v), F.lit(0)) > 0, v).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dim))
 
 
+def ranked_quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], ties: list[str]) -> DataFrame:
+    """(key, one column per share): linearly interpolated quantiles of ``value`` per key, nulls left out; ``ties`` order equal values.
+
+    Rank r of n values stands at ``share * (n - 1)``; of all rows only the ranks below and above it take part."""
+    ranked = number_within(df.where(F.col(value).isNotNull()).select(key, value, *ties), [key], [value, *ties], "_rank")
+    ranked = with_group_count(ranked, [key], "_size")
+    picks, out = [], []
+    for name, share in shares.items():
+        place = F.col("_size").cast("double") * share - share   # share * (n - 1)
+        low = F.floor(place + 1e-9)
+        high = F.least(low + 1, F.col("_size") - 1)
+        picks += [F.max(F.when(F.col("_rank") == low, F.col(value))).alias(f"_{name}_low"),
+                  F.max(F.when(F.col("_rank") == high, F.col(value))).alias(f"_{name}_high"),
+                  F.max(F.greatest(place - low, F.lit(0.0))).alias(f"_{name}_part")]
+        out.append((F.col(f"_{name}_low") + F.col(f"_{name}_part") * (F.col(f"_{name}_high") - F.col(f"_{name}_low"))).alias(name))
+    return ranked.groupBy(key).agg(*picks).select(key, *out)
+
+
 def audio_quality(samples: DataFrame, key: str = "clip_id", pos: str = "pos", amp: str = "amp",
                   frame: int = 800, hop: int = 400, min_samples: int = 28800, quiet: float = 0.008,
                   noise_ratio: float = 0.45, peak_max: float = 0.995) -> DataFrame:
     """Frame RMS (frame/hop; one frame over the whole clip when shorter), linear-interpolated q95 and
     q20, peak; verdict ``too_short`` / ``too_quiet`` / ``noisy`` / ``clipped`` / ``ok`` in that order.
-    Each sample is copied to the (at most frame/hop) frames that cover it, then one aggregation per frame."""
+    Each sample is copied to the (at most frame/hop) frames that cover it, then one aggregation per frame.
+
+    The quantiles are exact and no task holds a clip: frames are numbered by loudness inside their clip from a global sort
+    (``number_within``), and the two ranks around each quantile are picked by an aggregation with map-side combine."""
     n = samples.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(F.abs(amp)).alias("peak"))
     per = frame // hop
     s = samples.join(n, key)
@@ -114,7 +138,7 @@ def audio_quality(samples: DataFrame, key: str = "clip_id", pos: str = "pos", am
     s = s.filter((F.col("_n") < frame) | ((F.col("k") >= 0) & (F.col("k") <= last) &
                                           (F.col(pos) < F.col("k") * hop + frame)))
     rms = s.groupBy(key, "k").agg(F.sqrt(F.avg(F.col(amp) * F.col(amp))).alias("rms"))
-    q = rms.groupBy(key).agg(F.percentile("rms", 0.95).alias("q95"), F.percentile("rms", 0.2).alias("q20"))
+    q = ranked_quantiles(rms, key, "rms", {"q95": 0.95, "q20": 0.2}, ["k"])
     r = q.join(n, key)
     verdict = (F.when(F.col("_n") < min_samples, F.lit("too_short"))
                .when(F.col("q95") < quiet, F.lit("too_quiet"))
@@ -123,13 +147,27 @@ def audio_quality(samples: DataFrame, key: str = "clip_id", pos: str = "pos", am
     return r.select(key, F.col("_n").alias("n_samples"), "q95", "q20", "peak", verdict.alias("verdict"))
 
 
-def augment_signal(arr, key, seed: int = 42) -> Column:
-    """G1 (array-simple part): gain x U(0.8,1.2) with p=0.3, moving average k in {3,5,7} with p=0.2
-    (zeros beyond the edges), clip to [-1, 1].  Draws are keyed by row."""
+def keyed_normal(key, tag: str, seed: int = 42) -> Column:
+    """A standard normal draw from two keyed uniforms (Box-Muller)."""
+    return F.sqrt(-2 * F.log(1 - keyed_uniform(key, f"{tag}_r", seed))) * F.cos(2 * math.pi * keyed_uniform(key, f"{tag}_t", seed))
+
+
+def augment_signal(arr, key, seed: int = 42, rate: int = 16000) -> Column:
+    """G1 (array-simple part), in this order: noise of deviation U(0.001,0.01) with p=0.3, gain x U(0.8,1.2) with p=0.3, a silent quarter
+    second with p=0.2 where there is more than a second (``rate`` samples), moving average k in {3,5,7} with p=0.2
+    (zeros beyond the edges), clip to [-1, 1].  Draws are keyed by row, those of the noise by row and place."""
     a = _c(arr)
+    by = _c(key)
+    level = 0.001 + 0.009 * keyed_uniform(key, "noise", seed)
+    a = F.when(keyed_uniform(key, "noise_p", seed) < 0.3, F.transform(a, lambda x, i: x + level * keyed_normal(
+        F.concat_ws("/", by.cast("string"), i.cast("string")), "noise", seed))).otherwise(a)
     g_on = keyed_uniform(key, "gain_p", seed) < 0.3
     gain = F.when(g_on, 0.8 + 0.4 * keyed_uniform(key, "gain", seed)).otherwise(F.lit(1.0))
     a = F.transform(a, lambda x: x * gain)
+    hush = rate // 4
+    begin = F.floor(keyed_uniform(key, "hush", seed) * (F.size(_c(arr)) - hush + 1))
+    a = F.when((keyed_uniform(key, "hush_p", seed) < 0.2) & (F.size(_c(arr)) > rate), F.transform(
+        a, lambda x, i: F.when((i >= begin) & (i < begin + hush), F.lit(0.0)).otherwise(x))).otherwise(a)
     ma_on = keyed_uniform(key, "ma_p", seed) < 0.2
     k = (F.floor(keyed_uniform(key, "ma_k", seed) * 3) * 2 + 3).cast("int")
     half = (k - 1) / 2

@@ -703,12 +703,14 @@ def q_pair_random(spark, sf, seed=42):
 
 @register("augment_embeddings", oracles.augment_embeddings_sql())
 def q_augment_embeddings(spark, sf, seed=42):
-    """G1 (gain, moving average, clip) and G2 (feature / frame masks on 8x8 frames) per embedding."""
+    """G1 (noise, gain, silence, moving average, clip; 32 samples a second) and G2 (feature / frame masks on 8x8 frames) per embedding,
+    as sums and as digests of the values in millionths."""
     e = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    sig = au.augment_signal("x", "vec_id", seed)
-    msk = au.mask_features("x", 8, "vec_id", seed)
+    e = e.select("vec_id", au.augment_signal("x", "vec_id", seed, rate=32).alias("sig"), au.mask_features("x", 8, "vec_id", seed).alias("msk"))
+    micro = lambda a: F.md5(F.array_join(F.transform(a, lambda v: F.floor(v * 1e6 + 0.5).cast("string")), ","))
     tot = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    return e.select("vec_id", rl.r6(tot(sig)).alias("signal_sum"), rl.r6(tot(msk)).alias("masked_sum"))
+    return e.select("vec_id", rl.r6(tot("sig")).alias("signal_sum"), rl.r6(tot("msk")).alias("masked_sum"),
+                    micro("sig").alias("signal_md5"), micro("msk").alias("masked_md5"))
 
 
 @register("truncate_to_turn", oracles.truncate_to_turn_sql(768))

@@ -895,25 +895,32 @@ JOIN p ON p.rn = CAST(floor({u('e.vec_id', 'pair', seed)} * n.n) AS BIGINT)
 """
 
 
-def augment_embeddings_sql(seed: int = 42) -> str:
+def augment_embeddings_sql(seed: int = 42, rate: int = 32) -> str:
     uu = lambda tag: u("vec_id", tag, seed)
+    un = lambda tag: u("(vec_id || '/' || i)", tag, seed)
+    hush = rate // 4
+    micro = lambda a: f"md5(array_to_string(list_transform({a}, lambda v: CAST(floor(v * 1e6 + 0.5) AS BIGINT)), ','))"
     return f"""
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
-g AS (SELECT vec_id, x, len(x) AS n,
+WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+z AS (SELECT vec_id, i, x, CASE WHEN {uu('noise_p')} < 0.3
+             THEN x + (0.001 + 0.009 * {uu('noise')}) * (sqrt(-2 * ln(1 - {un('noise_r')})) * cos(2 * pi() * {un('noise_t')})) ELSE x END AS y FROM v),
+e AS (SELECT vec_id, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y FROM z GROUP BY vec_id),
+g AS (SELECT vec_id, x, y, len(x) AS n,
              CASE WHEN {uu('gain_p')} < 0.3 THEN 0.8 + 0.4 * {uu('gain')} ELSE 1.0 END AS gain,
+             ({uu('hush_p')} < 0.2 AND len(x) > {rate}) AS hush_on, CAST(floor({uu('hush')} * (len(x) - {hush} + 1)) AS INTEGER) AS h0,
              {uu('ma_p')} < 0.2 AS ma_on, CAST((floor({uu('ma_k')} * 3) * 2 + 3 - 1) / 2 AS INTEGER) AS h,
              {uu('fm_p')} < 0.5 AS f_on, CAST(floor({uu('fm_w')} * 8) + 1 AS INTEGER) AS f,
              ({uu('tm_p')} < 0.5 AND len(x) // 8 > 1) AS t_on, CAST(floor({uu('tm_w')} * least(10, len(x) // 8)) + 1 AS INTEGER) AS t
       FROM e),
 g2 AS (SELECT *, CAST(floor({uu('fm_0')} * (8 - f + 1)) AS INTEGER) AS f0,
               CAST(floor({uu('tm_0')} * (n // 8 - t + 1)) AS INTEGER) AS t0,
-              list_transform(x, lambda v: v * gain) AS a FROM g),
+              list_transform(range(n), lambda i: CASE WHEN hush_on AND i >= h0 AND i < h0 + {hush} THEN 0.0 ELSE y[i + 1] * gain END) AS a FROM g),
 s AS (SELECT *, CASE WHEN ma_on THEN list_transform(range(n), lambda i: list_sum(a[greatest(i - h, 0) + 1:least(i + h, n - 1) + 1]) / (2 * h + 1))
-                     ELSE a END AS sm FROM g2)
-SELECT vec_id,
-       {r6('list_sum(list_transform(sm, lambda v: greatest(-1.0, least(1.0, v))))')} AS signal_sum,
-       {r6('list_sum(list_transform(range(n), lambda i: CASE WHEN (f_on AND i % 8 >= f0 AND i % 8 < f0 + f) OR (t_on AND i // 8 >= t0 AND i // 8 < t0 + t) THEN 0.0 ELSE x[i + 1] END))')} AS masked_sum
-FROM s
+                     ELSE a END AS sm FROM g2),
+o AS (SELECT vec_id, list_transform(sm, lambda v: greatest(-1.0, least(1.0, v))) AS sig,
+             list_transform(range(n), lambda i: CASE WHEN (f_on AND i % 8 >= f0 AND i % 8 < f0 + f) OR (t_on AND i // 8 >= t0 AND i // 8 < t0 + t) THEN 0.0 ELSE x[i + 1] END) AS msk
+      FROM s)
+SELECT vec_id, {r6('list_sum(sig)')} AS signal_sum, {r6('list_sum(msk)')} AS masked_sum, {micro('sig')} AS signal_md5, {micro('msk')} AS masked_md5 FROM o
 """
 
 
