@@ -337,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
               .join(F.broadcast(chosen), "__llm_id").select("text", "toxic"))
     shared = spark.sparkContext.broadcast(model)
     seen = written(sample.mapInArrow(_words_of_batches(shared, uuid.uuid4().hex), "grp long, toxic int, words array<string>")
-                   .dropDuplicates(["grp", "toxic"]), "toxic-words")
+                   .groupBy("grp", "toxic").agg(F.min("words").alias("words")), "toxic-words")  # the same copy at every run
     total, toxic = seen.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
     if not total:
         return model

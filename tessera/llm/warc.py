@@ -200,14 +200,21 @@ def read_archives(spark, path: str, keep_payload: bool = True) -> DataFrame:
 
 
 def transactions(rows: DataFrame) -> DataFrame:
-    """One nested row per capture, (response, request, metadata), joined through the concurrent-to identifiers.
-
-    Records that name no record of the archive have no row of their own; a response without partners keeps null ones."""
-    rows = written(rows, "warc-records")
-    nested = lambda name: F.struct(*[c for c in rows.columns if c != "concurrent_to"]).alias(name)
-    response = rows.where("record_type in ('response', 'revisit')").select(F.col("record_id").alias("capture"), nested("response"))
-    partner = {k: rows.where(F.col("record_type") == k).select(F.col("concurrent_to").alias("capture"), nested(k)) for k in ("request", "metadata")}
-    return response.join(partner["request"], "capture", "left").join(partner["metadata"], "capture", "left")
+    """One nested row per capture, (capture, response, request, metadata, n_records), joined through the concurrent-to identifiers.
+
+    All records of a capture come together by one grouping: a response by its own id, partners by the id they name.  Of
+    several of a kind the one of least (record_id, uri, page_id) is taken and n_records counts them all; a kind that is missing is
+    null, so partners of a response the archive lacks keep a row; a record that names none is a capture of its own."""
+    rows = written(rows.where("record_type in ('response', 'revisit', 'request', 'metadata')"), "warc-records")
+    own = F.col("record_type").isin("response", "revisit")
+    named = F.when(own, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+    nameless = F.concat(F.lit("none-"), F.xxhash64(*rows.columns).cast("string"))
+    rows = rows.withColumn("capture", F.coalesce(named, nameless))
+    nested = F.struct(*[c for c in rows.columns if c not in ("concurrent_to", "capture")])
+    rank = F.struct("record_id", "uri", "page_id", "payload_digest")
+    pick = lambda name, kind: F.min_by(F.when(kind, nested), F.when(kind, rank)).alias(name)
+    return rows.groupBy("capture").agg(pick("response", own), pick("request", F.col("record_type") == "request"),
+                                       pick("metadata", F.col("record_type") == "metadata"), F.count("*").alias("n_records"))
 
 
 def round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:

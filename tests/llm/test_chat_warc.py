@@ -98,3 +98,19 @@ def test_broken_archives_are_noticed():
 
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_captures_with_missing_and_repeated_records(spark):
+    """One row per capture: repeated partners are counted and the least taken, partners without a response and records that name none stay."""
+    record = lambda kind, rid, to=None, page=None: (kind, rid, to, None, page, None, None, None, None)
+    rows = [record("response", "<r1>"), record("request", "<q1>", "<r1>"), record("metadata", "<m2>", "<r1>", 2), record("metadata", "<m1>", "<r1>", 1),
+            record("metadata", "<m3>", "<lost>", 3), record("request", "<q3>", "<lost>"), record("request", "<q4>"), record("revisit", "<r5>"),
+            record("metadata", None, None, 6), record("warcinfo", "<w>")]
+    got = warc.transactions(spark.createDataFrame(rows, warc.RECORD).repartition(4)).collect()
+    by = {r.capture: r for r in got}
+    assert len(by) == len(got) == 5
+    one = by["<r1>"]
+    assert (one.response.record_id, one.request.record_id, one.metadata.record_id, one.metadata.page_id, one.n_records) == ("<r1>", "<q1>", "<m1>", 1, 4)
+    assert (by["<lost>"].response, by["<lost>"].request.record_id, by["<lost>"].metadata.page_id) == (None, "<q3>", 3)
+    assert by["<q4>"].request.record_id == "<q4>" and by["<q4>"].response is None and by["<r5>"].response.record_type == "revisit"
+    assert [r.metadata.page_id for r in got if r.capture.startswith("none-")] == [6]

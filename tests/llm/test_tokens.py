@@ -72,6 +72,40 @@ def test_counts(docs):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((r.text or "").encode()), n, n > 512)
 
 
+def test_two_tiers_match_the_library():
+    """Any table gives the library's counts: empty, all pre-tokens, some of them."""
+    import pyarrow as pa
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = load(path)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab .,\n\t'é1!<| \x1c　") for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [t for t in TEXTS if t is not None]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    words = sorted({w for t in texts for w in t.replace("\n", " \n").split(" ")[1:]})
+    for table in ([], words, words[::3]):
+        counter = token_counts.Counter(path, token_counts.frequent_lengths(table, path))
+        assert counter.count(pa.array(texts, pa.string())).tolist() == want
+        assert counter.count(pa.array([], pa.string())).tolist() == []
+        assert counter.count(pa.array(["", " ", "x"], pa.string())).tolist() == [
+            len(library.encode(t, add_special_tokens=False).ids) for t in ("", " ", "x")]
+
+
+def test_frequent_words_are_found_whatever_the_parts(spark):
+    rng = random.Random(4)
+    texts = ["x " + " ".join(rng.choice(["hot", "warm", "warm", f"w{rng.randint(0, 5000)}"]) for _ in range(200)) for _ in range(120)]
+    counts = defaultdict(int)
+    for t in texts:
+        for w in t.split(" ")[1:]:
+            counts[w] += 1
+    total, keep = sum(counts.values()), 40
+    must = {w for w, n in counts.items() if n > total / keep}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {"hot", "warm"} <= must
+    for parts in (1, 3, 17):
+        got = token_counts.frequent_words(df.repartition(parts), keep=keep)
+        assert must <= set(got) and len(got) <= keep and set(got) <= set(counts)
+    assert token_counts.frequent_words(df.limit(0), keep=keep) == []
+
+
 def test_packing(docs):
     path = tokenizer_path("byte_bpe_50k.json")
     library = load(path)
