@@ -215,10 +215,13 @@ def layered_loss(tokens: DataFrame, by: list[str], layer: str = "layer", target:
     return per.groupBy(*by).agg((F.sum(F.col("_ws") / (F.col("_v") + 1e-9)) / N_LAYERS).alias("audio_loss"))
 
 
-def select_media(conv, question_audios, answer_audios, images) -> Column:
+def select_media(conv, question_audios, answer_audios, images, valid_lengths=None) -> Column:
     """Q25: the media a speech sample uses, by conversation position.  Question audio = item (#user - 1)
     when in range and non-empty; answer codes = item (#assistant - 1) when in range; image = the first.
-    Missing media -> null (the caller substitutes its all-zero placeholder and length 0)."""
+
+    ``valid_lengths`` holds the valid frames of each question audio (its mask sum).  audio_length is that of the chosen one and
+    audio_tokens the places it takes in the prompt, one at least; without an audio both are 0.  Missing media are null, for
+    which the caller puts zeros."""
     c = _c(conv)
     n_user = F.size(F.filter(c, lambda m: m["role"] == "user"))
     n_asst = F.size(F.filter(c, lambda m: m["role"] == "assistant"))
@@ -227,4 +230,7 @@ def select_media(conv, question_audios, answer_audios, images) -> Column:
     q = F.when(F.coalesce(F.length(q), F.lit(0)) > 0, q)
     a = F.when((n_asst > 0) & (n_asst <= F.size(aa)), F.try_element_at(aa, n_asst))
     a = F.when(F.coalesce(F.size(a), F.lit(0)) > 0, a)
-    return F.struct(q.alias("question_audio"), a.alias("answer_codes"), F.try_element_at(im, F.lit(1)).alias("image"))
+    valid = F.lit(0) if valid_lengths is None else F.coalesce(F.try_element_at(_c(valid_lengths), F.greatest(n_user, F.lit(1))), F.lit(0))
+    length = F.when(q.isNotNull(), valid).otherwise(F.lit(0)).cast("int")
+    return F.struct(q.alias("question_audio"), a.alias("answer_codes"), F.try_element_at(im, F.lit(1)).alias("image"), length.alias("audio_length"),
+                    F.when(q.isNotNull(), F.greatest(length, F.lit(1))).otherwise(F.lit(0)).alias("audio_tokens"))

@@ -746,6 +746,35 @@ def q_eval_prompts(spark, sf, langs=("zh", "en")):
                     F.length("x.prompt").cast("long").alias("prompt_len"))
 
 
+@register("media_prompts", oracles.media_prompts_sql())
+def q_media_prompts(spark, sf):
+    """P20 with media: every user turn with audio pads (conv_id mod 5 frames, none where turn mod 3 is 0) and image pads (64, none where conv_id is
+    odd), as chat evaluation prompts."""
+    t = read_table(spark, sf, "conversations").filter(F.col("role") == "user")
+    frames = F.when(F.col("turn") % 3 != 0, F.col("conv_id") % 5)
+    prompt = ch.build_eval_prompts(ch.media_prompt("text", frames, F.when(F.col("conv_id") % 2 == 0, F.lit(64))))
+    p = t.select("conv_id", "turn", prompt.alias("p"))
+    return p.select("conv_id", "turn", F.md5("p").alias("prompt_md5"), F.length("p").cast("long").alias("prompt_len"))
+
+
+@register("speech_media", oracles.speech_media_sql())
+def q_speech_media(spark, sf):
+    """Q25 over every conversation: a question audio per user message (empty where its length mod 4 is 0, one too few where conv_id mod 3 is 0),
+    codes per answer (one too few where conv_id mod 5 is 0), valid frames by text length mod 7."""
+    conv = conversations_from_turns(read_table(spark, sf, "conversations"))
+    of = lambda role: F.transform(F.filter("conversations", lambda m: m["role"] == role), lambda m: m["content"])
+    fewer = lambda a, n: F.slice(a, 1, F.greatest(F.size(a) - F.when(F.col("conv_id") % n == 0, 1).otherwise(0), F.lit(0)))
+    c = conv.select("conv_id", "conversations", of("user").alias("u"), of("assistant").alias("a"))
+    m = au.select_media("conversations", F.transform(fewer(F.col("u"), 3), lambda x: F.when(F.length(x) % 4 == 0, F.lit("")).otherwise(x)),
+                        F.transform(fewer(F.col("a"), 5), lambda x: F.array(F.length(x))),
+                        F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("img"))).otherwise(F.array().cast("array<string>")),
+                        F.transform("u", lambda x: F.length(x) % 7))
+    r = c.select("conv_id", m.alias("m"))
+    return r.select("conv_id", F.md5("m.question_audio").alias("audio_md5"), F.col("m.audio_length").cast("long").alias("audio_length"),
+                    F.col("m.audio_tokens").cast("long").alias("audio_tokens"), F.get("m.answer_codes", F.lit(0)).cast("long").alias("first_code"),
+                    F.col("m.image").alias("image"))
+
+
 @register("audio_placeholders", oracles.audio_placeholders_sql())
 def q_audio_placeholders(spark, sf, seed=42):
     """P10: audio pads (conv_id mod 5 frames) placed in each conversation's last user message."""

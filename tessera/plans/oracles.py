@@ -972,6 +972,28 @@ FROM conversations, l WHERE role = 'user'
 """
 
 
+def media_prompts_sql() -> str:
+    body = ("text || CASE WHEN turn % 3 <> 0 THEN repeat('<|audio_pad|>', CAST(greatest(conv_id % 5, 1) AS INTEGER)) ELSE '' END")
+    body = f"({body} || CASE WHEN conv_id % 2 = 0 THEN CASE WHEN {body} <> '' THEN {NL} || {NL} ELSE '' END || repeat('<|image_pad|>', 64) ELSE '' END)"
+    p = f"'<|im_start|>user' || {NL} || {body} || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || {EMPTY_THINK_SQL}"
+    return f"""
+SELECT conv_id, turn, md5({p}) AS prompt_md5, CAST(length({p}) AS BIGINT) AS prompt_len FROM conversations WHERE role = 'user'
+"""
+
+
+def speech_media_sql() -> str:
+    return """
+WITH l AS (SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS q, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS a
+           FROM conversations GROUP BY conv_id),
+m AS (SELECT conv_id, a, CASE WHEN conv_id % 3 <> 0 AND length(q) % 4 <> 0 THEN q END AS q FROM l)
+SELECT conv_id, md5(q) AS audio_md5, CAST(coalesce(length(q) % 7, 0) AS BIGINT) AS audio_length,
+       CAST(CASE WHEN q IS NULL THEN 0 ELSE greatest(length(q) % 7, 1) END AS BIGINT) AS audio_tokens,
+       CASE WHEN conv_id % 5 <> 0 THEN CAST(length(a) AS BIGINT) END AS first_code,
+       CASE WHEN conv_id % 2 = 0 THEN 'img' END AS image
+FROM m
+"""
+
+
 def audio_placeholders_sql(seed: int = 42) -> str:
     uu = u("conv_id", "audiotag", seed)
     ap = "repeat('<|audio_pad|>', CAST(conv_id % 5 AS INTEGER))"

@@ -103,3 +103,15 @@ def test_response_lengths(spark):
     rows = [([5, 2, 6, 2], [1, 1, 1, 1], 2), ([5, 6, 0, 0], [1, 1, 0, 0], 2), ([0, 2], [0, 0], 1), ([], [], 1), ([2, 5], [0, 1], 1)]
     df = spark.createDataFrame(rows, "ids array<int>, mask array<int>, n int")
     assert all(r.got == r.n for r in df.select("n", sequences.response_lengths("ids", "mask").alias("got")).collect())
+
+
+def test_media_prompts_and_lengths(spark):
+    rows = [("t", 3, 2), ("t", 0, None), ("t", None, 1), ("", None, 1), (None, None, None), ("", 1, 1)]
+    got = spark.createDataFrame(rows, "t string, f int, i int").select(chat.media_prompt("t", "f", "i").alias("p")).collect()
+    a, i = "<|audio_pad|>", "<|image_pad|>"
+    assert [r.p for r in got] == ["t" + a * 3 + "\n\n" + i * 2, "t" + a, "t\n\n" + i, i, "", a + "\n\n" + i]
+    conv = F.array(*[F.struct(F.lit(r).alias("role")) for r in ("user", "assistant", "user")])
+    pick = lambda audios, valid: spark.range(1).select(audio.select_media(
+        conv, F.array(*map(F.lit, audios)), F.array(F.array(F.lit(1))), F.array(F.lit("x")), F.array(*map(F.lit, valid))).alias("m")).first().m
+    assert [(m.question_audio, m.audio_length, m.audio_tokens) for m in (
+        pick(["a", "b"], [4, 9]), pick(["a", "b"], [4, 0]), pick(["a"], [4]), pick(["a", ""], [4, 9]))] == [("b", 9, 9), ("b", 0, 1), (None, 0, 0), (None, 0, 0)]
