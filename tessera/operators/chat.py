@@ -356,9 +356,10 @@ def build_eval_prompts(text, weight_name: str = "", langs=None, open_thinking: b
 def media_prompt(text, audio_frames=None, image_pads=None) -> Column:
     """P20: a prompt of text and media: the text, the audio's pads right after it (one at least), then a blank line and the image's
     pads.  Null ``audio_frames`` or ``image_pads`` mean no audio or image; an image alone has no blank line before it."""
+    from tessera.functions.arrays import let
     none = F.lit(None).cast("int")
     frames = none if audio_frames is None else _c(audio_frames).cast("int")
     pads = none if image_pads is None else _c(image_pads).cast("int")
     head = F.concat(F.coalesce(_c(text), F.lit("")), F.when(frames.isNotNull(), F.repeat(F.lit("<|audio_pad|>"), F.greatest(frames, F.lit(1)))).otherwise(F.lit("")))
-    return F.when(pads.isNull(), head).otherwise(F.concat(head, F.when(F.length(head) > 0, F.lit("\n\n")).otherwise(F.lit("")),
-                                                          F.repeat(F.lit("<|image_pad|>"), pads)))
+    gap = lambda h: F.when(F.length(h) > 0, F.lit("\n\n")).otherwise(F.lit(""))
+    return let(head, lambda h: F.when(pads.isNull(), h).otherwise(F.concat(h, gap(h), F.repeat(F.lit("<|image_pad|>"), pads))))
