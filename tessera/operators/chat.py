@@ -360,6 +360,6 @@ def media_prompt(text, audio_frames=None, image_pads=None) -> Column:
     none = F.lit(None).cast("int")
     frames = none if audio_frames is None else _c(audio_frames).cast("int")
     pads = none if image_pads is None else _c(image_pads).cast("int")
-    head = F.concat(F.coalesce(_c(text), F.lit("")), F.when(frames.isNotNull(), F.repeat(F.lit("<|audio_pad|>"), F.greatest(frames, F.lit(1)))).otherwise(F.lit("")))
+    head = F.concat(F.coalesce(_c(text), F.lit("")), F.when(frames.isNotNull(), F.repeat(F.lit("<|audio_pad|>"), F.greatest(F.coalesce(frames, F.lit(1)), F.lit(1)))).otherwise(F.lit("")))
     gap = lambda h: F.when(F.length(h) > 0, F.lit("\n\n")).otherwise(F.lit(""))
-    return let(head, lambda h: F.when(pads.isNull(), h).otherwise(F.concat(h, gap(h), F.repeat(F.lit("<|image_pad|>"), pads))))
+    return let(head, lambda h: F.when(pads.isNull(), h).otherwise(F.concat(h, gap(h), F.repeat(F.lit("<|image_pad|>"), F.coalesce(pads, F.lit(0))))))
