@@ -20,6 +20,12 @@ SPECIAL_TOKENS = [
 ]
 TOOL_THINK_TOKENS = ["<tool_call>", "</tool_call>", "<tool_response>", "</tool_response>", "<think>", "</think>"]
 N_SPECIAL = 36
+ROLE_TOKENS = {
+    "bos_token": "<|im_start|>", "eos_token": "<|im_end|>", "pad_token": "<|endoftext|>", "unk_token": "<|endoftext|>",
+    "image_token": "<|image_pad|>", "audio_token": "<|audio_pad|>", "video_token": "<|video_pad|>",
+    "vision_bos_token": "<|vision_start|>", "vision_eos_token": "<|vision_end|>",
+    "audio_bos_token": "<|audio_start|>", "audio_eos_token": "<|audio_end|>",
+}
 # -------------------------------------------------------------------------------
 
 

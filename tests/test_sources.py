@@ -11,7 +11,7 @@ from tessera.operators import lookups, udf
 from tessera.sources import (scan_agent_jsonl, scan_media_dir, scan_pretrain_jsonl, scan_preference_jsonl,
                              scan_rlaif_jsonl, scan_sft_jsonl, scan_speech_parquet, scan_tokenizer_corpus,
                              write_training_table)
-from tessera.sources.sinks import load_tokenizer, save_tokenizer
+from tessera.sources.sinks import load_roles, load_tokenizer, save_tokenizer
 
 
 def _write(lines):
@@ -79,6 +79,28 @@ def test_sinks_roundtrip(spark):
     assert v.count() == 1 and m.first().id == 292
 
 
+def test_tokenizer_roles(spark):
+    from tessera.functions.tokens import ROLE_TOKENS, SPECIAL_TOKENS, TOKEN_ID
+    from tessera.operators.tokenizer import special_token_table
+    d = os.path.join(tempfile.mkdtemp(prefix="tessera-roles-", dir="/tmp"), "tok")
+    merges = spark.createDataFrame([(1, 40, 41, 293), (0, 36, 37, 292)], "rank int, left int, right int, id int")
+    for _ in range(2):  # a second save takes the place of the first
+        save_tokenizer(special_token_table(spark), merges, d)
+    vocab, saved = load_tokenizer(spark, d)
+    assert vocab.columns == ["id", "token", "special"] and vocab.count() == 36 and saved.count() == 2
+    assert {r.token for r in vocab.where("special").collect()} == set(SPECIAL_TOKENS)
+    roles = load_roles(spark, d).collect()
+    assert all(r.id == TOKEN_ID[r.token] for r in roles)
+    assert {r.role: r.token for r in roles if r.role in ROLE_TOKENS} == ROLE_TOKENS
+    assert sorted(r.id for r in roles if r.role not in ROLE_TOKENS) == list(range(1, len(SPECIAL_TOKENS)))
+    lines = [json.loads(r.value) for r in spark.read.text(f"{d}/merges_json").collect()]
+    assert [x["id"] for x in lines] == [292, 293]
+    # a vocabulary without some role's token
+    save_tokenizer(spark.createDataFrame([(7, "<|im_end|>", True)], "id int, token string, special boolean"), merges, d)
+    ids = {r.role: r.id for r in load_roles(spark, d).collect()}
+    assert ids["eos_token"] == 7 and ids["pad_token"] is None
+
+
 def test_user_hooks(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "x" * 10)], "k long, t string")
     s = udf.score_with(df, lambda p: p["t"].str.len() - 5.0, ["t"]).orderBy("k").collect()
