@@ -5,7 +5,7 @@ A lookup takes its dimension as a table; what a tool answers for unknown keys is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import keyed_uniform
@@ -48,15 +48,16 @@ def unit_convert(calls: DataFrame, factors: DataFrame) -> DataFrame:
 def registry_upsert(reg: DataFrame, updates: DataFrame, name: str = "name", grp: str = "grp",
                     deletes: DataFrame | None = None) -> DataFrame:
     """A name lives in exactly one group.  Groups load builtin, unseen, manual: the first load of a name stays,
-    but manual overrides; deletes only remove manual entries."""
+    but manual overrides; deletes only remove manual entries.  Rows that tie are told apart by their columns, the least stays;
+    a name with many rows is reduced before the shuffle."""
     prio = F.when(F.col(grp) == "manual", 3).when(F.col(grp) == "builtin", 2).otherwise(1)
     allr = reg.withColumn("_o", F.lit(0)).unionByName(updates.withColumn("_o", F.lit(1)))
-    w = Window.partitionBy(name).orderBy(prio.desc(), F.col("_o"))
-    out = allr.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "_o")
+    order = F.struct((-prio).alias("_p"), "_o", *reg.columns)
+    best = allr.groupBy(name).agg(F.min(order).alias("_r"))
+    out = best.select(*[F.col("_r").getField(c).alias(c) for c in reg.columns])
     if deletes is not None:
-        manual_del = deletes.select(name).withColumn("_del", F.lit(True))
-        out = out.join(manual_del, name, "left").filter(~(F.coalesce("_del", F.lit(False)) &
-                                                          (F.col(grp) == "manual"))).drop("_del")
+        gone = deletes.select(name).distinct().withColumn(grp, F.lit("manual"))
+        out = out.join(gone, [name, grp], "left_anti").select(*reg.columns)
     return out
 
 

@@ -112,6 +112,20 @@ def test_user_hooks(spark):
     assert sorted(r.u for r in m) == ["ABC", "XXXXXXXXXX"]
 
 
+def test_registry_ties_and_repeated_deletes(spark):
+    schema = "name string, grp string, voice string"
+    reg = spark.createDataFrame([("a", "builtin", "v2"), ("a", "builtin", "v1"), ("m", "manual", "v1"), (None, "manual", "v0")], schema)
+    upd = spark.createDataFrame([("a", "builtin", "v0"), ("m", "builtin", "v3"), ("u", "unseen", "v5")], schema)
+    gone = spark.createDataFrame([("m",), ("m",), ("a",), (None,)], "name string")
+    for parts in (1, 7):  # the same row of a tie under any partitioning
+        out = lookups.registry_upsert(reg.repartition(parts), upd)
+        assert out.columns == reg.columns
+        assert {tuple(r) for r in out.collect()} == {("a", "builtin", "v1"), ("m", "manual", "v1"), ("u", "unseen", "v5"), (None, "manual", "v0")}
+        left = lookups.registry_upsert(reg.repartition(parts), upd, deletes=gone)
+        # a null name equals no delete
+        assert {tuple(r) for r in left.collect()} == {("a", "builtin", "v1"), ("u", "unseen", "v5"), (None, "manual", "v0")}
+
+
 def test_registry_upsert_and_media_pairs(spark):
     reg = spark.createDataFrame([("a", "builtin"), ("b", "unseen"), ("m", "manual")], "name string, grp string")
     upd = spark.createDataFrame([("a", "manual"), ("b", "builtin"), ("n", "manual")], "name string, grp string")
