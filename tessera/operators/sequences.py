@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let
 from tessera.functions.tokens import BOS_ID, EOS_ID, IGNORE_INDEX, PAD_ID
 
 
@@ -139,8 +140,9 @@ def first_eos_mask(ids, pad_mask, eos: int = EOS_ID) -> Column:
     """Q16: 1 up to and including the first EOS that is not padding, AND the pad mask; no EOS -> pad mask."""
     ids, pad_mask = _c(ids), _c(pad_mask)
     eos_pos = F.array_position(F.zip_with(ids, pad_mask, lambda x, m: (x == eos) & (m == 1)), True)
-    keep = lambda m, i: ((eos_pos == 0) | (i + 1 <= eos_pos)) & (m == 1)
-    return F.transform(pad_mask, lambda m, i: F.when(keep(m, i), F.lit(1)).otherwise(F.lit(0)))
+    # the position enters the second pass as a lambda variable, so it is looked up once a row and not once an element
+    first = lambda st: F.transform(st["m"], lambda m, i: F.when(((st["e"] == 0) | (i + 1 <= st["e"])) & (m == 1), F.lit(1)).otherwise(F.lit(0)))
+    return let(F.struct(eos_pos.alias("e"), pad_mask.alias("m")), first)
 
 
 def response_lengths(ids, pad_mask, eos: int = EOS_ID) -> Column:
