@@ -9,10 +9,10 @@ in the JVM and their words encoded in place through a bounded cache (``bpe.encod
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,9 +46,38 @@ def encode_bytes_py(s: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _encode_bytes_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: None if s is None else encode_bytes_py(s))
+#: Rows and UTF-8 bytes of text that a Python worker encodes or decodes at a time: an Arrow batch of texts holds up to 64 MB, and its ids
+#: would take several times as much.
+PIECE_ROWS, PIECE_BYTES = 256, 1 << 20
+
+
+def row_pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, rows) of consecutive pieces of a batch, each of at most ``PIECE_ROWS`` rows and, unless it is one row, ``PIECE_BYTES``."""
+    ends, at = np.cumsum(lengths), 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, min(at + PIECE_ROWS, int(np.searchsorted(ends, before + PIECE_BYTES, side="right"))))
+        yield at, upto - at
+        at = upto
+
+
+def id_lists(ids: list[np.ndarray], nulls: np.ndarray):
+    """Arrow array of the id arrays of some rows."""
+    import pyarrow as pa
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    values = np.concatenate(ids).astype(np.int32, copy=False) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(nulls))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _encode_bytes_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    import pyarrow.compute as pc
+    for batch in batches:
+        for at, n in row_pieces(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)):
+            piece = batch.slice(at, n)
+            yield id_lists([encode_bytes_py(s or "") for s in piece.to_pylist()], piece.is_null().to_numpy(zero_copy_only=False))
+        if not len(batch):
+            yield id_lists([], np.zeros(0, bool))
 
 
 def encode_bytes(text) -> Column:

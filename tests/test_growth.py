@@ -11,6 +11,16 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_byte_encoder_gives_out_small_pieces():
+    from tessera.operators import tokenizer as tk
+    texts = ["ab<think>é" * 100, None, ""] * 1000 + ["x" * (3 << 20)]
+    out = list(tk._encode_bytes_udf.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert sum(map(len, out)) == len(texts)
+    assert all(len(x) <= tk.PIECE_ROWS and (len(x) == 1 or len(x.flatten()) <= tk.PIECE_BYTES) for x in out)
+    got = [ids for x in out for ids in x.to_pylist()]
+    assert got == [None if t is None else tk.encode_bytes_py(t).tolist() for t in texts]
+
+
 def test_end_of_answer_is_looked_up_once_a_row(spark):
     from tessera.operators import sequences as sq
     d = spark.range(40).select(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.when(i == 3000, 2).otherwise(7)).alias("ids"))
