@@ -82,17 +82,22 @@ def sft_report(turns: DataFrame, max_len: int = 1024, seed: int = 42) -> DataFra
 def preference_samples(pairs: DataFrame, keys: list[str], max_len: int = 1024, seed: int = 42, encode=encode_bytes) -> DataFrame:
     """Q9: (keys, x_chosen, y_chosen, mask_chosen, x_rejected, y_rejected, mask_rejected) of message lists ``chosen`` and
     ``rejected``; P4 draws once per side.  ``encode`` turns a text column into ids (default: the byte vocabulary)."""
+    from tessera.functions.arrays import let
     from tessera.operators.chat import render_chat
     from tessera.operators.sequences import loss_mask, shift_xy
     bos, eos = _marks(pairs.sparkSession, encode)
+
+    def arrays(ids):
+        # the ids are bound: where Spark inlines them into the lambdas of the span search they would be padded anew for each position
+        x, y = shift_xy(ids)
+        mask = let(loss_mask(ids, assistant_spans(ids, bos, eos), len(eos), max_len), lambda m: shift_xy(m)[1])
+        return F.struct(x.alias("x"), y.alias("y"), mask.alias("mask"))
+
     out = pairs.withColumn("_key", F.concat_ws(":", *[F.col(k).cast("string") for k in keys]))
     for side in ("chosen", "rejected"):
         out = out.withColumn("_prompt", strip_empty_think(render_chat(side), "_key", 0.2, seed, tag=f"think_{side}"))
-        out = out.withColumn("_ids", pad_right(encode("_prompt"), max_len))
-        out = out.withColumn("_mask", loss_mask("_ids", assistant_spans("_ids", bos, eos), len(eos), max_len))
-        x, y = shift_xy("_ids")
-        out = out.withColumns({f"x_{side}": x, f"y_{side}": y, f"mask_{side}": shift_xy("_mask")[1]})
-    return out.select(*keys, *[f"{a}_{side}" for side in ("chosen", "rejected") for a in ("x", "y", "mask")])
+        out = out.withColumn(f"_{side}", let(pad_right(encode("_prompt"), max_len), arrays))
+    return out.select(*keys, *[F.col(f"_{side}.{a}").alias(f"{a}_{side}") for side in ("chosen", "rejected") for a in ("x", "y", "mask")])
 
 
 def build_sft_dataset(spark, jsonl_path: str, out_path: str | None = None, max_len: int = 1024,

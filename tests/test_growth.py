@@ -29,3 +29,8 @@ def test_end_of_answer_is_looked_up_once_a_row(spark):
     kept = d.select(F.aggregate(sq.first_eos_mask("ids", "m"), F.lit(0), lambda a, v: a + v).alias("n")).distinct().collect()
     assert [r.n for r in kept] == [3000]
     assert time.monotonic() - began < 15
+
+
+def test_preference_ids_are_padded_once_a_row(spark):
+    from tessera.plans import catalog
+    assert "element_at(concat(" not in plan_of(catalog.QUERIES["preference_pairs"](spark, SF_SMALL))
