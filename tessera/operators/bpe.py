@@ -24,14 +24,17 @@ import heapq
 import re
 import time
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.tokens import ADDED_TOKENS, BYTE_IDS, N_SPECIAL, TOKEN_ID, byte_id_expr, byte_symbol_table
-from tessera.operators.tokenizer import PRETOKENIZE_PATTERN
+from tessera.operators.tokenizer import PRETOKENIZE_PATTERN, id_lists, row_pieces
 from tessera.session import drop_table, shared_table
 
 FIRST_MERGE_ID = N_SPECIAL + 256
@@ -257,24 +260,43 @@ def encode_bpe_column(text, merges: DataFrame) -> Column:
     ranks = merges.sparkSession.sparkContext.broadcast(merge_table(merges))
     t = F.col(text) if isinstance(text, str) else text
     added = F.array(*[F.lit(x) for x in ADDED_TOKENS])
-    words = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(_SEGMENT_PATTERN), 0), lambda seg: F.when(
-        F.array_contains(added, seg), F.array(seg)).otherwise(F.regexp_extract_all(seg, F.lit(PRETOKENIZE_PATTERN), 0))))
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(lists: pd.Series) -> pd.Series:
-        cache = {x: [TOKEN_ID[x]] for x in ADDED_TOKENS}
-        out = []
-        for words in lists:
-            ids = []
-            for w in words if words is not None else ():
-                own = cache.get(w)
-                if own is None:
-                    own = bpe_word([BYTE_IDS[b] for b in w.encode("utf-8")], ranks.value)
-                    if len(cache) < CACHED_WORDS:
-                        cache[w] = own
-                ids += own
-            out.append(ids)
-        return pd.Series(out, dtype="object")
+    plain = lambda x: F.regexp_extract_all(x, F.lit(PRETOKENIZE_PATTERN), 0)
+    cut = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(_SEGMENT_PATTERN), 0), lambda seg: F.when(
+        F.array_contains(added, seg), F.array(seg)).otherwise(plain(seg))))
+    words = F.when(F.contains(t, F.lit("<")) & F.rlike(t, F.lit(_ADDED_RE)), cut).otherwise(plain(t))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow.compute as pc
+        cache = {x: np.array([TOKEN_ID[x]], np.int32) for x in ADDED_TOKENS}
+
+        def ids_of(w):
+            own = cache.get(w)
+            if own is None:
+                own = np.array(bpe_word([BYTE_IDS[b] for b in w.encode("utf-8")], ranks.value), np.int32)
+                if len(cache) < CACHED_WORDS:
+                    cache[w] = own
+            return own
+
+        for batch in batches:
+            for at, n in row_pieces(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False) * 4):
+                piece = batch.slice(at, n)
+                # each distinct word of the piece is looked up once; numpy lays its ids out wherever it stands
+                coded = piece.flatten().dictionary_encode()
+                own = [ids_of(w) for w in coded.dictionary.to_pylist()]
+                sizes = np.fromiter(map(len, own), np.int64, len(own))
+                first = np.cumsum(sizes) - sizes
+                word = coded.indices.to_numpy(zero_copy_only=False)
+                per_word = sizes[word]
+                ends = np.cumsum(per_word)
+                ids = np.concatenate(own) if own else np.zeros(0, np.int32)
+                if len(word):
+                    ids = ids[np.repeat(first[word] - (ends - per_word), per_word) + np.arange(ends[-1])]
+                words_to = np.cumsum(pc.fill_null(pc.list_value_length(piece), 0).to_numpy(zero_copy_only=False))
+                offsets = np.concatenate([[0], np.concatenate([[0], ends])[words_to]]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+            if not len(batch):
+                yield id_lists([], np.zeros(0, bool))
 
     return encode(words)
 

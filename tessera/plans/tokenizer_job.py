@@ -6,6 +6,11 @@ vocabulary size) is ever on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +49,23 @@ def decode_with(merges: DataFrame, ids_col: str, skip_special: bool = False):
              if not (skip_special and t in SPECIAL_TOKENS)}
     bc = spark.sparkContext.broadcast({**table, **added})
 
-    @F.pandas_udf(T.StringType())
-    def dec(ids):
+    @F.arrow_udf(T.StringType())
+    def dec(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = bc.value
-        return ids.map(lambda xs: b"".join(m.get(int(x), b"") for x in xs).decode("utf-8", errors="replace"))
+        by_id = [m.get(i, b"") for i in range(max(m) + 1)] + [b""]   # the last for any other id
+        for batch in batches:
+            for at, n in tk.row_pieces(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False) * 4):
+                out = []
+                for xs in batch.slice(at, n):
+                    if xs.is_valid:
+                        ids = xs.values.to_numpy(zero_copy_only=False)
+                        ids = np.where((ids >= 0) & (ids < len(by_id)), ids, -1)
+                        out.append(b"".join(map(by_id.__getitem__, ids.tolist())).decode("utf-8", errors="replace"))
+                    else:
+                        out.append(None)
+                yield pa.array(out, pa.string())
+            if not len(batch):
+                yield pa.array([], pa.string())
 
     return dec(F.col(ids_col))
 

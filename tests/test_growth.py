@@ -40,3 +40,15 @@ def test_delta_split_walks_partitions_not_groups(spark):
     from tessera.plans import catalog
     plan = plan_of(catalog.QUERIES["delta_split"](spark, SF_SMALL))
     assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+
+
+def test_merged_encoder_and_decoder_over_pieces(spark):
+    from tessera.operators import bpe
+    from tessera.plans.tokenizer_job import decode_with
+    merges = spark.createDataFrame([(0, 69 + 31, 100, 292, 5)], "rank int, left int, right int, id int, count long")
+    texts = ["aa aab<think>a\n é", "", None, "a < b", "<|im_start|>aaa"] * 300
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    assert "(?:(?!" in plan_of(d.select(bpe.encode_bpe_column("t", merges)))
+    d = d.withColumn("ids", bpe.encode_bpe_column("t", merges)).withColumn("back", decode_with(merges, "ids")).orderBy("i").collect()
+    assert [r.back for r in d] == [t or "" for t in texts]
+    assert 292 in d[0].ids and d[0].ids == d[5].ids and d[2].ids == []
