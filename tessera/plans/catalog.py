@@ -651,15 +651,15 @@ def q_supervised_filter(spark, sf, max_len=256):
 def q_distinct_ngrams(spark, sf):
     """D2 per language: distinct-1 and distinct-2 over whitespace words of all documents."""
     from tessera.functions.text import PY_SPACE_CLASS
-    d = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "text"))
-    w = d.select("doc_id", "lang", F.filter(F.split("text", "[" + PY_SPACE_CLASS + "]+"),
-                                             lambda x: x != "").alias("w"))
-    uni = w.select("lang", F.explode("w").alias("g"))
-    bi = w.select("lang", F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))),
-                                               F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))),
-                                               lambda a, b: F.concat_ws(" ", a, b))).alias("g"))
+    d = spread(read_table(spark, sf, "documents").select("lang", "text"))
+    w = d.select("lang", F.array_remove(F.split("text", "[" + PY_SPACE_CLASS + "]+"), "").alias("w"))
+    # outer forms: for the others Spark adds a filter on the arrays' sizes, which splits every text twice
+    uni = w.select("lang", F.explode_outer("w").alias("g")).where("g is not null")
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("w", 1, rest).alias("a"), F.slice("w", 2, rest).alias("b"))   # words hold no blank, so a pair is its two words
+    bi = w.select("lang", F.inline_outer(pairs)).where("a is not null")
     a1 = uni.groupBy("lang").agg(F.count(F.lit(1)).alias("n1"), F.countDistinct("g").alias("d1"))
-    a2 = bi.groupBy("lang").agg(F.count(F.lit(1)).alias("n2"), F.countDistinct("g").alias("d2"))
+    a2 = bi.groupBy("lang").agg(F.count(F.lit(1)).alias("n2"), F.countDistinct("a", "b").alias("d2"))
     j = a1.join(a2, "lang", "left")
     return j.select("lang", F.col("n1").cast("long").alias("n_words"),
                     rl.r6(F.col("d1") / F.col("n1")).alias("distinct_1"),

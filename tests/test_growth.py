@@ -42,6 +42,11 @@ def test_delta_split_walks_partitions_not_groups(spark):
     assert "MapInPandas" in plan and "FlatMapGroups" not in plan
 
 
+def test_ngram_words_are_split_once_per_table_scan(spark):
+    from tessera.plans import catalog
+    assert plan_of(catalog.QUERIES["distinct_ngrams"](spark, SF_SMALL)).count("split(") == 2
+
+
 def test_merged_encoder_and_decoder_over_pieces(spark):
     from tessera.operators import bpe
     from tessera.plans.tokenizer_job import decode_with
