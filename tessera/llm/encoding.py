@@ -146,7 +146,7 @@ class WordEncoder(ByteEncoder):
         coded = split.flatten().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        values = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
+        values = list(map(self.chunks.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))  # several times faster than to_pylist
         ids = np.frombuffer(b"".join(values), dtype)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(dtype).itemsize
         first = np.cumsum(sizes) - sizes

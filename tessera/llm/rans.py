@@ -84,7 +84,8 @@ def encode(ids: np.ndarray) -> bytes:
     steps = _step(t, blocks, int(freq.argmax()))
     width, shift, word = blocks * LANES, np.uint64(BITS), np.uint64(32)
     state = np.full(width, LOW, np.uint64)
-    lane_block = np.repeat(np.arange(blocks, dtype=np.int32), LANES)
+    small = np.min_scalar_type(blocks)  # narrow numbers, which sort by radix
+    lane_block = np.repeat(np.arange(blocks, dtype=small), LANES)
     words, owners, checks, ends = [], [], [], []
     top = np.uint64(63 - BITS)
     for s in range(STEPS - 1, -1, -1):
@@ -96,7 +97,7 @@ def encode(ids: np.ndarray) -> bytes:
             state[out] >>= word
         else:
             words.append(np.empty(0, np.uint32))
-            owners.append(np.empty(0, np.int32))
+            owners.append(np.empty(0, small))
         q = state // f
         state = (q << shift) + (state - q * f) + c64[steps[s]]
         if s % CHECK == 0:
@@ -108,10 +109,9 @@ def encode(ids: np.ndarray) -> bytes:
     per_block = np.bincount(owner, minlength=blocks)
     first = np.concatenate([[0], np.cumsum(per_block)])
     # words of each block before each checkpoint
-    at = []
-    for k in range(STEPS // CHECK):
-        head = np.concatenate([np.empty(0, np.int32), *owners[:k * CHECK]])
-        at.append(np.bincount(head, minlength=blocks))
+    at = [np.zeros(blocks, np.int64)]
+    for k in range(STEPS // CHECK - 1):
+        at.append(at[-1] + np.bincount(np.concatenate(owners[k * CHECK:(k + 1) * CHECK]), minlength=blocks))
     checks = checks[::-1]
     table = zlib.compress(_planes(np.concatenate([np.diff(symbols, prepend=0), freq])), 6)
     out = [MAGIC, struct.pack("<IIII", len(ids), blocks, len(symbols), len(table)), table]
@@ -204,7 +204,9 @@ def _write_part(path: str, end: int, narrow: bool):
             # every document's ids and its end id
             stops = np.cumsum(sizes + 1)
             closed = np.full(len(ids) + len(sizes), end, ids.dtype)
-            closed[np.delete(np.arange(len(closed)), stops - 1)] = ids
+            own = np.ones(len(closed), bool)
+            own[stops - 1] = False
+            closed[own] = ids
             names = some.column(some.schema.get_field_index("doc_id")).to_pylist()
             at = 0
             while at < len(names):  # whole documents up to the segment's size, at least one
