@@ -9,8 +9,7 @@ first occurrences alone, and steps 2 and 3 hold for either kind.
 1. Texts of equal word sequences are one node (exact copies are never compared).
 2. Nodes that agree in a sketch share a bucket.  A bucket of up to ``SMALL`` nodes gives all its pairs.  A larger one gives a
    star: each node with the bucket's most connected one; and it is split by the next sketch's value and looked at again, down to
-   nodes that agree in all sketches.  So every node meets centres and its closest fellows, the pairs grow linearly
-   with the nodes, and no bucket is cut off.
+   nodes that agree in all sketches.  So every node meets centres and its closest fellows, and these pairs grow linearly with the nodes.
 3. Candidates are left out if their lengths differ by more than a fifth, which no similarity below allows, or if they share less
    than ``SIEVE`` of the picked k-mers: one sketch and two more k-mers pass.  At word edit similarity 0.8 with changes spread evenly,
    a k-mer in three stays whole and a candidate shares fewer with a chance below 0.01.
@@ -20,6 +19,9 @@ first occurrences alone, and steps 2 and 3 hold for either kind.
    chain of common ones that rises in both; similarity chain / (all k-mers of both - chain)), of all and of first occurrences alone,
    so how often a text repeats a line does not part it from its copies.  The largest value counts.
 5. Verified pairs are links; classes are connected components by least labels with pointer jumping.
+6. Nodes of a large bucket that are of different components are then compared too, so no pair that shares a bucket is left out by its
+   size.  Where they are many, only those are that share one of their rarest words (a fifth of the words and one more) or rarest
+   distinct k-mers, which every similar pair does.  These go through steps 3 to 5 as well.
 
 Every table that a later step joins is written first, so joins are between plain scans that AQE may split at hot keys; it is deleted
 when the steps that read it are done (but for the two that the lazy result itself reads).
@@ -52,20 +54,37 @@ THRESHOLD = 0.8
 SKETCHES = 16
 PICK = 2
 SMALL = 16
+PART = 4096
+SLOTS = 1 << 18
 SIEVE = 0.125
 
 _WORD = re.compile(r"[^\W_]+")
+_BLANKED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """``[^\\W_]+`` of the lower-cased text: all other characters are made blanks."""
+    text = text.lower()
+    if not text.isascii():
+        odd = [c for c in set(text) if c > "\x7f" and not c.isalnum()]
+        if len(odd) > 50 or any("\ud800" <= c <= "\udfff" for c in odd):
+            return _WORD.findall(text)
+        for c in odd:
+            text = text.replace(c, " ")
+    return text.encode().translate(_BLANKED).decode().split()
+
+
+_SHIFTS = [np.uint64(x) for x in (30, 27, 31)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _ODD[1]
-    x = (x ^ (x >> np.uint64(27))) * _ODD[2]
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> _SHIFTS[0])
+    x *= _ODD[1]
+    x ^= x >> _SHIFTS[1]
+    x *= _ODD[2]
+    x ^= x >> _SHIFTS[2]
+    return x
 
 
 _SEEDS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD[0])
@@ -81,21 +100,21 @@ class Hasher:
         """Hashes of the labelled k-mers in the order of the text; a shorter text is one k-mer."""
         return self.labelled(words)[0]
 
-    def labelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def labelled(self, words: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """The hashes, and which k-mers are first occurrences."""
         n = len(words)
         if not n:
             return np.empty(0, np.uint64), np.empty(0, bool)
         w = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
-        k = min(K, n)
+        k = min(k, n)
         h = np.full(n - k + 1, k, np.uint64)
         for i in range(k):
             h = _mix(h * _ODD[0] + w[i:i + n - k + 1])
-        order = np.argsort(h, kind="stable")
-        ranked = h[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         first = np.ones(len(h), bool)
-        if not new.all():
+        ranked = np.sort(h)
+        if (ranked[1:] == ranked[:-1]).any():
+            order = np.argsort(h, kind="stable")
+            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
             first[order[~new]] = False
             at = np.arange(len(h))
             occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
@@ -104,21 +123,27 @@ class Hasher:
         return h, first
 
 
-def sketch(h: np.ndarray) -> tuple[list[int], list[int]]:
+def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sketch values (signed 64-bit) and the picked hashes, sketch by sketch (32 bits of them)."""
     picked = np.empty((SKETCHES, min(PICK, len(h))), np.uint64)
     step = max(1, (1 << 18) // max(1, len(h)))  # sketches at a time, so that long texts take little memory
     for j in range(0, SKETCHES, step):
         x = _mix(h ^ _SEEDS[j:j + step, None])
         if len(h) > PICK:
-            at = np.sort(np.argpartition(x, PICK, axis=1)[:, :PICK], axis=1)  # in the order of the text
-            picked[j:j + step] = np.take_along_axis(x, at, axis=1)
+            at = np.empty((len(x), PICK), np.int64)
+            least = np.empty((len(x), PICK), np.uint64)
+            row = np.arange(len(x))
+            for p in range(PICK):
+                at[:, p] = x.argmin(axis=1)
+                least[:, p] = x[row, at[:, p]]
+                x[row, at[:, p]] = ~np.uint64(0)
+            picked[j:j + step] = np.take_along_axis(least, at.argsort(axis=1), axis=1)  # in the order of the text
         else:
             picked[j:j + step] = x
     keys = _SEEDS
     for p in range(picked.shape[1]):
         keys = _mix(keys ^ picked[:, p])
-    return keys.astype(np.int64).tolist(), picked.astype(np.uint32).astype(np.int32).ravel().tolist()
+    return keys.astype(np.int64), picked.astype(np.uint32).astype(np.int32).ravel()
 
 
 class _Masks:
@@ -251,13 +276,28 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 class _Sketch(NamedTuple):
     kind: int  # 0: all labelled k-mers, 1: first occurrences alone, of texts that have others
     n: int
-    keys: list[int]
-    picked: list[int]
+    keys: np.ndarray
+    picked: np.ndarray
 
 
 SKETCHED = "array<struct<kind:int,n:int,keys:array<long>,picked:array<int>>>"
 
 
+def _sketch_arrays(sketches: list[list[_Sketch]]):
+    """The column of each text's sketches, from flat arrays."""
+    import pyarrow as pa
+    flat = [x for one in sketches for x in one]
+
+    def lists(parts, kind):
+        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, kind), *parts]).astype(kind)))
+
+    items = pa.StructArray.from_arrays(
+        [pa.array([x.kind for x in flat], pa.int32()), pa.array([x.n for x in flat], pa.int32()),
+         lists([x.keys for x in flat], np.int64), lists([x.picked for x in flat], np.int32)], ["kind", "n", "keys", "picked"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketches)], dtype=np.int32)), items)
+
+
 def _sketch_batches(names):
     def run(batches):
         import pyarrow as pa
@@ -273,17 +313,14 @@ def _sketch_batches(names):
                     one = [_Sketch(0, len(h), *sketch(h))] if len(words) >= K else []
                     if one and not first.all():
                         one.append(_Sketch(1, int(first.sum()), *sketch(h[first])))
-                    sketches.append([x._asdict() for x in one])
+                    sketches.append(one)
                 rest = [part.column(part.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(groups, pa.binary()), pa.array(sketches, pa.list_(pa.struct(
-                        {"kind": pa.int32(), "n": pa.int32(), "keys": pa.list_(pa.int64()), "picked": pa.list_(pa.int32())})))],
-                    [*names, "grp", "sketches"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(groups, pa.binary()), _sketch_arrays(sketches)], [*names, "grp", "sketches"])
     return run
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that some bucket brings together.
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of nodes that small buckets, stars and parts of large ones bring together, and (key, node) of the large.
 
     Both kinds of sketches share the buckets: those of a text without repetition serve as either."""
     sketches = nodes.select("node", F.explode("sketches").alias("s")).select("node", "s.kind", "s.keys")
@@ -294,6 +331,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         held = written(entries.join(counts.hint("merge"), "key"), "bucket-entries")
         if degree is None:
             degree = written(held.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
+            members = written(held.where(F.col("size") > SMALL).select("key", "node").distinct(), "large-members")
         small, large = held.where(F.col("size") <= SMALL), held.where(F.col("size") > SMALL)
         together = small.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("all"))  # SMALL at most
         found = together.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(
@@ -314,7 +352,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             pairs = written(pairs.distinct(), "candidates")
             for t in [*done, degree, *([] if last else [large])]:
                 discard(t)
-            return pairs
+            return pairs, members
         done.append(large)
         # a large bucket is parted by the value of the next sketch
         nxt = F.element_at("keys", (F.pmod(F.col("band") + level, F.lit(SKETCHES)) + 1).cast("int"))
@@ -362,11 +400,99 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs (a, b, similarity).  ``nodes``: node, sketches; ``texts``: node, text of these and more.
+def _features(words: list[str], hasher: Hasher) -> list[np.ndarray]:
+    """What similar texts have in common to the threshold: labelled words (kind 0) and distinct k-mers (kind 1)."""
+    h, first = hasher.labelled(words)
+    return [hasher.labelled(words, 1)[0], h[first]]
+
+
+def _slots(batches):
+    """How many features of a task's texts fall into each slot."""
+    import pyarrow as pa
+    hasher, counts = per_worker("hasher", Hasher), np.zeros(SLOTS, np.int64)
+    for texts, in row_chunks(batches, ["text"], 64):
+        tokens = np.concatenate([x for text in texts for x in _features(words_of(text), hasher)])
+        counts += np.bincount((tokens % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "held"])
+
+
+def _rarest(texts: DataFrame) -> DataFrame:
+    """node, kind, n, token: of each node's ``n`` features the rarest fifth and one more, in one order for all nodes.  Two nodes that have
+    four fifths of the larger number in common meet in one of these.
+
+    The order is that of the features' counts in ``SLOTS`` slots, a table of bounded size; any order of all features is right."""
+    spark, held = texts.sparkSession, np.zeros(SLOTS, np.int64)
+    for slot, n in texts.select("text").mapInArrow(_slots, "slot long, held long").groupBy("slot").agg(F.sum("held")).collect():
+        held[slot] = n
+    held = spark.sparkContext.broadcast(held)
+
+    def run(batches):
+        import pyarrow as pa
+        hasher = per_worker("hasher", Hasher)
+        for ids, rows in row_chunks(batches, ["node", "text"], 64):
+            for node, text in zip(ids, rows):
+                for kind, tokens in enumerate(_features(words_of(text), hasher)):
+                    common = held.value[(tokens % np.uint64(SLOTS)).astype(np.int64)]
+                    least = tokens[np.lexsort((tokens, common))[:int((1 - THRESHOLD) * len(tokens) + 1e-6) + 1]]
+                    const = [pa.array(np.full(len(least), x, np.int64)) for x in (node, kind, len(tokens))]
+                    yield pa.RecordBatch.from_arrays([*const, pa.array(least.astype(np.int64))], ["node", "kind", "n", "token"])
+
+    return written(texts.select("node", "text").mapInArrow(run, "node long, kind long, n long, token long"), "rarest")
+
+
+def _unmet(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of all nodes of different components that share a large bucket and may be similar; None if there are none.
+
+    Each such pair has a node outside the bucket's largest component.  Where these pairs are few (at most ``SMALL`` a node), they are
+    taken as they are; elsewhere both must share one of their rarest features, which no pair of the threshold fails.  A feature of more
+    than ``PART`` nodes is looked at bucket by bucket, and its nodes in parts that meet in different tasks."""
+    placed = written(members.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "large-labelled")
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "label")).alias("most"))
+    mixed = mixed.where(F.col("m") * F.col("m") > F.col("same")).select(
+        "key", F.col("most.label").alias("largest"), (F.col("m") * F.col("m") - F.col("same") <= 2 * SMALL * F.col("m")).alias("few"))
+    mixed = written(placed.join(mixed.hint("merge"), "key").withColumn("stray", F.col("label") != F.col("largest")).drop("largest"), "large-mixed")
+    discard(placed)
+    if mixed.isEmpty():
+        discard(mixed)
+        return None
+    ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    few = mixed.where("few").select("key", F.col("node").alias("y"), F.col("label").alias("label_y"))
+    stray = mixed.where("few and stray").select("key", F.col("node").alias("x"), F.col("label").alias("label_x"))
+    pairs = written(few.join(stray.hint("merge"), "key").where("label_x <> label_y").select(*ordered).distinct(), "few-unmet")
+    done = [mixed]
+    many = written(mixed.where("not few").groupBy("node", "label").agg(F.max("stray").alias("stray"), F.array_sort(F.collect_set("key")).alias("keys")), "many-mixed")
+    done.append(many)
+    if not many.isEmpty():
+        rarest = _rarest(texts.join(many.select("node").hint("merge"), "node"))
+        token = ["kind", "token"]
+        held = rarest.groupBy(token).agg(F.count("*").alias("held")).where("held > 1")
+        spread = F.when(F.col("held") > PART, F.col("keys")).otherwise(F.array(F.lit(0).cast("long")))
+        entries = written(rarest.join(held.hint("merge"), token).join(many.hint("merge"), "node")
+                          .select(*token, F.explode(spread).alias("key"), "node", "n", "label", "stray", "keys"), "rarest-entries")
+        at = [*token, "key"]
+        shared = entries.groupBy(at).agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("held"))
+        shared = shared.where("least < most").select(*at, F.ceil(F.col("held") / PART).cast("int").alias("parts"))
+        met = entries.join(shared.hint("merge"), at)
+        side = lambda x, *more: met.select(*at, *more, *(F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "keys")), F.col("node").alias(x))
+        left = side("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "stray").where("stray")
+        right = side("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        met = written(left.join(right.hint("merge"), [*at, "part"])
+                      .where((F.col("label_x") != F.col("label_y"))
+                             & (F.least("n_x", "n_y") >= THRESHOLD * F.greatest("n_x", "n_y") - 1e-6)
+                             & F.arrays_overlap("keys_x", "keys_y")).select(*ordered).distinct(), "rare-unmet")
+        done += [rarest, entries, pairs, met]
+        pairs = written(pairs.unionByName(met).distinct(), "unmet")
+    for t in done:
+        discard(t)
+    return pairs
+
+
+def _sieved(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs near in length that share enough of the picked k-mers.
 
     Joins are sort-merge at every size: pairs and texts grow with the input, so no side is to be broadcast."""
-    pairs = _candidates(nodes)
     # lengths as words, and how many of their distinct picked k-mers both share; very short texts are left to the alignment
     short = lambda s: F.struct(s["n"].alias("n"), F.array_distinct(s["picked"]).alias("picked"))
     side = lambda x: nodes.select(F.col("node").alias(x), F.transform("sketches", short).alias(f"s_{x}")).hint("merge")
@@ -379,15 +505,37 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     of = lambda x, at: F.element_at(f"s_{x}", at)  # noqa: E731  (1: all k-mers, -1: first occurrences, the same without repetition)
     sieved = (pairs.join(side("a"), "a").join(side("b"), "b")
               .where(alike(of("a", 1), of("b", 1)) | alike(of("a", -1), of("b", -1))).select("a", "b"))
-    sieved = written(sieved, "sieved")
-    needed = sieved.select(F.col("a").alias("node")).unionByName(sieved.select(F.col("b").alias("node"))).distinct()
-    texts = written(texts.join(needed.hint("merge"), "node"), "texts", compression="zstd")
+    return written(sieved, "sieved")
+
+
+def _verified(sieved: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs that are similar."""
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
     checked = sieved.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verify, "a long, b long, similarity double")
-    found = written(checked.where(F.col("similarity") >= THRESHOLD), "links")
-    for t in (pairs, sieved, texts):
+    return written(checked.where(F.col("similarity") >= THRESHOLD), "links")
+
+
+def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label) of all linked nodes, label the least node of the class.  ``nodes``: node, sketches; ``texts``: node, text of
+    these and more."""
+    pairs, members = _candidates(nodes)
+    sieved = _sieved(pairs, nodes)
+    needed = sieved.select(F.col("a").alias("node")).unionByName(sieved.select(F.col("b").alias("node"))).unionByName(members.select("node"))
+    texts = written(texts.join(needed.distinct().hint("merge"), "node"), "texts", compression="zstd")
+    found = _verified(sieved, texts)
+    labels = components(found)
+    done = [pairs, members, sieved, texts, found]
+    unmet = _unmet(members, labels, texts)
+    if unmet is not None:
+        rest = _sieved(unmet.join(sieved.hint("merge"), ["a", "b"], "left_anti"), nodes)
+        more = _verified(rest, texts)
+        done += [unmet, rest, more]
+        if not more.isEmpty():
+            discard(labels)
+            labels = components(found.unionByName(more))
+    for t in done:
         discard(t)
-    return found
+    return labels
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -438,14 +586,13 @@ def _classes(placed: DataFrame) -> DataFrame:
     for t in (sketched, groups):
         discard(t)
     nodes = full.where((F.col("row") == F.col("node")) & (F.size("sketches") > 0)).select("node", "sketches")
-    found = links(nodes, rows.select(F.col("row").alias("node"), "text"))
-    labels = components(found)
+    labels = linked(nodes, rows.select(F.col("row").alias("node"), "text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = members.groupBy("node").agg(F.min(order).alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = written(first, "first")
     best = written(first.groupBy("label").agg(F.min("first").alias("best")), "best")
     of_node = written(first.join(best, "label").select("node", F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("kept_row")), "classes")
-    for t in (found, labels, first, best):
+    for t in (labels, first, best):
         discard(t)
     return members.join(of_node, "node").select("doc_id", "row", "class_id", (F.col("row") == F.col("kept_row")).alias("kept"))
 
