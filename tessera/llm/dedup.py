@@ -20,8 +20,8 @@ first occurrences alone, and steps 2 and 3 hold for either kind.
    so how often a text repeats a line does not part it from its copies.  The largest value counts.
 5. Verified pairs are links; classes are connected components by least labels with pointer jumping.
 6. Nodes of a large bucket that are of different components are then compared too, so no pair that shares a bucket is left out by its
-   size.  Where they are many, only those are that share one of their rarest words (a fifth of the words and one more) or rarest
-   distinct k-mers, which every similar pair does.  These go through steps 3 to 5 as well.
+   size.  They meet in blocks of bounded size, where common words and common distinct k-mers are counted; pairs that hold
+   enough of either for the threshold are aligned, most alike first, unless links found before join them already.
 
 Every table that a later step joins is written first, so joins are between plain scans that AQE may split at hot keys; it is deleted
 when the steps that read it are done (but for the two that the lazy result itself reads).
@@ -54,8 +54,8 @@ THRESHOLD = 0.8
 SKETCHES = 16
 PICK = 2
 SMALL = 16
-PART = 4096
-SLOTS = 1 << 18
+PART = 2048
+PART_WORDS = 1 << 19
 SIEVE = 0.125
 
 _WORD = re.compile(r"[^\W_]+")
@@ -320,18 +320,19 @@ def _sketch_batches(names):
 
 
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of nodes that small buckets, stars and parts of large ones bring together, and (key, node) of the large.
+    """Distinct pairs (a, b) of nodes that small buckets, stars and parts of large ones bring together, and (key, node, n) of the large.
 
     Both kinds of sketches share the buckets: those of a text without repetition serve as either."""
-    sketches = nodes.select("node", F.explode("sketches").alias("s")).select("node", "s.kind", "s.keys")
-    entries = sketches.select("node", "kind", F.posexplode("keys").alias("band", "key"))
+    sketches = nodes.select("node", F.explode("sketches").alias("s")).select("node", "s.kind", "s.n", "s.keys")
+    entries = sketches.select("node", "kind", "n", F.posexplode("keys").alias("band", "key"))
+    sketches = sketches.drop("n")
     pairs, level, degree, done = None, 0, None, []
     while True:
         counts = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
         held = written(entries.join(counts.hint("merge"), "key"), "bucket-entries")
         if degree is None:
             degree = written(held.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
-            members = written(held.where(F.col("size") > SMALL).select("key", "node").distinct(), "large-members")
+            members = written(held.where(F.col("size") > SMALL).groupBy("key", "node").agg(F.max("n").alias("n")), "large-members")
         small, large = held.where(F.col("size") <= SMALL), held.where(F.col("size") > SMALL)
         together = small.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("all"))  # SMALL at most
         found = together.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(
@@ -339,24 +340,24 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         level += 1
         last = large.isEmpty()
         if not last:
-            large = written(large.join(degree, "node").join(sketches, ["node", "kind"]), "large-buckets")
+            if level == 1:  # later entries carry these along
+                large = written(large.drop("n").join(degree, "node").join(sketches, ["node", "kind"]), "large-buckets")
             centres = written(large.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("c"))
                               .select("key", (-F.col("c.minus")).alias("centre")), "centres")
             star = (large.join(centres, "key").where("centre <> node")
                     .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")))
             found = found.unionByName(star)
         found = written(found.distinct(), "pairs")
-        done += [found, counts, held] + ([] if last else [centres])
+        done += [found, counts, held] + ([] if last else [centres]) + ([large] if level == 1 and not last else [])
         pairs = found if pairs is None else pairs.unionByName(found)
         if last or level == SKETCHES:
             pairs = written(pairs.distinct(), "candidates")
-            for t in [*done, degree, *([] if last else [large])]:
+            for t in [*done, degree]:
                 discard(t)
             return pairs, members
-        done.append(large)
         # a large bucket is parted by the value of the next sketch
         nxt = F.element_at("keys", (F.pmod(F.col("band") + level, F.lit(SKETCHES)) + 1).cast("int"))
-        entries = large.select("node", "kind", "band", F.xxhash64("key", nxt).alias("key"))
+        entries = large.select("node", "kind", "band", "degree", "keys", F.xxhash64("key", nxt).alias("key"))
 
 
 class Prepared:
@@ -400,93 +401,103 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
 
-def _features(words: list[str], hasher: Hasher) -> list[np.ndarray]:
-    """What similar texts have in common to the threshold: labelled words (kind 0) and distinct k-mers (kind 1)."""
-    h, first = hasher.labelled(words)
-    return [hasher.labelled(words, 1)[0], h[first]]
-
-
-def _slots(batches):
-    """How many features of a task's texts fall into each slot."""
+def _counted(features: list[np.ndarray], left: np.ndarray, right: np.ndarray, enough):
+    """(x, some of ``right``, how many features they share) for each x of ``left``, where ``enough(n_x, n_y, shared)`` holds.  A text's
+    features are distinct; texts that differ in their number by more than the threshold allows are left out."""
+    n = np.array([len(f) for f in features])
+    ids = np.unique(np.concatenate(features), return_inverse=True)[1]
+    ids = np.split(ids, np.cumsum(n)[:-1])
+    right = right[np.argsort(n[right], kind="stable")]
+    right = right[n[right] > 0]
+    if not len(right):
+        return
+    held = np.concatenate([ids[y] for y in right])
+    ends = np.concatenate([[0], np.cumsum(n[right])])
+    mark = np.zeros(sum(map(len, features)), np.uint8)
+    for x in left[n[left] > 0]:
+        lo, hi = np.searchsorted(n[right], [THRESHOLD * n[x] - 1e-6, n[x] / THRESHOLD + 1e-6])
+        if lo < hi:
+            mark[ids[x]] = 1
+            shared = np.add.reduceat(mark[held[ends[lo]:ends[hi]]], ends[lo:hi] - ends[lo], dtype=np.int64)
+            mark[ids[x]] = 0
+            at = enough(n[x], n[right[lo:hi]], shared)
+            yield x, right[lo:hi][at], shared[at]
+
+
+def _block(table):
+    """Links between the left and the right nodes of a block that, with the labels, join all its similar pairs.  A pair of several
+    common buckets is left to the least of them."""
     import pyarrow as pa
-    hasher, counts = per_worker("hasher", Hasher), np.zeros(SLOTS, np.int64)
-    for texts, in row_chunks(batches, ["text"], 64):
-        tokens = np.concatenate([x for text in texts for x in _features(words_of(text), hasher)])
-        counts += np.bincount((tokens % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "held"])
-
-
-def _rarest(texts: DataFrame) -> DataFrame:
-    """node, kind, n, token: of each node's ``n`` features the rarest fifth and one more, in one order for all nodes.  Two nodes that have
-    four fifths of the larger number in common meet in one of these.
-
-    The order is that of the features' counts in ``SLOTS`` slots, a table of bounded size; any order of all features is right."""
-    spark, held = texts.sparkSession, np.zeros(SLOTS, np.int64)
-    for slot, n in texts.select("text").mapInArrow(_slots, "slot long, held long").groupBy("slot").agg(F.sum("held")).collect():
-        held[slot] = n
-    held = spark.sparkContext.broadcast(held)
-
-    def run(batches):
-        import pyarrow as pa
-        hasher = per_worker("hasher", Hasher)
-        for ids, rows in row_chunks(batches, ["node", "text"], 64):
-            for node, text in zip(ids, rows):
-                for kind, tokens in enumerate(_features(words_of(text), hasher)):
-                    common = held.value[(tokens % np.uint64(SLOTS)).astype(np.int64)]
-                    least = tokens[np.lexsort((tokens, common))[:int((1 - THRESHOLD) * len(tokens) + 1e-6) + 1]]
-                    const = [pa.array(np.full(len(least), x, np.int64)) for x in (node, kind, len(tokens))]
-                    yield pa.RecordBatch.from_arrays([*const, pa.array(least.astype(np.int64))], ["node", "kind", "n", "token"])
-
-    return written(texts.select("node", "text").mapInArrow(run, "node long, kind long, n long, token long"), "rarest")
+    hasher = per_worker("hasher", Hasher)
+    node, label, stray = (table.column(c).to_numpy() for c in ("node", "label", "stray"))
+    left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
+    key, keys = table.column("key")[0].as_py(), [set(x) for x in table.column("keys").to_pylist()]
+    texts = [Prepared(words_of(t.as_py()), hasher) for t in table.column("text")]
+    labelled_words = [hasher.labelled(t.words, 1)[0] for t in texts]
+    kmers = [h[first] for h, first in (hasher.labelled(t.words) for t in texts)]
+    as_words = lambda n, m, shared: shared >= THRESHOLD * np.maximum(n, m) - 1e-6  # noqa: E731  alignments of words and of all labelled k-mers
+    as_kmers = lambda n, m, shared: shared >= THRESHOLD * (n + m - shared) - 1e-6  # noqa: E731  that of first occurrences
+    found = [np.empty((3, 0))]
+    for features, enough in ((labelled_words, as_words), (kmers, as_kmers)):
+        for x, ys, shared in _counted(features, left, right, enough):
+            at = (label[ys] != label[x]) & (~stray[ys] | (node[x] < node[ys]))
+            if at.any():
+                found.append(np.stack([np.full(at.sum(), x), ys[at], shared[at] / len(features[x])]))
+    found = np.concatenate(found, axis=1)
+    of = {x: x for x in label.tolist()}
+
+    def root(x):
+        while of[x] != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
+    links, seen = [], set()
+    for x, y in found[:2, np.argsort(-found[2], kind="stable")].T.astype(int).tolist():
+        one, other = root(label[x].item()), root(label[y].item())
+        if one != other and (x, y) not in seen and min(keys[x] & keys[y]) == key:
+            seen.add((x, y))
+            s = pair_similarity(texts[x], texts[y])
+            if s >= THRESHOLD:
+                of[one] = other
+                links.append((*sorted((node[x].item(), node[y].item())), s))
+    return pa.table([pa.array(x, kind) for x, kind in zip(zip(*links) if links else ([], [], []), (pa.int64(), pa.int64(), pa.float64()))],
+                    ["a", "b", "similarity"])
 
 
 def _unmet(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Pairs (a, b) of all nodes of different components that share a large bucket and may be similar; None if there are none.
+    """Links (a, b, similarity) that join all similar pairs of nodes of different components that share a large bucket; None if no bucket
+    has nodes of several.
 
-    Each such pair has a node outside the bucket's largest component.  Where these pairs are few (at most ``SMALL`` a node), they are
-    taken as they are; elsewhere both must share one of their rarest features, which no pair of the threshold fails.  A feature of more
-    than ``PART`` nodes is looked at bucket by bucket, and its nodes in parts that meet in different tasks."""
+    Each such pair has a node outside the bucket's largest component, a stray.  Strays and all nodes of a bucket are dealt into parts of
+    bounded size, and each part of strays meets each part of nodes in a block of its own."""
     placed = written(members.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "large-labelled")
-    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "label")).alias("most"))
-    mixed = mixed.where(F.col("m") * F.col("m") > F.col("same")).select(
-        "key", F.col("most.label").alias("largest"), (F.col("m") * F.col("m") - F.col("same") <= 2 * SMALL * F.col("m")).alias("few"))
-    mixed = written(placed.join(mixed.hint("merge"), "key").withColumn("stray", F.col("label") != F.col("largest")).drop("largest"), "large-mixed")
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("words"))
+    mixed = sizes.groupBy("key").agg(
+        F.count("*").alias("labels"), F.sum("rows").alias("rows"), F.sum("words").alias("words"), F.max(F.struct("rows", "label", "words")).alias("most"))
+    parts = lambda rows, words: F.greatest(F.ceil(rows / PART), F.ceil(words / PART_WORDS)).cast("int")
+    mixed = mixed.where("labels > 1").select(
+        "key", F.col("most.label").alias("largest"), parts(F.col("rows"), F.col("words")).alias("parts"),
+        parts(F.col("rows") - F.col("most.rows"), F.col("words") - F.col("most.words")).alias("stray_parts"))
+    mixed = written(placed.join(mixed.hint("merge"), "key").withColumn("stray", F.col("label") != F.col("largest")), "large-mixed")
     discard(placed)
     if mixed.isEmpty():
         discard(mixed)
         return None
-    ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    few = mixed.where("few").select("key", F.col("node").alias("y"), F.col("label").alias("label_y"))
-    stray = mixed.where("few and stray").select("key", F.col("node").alias("x"), F.col("label").alias("label_x"))
-    pairs = written(few.join(stray.hint("merge"), "key").where("label_x <> label_y").select(*ordered).distinct(), "few-unmet")
-    done = [mixed]
-    many = written(mixed.where("not few").groupBy("node", "label").agg(F.max("stray").alias("stray"), F.array_sort(F.collect_set("key")).alias("keys")), "many-mixed")
-    done.append(many)
-    if not many.isEmpty():
-        rarest = _rarest(texts.join(many.select("node").hint("merge"), "node"))
-        token = ["kind", "token"]
-        held = rarest.groupBy(token).agg(F.count("*").alias("held")).where("held > 1")
-        spread = F.when(F.col("held") > PART, F.col("keys")).otherwise(F.array(F.lit(0).cast("long")))
-        entries = written(rarest.join(held.hint("merge"), token).join(many.hint("merge"), "node")
-                          .select(*token, F.explode(spread).alias("key"), "node", "n", "label", "stray", "keys"), "rarest-entries")
-        at = [*token, "key"]
-        shared = entries.groupBy(at).agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("held"))
-        shared = shared.where("least < most").select(*at, F.ceil(F.col("held") / PART).cast("int").alias("parts"))
-        met = entries.join(shared.hint("merge"), at)
-        side = lambda x, *more: met.select(*at, *more, *(F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "keys")), F.col("node").alias(x))
-        left = side("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "stray").where("stray")
-        right = side("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        met = written(left.join(right.hint("merge"), [*at, "part"])
-                      .where((F.col("label_x") != F.col("label_y"))
-                             & (F.least("n_x", "n_y") >= THRESHOLD * F.greatest("n_x", "n_y") - 1e-6)
-                             & F.arrays_overlap("keys_x", "keys_y")).select(*ordered).distinct(), "rare-unmet")
-        done += [rarest, entries, pairs, met]
-        pairs = written(pairs.unionByName(met).distinct(), "unmet")
-    for t in done:
-        discard(t)
-    return pairs
+    bucket = F.struct("key", "stray", "parts", "stray_parts")
+    by_node = mixed.groupBy("node", "label").agg(F.collect_list(bucket).alias("buckets")).join(texts.hint("merge"), "node")
+    held = by_node.select("node", "label", "text", F.col("buckets.key").alias("keys"), F.explode("buckets").alias("b")).select("*", "b.*").drop("b")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    met = F.array_union(
+        F.transform(F.sequence(F.lit(0), F.col("stray_parts") - 1), lambda i: F.struct(i.alias("i"), part("parts").alias("j"))),
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.col("stray")),
+                    lambda j: F.struct(part("stray_parts").alias("i"), j.alias("j"))))
+    blocks = held.withColumn("at", F.explode(met)).select(
+        "key", "at.i", "at.j", "node", "label", "stray", "keys", "text", (F.col("stray") & (F.col("at.i") == part("stray_parts"))).alias("left"),
+        (F.col("at.j") == part("parts")).alias("right"))
+    links = written(blocks.groupBy("key", "i", "j").applyInArrow(_block, "a long, b long, similarity double"), "block-links")
+    discard(mixed)
+    return links
 
 
 def _sieved(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -525,11 +536,9 @@ def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     found = _verified(sieved, texts)
     labels = components(found)
     done = [pairs, members, sieved, texts, found]
-    unmet = _unmet(members, labels, texts)
-    if unmet is not None:
-        rest = _sieved(unmet.join(sieved.hint("merge"), ["a", "b"], "left_anti"), nodes)
-        more = _verified(rest, texts)
-        done += [unmet, rest, more]
+    more = _unmet(members, labels, texts)
+    if more is not None:
+        done.append(more)
         if not more.isEmpty():
             discard(labels)
             labels = components(found.unionByName(more))

@@ -291,3 +291,52 @@ def test_large_buckets_lose_no_pair(spark, few):
             assert got[a] == got[b], g
     assert large >= (4 if few else 40)
     assert all(c // 2 == i // 2 or min(c, i) >= 1000 for i, c in got.items())
+
+
+def test_large_buckets_make_few_rows(spark, monkeypatch):
+    """Copies of one text, most of them just below the threshold to each other: all similar pairs of a large bucket are in a class, but no
+    table holds the pairs that are not."""
+    rng, texts = random.Random(21), {}
+    for i in range(160):
+        changed = set(rng.sample(range(200), rng.choice([20, 24, 28])))
+        texts[i] = " ".join(f"n{i}x{j}" if j in changed else f"b{j}" for j in range(200))
+    monkeypatch.setattr(D, "SMALL", 4)
+    monkeypatch.setattr(D, "PART", 40)
+    rows, write = {}, D.written
+
+    def counted(df, name, **options):
+        table = write(df, name, **options)
+        rows[name] = max(rows.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(D, "written", counted)
+    got = {i: r.class_id for i, r in run(spark, texts).items()}
+    h, buckets = D.Hasher(), defaultdict(set)
+    prepared = {i: D.Prepared(D.words_of(t), h) for i, t in texts.items()}
+    for i, p in prepared.items():
+        for k in D.sketch(p.labelled[0])[0].tolist():
+            buckets[k].add(i)
+    met = {(a, b) for v in buckets.values() if len(v) > D.SMALL for a in v for b in v if a < b}
+    similar = [(a, b) for a, b in met if D.pair_similarity(prepared[a], prepared[b]) >= 0.8]
+    assert 50 < len(similar) < 0.5 * len(met)
+    assert all(got[a] == got[b] for a, b in similar) and len(set(got.values())) > 3
+    assert rows["block-links"] < len(texts)
+    assert max(rows.values()) <= D.SKETCHES * len(texts) < len(met)
+
+
+def test_block_leaves_joined_nodes_alone(monkeypatch):
+    """All similar pairs of a block are joined, by words or by distinct k-mers; nodes joined by earlier links are not aligned again."""
+    import pyarrow as pa
+    rng = random.Random(22)
+    base, line = [f"b{i}" for i in range(80)], [f"l{i}" for i in range(12)]
+    texts = [" ".join(edited(rng, base, 4)) for _ in range(30)] + [" ".join(line * n + [f"r{i}" for i in range(60)]) for n in (2, 5)] + ["", "a b"]
+    n = len(texts)
+    table = pa.table({"key": [7] * n, "node": list(range(n)), "label": list(range(n)), "stray": [i > 0 for i in range(n)], "keys": [[7, 9]] * n,
+                      "text": texts, "left": [i > 0 for i in range(n)], "right": [True] * n})
+    calls, similarity = [], D.pair_similarity
+    monkeypatch.setattr(D, "pair_similarity", lambda a, b: calls.append(1) or similarity(a, b))
+    links = D._block(table).to_pylist()
+    assert len(links) == 30 and len(calls) < 60
+    assert {x for r in links for x in (r["a"], r["b"]) if x < 30} == set(range(30)) and [30, 31] in [[r["a"], r["b"]] for r in links]
+    other = table.set_column(table.column_names.index("key"), "key", pa.array([9] * n))
+    assert D._block(other).num_rows == 0   # key 7 is the lesser of the two they share
