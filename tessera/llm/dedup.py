@@ -18,7 +18,8 @@ first occurrences alone, and steps 2 and 3 hold for either kind.
    exact whenever the distance they give fits into them.  Pairs below are also aligned by labelled k-mers (the longest
    chain of common ones that rises in both; similarity chain / (all k-mers of both - chain)), of all and of first occurrences alone,
    so how often a text repeats a line does not part it from its copies.  The largest value counts.
-5. Verified pairs are links; classes are connected components by least labels with pointer jumping.
+5. Verified pairs are links; classes are connected components: nodes hook onto their least neighbours, pointer jumping finds the roots,
+   and only links between different roots go on to the next round.
 6. Nodes of a large bucket that are of different components are then compared too, so no pair that shares a bucket is left out by its
    size.  They meet in blocks of bounded size, where common words and common distinct k-mers are counted; pairs that hold
    enough of either for the threshold are aligned, most alike first, unless links found before join them already.
@@ -540,34 +541,45 @@ def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     if more is not None:
         done.append(more)
         if not more.isEmpty():
-            discard(labels)
-            labels = components(found.unionByName(more))
+            forest = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))  # for the links found before
+            done.append(labels)
+            labels = components(forest.unionByName(more.select("a", "b")))
     for t in done:
         discard(t)
     return labels
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of all linked nodes, label the least node of the component: least labels of neighbours, then the label's own
-    label, until the sum of labels stays."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
+    """(node, label) of all linked nodes, label the least node of the component.
+
+    In each round a node hooks onto its least neighbour, if that is less, and pointer jumping leads it to the root.  Edges are then taken
+    between roots, each once, and those within a tree go; so no later round reads the links of a dense group again.  A node that none
+    hooked onto has lesser neighbours alone by the next round, so two rounds halve the nodes at least."""
     total = lambda t: t.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    before = total(labels)
-    while before is not None:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        near = written(near, "near")
-        lower = written(labels.join(near, "node").select("node", F.least("label", "near").alias("label")), "labels")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = written(lower.join(jump, "label").select("node", "further").withColumnRenamed("further", "label"), "labels")
-        after = total(new)
-        for t in (labels, near, lower):
-            discard(t)
-        labels = new
-        if after == before:
-            break
-        before = after
-    discard(both)
+    edges, labels = written(edges.select("a", "b"), "edges"), None
+    while labels is None or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "roots")
+        before, after = None, total(roots)
+        while after != before:
+            jump = roots.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            new = written(roots.join(jump, "label").select("node", F.col("further").alias("label")), "roots")
+            discard(roots)
+            roots, before, after = new, after, total(new)
+        root = lambda x: roots.select(F.col("node").alias(x), F.col("label").alias(f"root_{x}"))
+        between = edges.join(root("a"), "a").join(root("b"), "b").where("root_a <> root_b")
+        between = written(between.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "edges")
+        discard(edges)
+        edges = between
+        if labels is None:
+            labels = roots
+        else:
+            up = roots.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            new = written(labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+            for t in (labels, roots):
+                discard(t)
+            labels = new
+    discard(edges)
     return labels
 
 

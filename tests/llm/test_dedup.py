@@ -340,3 +340,77 @@ def test_block_leaves_joined_nodes_alone(monkeypatch):
     assert {x for r in links for x in (r["a"], r["b"]) if x < 30} == set(range(30)) and [30, 31] in [[r["a"], r["b"]] for r in links]
     other = table.set_column(table.column_names.index("key"), "key", pa.array([9] * n))
     assert D._block(other).num_rows == 0   # key 7 is the lesser of the two they share
+
+
+def least_labels(edges):
+    label = {x: x for e in edges for x in e}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        label[max(a, b)] = min(a, b)
+    return {x: find(x) for x in label}
+
+
+def joined_rows(monkeypatch, df):
+    """A list that gets the rows of every join made from now on."""
+    rows, kind = [], type(df)
+    join = kind.join
+
+    def counted(self, *args, **options):
+        out = join(self, *args, **options)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "join", counted)
+    return rows
+
+
+def test_components_are_those_of_the_graph(spark):
+    rng = random.Random(31)
+    ids = rng.sample(range(1000), 120)
+    star = [(n, 5000) for n in range(2000, 2030)]
+    sparse = [(rng.randrange(-400, 0), rng.randrange(-400, 0)) for _ in range(220)]
+    for edges in ([], [*zip(ids, ids[1:])] + star + [(5001, 5002), (5002, 5001), (5001, 5002)] + [e for e in sparse if e[0] != e[1]]):
+        rows = D.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(rows) == len({r.node for r in rows}) and {r.node: r.label for r in rows} == least_labels(edges)
+
+
+def test_components_read_links_of_a_group_once(spark, monkeypatch):
+    """Groups of all links within, in a row of groups: links within a group are not joined again in each round."""
+    rng, n, size = random.Random(32), 16, 24
+    ids = rng.sample(range(10_000), n * size)
+    groups = [ids[g * size:(g + 1) * size] for g in range(n)]
+    edges = [(a, b) for g in groups for a in g for b in g if a < b] + [(rng.choice(g), rng.choice(h)) for g, h in zip(groups, groups[1:])]
+    df = spark.createDataFrame(edges, "a long, b long")
+    rows = joined_rows(monkeypatch, df)
+    assert {r.node: r.label for r in D.components(df).collect()} == least_labels(edges)
+    assert sorted(rows)[-3] < len(edges) / 4   # two joins read the links
+    assert sum(rows) < 4 * len(edges)
+
+
+def test_links_of_the_first_pass_are_not_joined_again(spark, monkeypatch):
+    """Nodes of large buckets that are met later bring a forest of the earlier classes and their own links alone."""
+    rng, texts = random.Random(33), boilerplate(11, 8)
+    base = [f"p{i}" for i in range(60)] + [f"c{i}" for i in range(100)]
+    for i in range(200):
+        texts[1000 + i] = " ".join(base[:rng.randrange(60, 150)] + [f"z{i}"] + base[61 + i % 90:])
+    for i in range(60):
+        changed = set(rng.sample(range(60, 160), 30))
+        texts[2000 + i] = " ".join(f"y{i}x{j}" if j in changed else w for j, w in enumerate(base))
+    tables, write = defaultdict(list), D.written
+
+    def counted(df, name, **options):
+        table = write(df, name, **options)
+        tables[name].append(table.count())
+        return table
+
+    monkeypatch.setattr(D, "written", counted)
+    run(spark, texts)
+    (links,), (more,) = tables["links"], tables["block-links"]
+    assert more and links > 2 * len(texts)
+    assert sum(tables["edges"]) < links + 2 * len(texts)
